@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import mixing, packing, quality, token_counts
+from emberframe.llm import minhash, mixing, packing, quality, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(rated, size=F.col("words"), weight=F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 #: 0 for toxic, 1 for poor, 2 for good documents.
 GRADE = F.expr("CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END")
 
@@ -54,6 +58,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
+    "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op7_pack": op7_pack,
 }
