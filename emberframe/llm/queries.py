@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import minhash, mixing, packing, quality, repeats, token_counts
+from emberframe.llm import language_model, minhash, mixing, packing, quality, repeats, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose crc32 of the id, modulo 7, is not 2; remainder 3 tunes the weights."""
+    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    return language_model.score_texts(_read(spark, sf_dir, "documents"), rest == 2, rest == 3)
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op6_language_model": op6_language_model,
     "op7_pack": op7_pack,
     "op10_repeats": op10_repeats,
 }
