@@ -6,10 +6,8 @@ evaluations a shingle; either value agrees for two sets with probability equal t
 documents that agree in a whole band share a bucket. With 32 bands of 5 values, a pair of similarity 0.8 shares no
 bucket with probability 3e-6.
 
-Equal sets are one class from the start, so copies never meet in pairs. Buckets with the same members count once. A
-bucket is not expanded into pairs: in each round its members are compared with a few leaders, links found merge
-components, and buckets whose members are all in one component are done. What is left (members of different components
-in one bucket) is compared in full once that is little.
+Equal sets are one class from the start, so copies never meet in pairs. Buckets with the same members count once, and no
+bucket is expanded into pairs (see linking).
 """
 
 from __future__ import annotations
@@ -21,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.components import components
-from emberframe.llm.shared import discard, materialize
+from emberframe.llm.linking import link_members
+from emberframe.llm.shared import materialize
 from emberframe.llm.words import mix, shingle_sets, slices, text_bytes, word_hashes
 
 #: Most rows that are broadcast; of two longs each, this is 16 MB.
@@ -124,38 +122,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(joined) - shared))
             yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
-
-
-def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) after all links among members (key, rep, n) of common buckets; None without a link."""
-    links = found = None
-    leaders = 1
-    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    while True:
-        state = members.withColumn("c", F.col("rep")) if found is None else members.join(found, members["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        per = state.groupBy("key", "c").agg(F.count("*").alias("k"), F.min("rep").alias("rep"), F.min_by("n", "rep").alias("m"))
-        per = per.groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("parts"), F.min(F.struct("rep", "c", "m")).alias("lead"))
-        mixed = materialize(per.filter("parts > 1"), "mixed")
-        todo = mixed.agg(F.count("*").alias("keys"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows"), F.max("all").alias("most")).first()
-        if not todo["keys"]:
-            break
-        state = state.join(mixed, "key")
-        last = leaders > 1 and (todo["pairs"] <= 4 * todo["rows"] + 100_000 or leaders >= todo["most"])
-        if leaders == 1:  # the least member, which the buckets of a group mostly have in common
-            pairs = state.filter((F.col("c") != F.col("lead.c")) & (F.col("rep") != F.col("lead.rep"))).select(F.col("lead.rep").alias("b"), F.col("rep").alias("a"), "n", F.col("lead.m").alias("m"))
-        else:
-            chosen = state if last else state.filter(F.pmod(F.xxhash64("rep", F.lit(leaders)), F.col("all")) < leaders)
-            chosen = chosen.select("key", F.col("rep").alias("other"), F.col("c").alias("d"), F.col("n").alias("m"))
-            pairs = state.join(chosen, "key").filter("c <> d").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"), "n", "m")
-        confirmed = _confirm(pairs.filter(close).select("a", "b").distinct(), sets, percent)
-        links = confirmed if links is None else links.unionByName(confirmed)
-        found = materialize(components(links), "components")
-        discard(mixed)
-        if last:
-            break
-        leaders *= 8
-    return found
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +143,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = placed.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % 1_000_000_007).alias("s"))
     buckets = buckets.filter("k > 1").groupBy("k", "x", "s").agg(F.min("key").alias("key"))
     members = materialize(placed.join(buckets.select("key"), "key").distinct(), "members")
-    found = _link(members, _sets(docs, members.select("rep").distinct(), size), percent)
+    sets = _sets(docs, members.select("rep").distinct(), size)
+    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    found = link_members(members, lambda pairs: _confirm(pairs, sets, percent), close)
 
     rep = classes.select("print_a", "print_b", F.col("n").alias("n_shingles"), "rep")
     out = signed.select("doc_id", "n_shingles", "print_a", "print_b").join(rep, ["print_a", "print_b", "n_shingles"], "left")
