@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import embeddings, language_model, minhash, mixing, packing, quality, repeats, token_counts
+from emberframe.llm import chat, embeddings, language_model, media, minhash, mixing, packing, quality, repeats, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among thumbnails of all pages (the tables hold no images of their own)."""
+    return media.near_images(media.page_thumbnails(_read(spark, sf_dir, "pages")))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the documents whose crc32 of the id, modulo 7, is not 2; remainder 3 tunes the weights."""
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
@@ -65,6 +70,10 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_roles(_read(spark, sf_dir, "conversations"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_bytes(_read(spark, sf_dir, "documents"))
 
@@ -74,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op5_media": op5_media,
     "op6_language_model": op6_language_model,
     "op7_pack": op7_pack,
     "op8_near_vectors": op8_near_vectors,
+    "op9_chat": op9_chat,
     "op10_repeats": op10_repeats,
 }
 
