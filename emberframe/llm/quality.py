@@ -69,7 +69,7 @@ class OrdinalModel:
         number, row = text_features(raw, offsets)
         told = self.weights[number] != 0
         number, row = _distinct(number[told], row[told])
-        return np.bincount(row, weights=self.weights[number], minlength=len(offsets) - 1)
+        return np.bincount(row, weights=self.weights[number], minlength=len(offsets) - 1).astype(float)  # without features, int
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 1e-3, least_rows: int = 8, steps: int = 90) -> OrdinalModel:
