@@ -153,3 +153,15 @@ def scene_ids(rows: DataFrame, scenes: DataFrame, ts: str = "acq_ts") -> DataFra
 
 def unprocessed(scenes: DataFrame, done: DataFrame, ts: str = "acq_ts") -> DataFrame:
     return scenes.join(done.select(ts).distinct(), ts, "left_anti")
+
+
+def latest_available(wanted: DataFrame, listing: DataFrame, order: str, key: str = "name") -> DataFrame:
+    """The latest of the wanted cycles whose first file the listing has; none if no cycle is available."""
+    return wanted.join(listing.select(key).distinct(), key, "left_semi").orderBy(F.desc(order)).limit(1)
+
+
+def expired(rows: DataFrame, before: Column, ts: str = "acq_ts", fallback: str = "download_time", prefix: tuple[str, str] | None = None) -> DataFrame:
+    """Rows older than ``before`` by their time, or by ``fallback`` where they have none; with a prefix, only those whose
+    column begins with it."""
+    old = F.coalesce(F.col(ts), F.col(fallback)) < before
+    return rows.filter(old if prefix is None else old & F.col(prefix[0]).startswith(prefix[1]))

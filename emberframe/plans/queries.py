@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.functions import features, geo, names, weather
+from emberframe.functions import features, geo, names, serving, weather
 from emberframe.functions import radiometry as R
 from emberframe.operators import catalog, clusters, evaluation, graphs, pixels, ranking, spatial, temporal
 from emberframe.operators.tables import kept
@@ -334,7 +334,7 @@ FUSED = f"""WITH {SPOTS}, {REFS}, near AS (
 ), best AS (SELECT * FROM near WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY fire_id ORDER BY d, dt, id) = 1)"""
 
 
-@query(f"{FUSED} SELECT f.fire_id, CAST(b.id AS VARCHAR) AS official_id, b.id IS NOT NULL AS official_confirmed, round(b.d + 1e-9, 2) AS km, round(b.dt * 60 + 1e-9, 1) AS minutes FROM spots f LEFT JOIN best b USING (fire_id)")
+@query(f"{FUSED} SELECT f.fire_id, CAST(b.id AS VARCHAR) AS official_id, b.id IS NOT NULL AS official_confirmed, round(round(b.d, 3) + 1e-9, 2) AS km, round(round(b.dt * 60, 1) + 1e-9, 1) AS minutes FROM spots f LEFT JOIN best b USING (fire_id)")
 def fuse_nearest_reference(spark, sf_dir):
     f = spatial.nearest_reference(spots(spark, sf_dir).drop("official_confirmed"), refs(spark, sf_dir))
     return f.select("fire_id", F.col("official_id").cast("string").alias("official_id"), "official_confirmed", F.round(F.col("official_distance_km") + 1e-9, 2).alias("km"), F.round(F.col("official_minutes") + 1e-9, 1).alias("minutes"))
@@ -673,3 +673,67 @@ def connected_components(spark, sf_dir):
     first = n.groupBy("n_regionkey").agg(F.max("n_nationkey").alias("b"))
     e = n.join(first, "n_regionkey").select(F.col("n_nationkey").alias("a"), "b")
     return graphs.connected_components(n.select(F.col("n_nationkey").alias("id")), e)
+
+
+@query(f"""WITH {SPOTS} SELECT fire_id, round(CASE WHEN score <= 0.5 THEN 7 WHEN score <= 2 THEN 7 + (score - 0.5) / 1.5 * 3 WHEN score <= 4 THEN 10 + (score - 2) / 2 * 4 ELSE 14 END + 1e-9, 4) AS size FROM spots WHERE lon BETWEEN 104.6 AND 105.2 AND lat BETWEEN 30.1 AND 30.8""")
+def symbols_in_extent(spark, sf_dir):
+    return serving.in_extent(spots(spark, sf_dir), (104.6, 30.1, 105.2, 30.8)).select("fire_id", r4(serving.symbol_size("score")).alias("size"))
+
+
+@query(f"""WITH {SPOTS}, g AS (SELECT 104.5 + a.k * 0.25 AS gx, 30 + b.k * 0.25 AS gy, a.k * 10 + b.k AS t FROM range(6) a(k), range(6) b(k))
+SELECT fire_id, arg_min(t, {hav('lon', 'lat', 'gx', 'gy')}) AS t FROM (SELECT fire_id, lon + 0.003 AS lon, lat + 0.007 AS lat FROM spots), g GROUP BY fire_id""")
+def weather_at_fires(spark, sf_dir):
+    p = spots(spark, sf_dir).select("fire_id", (F.col("lon") + 0.003).alias("lon"), (F.col("lat") + 0.007).alias("lat"))
+    k = spark.range(36).select(F.floor(F.col("id") / 6).alias("a"), F.pmod("id", F.lit(6)).alias("b"))
+    g = k.select((104.5 + F.col("a") * 0.25).alias("lon"), (30 + F.col("b") * 0.25).alias("lat"), (F.col("a") * 10 + F.col("b")).alias("t"))
+    return serving.value_at(p, g, 0.25, 0.25, "fire_id").select("fire_id", big("grid_t").alias("t"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 80 >= 72 THEN 0 ELSE event_id % 80 + 3 END AS next_hour, least(1704326400, greatest(1704110400, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + (event_id % 80) * 3600)) AS frame FROM events")
+def forecast_frames(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.pmod("event_id", F.lit(80)).alias("h"))
+    return e.select("event_id", big(serving.next_forecast_hour("h")).alias("next_hour"), serving.frame_time(F.col("ts"), "h", F.lit(1704110400), F.lit(1704326400)).alias("frame"))
+
+
+@query("WITH w AS (SELECT o_orderkey AS cycle, o_custkey AS name FROM orders) SELECT max(cycle) AS cycle FROM w WHERE name IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)")
+def latest_available_cycle(spark, sf_dir):
+    w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cycle"), F.col("o_custkey").alias("name"))
+    have = table(spark, sf_dir, "customer").filter(F.pmod("c_custkey", F.lit(5)) == 0).select(F.col("c_custkey").alias("name"))
+    return catalog.latest_available(w, have, "cycle").select("cycle")
+
+
+@query(f"""WITH {SPOTS}, ids AS (SELECT scene_id AS s, TIMESTAMP '2026-01-01 04:00:00' + to_seconds(22200 * scene_id) AS t FROM (SELECT DISTINCT scene_id FROM pix WHERE scene_id % 2 = 0)) SELECT fire_id, CAST(s AS VARCHAR) AS catalog_scene FROM spots LEFT JOIN ids ON acq_ts = t""")
+def catalog_scene_ids(spark, sf_dir):
+    p = pix(spark, sf_dir).filter("scene_id % 2 = 0").select("scene_id", "acq_ts").distinct()
+    return catalog.scene_ids(spots(spark, sf_dir), p).select("fire_id", F.col("scene_id").cast("string").alias("catalog_scene"))
+
+
+@query("WITH n AS (SELECT c_nationkey AS k, 2 AS p, count(*) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY ALL UNION ALL SELECT s_nationkey, 1, count(*) FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY ALL) SELECT k, p, n FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY p) = 1")
+def source_fallback(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").filter("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")).withColumn("p", F.lit(2))
+    s = table(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n")).withColumn("p", F.lit(1))
+    return catalog.by_priority(c.unionByName(s), ["k"], "p").select("k", "p", "n")
+
+
+@query("WITH h AS (SELECT o_custkey AS band, count(DISTINCT o_orderkey % 10) AS found FROM orders WHERE o_orderkey % 10 > 3 GROUP BY o_custkey) SELECT c_custkey AS band, coalesce(found, 0) AS found, greatest(4 - coalesce(found, 0), 0) AS missing, greatest(4 - coalesce(found, 0), 0) = 0 AS complete FROM customer LEFT JOIN h ON band = c_custkey")
+def slot_completeness(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("band"), F.pmod("o_orderkey", F.lit(10)).alias("segment")).filter("segment > 3")
+    e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("band"), F.lit(4).alias("wanted"))
+    return catalog.completeness(o, e, ("band",)).select("band", "found", "missing", "complete")
+
+
+@query(f"WITH {SPOTS} SELECT count(*) AS scored, count(*) FILTER (lon < 105) AS west, count(*) FILTER (tier = 'model-rescue') AS rescued FROM spots")
+def score_summary(spark, sf_dir):
+    s = kept(spots(spark, sf_dir).withColumns({"center_lon": F.col("lon"), "west_prob": F.lit(0.5), "east_prob": F.lit(None).cast("double"), "confidence": F.lit("low")}), "spots")
+    routed = ranking.route(s)
+    return ranking.score_summary(routed, ranking.within_budget(routed)).select("scored", "west", "rescued")
+
+
+@query()
+def scene_flow(spark, sf_dir):
+    """The whole online flow: cascade, rescue, official detections, suppression."""
+    from emberframe.plans import scene
+
+    r = refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)})
+    out = scene.detect(pix(spark, sf_dir), heat(spark, sf_dir), zone(spark), r, c=scene.SceneConfig(rescue=RESCUE))
+    return out.selected.select("fire_id", "scene_id", "row", "col", "score", "confidence", "official_confirmed", "tier")

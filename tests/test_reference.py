@@ -604,3 +604,31 @@ def test_queries_are_registered_with_their_sql():
 
     queries, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 55
+
+
+def test_serving_and_schemas(spark):
+    from emberframe.functions import serving
+    from emberframe.sources import schema
+
+    assert [value(spark, serving.symbol_size(F.lit(x).cast("double"))) for x in (0.1, 2.0, 3.0, 9.0, None)] == [7.0, 10.0, 12.0, 14.0, None]
+    assert [value(spark, serving.next_forecast_hour(F.lit(h))) for h in (0, 69, 72)] == [3, 72, 0]
+    assert value(spark, serving.frame_time(F.lit(DAY), F.lit(-5), F.lit(None).cast("long"), F.lit(10))) == 10
+    assert serving.merged_config({"a": 1, "ftp": {"x": 1}}, {"ftp": {"y": 2}}) == {"a": 1, "ftp": {"x": 1, "y": 2}, "variables": {}}
+    grid_ = spark.createDataFrame([(100.0, 30.0, 1.0), (100.5, 30.0, 2.0)], "lon double, lat double, t double")
+    points = spark.createDataFrame([(1, 100.3, 30.1), (2, 10.0, 10.0)], "key long, lon double, lat double")
+    assert {q["key"]: q["grid_t"] for q in serving.value_at(points, grid_, 0.5, 0.5).collect()} == {1: 2.0, 2: None}
+    assert all(schema.empty(spark, r).count() == 0 for r in schema.DDL)
+    got = schema.conformed(points.withColumn("extra", F.lit(1)), "thermal_point")
+    assert got.columns == ["lon", "lat", "radius_km", "key", "extra"] and got.first()["radius_km"] is None
+
+
+def test_latest_cycle_and_expiry(spark):
+    wanted = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, cycle int")
+    assert [q["cycle"] for q in catalog.latest_available(wanted, wanted.filter("cycle < 3"), "cycle").collect()] == [2]
+    assert catalog.latest_available(wanted, wanted.limit(0), "cycle").count() == 0
+    rows = spark.createDataFrame([(1, DAY, NIGHT, "x/1"), (2, None, DAY, "x/2"), (3, None, DAY, "y/3"), (4, NIGHT, DAY, "x/4")], "k int, acq_ts timestamp, download_time timestamp, path string")
+    assert {q["k"] for q in catalog.expired(rows, F.lit(NIGHT), prefix=("path", "x/")).collect()} == {1, 2}
+    assert {q["k"] for q in catalog.staleness(rows, F.lit(NIGHT), 20).filter("stale").collect()} == {1}
+    assert {q["k"] for q in catalog.recent(rows, F.lit(NIGHT), 20, lookback=1).collect()} == {4}
+    ids = catalog.scene_ids(rows.withColumn("scene_id", F.lit(0)), spark.createDataFrame([(7, DAY), (9, DAY)], "scene_id int, acq_ts timestamp"))
+    assert {q["k"]: q["scene_id"] for q in ids.collect()} == {1: 9, 2: None, 3: None, 4: None}
