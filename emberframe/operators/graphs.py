@@ -11,24 +11,23 @@ from emberframe.operators.tables import kept
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node (id); component is the least id reachable over edges (a, b).
 
-    Labels are halved down: every node takes the least label among its neighbours and its label's label. Rounds grow with
-    the logarithm of the longest path; each is written to the shared folder.
+    Every node takes the least label among its neighbours, and its label's label. Rounds grow with the logarithm of the
+    longest path; each is written to the shared folder. Nodes without an edge take no part in them.
     """
-    both = kept(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = nodes.select("id", F.col("id").alias("component")).distinct()
-    if not both.limit(1).count():
-        return labels
-    labels = kept(labels, "labels")
+    both = edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = kept(both, "edges")
+    labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "id"), "labels")
+    state = None
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        new = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("step"))
+        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "near").alias("step"))
         jump = labels.select(F.col("id").alias("at"), F.col("component").alias("jumped"))
-        new = new.join(jump, new["step"] == jump["at"], "left").select("id", F.least("step", F.coalesce("jumped", "step")).alias("component"))
-        new = kept(new, "labels")
-        changed = new.exceptAll(labels).limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        labels = kept(step.join(jump, step["step"] == jump["at"], "left").select("id", F.least("step", F.coalesce("jumped", "step")).alias("component")), "labels")
+        now = labels.agg(F.bit_xor(F.xxhash64("id", "component")), F.sum(F.xxhash64("component") % 1_000_003)).first()
+        if now == state or now[0] is None:
+            ids = nodes.select("id").distinct()
+            return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        state = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -56,21 +56,39 @@ def background(seeds: DataFrame, observed: DataFrame, t: Thresholds = Thresholds
     """Background statistics of each seed (scene_id, row, col) in its first window with enough clear pixels; seeds without
     one are left out.
 
-    Seeds meet the pixels of the tiles that their largest window touches (an equi join; rows and columns are a residual).
-    Each neighbour counts in every window that reaches it, so all windows take one pass, and the 80th percentile is found
-    in the same partitioning as the statistics that need it.
+    Most seeds are done with the smallest window, whose neighbours are a twelfth of the largest window's, so it comes
+    first, and only the seeds that it leaves open meet the larger ones, all in one pass.
     """
-    reach = max(t.windows) // 2
-    near = seeds.select(*PIXEL).withColumn("_tr", F.explode(F.sequence(F.floor((F.col("row") - reach) / tile), F.floor((F.col("row") + reach) / tile))))
+    from emberframe.operators.tables import kept
+
+    first, *rest = t.windows
+    places = kept(seeds.select(*PIXEL), "seeds")
+    done = kept(_windows(places, observed, t, (first,), tile), "background")
+    if not rest:
+        return done
+    left = kept(places.join(done, list(PIXEL), "left_anti"), "seeds")
+    return done.unionByName(_windows(left, observed, t, tuple(rest), tile)) if left.limit(1).count() else done
+
+
+def _windows(seeds: DataFrame, observed: DataFrame, t: Thresholds, windows: tuple[int, ...], tile: int) -> DataFrame:
+    """``background`` for the given windows. Seeds meet the pixels of the tiles that their largest window touches (an equi
+    join; rows and columns are a residual), each neighbour counts in every window that reaches it, and the 80th percentile
+    comes from ranks in the partitioning that the statistics need anyway."""
+    reach = max(windows) // 2
+    near = seeds.withColumn("_tr", F.explode(F.sequence(F.floor((F.col("row") - reach) / tile), F.floor((F.col("row") + reach) / tile))))
     near = near.withColumn("_tc", F.explode(F.sequence(F.floor((F.col("col") - reach) / tile), F.floor((F.col("col") + reach) / tile))))
     p = observed.filter("valid").select("scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "b07", "b13", "rvis", "t713", "cloud", "clear", "non_vegetation")
     p = p.withColumn("_tr", F.floor(F.col("_r") / tile)).withColumn("_tc", F.floor(F.col("_c") / tile))
     away = F.greatest(F.abs(F.col("_r") - F.col("row")), F.abs(F.col("_c") - F.col("col")))
     n = near.join(p, ["scene_id", "_tr", "_tc"]).withColumn("_away", away).filter((F.col("_away") > 0) & (F.col("_away") <= reach))
-    sizes = F.array(*[F.lit(w) for w in t.windows])
+    sizes = F.array(*[F.lit(w) for w in windows])
     n = n.withColumn("window", F.explode(F.filter(sizes, lambda w: F.floor(w / 2) >= F.col("_away"))))
     own = Window.partitionBy(*PIXEL, "window")
-    n = n.withColumn("_p80", F.percentile(F.when(F.col("clear"), F.col("b07")), 0.8).over(own))
+    n = n.withColumn("_rank", F.row_number().over(own.orderBy(F.desc("clear"), "b07"))).withColumn("_n", F.count_if("clear").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    at = 0.8 * (F.col("_n") - 1)  # linear between the ranks around it
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value = lambda k: F.max(F.when(F.col("clear") & (F.col("_rank") == k + 1), F.col("b07"))).over(whole)
+    n = n.withColumns({"_low": value(F.floor(at)), "_high": value(F.ceil(at))}).withColumn("_p80", F.col("_low") + (at - F.floor(at)) * (F.col("_high") - F.col("_low")))
     hot = F.col("clear") & (F.col("b07") >= F.col("_p80")) & (F.col("b07") >= F.col("b13") + F.coalesce("rvis", F.lit(0.0)) * t.suspicious_visible_factor + t.suspicious_offset_k)
     n = n.withColumn("_use", F.col("clear") & ~true(hot))
     use = lambda c: F.when(F.col("_use"), F.col(c))
