@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,48 @@ def link_members(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
         if last:
             return found
         leaders *= 8
+
+
+def spanning_edges(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """(id, least id) for each item of every component of a symmetric matrix of links, the least itself left out."""
+    out: list[tuple[int, int]] = []
+    order = np.argsort(ids)
+    linked, ids = linked[np.ix_(order, order)], ids[order]
+    seen = np.zeros(len(ids), dtype=bool)
+    for first in range(len(ids)):
+        if seen[first]:
+            continue
+        part = np.zeros(len(ids), dtype=bool)
+        part[first] = True
+        front = part.copy()
+        while front.any():
+            front = linked[front].any(0) & ~part
+            part |= front
+        seen |= part
+        part[first] = False
+        out += [(int(i), int(ids[first])) for i in ids[part]]
+    return out
+
+
+def link_groups(members: DataFrame, items: DataFrame, compare: Callable[[pa.Table], list[tuple[int, int]]], block: int = 512) -> DataFrame:
+    """(node, component) after all links among items that buckets join, directly or through others.
+
+    ``members`` has (key, rep), ``items`` has rep and what ``compare`` needs. Buckets that have members in common make a
+    group; a group's items are dealt into blocks of about ``block``, and ``compare`` gets every two blocks of a group (or
+    the one block of a small group) as a table and returns links, at best a spanning forest of them. No pair of items is
+    ever a row: an item is sent once per block of its group.
+    """
+    least = members.groupBy("key").agg(F.min("rep").alias("b"))
+    groups = materialize(components(members.join(least, "key").select(F.col("rep").alias("a"), "b").distinct()), "groups")
+    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = items.join(groups, items["rep"] == groups["node"]).drop("node").join(blocks, "component")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    sent = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "own", "other")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = compare(table)
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    links = sent.groupBy("component", "low", "high").applyInArrow(run, "a long, b long")
+    return materialize(components(materialize(links, "links")), "components")

@@ -6,8 +6,8 @@ evaluations a shingle; either value agrees for two sets with probability equal t
 documents that agree in a whole band share a bucket. With 32 bands of 5 values, a pair of similarity 0.8 shares no
 bucket with probability 3e-6.
 
-Equal sets are one class from the start, so copies never meet in pairs. Buckets with the same members count once, and no
-bucket is expanded into pairs (see linking).
+Equal sets are one class from the start, so copies never meet in pairs. Buckets with the same members count once. Sets that
+buckets join are compared in blocks by matrix products, which gives a spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.linking import link_members
+from emberframe.llm.linking import link_groups, spanning_edges
 from emberframe.llm.shared import materialize
 from emberframe.llm.words import mix, shingle_sets, slices, text_bytes, word_hashes
 
@@ -106,23 +106,28 @@ def _hashes(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.as_buffer(), y.as_buffer()
-                joined = np.concatenate([_hashes(x), _hashes(y)])
-                joined.sort()
-                shared = int((joined[1:] == joined[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(joined) - shared))
-            yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def linked_sets(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets (rep, shingles) of a table. Intersections of all pairs come from
+    products of incidence matrices, some thousand shingles at a time; shingles of one set alone are left out."""
+    ids = np.asarray(table["rep"])
+    sets = [_hashes(x.as_buffer()) for x in table["shingles"].combine_chunks()]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    column = np.cumsum(new) - 1
+    several = np.bincount(column)[column] > 1
+    column = (np.cumsum(new & several) - 1)[several]
+    row = row[several]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    edges = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if len(column) else 0, 4096))
+    for low, high in zip(edges, [*edges[1:], len(column)]):
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[row[low:high], column[low:high] % 4096] = 1
+        shared += part @ part.T
+    union = size[:, None] + size - shared
+    return spanning_edges((shared > 0) & (100 * shared >= percent * union), ids)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,20 +144,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = named.groupBy("print_a", "print_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
 
-    placed = classes.select("rep", "n", F.explode("bands").alias("key"))
+    placed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % 1_000_000_007).alias("s"))
     buckets = buckets.filter("k > 1").groupBy("k", "x", "s").agg(F.min("key").alias("key"))
-    members = materialize(placed.join(buckets.select("key"), "key").distinct(), "members")
-    sets = _sets(docs, members.select("rep").distinct(), size)
-    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    found = link_members(members, lambda pairs: _confirm(pairs, sets, percent), close)
+    members = materialize(placed.join(buckets.select("key"), "key").select("key", "rep").distinct(), "members")
+    sets = _sets(docs, members.select("rep").distinct(), size).dropDuplicates(["rep"])
+    found = link_groups(members, sets, lambda table: linked_sets(table, percent))
 
     rep = classes.select("print_a", "print_b", F.col("n").alias("n_shingles"), "rep")
     out = signed.select("doc_id", "n_shingles", "print_a", "print_b").join(rep, ["print_a", "print_b", "n_shingles"], "left")
-    top = F.coalesce("rep", "doc_id")
-    if found is not None:
-        out = out.join(found, out["rep"] == found["node"], "left")
-        top = F.coalesce("component", "rep", "doc_id")
+    out = out.join(found, out["rep"] == found["node"], "left")
+    top = F.coalesce("component", "rep", "doc_id")
     top = F.when(F.col("doc_id").isNotNull(), top)
     return out.select("doc_id", "n_shingles", top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept"))
 
