@@ -33,8 +33,6 @@ from emberframe.llm.words import _BYTE, mix, powers, slices, text_bytes
 LENGTH, GRAM, CROWD = 400, 24, 4096
 #: Bytes of text whose grams are hashed at once.
 CHUNK = 1 << 20
-#: Most rows that are broadcast (about 64 bytes each).
-BROADCAST_ROWS = 500_000
 _CASED = np.random.default_rng(0xCA5E).integers(0, 2**64, 256, dtype=np.uint64)
 SEGMENTS = "doc_id long, text_hash long, n_bytes long, anchor long, segment long, start long, windows int, at int, done int"
 
@@ -274,11 +272,11 @@ def _intervals(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame
 
 
 def _join_docs(docs: DataFrame, extra: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs`` with the columns of ``extra`` (doc_id, text_hash, ...), which is broadcast only where it is small."""
-    few = extra.agg(F.count("*") + F.coalesce(F.sum(F.size(extra.columns[-1])), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    """``docs`` with the columns of ``extra`` (doc_id, text_hash, ...), which has a row for every text with a repeat: it
+    grows with the input, so both sides are shuffled at every size."""
     extra = extra.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     on = docs["doc_id"].eqNullSafe(extra["_id"]) & docs["text_hash"].eqNullSafe(extra["_hash"])
-    return docs.join(F.broadcast(extra) if few else extra, on, how).drop("_id", "_hash")
+    return docs.join(extra, on, how).drop("_id", "_hash")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
