@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from emberframe.llm.words import slices, text_bytes
 
 WINDOW, GRAIN, DEPTH, END = 2048, 32, 4, 1
 #: Words kept with their ids by a worker.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 1_000_000
 _tokenizers: dict[str, tuple] = {}
 CUT = "row long, doc_id long, doc_tokens long, middle_start long, middle long, blocks array<long>, middle_crc long, middle_ids binary, tail_ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -90,7 +91,11 @@ def repeat_counts(histogram: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray
 
 
 class _Ids(dict):
-    """Ids (32 bits, little-endian) by word. White space is dropped and ends a token, so a text's ids are its words'."""
+    """Ids (32 bits, little-endian) by word. White space is dropped and ends a token, so a text's ids are its words'.
+
+    A word of letters is one unit to the tokenizer, whose last token is marked, so many such words are encoded as one text
+    and told apart again; a full stop or comma after it is a unit of its own. Other words are encoded one by one.
+    """
 
     def __init__(self, path: str):
         import os
@@ -99,16 +104,48 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.keys()))
+        new = words.difference(self.keys())
         if len(self) + len(new) > KEPT_WORDS:
             self.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+            new = words
+        plain, other, stopped = [], [".", ","], []
+        for w in new:
+            s = w.decode()
+            if _letters(s):
+                plain.append(s)
+            elif s[-1] in ".," and _letters(s[:-1]):
+                stopped.append(s)
+                if w[:-1] not in self and w[:-1] not in new:
+                    plain.append(s[:-1])
+            else:
+                other.append(s)
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # another tokenizer: its units are not what they should be
+                other += some
+                continue
+            data, at = ids.tobytes(), 0
+            for s, e in zip(some, (4 * ends).tolist()):
+                self[s.encode()] = data[at:e]
+                at = e
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
+            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self[s.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+        for s in stopped:
+            self[s.encode()] = self[s[:-1].encode()] + self[s[-1].encode()]
+
+
+def _letters(s: str) -> bool:
+    """Letters only, in the form that the tokenizer brings texts to."""
+    return s.isalpha() and is_normalized("NFC", s) and s == s.lower()
 
 
 def _ids(path: str) -> _Ids:
@@ -119,7 +156,8 @@ def _ids(path: str) -> _Ids:
 
 def encode_words(texts: list[bytes], ids: _Ids, end: int) -> Iterator[bytes]:
     """Each text's ids and the end id, 32 bits each."""
-    words = [t.split() for t in texts]
+    # the tokenizer lower-cases; doing it first keeps fewer words, but would make special tokens of other spellings
+    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
     ids.learn(set().union(*words))
     mark = np.array([end], dtype="<u4").tobytes()
     for w in words:
@@ -134,7 +172,7 @@ def _cut(docs: DataFrame, path: str, end: int, window: int, grain: int) -> DataF
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
             data = raw.tobytes()
-            for i, j in slices(offsets, 1 << 20):
+            for i, j in slices(offsets, 1 << 21):
                 out = []
                 for found in encode_words([data[offsets[k] : offsets[k + 1]] for k in range(i, j)], ids, end):
                     n = len(found) // 4
