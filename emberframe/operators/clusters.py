@@ -52,8 +52,10 @@ def fire_clusters(fires: DataFrame, least: int = 2, key: str = "fire_id") -> Dat
 
 def reference_edges(references: DataFrame, km: float = 2.5, minutes: float = 30.0) -> DataFrame:
     """(a, b): detections within both a distance and a time of each other."""
-    r = references.select(F.col("id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"))
-    near = distance_join(references.select(F.col("id").alias("a"), "lon", "lat", "acq_ts"), r, km, extra=F.col("a") < F.col("b"))
+    slot = F.floor(F.unix_micros("acq_ts") / max(minutes * 6e7, 1.0)).cast("long")  # near in time: the same slot or the next
+    r = references.select(F.col("id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"), slot.alias("_slot"))
+    left = references.select(F.col("id").alias("a"), "lon", "lat", "acq_ts", F.explode(F.sequence(slot - 1, slot + 1)).alias("_slot"))
+    near = distance_join(left, r, km, on=("_slot",), extra=F.col("a") < F.col("b"))
     return near.filter(F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) <= minutes * 6e7).select("a", "b")
 
 
