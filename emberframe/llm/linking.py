@@ -18,11 +18,12 @@ from emberframe.llm.components import components
 from emberframe.llm.shared import discard, materialize
 
 
-def link_members(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close: Column | None = None, shared: int = 1) -> DataFrame | None:
+def link_members(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close: Column | None = None, shared: int = 1, full: int = 4) -> DataFrame | None:
     """(node, component) after all links among the members (key, rep, n) of common buckets; None without a link.
 
     ``confirm`` gets distinct pairs (a, b), a > b, and returns those that are links. ``close`` is a condition on the two
-    members' ``n`` and ``m`` (both are n) that every link meets. Pairs must share ``shared`` buckets at least.
+    members' ``n`` and ``m`` (both are n) that every link meets. Pairs must share ``shared`` buckets at least. What is
+    left is compared in full once it is at most ``full`` pairs a row.
     """
     links = found = None
     leaders = 1
@@ -35,16 +36,17 @@ def link_members(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
         if not todo["keys"]:
             return found
         state = state.join(mixed, "key")
-        last = leaders > 1 and (todo["pairs"] <= 4 * todo["rows"] + 100_000 or leaders >= todo["most"])
+        last = leaders > 1 and (todo["pairs"] <= full * todo["rows"] + 100_000 or leaders >= todo["most"])
         if leaders == 1:  # the least member, which the buckets of a group mostly have in common
             pairs = state.filter((F.col("c") != F.col("lead.c")) & (F.col("rep") != F.col("lead.rep"))).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), "n", F.col("lead.m").alias("m"))
         else:
             chosen = state if last else state.filter(F.pmod(F.xxhash64("rep", F.lit(leaders)), F.col("all")) < leaders)
             chosen = chosen.select("key", F.col("rep").alias("other"), F.col("c").alias("d"), F.col("n").alias("m"))
-            pairs = state.join(chosen, "key").filter("c <> d").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"), "n", "m", *(["key"] if shared > 1 else []))
+            # in full, a pair would come twice from every bucket
+            pairs = state.join(chosen, "key").filter("c <> d and rep > other" if last and close is None else "c <> d").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"), "n", "m", *(["key"] if shared > 1 else []))
         pairs = pairs if close is None else pairs.filter(close)
         if shared > 1:  # a pair comes twice from a bucket in which both lead
-            tally = F.count("*") if leaders == 1 else F.count_distinct("key")
+            tally = F.count("*") if leaders == 1 or last and close is None else F.count_distinct("key")
             pairs = pairs.groupBy("a", "b").agg(tally.alias("k")).filter(F.col("k") >= shared)
         confirmed = materialize(confirm(pairs.select("a", "b").distinct()), "links")
         links = confirmed if links is None else links.unionByName(confirmed)

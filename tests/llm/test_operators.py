@@ -262,6 +262,26 @@ def test_media_copies(spark):
     assert media.near_images(empty(spark, "image_id long, image binary")).count() == 0
 
 
+def test_media_small_crops_with_the_defaults(spark):
+    """A crop of a third has few of the strongest corners; all of them find it. Different images stay apart."""
+    r = np.random.default_rng(11)
+    originals = [image(r) for _ in range(12)]
+    rows = [(k, media.encode(x)) for k, x in enumerate(originals)] + [(20 + k, media.encode(x[:48, :70])) for k, x in enumerate(originals)]
+    got = {x["image_id"]: x["component_id"] for x in media.near_images(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert all(got[k] == k for k in range(12)) and all(got[20 + k] in (k, 20 + k) for k in range(12))
+    assert sum(got[20 + k] == k for k in range(12)) >= 11
+
+
+def test_consensus_in_blocks_and_with_an_early_end(monkeypatch):
+    r = np.random.default_rng(5)
+    a, bits = r.uniform(0, 100, (90, 2)), r.integers(0, 256, (90, 16), dtype=np.uint8)
+    b, other = np.vstack([a[:40] * 2 + 3, r.uniform(0, 100, (30, 2))]), np.vstack([bits[:40], r.integers(0, 256, (30, 16), dtype=np.uint8)])
+    assert media.consensus(a, bits, b, other) == 40
+    assert media.consensus(a, bits, b, other, 6) >= 6 and media.consensus(a, bits, b, other, 41) == 40
+    monkeypatch.setattr(media, "BLOCK", 100)
+    assert media.consensus(a, bits, b, other) == 40 and media.consensus(a, bits, b, other, 41) == 40
+
+
 def test_consensus_wants_one_turn_scale_and_shift():
     r = np.random.default_rng(2)
     a, bits = r.uniform(0, 100, (20, 2)), r.integers(0, 256, (20, 16), dtype=np.uint8)
