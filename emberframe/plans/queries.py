@@ -136,11 +136,21 @@ def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter(F.pmod(s, F.lit(5)) == 0).select((104.5 + F.pmod(s, F.lit(50)) * 0.02).alias("lon"), (30 + F.pmod(s, F.lit(47)) * 0.02).alias("lat"), (F.pmod(s, F.lit(3)) * 0.8).alias("radius_km"))
 
 
+#: Every supplier as a static source. Radii are below the distance of two pixels, or all pixels would be static.
+HEAT_ALL = "SELECT 104.5 + (s_suppkey % 50) * 0.02 AS lon, 30 + (s_suppkey % 47) * 0.02 AS lat, (1 + s_suppkey % 3) * 0.4 AS radius_km FROM supplier"
+CASCADE_ALL = CASCADE.replace("SELECT 104.5 + (s_suppkey % 50) * 0.02 AS lon, 30 + (s_suppkey % 47) * 0.02 AS lat, (s_suppkey % 3) * 0.8 AS radius_km FROM supplier WHERE s_suppkey % 5 = 0", HEAT_ALL)
+
+
+def heat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((104.5 + F.pmod(s, F.lit(50)) * 0.02).alias("lon"), (30 + F.pmod(s, F.lit(47)) * 0.02).alias("lat"), ((1 + F.pmod(s, F.lit(3))) * 0.4).alias("radius_km"))
+
+
 RESCUE = R.Rescue(enabled=True)
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.judge(pix(spark, sf_dir), heat(spark, sf_dir), None, R.Thresholds(), RESCUE)
+def judged(spark: SparkSession, sf_dir: str, sources: Callable[[SparkSession, str], DataFrame] = heat) -> DataFrame:
+    return pixels.judge(pix(spark, sf_dir), sources(spark, sf_dir), None, R.Thresholds(), RESCUE)
 
 
 #: Fires for the operators after detection: a simple stand-in that needs no context.
@@ -268,6 +278,12 @@ def detect_cascade(spark, sf_dir):
     return judged(spark, sf_dir).select("scene_id", "row", "col", "reject", "tier", r4("factor").alias("factor"), F.round(F.col("score") + 1e-9, 2).alias("score"))
 
 
+@query(f'WITH {CASCADE_ALL} SELECT scene_id, "row", col, reject, tier, round(factor + 1e-9, 4) AS factor, round(score + 1e-9, 2) AS score FROM scored')
+def detect_cascade_all(spark, sf_dir):
+    """The cascade with every supplier as a static source."""
+    return judged(spark, sf_dir, heat_all).select("scene_id", "row", "col", "reject", "tier", r4("factor").alias("factor"), F.round(F.col("score") + 1e-9, 2).alias("score"))
+
+
 @query(f"""WITH {CASCADE} SELECT scene_id, count(*) AS seeds, count(*) FILTER (day) AS day_seeds, count(*) FILTER (night_hot) AS night_seeds, count(*) FILTER (reject = 'background') AS rejected_background,
   count(*) FILTER (reject = 'dynamic') AS rejected_dynamic, count(*) FILTER (reject = 'cloud') AS rejected_cloud, count(*) FILTER (reject = 'edge') AS rejected_edge, count(*) FILTER (reject = 'static') AS rejected_static,
   count(*) FILTER (reject IS NULL) AS accepted, count(*) FILTER (reject IS NULL AND tier = 'model-rescue') AS rescued FROM scored GROUP BY scene_id""")
@@ -314,6 +330,12 @@ def static_source_anti(spark, sf_dir):
     return spatial.without_sources(spots(spark, sf_dir), heat(spark, sf_dir), "fire_id").select("fire_id")
 
 
+@query(f"WITH {SPOTS}, heat AS ({HEAT_ALL}) SELECT fire_id FROM spots s WHERE NOT EXISTS (SELECT 1 FROM heat h WHERE {hav('s.lon', 's.lat', 'h.lon', 'h.lat')} <= h.radius_km)")
+def static_source_anti_all(spark, sf_dir):
+    """Spots that none of all suppliers' places covers."""
+    return spatial.without_sources(spots(spark, sf_dir), heat_all(spark, sf_dir), "fire_id").select("fire_id")
+
+
 @query(f"WITH {SPOTS} SELECT fire_id FROM spots WHERE {INSIDE}")
 def point_in_polygon_semi(spark, sf_dir):
     return spatial.within_polygons(spots(spark, sf_dir), zone(spark), "fire_id", cell=0.25).select("fire_id").distinct()
@@ -358,6 +380,12 @@ def nearest_distance(spark, sf_dir):
     return spatial.nearest_distance(spots(spark, sf_dir), few, "fire_id", start_km=5).select("fire_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km"))
 
 
+@query(f"WITH {SPOTS}, {REFS} SELECT fire_id, round(min({hav('f.lon', 'f.lat', 'r.lon', 'r.lat')}) + 1e-9, 3) AS km FROM spots f, refs r GROUP BY fire_id")
+def nearest_distance_all(spark, sf_dir):
+    """The distance to the nearest of all references, which lie close: the first ring is small."""
+    return spatial.nearest_distance(spots(spark, sf_dir), refs(spark, sf_dir), "fire_id", start_km=1).select("fire_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km"))
+
+
 @query(f"""WITH {SPOTS}, s AS (SELECT *, radians(1.0) * 6371.0 AS k FROM spots) SELECT fire_id, round(lon - 0.2 / (k * cos(radians(lat))) + 1e-9, 5) AS west, round(lat + 0.15 / k + 1e-9, 5) AS north,
  round(0.4 * 0.3 + 1e-9, 3) AS area FROM s""")
 def metre_boxes(spark, sf_dir):
@@ -735,5 +763,5 @@ def scene_flow(spark, sf_dir):
     from emberframe.plans import scene
 
     r = refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)})
-    out = scene.detect(pix(spark, sf_dir), heat(spark, sf_dir), zone(spark), r, c=scene.SceneConfig(rescue=RESCUE))
+    out = scene.detect(pix(spark, sf_dir), heat_all(spark, sf_dir), zone(spark), r, c=scene.SceneConfig(rescue=RESCUE))
     return out.selected.select("fire_id", "scene_id", "row", "col", "score", "confidence", "official_confirmed", "tier")
