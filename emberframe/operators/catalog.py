@@ -17,11 +17,13 @@ def complete_scenes(files: DataFrame, bands: list[str], segments: list[int], lea
     return wanted.join(good, "scene_id", "left_semi").groupBy("scene_id").agg(listed)
 
 
-def latest_scenes(files: DataFrame, bands: list[str], segments: list[int], n: int = 1, oldest_first: bool = False) -> DataFrame:
-    """The ``n`` latest complete scenes, or for a replay the oldest; partial downloads do not count."""
+def latest_scenes(files: DataFrame, bands: list[str], segments: list[int], n: int | None = 1, oldest_first: bool = False) -> DataFrame:
+    """The ``n`` latest scenes (None: all) that are complete by their files' names, or for a replay the oldest; partial
+    downloads do not count. ``hsd.latest_scenes`` reads the files too."""
     whole = files.filter(~F.coalesce(F.col("path").contains(".partial-"), F.lit(False)))
     order = F.asc("scene_id") if oldest_first else F.desc("scene_id")
-    return complete_scenes(whole, bands, segments).orderBy(order).limit(n)
+    out = complete_scenes(whole, bands, segments).orderBy(order)
+    return out if n is None else out.limit(n)
 
 
 def completeness(files: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ("slot", "band")) -> DataFrame:

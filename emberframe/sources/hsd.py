@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions.names import segment_name
@@ -61,9 +61,44 @@ def segment_files(spark: SparkSession, folder: str) -> DataFrame:
     return named.filter("n is not null").select("path", "length", "modified", "n.*")
 
 
-def readable(content: Column) -> Column:
-    """Whether the bytes begin like a bz2 file."""
-    return F.substring(content, 1, 3) == F.lit(b"BZh")
+def readable_segments(files: DataFrame) -> DataFrame:
+    """(path, readable) of files (path, content): whether a segment decompresses to its end and has the counts that its
+    header says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for content in batch.column(1):
+                try:
+                    read_segment(content.as_buffer().to_pybytes())
+                    out.append(True)
+                except (OSError, EOFError, ValueError, struct.error):
+                    out.append(False)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.bool_())], names=["path", "readable"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, readable boolean")
+
+
+def latest_scenes(spark: SparkSession, folder: str, bands: list[str], segments: list[int], n: int = 1, oldest_first: bool = False) -> DataFrame:
+    """``catalog.latest_scenes`` of the segment files below a folder, without scenes that have an unreadable segment.
+
+    Scenes are read ``n`` at a time, in the order wanted, until ``n`` are readable; only names come to the driver.
+    """
+    from emberframe.operators import catalog
+
+    files = segment_files(spark, folder)
+    order = F.asc("scene_id") if oldest_first else F.desc("scene_id")
+    whole = catalog.latest_scenes(files, bands, segments, None).select("scene_id", F.col("files.path").alias("paths"))
+    named = [(r["scene_id"], r["paths"]) for r in whole.orderBy(order).collect()]
+    good: list[str] = []
+    for k in range(0, len(named), n):
+        some = named[k : k + n]
+        read = spark.read.format("binaryFile").load([path for _, paths in some for path in paths])
+        bad = {r["path"] for r in readable_segments(read).filter("not readable").collect()}
+        good += [scene for scene, paths in some if not bad.intersection(paths)]
+        if len(good) >= n:
+            break
+    return catalog.latest_scenes(files.filter(F.col("scene_id").isin(good[:n])), bands, segments, n, oldest_first)
 
 
 def segment_lines(spark: SparkSession, folder: str, bands: list[str] | None = None, crop: dict[str, int] | None = None) -> DataFrame:
