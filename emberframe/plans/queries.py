@@ -442,6 +442,17 @@ def lag_features(spark, sf_dir):
     return f.select("fire_id", r4("temp_bt07_m1").alias("bt07_m1"), r4("temp_bt07_p1").alias("bt07_p1"), r4("temp_bt07_delta_m1").alias("delta_m1"), big("temp_persist_3").alias("persist"), r4("temp_bt07_past_max").alias("past_max"))
 
 
+@query(f"""WITH {CAND}, l AS (SELECT c.fire_id, c.max_bt07_k, {", ".join(f"coalesce(max(s.max_bt07_k) FILTER (s.slot_ord = c.slot_ord + ({k})), 0) AS b{k + 6}, count(*) FILTER (s.slot_ord = c.slot_ord + ({k}) AND s.n_cand > 0) AS h{k + 6}" for k in temporal.LAGS)}
+FROM cand c LEFT JOIN state s ON s.glon = c.glon AND s.glat = c.glat AND s.slot_ord - c.slot_ord BETWEEN -6 AND 3 GROUP BY c.fire_id, c.max_bt07_k)
+SELECT fire_id, {", ".join(f"round(b{k + 6} + 1e-9, 4) AS bt07_{'m' if k < 0 else 'p'}{abs(k)}" for k in temporal.LAGS)}, round(max_bt07_k - b5 + 1e-9, 4) AS delta_m1, h3 + h4 + h5 AS persist, {" + ".join(f"h{k + 6}" for k in temporal.LAGS)} AS persist_all, round(greatest(b0, b3, b4, b5) + 1e-9, 4) AS past_max FROM l""")
+def lag_features_all(spark, sf_dir):
+    """All seven lags of the operator."""
+    c = cand(spark, sf_dir)
+    f = temporal.lag_features(c, temporal.grid_state(c), "fire_id")
+    lags = [f"{'m' if k < 0 else 'p'}{abs(k)}" for k in temporal.LAGS]
+    return f.select("fire_id", *[r4(f"temp_bt07_{k}").alias(f"bt07_{k}") for k in lags], r4("temp_bt07_delta_m1").alias("delta_m1"), big("temp_persist_3").alias("persist"), big("temp_persist_all").alias("persist_all"), r4("temp_bt07_past_max").alias("past_max"))
+
+
 @query(f"""WITH {CAND} SELECT c.fire_id, round(coalesce(max(s.max_bt07_k), 0) + 1e-9, 4) AS nb_bt07, coalesce(max(s.n_cand), 0) AS nb_n FROM cand c LEFT JOIN state s ON s.slot_ord = c.slot_ord - 1 AND abs(s.glon - c.glon) <= 1 AND abs(s.glat - c.glat) <= 1 GROUP BY c.fire_id""")
 def neighbor_prev_slot(spark, sf_dir):
     c = cand(spark, sf_dir)
@@ -517,7 +528,7 @@ def slot_ordinals(spark, sf_dir):
 @query()
 def eval_match_metrics(spark, sf_dir):
     c = spots(spark, sf_dir).select(F.col("fire_id").alias("id"), "lon", "lat", "acq_ts")
-    return evaluation.evaluate(c, refs(spark, sf_dir), windows=(1, 3))
+    return evaluation.evaluate(c, refs(spark, sf_dir))
 
 
 @query(f"WITH {SPOTS} SELECT count(*) AS candidate_count, CAST(0 AS BIGINT) AS reference_count, 'no_reference_detections' AS status, CAST(NULL AS DOUBLE) AS precision FROM spots")

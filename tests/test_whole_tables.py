@@ -38,3 +38,18 @@ def test_every_supplier_is_a_source(spark, tmp_path):
     spots = {s["fire_id"]: (s["lon"], s["lat"]) for s in queries.spots(spark, d).collect()}
     want = {k for k, p in spots.items() if all(km(p, q) > r for q, r in sources)}
     assert {q["fire_id"] for q in queries.QUERIES["static_source_anti_all"](spark, d).collect()} == want and 0 < len(want) < len(spots)
+
+
+def test_all_windows_and_lags(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    d = tables(tmp_path, events=8 * 2500)
+    lags = queries.QUERIES["lag_features_all"](spark, d)
+    assert {"bt07_m6", "bt07_m3", "bt07_m2", "bt07_m1", "bt07_p1", "bt07_p2", "bt07_p3"} <= set(lags.columns)
+    r = lags.agg(F.max("persist"), F.max("persist_all"), F.max("bt07_m6")).first()
+    assert r[0] == 3 and r[1] > 3 and r[2] > 0
+
+
+def test_metrics_of_all_windows(spark, tmp_path):
+    d = tables(tmp_path, events=200, orders=40)
+    assert [q["time_window_hours"] for q in queries.QUERIES["eval_match_metrics"](spark, d).collect()] == [1.0, 3.0, 6.0]
