@@ -77,8 +77,9 @@ def official_ranges(references: DataFrame, fused: DataFrame) -> DataFrame:
     return out.withColumns({"width_km": size("scan_km"), "height_km": size("track_km"), "fusion_status": F.when(F.col("matched"), "official-confirmed").otherwise("official-only")})
 
 
-def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: float = 4.0, most_km: float = 50.0) -> DataFrame:
-    """(key): the points within the radius of a static source (lon, lat, radius_km; a radius not above 0 is the default)."""
+def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: float = 4.0, most_km: float = 0.0) -> DataFrame:
+    """(key): the points within the radius of a static source (lon, lat, radius_km; a radius not above 0 is the default), or
+    within ``most_km`` if that is above 0 and less."""
     radius = F.when(F.col("radius_km") > 0, F.col("radius_km")).otherwise(default_km)
     s = sources.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), radius.alias("r_km"))
     reach = s.agg(F.max("r_km")).first()[0]

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+from emberframe.operators import spatial
 from emberframe.plans import queries
 
 
@@ -53,3 +54,9 @@ def test_all_windows_and_lags(spark, tmp_path):
 def test_metrics_of_all_windows(spark, tmp_path):
     d = tables(tmp_path, events=200, orders=40)
     assert [q["time_window_hours"] for q in queries.QUERIES["eval_match_metrics"](spark, d).collect()] == [1.0, 3.0, 6.0]
+
+
+def test_wide_sources_are_searched_to_their_radius(spark):
+    points = spark.createDataFrame([(1, 110.8, 30.0), (2, 112.0, 30.0)], "key long, lon double, lat double")
+    sources = spark.createDataFrame([(110.0, 30.0, 100.0)], "lon double, lat double, radius_km double")
+    assert [q["key"] for q in spatial.near_sources(points, sources, "key").collect()] == [1]
