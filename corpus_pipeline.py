@@ -6,7 +6,7 @@ stage's documents; all stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberframe.llm import minhash, mixing, packing, quality, repeats
@@ -31,15 +31,22 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: the sources' words near their targets."""
-    mixed = mixing.mix_sources(docs).filter("taken > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    # one count per distinct (id, source, size): rows that repeat all three are one document here
-    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")).withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
-    mixed = materialize(mixed, "mixed")
+    """Each document as often as the mix takes it: the sources' words near their targets. Documents labelled good weigh 2,
+    those labelled bad 1/2, others 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("rated"))
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
+    rated = docs.select("doc_id", "source", size.alias("words")).join(labels, "doc_id", "left")
+    mixed = mixing.mix_sources(rated, size=F.col("words"), weight=F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0))
+    mixed = mixed.filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("long").alias("times"))
+    # rows that share all three are taken as often as each other, or some of them once more
+    mixed = mixed.groupBy("_id", "_source", "_size").agg(F.count("*").alias("_n"), F.sum("times").alias("_sum")).filter("_sum > 0")
+    mixed = materialize(mixed.select("_id", "_source", "_size", F.expr("_sum div _n").alias("_times"), F.expr("_sum % _n").alias("_more")), "mixed")
     on = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & size.eqNullSafe(F.col("_size"))
     taken = docs.join(F.broadcast(mixed) if mixed.count() <= minhash.BROADCAST_ROWS else mixed, on)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
+    some = taken.filter("_more > 0").withColumn("_times", F.col("_times") + (turn <= F.col("_more")).cast("long"))
+    taken = taken.filter("_more = 0").unionByName(some).filter("_times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
