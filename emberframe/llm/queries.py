@@ -40,14 +40,14 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-#: 0 for toxic, 1 for poor, 2 for good documents.
-GRADE = F.expr("CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END")
+#: SQL text over ``labels``: 0 for toxic, 1 for poor, 2 for good documents; null where a rating that decides is missing.
+GRADE = "CASE WHEN toxic = 1 THEN 0 WHEN toxic = 0 AND quality = 0 THEN 1 WHEN toxic = 0 AND quality = 1 THEN 2 END"
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model fitted on the labelled ones."""
     docs = _read(spark, sf_dir, "documents")
-    model = quality.train_quality(docs, _read(spark, sf_dir, "labels"), GRADE)
+    model = quality.train_quality(docs, _read(spark, sf_dir, "labels"), F.expr(GRADE))
     return quality.score_quality(docs, model)
 
 
