@@ -16,7 +16,7 @@ from emberframe.llm.shared import materialize
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the best grade is at least 1/2, by a model fitted on the labelled ones."""
-    model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), GRADE)
+    model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(GRADE))
     return quality.select_quality(docs, model)
 
 
