@@ -14,43 +14,58 @@ from emberframe.llm.queries import GRADE
 from emberframe.llm.shared import materialize
 
 
+#: Words of a passage that counts as repeated: over 50.
+PASSAGE = 51
+
+
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is at least 1/2, by a model fitted on the labelled ones."""
+    """Documents whose probability of the best grade is at least 1/2, by a model fitted on the labelled ones. Rows are judged
+    one by one by their texts, so repeated rows share a result; a null or empty text is judged by the model's prior. Without
+    labels the prior is 1/2 and all stay. An empty table stays empty, and further columns may have any names."""
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(GRADE))
     return quality.select_quality(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more on shingles of five words."""
+    """One document of each group linked by a similarity of 0.8 or more on shingles of five words, that of the least id.
+    Null, empty and blank texts, and rows with a null id, have no links and stay. Rows that repeat an id stay together. An
+    empty table stays empty, and further columns may have any names."""
     return minhash.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that occur more than once."""
-    return repeats.remove_repeats(docs)
+    """Texts without the passages of over 50 words (``PASSAGE`` or more) that occur more than once. Null texts stay null,
+    emptied texts stay as empty rows, repeated rows are repeats of each other."""
+    return repeats.remove_repeats(docs, words=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: the sources' words near their targets. Documents labelled good weigh 2,
-    those labelled bad 1/2, others 1."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("rated"))
+    those labelled bad 1/2, others 1. A document without words (null, empty, emptied) adds nothing to a mix measured in
+    words and is left out; of repeated rows as many are taken as the mix took. Null ids and sources count as any other, an
+    empty table stays empty, and further columns may have any names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    rated = docs.select("doc_id", "source", size.alias("words")).join(labels, "doc_id", "left")
-    mixed = mixing.mix_sources(rated, size=F.col("words"), weight=F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0))
-    mixed = mixed.filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("long").alias("times"))
+    rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, docs.columns)], *[docs[c].alias(f"own_{c}") for c in ("doc_id", "source", "text")], size.alias("own_size"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("of"), "quality").groupBy("of").agg(F.min("quality").alias("rated"))
+    rated = rows.select(F.col("own_doc_id").alias("doc_id"), F.col("own_source").alias("source"), F.col("own_size").alias("words")).join(labels, F.col("doc_id") == F.col("of"), "left")
+    weight = F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0)
+    mixed = mixing.mix_sources(rated, size=F.col("words"), weight=weight).filter("size > 0")
     # rows that share all three are taken as often as each other, or some of them once more
-    mixed = mixed.groupBy("_id", "_source", "_size").agg(F.count("*").alias("_n"), F.sum("times").alias("_sum")).filter("_sum > 0")
-    mixed = materialize(mixed.select("_id", "_source", "_size", F.expr("_sum div _n").alias("_times"), F.expr("_sum % _n").alias("_more")), "mixed")
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & size.eqNullSafe(F.col("_size"))
-    taken = docs.join(F.broadcast(mixed) if mixed.count() <= minhash.BROADCAST_ROWS else mixed, on)
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
-    some = taken.filter("_more > 0").withColumn("_times", F.col("_times") + (turn <= F.col("_more")).cast("long"))
-    taken = taken.filter("_more = 0").unionByName(some).filter("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum(F.expr("taken div size")).alias("sum")).filter("sum > 0")
+    mixed = mixed.select("doc_id", "source", "size", F.expr("sum div n").alias("times"), F.expr("sum % n").alias("more"))
+    on = F.col("own_doc_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    taken = rows.join(materialize(mixed, "mixed"), on)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("own_text")))
+    some = taken.filter("more > 0").withColumn("times", F.col("times") + (turn <= F.col("more")).cast("long"))
+    taken = taken.filter("more = 0").unionByName(some).filter("times > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
+    return taken.withColumn("copy", copy).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens. A null or empty text is its end id alone, repeated rows are documents of their own,
+    an empty table gives no pieces; further columns are not read."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -132,8 +132,8 @@ def to_column_line(lon, lat, p: Projection) -> tuple[Column, Column, Column]:
     rn = F.sqrt(r1 * r1 + r2 * r2 + r3 * r3)
     column = p.coff + F.degrees(F.atan2(-r2, r1)) * p.cfac / 65536
     line = p.loff + F.degrees(F.asin(-r3 / rn)) * p.lfac / 65536
-    # seen where the place faces the satellite
-    visible = true(r1 * (re * F.cos(phi) * F.cos(dl)) - r2 * (re * F.cos(phi) * F.sin(dl)) + r3 * r3 / flat * -1 > 0)
+    # seen on the near side of the plane through the limb
+    visible = true(p.height_km * (p.height_km - r1) > r2 * r2 + r3 * r3 / flat)
     return column, line, visible
 
 
@@ -150,6 +150,11 @@ def to_lon_lat(column, line, p: Projection) -> tuple[Column, Column]:
     return p.sub_lon + F.degrees(F.atan2(s2, s1)), F.degrees(F.atan(k * s3 / F.sqrt(s1 * s1 + s2 * s2)))
 
 
+def affine_lon_lat(row, col, lon0: float, lat0: float, lon_step: float, lat_step: float) -> tuple[Column, Column]:
+    """(lon, lat) of a pixel of a regular grid that begins at (lon0, lat0), to six digits."""
+    return F.round(lon0 + _col(col) * lon_step, 6), F.round(lat0 + _col(row) * lat_step, 6)
+
+
 def crop_bounds(p: Projection, columns: int, lines: int, box: tuple[float, float, float, float], margin: int) -> dict[str, int]:
     """Pixel bounds of a box (min lon, min lat, max lon, max lat): its corners and centre, a margin, clamped to the disk."""
     import math

@@ -6,20 +6,21 @@ the cheapest repair is found by dynamic programming over the automaton whose sta
 state after a source turn = min over states before of cost(before, after, role of the source turn).
 
 A source turn is thus a small min-plus matrix that only depends on its role, and matrices multiply. Conversations are
-range-partitioned by (conversation, turn), so one that fills the table lies in many tasks: each task multiplies the
-matrices of its fragment of a conversation, the fragments' matrices (a few numbers each) are composed per conversation,
-and each fragment then traces its choices back between the states at its ends.
+range-partitioned by (conversation, turn), so one that fills the table lies in many tasks, and cut into fragments of
+``PIECE`` rows at most: the matrices of a fragment are multiplied pairwise, those of all fragments of a batch at once;
+the fragments' products (a few numbers each) are composed per conversation; and each fragment then traces its choices
+back between the states at its ends, again all fragments of a batch together, one place at a time. Python sees the roles
+as numbers; what a choice renders is looked up by Catalyst.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.shared import materialize, shuffle_partitions
@@ -32,7 +33,10 @@ RELABEL, RELABEL_UNKNOWN, MERGE_SAME, MERGE_OTHER, INSERT = 3, 1, 1, 4, 2
 #: A state in which a conversation may end; else an empty turn is added.
 ENDS = (START, USER, ASSISTANT)
 NONE = 10**9
-RESULT = "conv_id long, seq long, turn long, role string, action string, new_role string, inserted array<string>, cost long, rendered string"
+#: Most rows of a fragment.
+PIECE = 4096
+#: What opens a header; in a text it is written apart, so that no text can pass for a turn.
+OPEN, APART = "<|", "< |"
 
 
 def _inserts() -> np.ndarray:
@@ -72,6 +76,7 @@ def choices(role: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 TABLES = [choices(r) for r in range(4)]
+COSTS = np.stack([cost for cost, _ in TABLES])
 #: Cost of ending in a state, and the role of the turn that is added then.
 END_COST = np.array([0 if s in ENDS else INSERT for s in range(4)], dtype=np.int64)
 
@@ -82,120 +87,174 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def codes(roles: list[str | None]) -> list[int]:
     known = {r: k + 1 for k, r in enumerate(ROLES)}
-    return [known.get((r or "").strip().lower(), 0) for r in roles]
-
-
-def trace(roles: list[int], first: int, last: int) -> list[tuple[int, int]]:
-    """(state before, state after) of each turn on the cheapest way from ``first`` to ``last``; of equal ways, the one
-    whose states are least from the end backwards."""
-    best = np.full((len(roles) + 1, 4), NONE, dtype=np.int64)
-    best[0, first] = 0
-    for i, r in enumerate(roles):
-        best[i + 1] = np.minimum((best[i][:, None] + TABLES[r][0]).min(0), NONE)
-    steps, at = [], last
-    for i in range(len(roles) - 1, -1, -1):
-        before = int((best[i] + TABLES[roles[i]][0][:, at]).argmin())
-        steps.append((before, at))
-        at = before
-    return steps[::-1]
-
-
-def compose(matrices: list[np.ndarray]) -> list[int]:
-    """The states at the ends of consecutive fragments on the cheapest way through all: one more than fragments."""
-    best = [np.array([0, NONE, NONE, NONE], dtype=np.int64)]
-    for m in matrices:
-        best.append(np.minimum((best[-1][:, None] + m).min(0), NONE))
-    states = [int((best[-1] + END_COST).argmin())]
-    for k in range(len(matrices) - 1, -1, -1):
-        states.append(int((best[k] + matrices[k][:, states[-1]]).argmin()))
-    return states[::-1]
+    return [known.get((r or "").strip(" \t\n\v\f\r").lower(), 0) for r in roles]
+
+
+def role_code(role: Column) -> Column:
+    """The same as ``codes``: 1 to 3, or 0 for any other role."""
+    name = F.lower(F.btrim(role, F.lit(" \t\n\v\f\r")))
+    return F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), name), F.lit(0)).cast("int")
+
+
+def multiplied(roles: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The products of the matrices of each run of ``roles``; runs begin at ``heads``. Neighbours are multiplied pairwise
+    until every run is one matrix."""
+    m = COSTS[roles]
+    run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(roles))))
+    while len(m) > len(heads):
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        place = np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))
+        left = np.flatnonzero(place % 2 == 0)
+        paired = (left + 1 < len(run)) & (np.append(run, -1)[left + 1] == run[left])
+        out = m[left]
+        out[paired] = product(out[paired], m[left[paired] + 1])
+        m, run = out, run[left]
+    return m
+
+
+def steps(matrices: np.ndarray, heads: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(state before, state after) of each matrix on the cheapest way through its run, from the run's state ``first`` to
+    ``last`` (None: the one that is cheapest to end in). Of equal ways, the one whose states are least from the end
+    backwards. All runs go forward together, one place at a time, and then back."""
+    size = np.diff(np.append(heads, len(matrices)))
+    order = np.argsort(-size, kind="stable")  # the longest first: those that have a k-th place are the first ones
+    heads, size, first = heads[order], size[order], first[order]
+    best = np.full((len(matrices), 4), NONE, dtype=np.int64)  # costs before each place
+    now = np.full((len(heads), 4), NONE, dtype=np.int64)
+    now[np.arange(len(heads)), first] = 0
+    have = [int(np.searchsorted(-size, -k, side="left")) for k in range(int(size.max(initial=0)))]  # runs longer than k
+    for k, n in enumerate(have):
+        at = heads[:n] + k
+        best[at] = now[:n]
+        now[:n] = np.minimum((now[:n, :, None] + matrices[at]).min(1), NONE)
+    state = (now + END_COST).argmin(1) if last is None else last[order].copy()
+    before, after = np.empty(len(matrices), dtype=np.int64), np.empty(len(matrices), dtype=np.int64)
+    for k, n in zip(range(len(have) - 1, -1, -1), reversed(have)):
+        at = heads[:n] + k
+        after[at] = state[:n]
+        state[:n] = (best[at] + np.take_along_axis(matrices[at], state[:n, None, None], 2)[..., 0]).argmin(1)
+        before[at] = state[:n]
+    return before, after
 
 
 def header(role: int) -> str:
-    return f"<|{ROLES[role - 1]}|>\n"
-
-
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[dict]]]:
-    rows = (r for b in batches for r in b.to_pylist())
-    for key, group in groupby(rows, key=lambda r: (r["conv_id"], r["part"])):
-        yield key, list(group)
+    return f"{OPEN}{ROLES[role - 1]}|>\n"
+
+
+def _whole_fragments(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, heads): batches that end where a fragment ends, and where their fragments begin."""
+    carried: list[pa.RecordBatch] = []
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        new = np.zeros(len(rows), dtype=bool)
+        new[0] = True
+        for k in keys:
+            x = rows.column(k)
+            null, value = x.is_null().to_numpy(zero_copy_only=False), x.fill_null(0).to_numpy()
+            new[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+        return rows, np.flatnonzero(new)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows, heads = cut([*carried, batch])
+        last = int(heads[-1])
+        carried = [rows.slice(last)]
+        if last:
+            yield rows.slice(0, last), heads[:-1]
+    if carried:
+        yield cut(carried)
+
+
+def _literals(values: list) -> Column:
+    return F.array(*[F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, (list, tuple)) else F.lit(v) for v in values])
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """The result's columns from the states before and after each turn: looked up, and put together as text."""
+    pairs = [(b, a) for b in range(4) for a in range(4)]
+    way = lambda b, a: WAYS[b, a] or ()
+    pair, code = F.col("before") * 4 + F.col("after"), F.col("code") * 16 + F.col("before") * 4 + F.col("after")
+    action = F.get(_literals([str(TABLES[r][1][b, a]) for r in range(4) for b, a in pairs]), code)
+    cost = F.get(_literals([int(TABLES[r][0][b, a]) for r in range(4) for b, a in pairs]), code).cast("long")
+    merged = F.col("action") == "merge"
+    none = F.array().cast("array<string>")
+    inserted = F.when(merged, none).otherwise(F.get(_literals([[ROLES[w - 1] for w in way(b, a)] for b, a in pairs]), pair))
+    heads = F.when(merged, "").otherwise(F.get(_literals(["".join(header(w) + "\n" for w in way(b, a)) + (header(a) if a else "") for b, a in pairs]), pair))
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit(APART))
+    short = F.col("final") & F.get(_literals([bool(c) for c in END_COST]), F.col("after"))
+    piece = F.concat(F.when(F.col("seq") == 0, "").otherwise("\n"), heads, body, F.when(short, "\n" + header(USER)).otherwise(""))
+    out = rows.withColumn("action", action).withColumn("cost", cost + F.when(short, INSERT).otherwise(0))
+    new_role = F.get(_literals(["", *ROLES]), F.col("after"))
+    more = F.when(short, F.array(F.lit(ROLES[USER - 1]))).otherwise(none)
+    return out.select("conv_id", "seq", "turn", "role", "action", new_role.alias("new_role"), F.concat(inserted, more).alias("inserted"), "cost", piece.alias("rendered"))
 
 
 def repair_roles(turns: DataFrame, partitions: int | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per row of ``turns``: its place in the conversation (seq from 0), what became of it and its rendering.
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a defined order; rows with
-    a null conv_id are one conversation. Roles are compared without case and outer blanks; any other role, or null, can
-    only be relabelled or merged. A null text is empty. ``rendered`` of a conversation's rows, joined in order of seq, is
-    the whole repaired conversation: each turn is "<|role|>", a line end and its text, turns and merged texts are parted
-    by a line end. ``inserted`` are the empty turns before this one (after it, where the conversation may not end yet);
-    ``cost`` is the row's share of the conversation's cost. An empty table gives an empty result.
+    a null conv_id are one conversation. Roles are compared without case and outer white space; any other role, or null,
+    can only be relabelled or merged. A null text is empty; "<|" within a text is written "< |", so that no text, however
+    long, can open a turn. ``rendered`` of a conversation's rows, joined in order of seq, is the whole repaired
+    conversation: each turn is "<|role|>", a line end and its text, turns and merged texts are parted by a line end.
+    ``inserted`` are the empty turns before this one (after it, where the conversation may not end yet); ``cost`` is the
+    row's share of the conversation's cost. An empty table gives an empty result. Other columns are not returned.
     """
     n = partitions or shuffle_partitions(turns.sparkSession)
     rows = turns.select(turns[conv_id].cast("long").alias("conv_id"), turns[turn].cast("long").alias("turn"), turns[role].cast("string").alias("role"), turns[text].cast("string").alias("text"))
     ordered = rows.repartitionByRange(n, "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = ordered.withColumn("code", role_code(F.col("role")))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array(np.full(len(b), part)), pa.array(np.arange(at, at + len(b)))], names=["conv_id", "turn", "role", "text", "part", "pos"])
+            pos = np.arange(at, at + len(b))
+            yield pa.record_batch([*b.columns, pa.array(np.full(len(b), part)), pa.array(pos // PIECE), pa.array(pos)], names=["conv_id", "turn", "role", "text", "code", "part", "piece", "pos"])
             at += len(b)
 
-    ordered = materialize(ordered.mapInArrow(number, "conv_id long, turn long, role string, text string, part long, pos long"), "turns")
+    ordered = materialize(ordered.mapInArrow(number, "conv_id long, turn long, role string, text string, code int, part long, piece long, pos long"), "turns")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for (conv, part), group in _fragments(batches):
-            m = TABLES[(roles := codes([r["role"] for r in group]))[0]][0]
-            for r in roles[1:]:
-                m = product(m, TABLES[r][0])
-            out.append((conv, part, len(group), m.ravel().tolist()))
-            if len(out) >= 5000:
-                yield _table(out)
-                out = []
-        yield _table(out)
-
-    def _table(out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out)) or [[]] * 4
-        return pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64()))], names=["conv_id", "part", "n", "matrix"])
-
-    by_part = ordered.select("conv_id", "part", "pos", "role").repartition("part").sortWithinPartitions("part", "pos")
-    fragments = by_part.mapInArrow(multiply, "conv_id long, part long, n long, matrix array<long>")
-    # a conversation has a fragment per partition at most
-    grouped = fragments.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "n", "matrix"))).alias("f"))
+        for some, heads in _whole_fragments(batches, [0, 1, 2]):
+            m = multiplied(np.asarray(some.column(3)), heads)
+            at = pa.array(heads)
+            matrix = pa.ListArray.from_arrays(pa.array(np.arange(len(heads) + 1, dtype=np.int32) * 16), pa.array(m.reshape(-1)))
+            yield pa.record_batch([*(some.column(k).take(at) for k in range(3)), pa.array(np.diff(np.append(heads, len(some)))), matrix], names=["conv_id", "part", "piece", "n", "matrix"])
+
+    by_part = ordered.select("conv_id", "part", "piece", "code", "pos").repartition("part").sortWithinPartitions("part", "pos")
+    fragments = by_part.select("conv_id", "part", "piece", "code").mapInArrow(multiply, "conv_id long, part long, piece long, n long, matrix array<long>")
+    # a conversation has a fragment per partition and PIECE rows at most
+    grouped = fragments.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "piece", "n", "matrix"))).alias("f"))
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for conv, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                states, at = compose([np.array(x["matrix"]).reshape(4, 4) for x in f]), 0
-                for k, x in enumerate(f):
-                    out.append((conv, x["part"], states[k], states[k + 1], at, k == len(f) - 1))
-                    at += x["n"]
-            c = list(zip(*out)) or [[]] * 6
-            yield pa.record_batch([*(pa.array(v, pa.int64()) for v in c[:5]), pa.array(c[5], pa.bool_())], names=["_conv", "_part", "first", "last", "base", "final"])
-
-    ends = grouped.mapInArrow(between, "_conv long, _part long, first long, last long, base long, final boolean")
-    joined = ordered.join(ends, ordered["conv_id"].eqNullSafe(ends["_conv"]) & (ordered["part"] == ends["_part"])).drop("_conv", "_part")
-
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "seq", "turn", "role", "action", "new_role", "inserted", "cost", "rendered"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.string()]
-        out: list[tuple] = []
-        for _, group in _fragments(batches):
-            roles = codes([r["role"] for r in group])
-            for k, (r, code, (before, after)) in enumerate(zip(group, roles, trace(roles, group[0]["first"], group[0]["last"]))):
-                cost, action = TABLES[code][0][before, after], TABLES[code][1][before, after]
-                way = () if action == "merge" else WAYS[before, after]
-                seq, body = r["base"] + k, r["text"] or ""
-                lead = "" if seq == 0 else "\n"
-                piece = lead + (body if action == "merge" else "".join(header(w) + "\n" for w in way) + header(after) + body)
-                if r["final"] and k == len(group) - 1 and END_COST[after]:
-                    way, cost, piece = (*way, USER), cost + END_COST[after], piece + "\n" + header(USER)
-                out.append((r["conv_id"], seq, r["turn"], r["role"], action, ROLES[after - 1], [ROLES[w - 1] for w in way], int(cost), piece))
-            if len(out) >= 5000:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-                out = []
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 9, kinds)], names=names)
-
-    return joined.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(render, RESULT)
+            lists = b.column(1)
+            f, count = lists.flatten(), np.diff(np.asarray(lists.offsets))
+            heads = np.cumsum(count) - count
+            part, piece, size, matrix = f.flatten()
+            m = np.asarray(matrix.flatten()).reshape(-1, 4, 4)
+            first, last = steps(m, heads, np.full(len(heads), START))
+            n = np.asarray(size)
+            base = np.cumsum(n) - n
+            base -= np.repeat(base[heads], count)
+            final = np.zeros(len(n), dtype=bool)
+            final[heads + count - 1] = True
+            conv = b.column(0).take(pa.array(np.repeat(np.arange(len(heads)), count)))
+            yield pa.record_batch([conv, part, piece, pa.array(first), pa.array(last), pa.array(base), pa.array(final)], names=["_conv", "_part", "_piece", "first", "last", "base", "end"])
+
+    ends = grouped.mapInArrow(between, "_conv long, _part long, _piece long, first long, last long, base long, end boolean")
+    joined = ordered.join(ends, ordered["conv_id"].eqNullSafe(ends["_conv"]) & (ordered["part"] == ends["_part"]) & (ordered["piece"] == ends["_piece"])).drop("_conv", "_part", "_piece")
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, heads in _whole_fragments(batches, [0, 5, 6]):
+            code, first, last, base, end = (some.column(k).to_numpy(zero_copy_only=False) for k in (4, 8, 9, 10, 11))
+            before, after = steps(COSTS[code], heads, first[heads], last[heads])
+            place = np.arange(len(code)) - np.repeat(heads, np.diff(np.append(heads, len(code))))
+            final = np.zeros(len(code), dtype=bool)
+            final[np.append(heads[1:], len(code)) - 1] = True
+            yield pa.record_batch([*some.columns[:5], pa.array(base + place), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(final & end)], names=["conv_id", "turn", "role", "text", "code", "seq", "before", "after", "final"])
+
+    traced = joined.repartition("part").sortWithinPartitions("part", "pos")
+    return rendered(traced.mapInArrow(trace, "conv_id long, turn long, role string, text string, code int, seq long, before int, after int, final boolean"))

@@ -1,36 +1,7 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components of the links that operators find; the rounds are those of the library's graphs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from emberframe.operators.graphs import components
 
-from emberframe.llm.shared import discard, materialize
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b: long); component is the least node that it reaches.
-
-    Self-loops, repeated edges and edges with a null are ignored. Each round joins on nodes, pre-aggregated by minimum,
-    and is written to the shared folder; nothing is collected but a checksum. The number of rounds grows with the
-    logarithm of the longest path.
-    """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(e, "edges")
-    state = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = materialize(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
-        discard(e)
-        e = new
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]

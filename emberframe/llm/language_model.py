@@ -29,13 +29,15 @@ from emberframe.llm.words import mix, slices, text_bytes, word_hashes
 BATCH = 8 << 20
 #: Bytes of text per range of hashes: a range's entries are handled at once.
 RANGE = 8 << 20
-LEVELS, RATIOS = 24, 96
+#: Magnitudes of a context's count that have weights of their own; steps of half an octave of the estimates' ratios, and
+#: the binary logarithm of the first. The least ratio is (V + 1) / N, the greatest V + 1: both lie within for any corpus.
+LEVELS, RATIOS, LOWEST = 40, 192, -44
 #: The part of the training texts on which the weights are learned.
 TRAIN, TUNE, HELD = 0, 1, 2
 _END, _START = np.uint64(0xE17D) << np.uint64(40), np.uint64(0x57A7) << np.uint64(40)
 TEXTS = "batch long, tuning boolean, ids array<long>, roles binary, sizes binary, text binary"
-ASKED = "batch long, part int, keys binary, est binary, tune binary"
-TOLD = "batch long, part int, est binary, tune binary, totals array<long>"
+ASKED = "batch long, part long, keys binary, est binary, tune binary"
+TOLD = "batch long, part long, est binary, tune binary, totals array<long>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -104,12 +106,13 @@ def _ask(texts: DataFrame, bits: int) -> DataFrame:
                 head = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)]))
                 count = np.add.reduceat(key & np.uint64(1), head).astype(np.uint32)
                 key = key[head] >> np.uint64(1)
-                cut = np.searchsorted(key, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(63 - bits))
-                rows = [(p, k, c) for p, (k, c) in enumerate(zip(np.split(key, cut), np.split(count, cut))) if len(k)]
+                part = (key >> np.uint64(63 - bits)).astype(np.int64)
+                cut = np.flatnonzero(part[1:] != part[:-1]) + 1  # a row per range that the batch has a key of
+                rows = list(zip(part[np.append(0, cut)].tolist(), np.split(key, cut), np.split(count, cut)))
                 none = [b""] * len(rows)
                 counts = [_pack(c) for _, _, c in rows]
                 yield pa.record_batch([
-                    pa.array([number] * len(rows)), pa.array([p for p, _, _ in rows], pa.int32()), pa.array([_pack(np.diff(k, prepend=np.uint64(0))) for _, k, _ in rows], pa.binary()),
+                    pa.array([number] * len(rows)), pa.array([p for p, _, _ in rows], pa.int64()), pa.array([_pack(np.diff(k, prepend=np.uint64(0))) for _, k, _ in rows], pa.binary()),
                     pa.array(none if tuning else counts, pa.binary()), pa.array(counts if tuning else none, pa.binary()),
                 ], names=["batch", "part", "keys", "est", "tune"])
 
@@ -135,11 +138,11 @@ def _answer(table: pa.Table) -> pa.Table:
         own = np.concatenate([_unpack(c, np.uint32) if c else np.zeros(n, dtype=np.uint32) for c, n in zip(table[name].to_pylist(), sizes)])
         sums.append(np.add.reduceat(own[order].astype(np.int64), head))
     totals = [int(x) for v in (sums[0] + sums[1], sums[0]) for x in (v[words].sum(), (v[words] > 0).sum())]
-    told = [np.split(np.minimum(s, 2**32 - 1).astype(np.uint32)[back], np.cumsum(sizes)[:-1]) for s in sums]
+    told = [np.split(s.astype(np.uint64)[back], np.cumsum(sizes)[:-1]) for s in sums]
     part = table["part"][0].as_py()
     rows = [(b, part, _pack(e), _pack(t), None) for b, e, t in zip(table["batch"].to_pylist(), *told)] + [(-1, part, b"", b"", totals)]
     columns = list(zip(*rows))
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["batch", "part", "est", "tune", "totals"])
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["batch", "part", "est", "tune", "totals"])
 
 
 def _estimates(batch: dict, told: pa.Table, which: tuple[str, ...]) -> tuple[np.ndarray, ...]:
@@ -151,7 +154,7 @@ def _estimates(batch: dict, told: pa.Table, which: tuple[str, ...]) -> tuple[np.
     index = np.empty(len(key), dtype=np.int64)
     index[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) - 1
     told = told.sort_by("part")
-    count = sum(np.concatenate([_unpack(c, np.uint32) for c in told[name].to_pylist()]).astype(np.int64) for name in which)
+    count = sum(np.concatenate([_unpack(c, np.uint64) for c in told[name].to_pylist()]).astype(np.int64) for name in which)
     t = len(token)
     word, pair = count[index[:t]], count[index[t : 2 * t]]
     before = np.empty_like(word)
@@ -166,14 +169,14 @@ def _level(before: np.ndarray) -> np.ndarray:
 
 
 def _ratio(x: np.ndarray) -> np.ndarray:
-    """0 for 0, else from 1 by steps of half an octave, with a ratio of 2**-8 at 1."""
+    """0 for 0, else from 1 by steps of half an octave, with a ratio of 2**LOWEST at 1."""
     with np.errstate(divide="ignore"):
-        step = np.rint(2 * (np.log2(x) + 8)) + 1
+        step = np.rint(2 * (np.log2(x) - LOWEST)) + 1
     return np.where(x > 0, np.clip(step, 1, RATIOS - 1), 0).astype(np.int64)
 
 
 def _value(step: np.ndarray) -> np.ndarray:
-    return np.where(step > 0, 2.0 ** ((step - 1) / 2 - 8), 0.0)
+    return np.where(step > 0, 2.0 ** ((step - 1) / 2 + LOWEST), 0.0)
 
 
 def learn_weights(levels: np.ndarray, pairs: np.ndarray, words: np.ndarray, counts: np.ndarray, steps: int = 100) -> np.ndarray:
@@ -206,7 +209,7 @@ def score_texts(docs: DataFrame, held_out: Column, tuning: Column, batch_bytes:
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.when(held_out, HELD).when(tuning, TUNE).otherwise(TRAIN).alias("role"))
     texts = _texts(docs, F.col("role"), batch_bytes)
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0  # compressed to about half
-    bits = max(1, min(16, (int(2 * size) // range_bytes).bit_length()))
+    bits = max(1, (int(2 * size) // range_bytes).bit_length())  # a range's entries stay as many, however large the corpus
     told = materialize(_ask(texts, bits).groupBy("part").applyInArrow(_answer, TOLD), "told")
     total = told.filter("batch = -1").select(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(4))).first()
     tokens, words, est_tokens, est_words = (int(x or 0) for x in total)

@@ -80,24 +80,50 @@ def spanning_edges(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]
 
 
 def link_groups(members: DataFrame, items: DataFrame, compare: Callable[[pa.Table], list[tuple[int, int]]], block: int = 512) -> DataFrame:
-    """(node, component) after all links among items that buckets join, directly or through others.
+    """(node, component) after all links among items that share a bucket, directly or through others.
 
-    ``members`` has (key, rep), ``items`` has rep and what ``compare`` needs. Buckets that have members in common make a
-    group; a group's items are dealt into blocks of about ``block``, and ``compare`` gets every two blocks of a group (or
-    the one block of a small group) as a table and returns links, at best a spanning forest of them. No pair of items is
-    ever a row: an item is sent once per block of its group.
+    ``members`` has (key, rep), ``items`` has rep and what ``compare`` needs. ``compare`` gets some items as a table and
+    returns links among them, at best a spanning forest. No pair of items is ever a row. Two steps:
+
+    1. Every item meets the least item of each of its buckets. A leader's items come in chunks of about ``block``, each
+       with the leader, so a cluster of near copies costs an item sent once or twice, whatever its size.
+    2. Buckets whose items are in several components are open. Components that open buckets join, directly or through
+       others, make a group. Its largest component is settled within itself, so only the other items are compared with
+       all of the group, in blocks: what is sent grows with a group's size times the part of it that step 1 left apart.
     """
-    least = members.groupBy("key").agg(F.min("rep").alias("b"))
-    groups = materialize(components(members.join(least, "key").select(F.col("rep").alias("a"), "b").distinct()), "groups")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = items.join(groups, items["rep"] == groups["node"]).drop("node").join(blocks, "component")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    sent = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "own", "other")
-
-    def run(table: pa.Table) -> pa.Table:
-        found = compare(table)
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    links = sent.groupBy("component", "low", "high").applyInArrow(run, "a long, b long")
-    return materialize(components(materialize(links, "links")), "components")
+
+    def linked(sent: DataFrame, keys: list[str]) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            found = compare(table.drop_columns(keys))
+            return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        return materialize(sent.groupBy(*keys).applyInArrow(run, "a long, b long"), "links")
+
+    lead = members.groupBy("key").agg(F.min("rep").alias("lead"))
+    led = members.join(lead, "key").filter("rep <> lead").select("rep", "lead").distinct()
+    led = materialize(led, "led")
+    chunks = led.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    of = led.join(chunks, "lead").select("lead", "rep", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = chunks.select("lead", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    links = linked(of.unionByName(heads).join(items, "rep"), ["lead", "chunk"])
+    found = materialize(components(links), "components")
+
+    state = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    open_ = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key", "low")
+    open_ = materialize(state.join(open_, "key").filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct(), "open")
+    if not open_.limit(1).count():
+        return found
+    groups = components(open_)
+    grouped = materialize(state.select("rep", "c").distinct().join(groups, F.col("c") == F.col("node")).select("rep", "c", F.col("component").alias("group")), "groups")
+    sizes = grouped.groupBy("group", "c").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("group").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n"))
+    cut = sizes.select("group", F.col("main.c").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("rest"))
+    # a group of one block is compared at once; of others, each block of the rest with each block of all
+    placed = grouped.join(cut, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = placed.select("group", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("low"))
+    whole = every.select("group", "low", F.col("own").alias("high"), "rep")
+    rest = placed.filter("c <> main").withColumn("low", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rest")).cast("int"))
+    rest = rest.select("group", "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), "rep")
+    sent = whole.unionByName(rest).distinct().join(items, "rep")
+    more = linked(sent, ["group", "low", "high"])
+    return materialize(components(links.unionByName(more)), "components")

@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.linking import link_groups, spanning_edges
-from emberframe.llm.shared import materialize
+from emberframe.llm.shared import materialize, small_batches
 from emberframe.llm.words import mix, shingle_sets, slices, text_bytes, word_hashes
 
-#: Most rows that are broadcast; of two longs each, this is 16 MB.
-BROADCAST_ROWS = 1_000_000
 SIGNATURES = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"
 
 
@@ -64,53 +62,55 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, 1 << 21):
+            for i, j in slices(offsets, 1 << 20):
                 values, n = shingle_sets(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size)
-                full = np.flatnonzero(n)
-                at = np.cumsum(n)[full] - n[full]
-                a, b = np.zeros(j - i, dtype=np.uint64), np.zeros(j - i, dtype=np.uint64)
-                keys = np.empty((0, bands), dtype=np.uint64)
-                if len(full):
-                    a[full] = np.add.reduceat(mix(values ^ np.uint64(0x1234567)), at)
-                    b[full] = np.bitwise_xor.reduceat(mix(values ^ np.uint64(0x7654321)), at)
-                    keys = band_keys(minmax_signatures(values, n[full], bands * rows // 2), rows)
+                a, b = _prints(values, n)
+                keys = band_keys(minmax_signatures(values, n[n > 0], bands * rows // 2), rows) if n.any() else np.empty((0, bands), dtype=np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
                 ], names=["doc_id", "n_shingles", "print_a", "print_b", "bands"])
 
     return materialize(docs.mapInArrow(run, SIGNATURES), "signatures")
 
 
+def _prints(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each row's set: equal sets have equal ones."""
+    a, b = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        at = np.cumsum(n)[full] - n[full]
+        a[full] = np.add.reduceat(mix(values ^ np.uint64(0x1234567)), at)
+        b[full] = np.bitwise_xor.reduceat(mix(values ^ np.uint64(0x7654321)), at)
+    return a.view(np.int64), b.view(np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of the documents in ``wanted``; a set is its ordered hashes in 6 bytes each."""
-    n = wanted.count()
-    texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text")
+    """(rep, shingles) of the classes (rep, doc, print_a, print_b) in ``wanted``, from the text of their document that has
+    their set; a set is its ordered hashes in 8 bytes each."""
+    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("rep", "text", "print_a", "print_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, 1 << 21):
-                values, k = shingle_sets(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size)
-                data = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                ends = 6 * np.cumsum(k)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([data[e - 6 * m : e] for e, m in zip(ends.tolist(), k.tolist())], pa.binary())], names=["rep", "shingles"])
-
-    return materialize(texts.mapInArrow(run, "rep long, shingles binary"), "sets")
-
+            a, b = (np.asarray(batch.column(k)) for k in (2, 3))
+            for i, j in slices(offsets, 1 << 20):
+                values, n = shingle_sets(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size)
+                own_a, own_b = _prints(values, n)
+                data, ends = values.tobytes(), 8 * np.cumsum(n)
+                keep = np.flatnonzero((own_a == a[i:j]) & (own_b == b[i:j]))  # another text may have the same id
+                sets = [data[ends[k] - 8 * n[k] : ends[k]] for k in keep.tolist()]
+                yield pa.record_batch([batch.column(0).take(pa.array(keep + i)), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-def _hashes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return materialize(texts.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
 
 
 def linked_sets(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets (rep, shingles) of a table. Intersections of all pairs come from
     products of incidence matrices, some thousand shingles at a time; shingles of one set alone are left out."""
     ids = np.asarray(table["rep"])
-    sets = [_hashes(x.as_buffer()) for x in table["shingles"].combine_chunks()]
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["shingles"].combine_chunks()]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(value, kind="stable")
@@ -135,34 +135,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets of ``size`` words
     (fewer words: the whole sequence is one shingle). A null, empty or blank text has no shingle and no link. Rows that
-    repeat an id are one node. A row with a null id is linked with nothing: its component_id is null and it is kept. An
-    empty table gives an empty result. Other columns are not returned. ``rows`` must divide ``bands * rows / 2``.
+    repeat an id are judged by their own texts each, and the id stands for any of them. A row with a null id is linked
+    with nothing: its component_id is null and it is kept. An empty table gives an empty result. Other columns are not
+    returned. ``rows`` must divide ``bands * rows / 2``.
     """
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    docs = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     signed = _signatures(docs, size, bands, rows)
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("print_a", "print_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    classes = named.groupBy("print_a", "print_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, in files
 
     placed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % 1_000_000_007).alias("s"))
     buckets = buckets.filter("k > 1").groupBy("k", "x", "s").agg(F.min("key").alias("key"))
     members = materialize(placed.join(buckets.select("key"), "key").select("key", "rep").distinct(), "members")
-    sets = _sets(docs, members.select("rep").distinct(), size).dropDuplicates(["rep"])
-    found = link_groups(members, sets, lambda table: linked_sets(table, percent))
+    wanted = members.select("rep").distinct().join(classes.select("rep", "doc", "print_a", "print_b"), "rep")
+    found = link_groups(members, _sets(docs, wanted, size), lambda table: linked_sets(table, percent))
 
-    rep = classes.select("print_a", "print_b", F.col("n").alias("n_shingles"), "rep")
+    rep = classes.select("print_a", "print_b", F.col("n").alias("n_shingles"), "rep", "doc").join(found, F.col("rep") == F.col("node"), "left")
+    rep = rep.withColumn("group", F.coalesce("component", "rep")).select("print_a", "print_b", "n_shingles", "group", "doc")
+    least = rep.groupBy("group").agg(F.min("doc").alias("least"))
+    rep = rep.join(least, "group").drop("group", "doc")
     out = signed.select("doc_id", "n_shingles", "print_a", "print_b").join(rep, ["print_a", "print_b", "n_shingles"], "left")
-    out = out.join(found, out["rep"] == found["node"], "left")
-    top = F.coalesce("component", "rep", "doc_id")
-    top = F.when(F.col("doc_id").isNotNull(), top)
+    top = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those that a document with a lesser id stands for. Repeated
-    rows of one id stay together."""
-    marked = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    marked = materialize(marked, "dropped")
-    n = marked.count()
-    return docs.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns as they are, without those that a document with a lesser id stands for. Of rows
+    that repeat an id, all go where one of their texts has such a document."""
+    marked = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("doc_id")
+    kept = docs.toDF(*names).join(materialize(marked, "dropped"), F.col(names[at]).cast("long") == F.col("_gone"), "left_anti")
+    return kept.toDF(*docs.columns)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from emberframe.llm.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Parts into which every source's rows are dealt where they meet their target, so that a large source is no hot key.
+SALTS = 64
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -75,7 +77,9 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weight: Column | No
     ends = ends.groupBy("source").agg(F.min(F.struct("bin", (F.col("sum") - F.col("bin_size")).alias("before"))).alias("end"))
     targets = targets.join(ends, F.col("of").eqNullSafe(F.col("source")), "left").drop("source")
 
-    joined = drawn.join(targets, F.col("source").eqNullSafe(F.col("of")))
+    part = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")
+    targets = targets.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = drawn.withColumn("part", part).join(targets, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     last = F.coalesce(F.col("bin") == F.col("end.bin"), F.lit(False))
     below = F.coalesce(F.col("bin") < F.col("end.bin"), F.lit(False))
     running = Window.partitionBy("source").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

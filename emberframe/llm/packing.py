@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.shared import materialize
+from emberframe.llm.shared import materialize, small_batches
 from emberframe.llm.words import slices, text_bytes
 
 WINDOW, GRAIN, DEPTH, END = 2048, 32, 4, 1
 #: Words kept with their ids by a worker.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 _tokenizers: dict[str, tuple] = {}
 CUT = "row long, doc_id long, doc_tokens long, middle_start long, middle long, blocks array<long>, middle_crc long, middle_ids binary, tail_ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -172,7 +172,7 @@ def _cut(docs: DataFrame, path: str, end: int, window: int, grain: int) -> DataF
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
             data = raw.tobytes()
-            for i, j in slices(offsets, 1 << 21):
+            for i, j in slices(offsets, 1 << 20):
                 out = []
                 for found in encode_words([data[offsets[k] : offsets[k + 1]] for k in range(i, j)], ids, end):
                     n = len(found) // 4
@@ -188,7 +188,7 @@ def _cut(docs: DataFrame, path: str, end: int, window: int, grain: int) -> DataF
                     pa.array([_split(x) for x in columns[5]], pa.binary()), pa.array(columns[6], pa.binary()),
                 ], names=CUT.replace(" long", "").replace(" array<long>", "").replace(" binary", "").split(", "))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long"), docs["text"].cast("string"))
     return materialize(rows.mapInArrow(run, CUT), "pack")
 
 
@@ -257,8 +257,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain:
     over = materialize(ranked.join(F.broadcast(limits), "middle").filter("rank >= limit").select("row"), "over")
 
     # the stream: residual middles and all tails
-    n_over = over.count()
-    rest = cut.select("row", "middle_start", "middle_ids").join(F.broadcast(over) if n_over <= 1_000_000 else over, "row")
+    rest = cut.select("row", "middle_start", "middle_ids").join(over, "row")
     stream = rest.select("row", F.col("middle_start").alias("start"), "middle_ids", F.lit(None).cast("binary").alias("tail_ids"))
     tails = cut.select("row", (F.col("middle_start") + F.col("middle")).alias("start"), F.lit(None).cast("binary").alias("middle_ids"), "tail_ids").filter(F.length("tail_ids") > 0)
     whole_rest = rest.select("row").limit(1)

@@ -15,13 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.llm.shared import materialize, small_batches
 from emberframe.llm.words import slices, span_hashes, text_bytes, word_spans
 
 #: Bound of the labelled rows that a fit may use.
 SAMPLE = 6000
+#: Bound of the features, over all rows, that a fit may use: 4 bytes each on the driver.
+FEATURES = 1 << 25
 #: Bits of a feature's number.
 BITS = 20
 #: Shares of words equal to the word before, each a feature.
@@ -129,24 +132,29 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 1e-3, le
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", **options) -> OrdinalModel:
-    """Fit on the texts of at most ``sample`` rows of ``labels``, those whose ids hash lowest; ``grade`` (an expression
-    over ``labels``) is an integer from 0. Rows with a null id or grade do not take part; of several rows with one id the
-    lowest grade counts. The driver gets the feature numbers of the sample, never a text."""
+def train_quality(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, features: int = FEATURES, doc_id: str = "doc_id", text: str = "text", **options) -> OrdinalModel:
+    """Fit on the texts of at most ``sample`` rows of ``labels``, those whose ids hash lowest, and of these on the first
+    that have ``features`` features together; ``grade`` (an expression over ``labels``) is an integer from 0. Rows with a
+    null id or grade do not take part; of several rows with one id the lowest grade counts, and of several texts with one
+    id one. The driver gets the feature numbers of the sample, never a text."""
     rated = labels.select(F.col(doc_id).cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rated), "doc_id")
+    texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rated), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, 1 << 22):
+            for i, j in slices(offsets, 1 << 20):
                 number, row = _distinct(*text_features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 ends = np.searchsorted(row, np.arange(1, j - i + 1))
                 values = [p.astype(np.int32).tobytes() for p in np.split(number, ends[:-1])]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(values, pa.binary())], names=["doc_id", "grade", "features"])
 
-    found = texts.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, features binary").toPandas().sort_values(["doc_id", "features"])
+    told = texts.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, features binary")
+    told = materialize(told.groupBy("doc_id").agg(F.min(F.struct("features", "grade")).alias("r")).select("doc_id", "r.*"), "sample")
+    upto = F.sum(F.length("features") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most ``sample`` rows
+    few = told.select("doc_id", upto.alias("upto"), "features").filter(F.col("upto") <= features).select("doc_id")
+    found = told.join(few, "doc_id").toPandas().sort_values("doc_id")
     return fit_ordinal([np.frombuffer(b, dtype=np.int32) for b in found["features"]], found["grade"].to_numpy(dtype=np.int64), **options)
 
 
@@ -162,12 +170,12 @@ def score_quality(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id",
         m = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, 1 << 22):
+            for i, j in slices(offsets, 1 << 20):
                 score = m.scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 tails = m.tails(score)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(score), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=["doc_id", "score", "expected_grade", "tail_probability"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCORES)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCORES)
 
 
 def select_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5, text: str = "text") -> DataFrame:
@@ -181,8 +189,8 @@ def select_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5
         m = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(at))
-            for i, j in slices(offsets, 1 << 22):
+            for i, j in slices(offsets, 1 << 20):
                 good = m.tails(m.scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[:, -1] >= least_tail
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

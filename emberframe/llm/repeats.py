@@ -15,6 +15,9 @@ inserted so far; that is quadratic and was given up for whole texts (see README)
    a round costs the number of segments, and the number of rounds is bounded by 2 * length, whatever a document's length.
 4. An anchor with more than ``crowd`` different segments would fill one task: its windows are hashed and counted by hash
    instead, which spreads them over all tasks.
+
+Passages can be measured in words as well: each text is then handled as the sequence of its words' 32-bit codes, in which a
+passage of n words is a string of 4 n bytes.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.shared import materialize
-from emberframe.llm.words import _BYTE, mix, powers, slices, text_bytes
+from emberframe.llm.shared import materialize, small_batches
+from emberframe.llm.words import mix, powers, slices, text_bytes, word_hashes, word_spans
 
 LENGTH, GRAM, CROWD = 400, 24, 4096
 #: Bytes of text whose grams are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of a word's code.
+CODE = 4
 _CASED = np.random.default_rng(0xCA5E).integers(0, 2**64, 256, dtype=np.uint64)
 SEGMENTS = "doc_id long, text_hash long, n_bytes long, anchor long, segment long, start long, windows int, at int, done int"
 
@@ -92,6 +97,18 @@ def anchored_segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH
     return {"row": row, "start": start - offsets[row], "windows": windows, "at": at, "anchor": anchor, "segment": segment, "again": again}
 
 
+def coded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the codes of each row's words (lower-cased A-Z), some rows at a time. Two words share a code
+    with probability 2**-32."""
+    parts, counts = [], []
+    for i, j in slices(offsets, CHUNK):
+        h, n = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append((h >> np.uint64(32)).astype("<u4").view(np.uint8))
+        counts.append(n)
+    ends = CODE * np.cumsum(np.concatenate([[0], *counts]).astype(np.int64))
+    return np.concatenate([np.empty(0, dtype=np.uint8), *parts]), ends
+
+
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row, byte from, byte to): runs of rows, or parts of a long row that overlap by length - 1."""
     for i, j in slices(offsets, CHUNK):
@@ -103,12 +120,15 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, i
             yield i, j, part, min(high, part + CHUNK + length - 1)
 
 
-def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """All segments. ``done`` is 1 where a row's own repeats already decide (no anchor is given then), else 0."""
+def _segments(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
+    """All segments of the texts, or with ``words`` of their codes. ``done`` is 1 where a row's own repeats already decide
+    (no anchor is given then), else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
+            if words:
+                raw, offsets = coded(raw, offsets)
             for i, j, low, high in _pieces(offsets, length):
                 inside = np.array([0, high - low]) if (low, high) != (offsets[i], offsets[j]) else offsets[i : j + 1] - low
                 s = anchored_segments(raw[low:high], inside, length, gram)
@@ -234,9 +254,10 @@ def _count_windows(texts: DataFrame, length: int) -> DataFrame:
     return hits.groupBy("anchor", "segment").agg(F.transform(F.array_sort(F.collect_set("k")), lambda k: F.struct(k.alias("low"), (k + 1).cast("int").alias("high"))).alias("runs"))
 
 
-def _intervals(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(doc_id, text_hash, spans): the removed bytes' [low, high) of each text that has any, in order, disjoint."""
-    segments = _segments(docs, length, gram)
+def _intervals(docs: DataFrame, length: int, gram: int, crowd: int, words: bool = False) -> DataFrame:
+    """(doc_id, text_hash, spans): the removed bytes' [low, high) of each text that has any, in order, disjoint; with
+    ``words`` those of its codes."""
+    segments = _segments(docs, length, gram, words)
     open_ = segments.filter("done = 0")
     kinds = open_.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "windows", "at")).alias("one"))
     crowds = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("uses")).filter("uses > 1")
@@ -251,6 +272,8 @@ def _intervals(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame
             out: list[tuple] = []
             for text, parts in zip(batch.column(0), batch.column(1).to_pylist()):
                 data = text.as_buffer()
+                if words:
+                    data = pa.py_buffer(coded(raw := np.frombuffer(data, dtype=np.uint8), np.array([0, len(raw)]))[0])
                 out += [(p["anchor"], p["segment"], p["kinds"], p["at"], data[p["start"] : p["start"] + p["windows"] - 1 + length].to_pybytes()) for p in parts]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "segment", "kinds", "at", "data"])
@@ -279,7 +302,15 @@ def _join_docs(docs: DataFrame, extra: DataFrame, how: str = "inner") -> DataFra
     return docs.join(extra, on, how).drop("_id", "_hash")
 
 
+def _word_runs(data: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """The bytes of a text from the first to the last whole word of each span of its codes."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]))
+    return [[int(starts[-(-low // CODE)]), int(ends[high // CODE - 1])] for low, high in spans]
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    small_batches(docs)
     text_ = F.coalesce(docs[text].cast("string"), F.lit(""))
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_.alias("text"), F.xxhash64(text_).alias("text_hash"))
 
@@ -328,24 +359,35 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return joined.mapInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with their columns, ``text`` without its repeated bytes and ``n_chars`` (where there is such a
-    column) counted anew. What is left of a character of which only some bytes went goes too. A null text stays null, an
-    emptied text stays as an empty row."""
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, words: int | None = None, gram: int = GRAM, crowd: int = CROWD, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars"
+) -> DataFrame:
+    """The rows of ``docs`` with their columns, ``text`` without its repeated passages and ``n_chars`` (where there is such
+    a column) counted anew.
+
+    A passage is a string of ``length`` bytes or, where ``words`` is given, of so many words, whatever the white space
+    between them and the case of A-Z; it goes from its first word to its last. Of a character of which only some bytes
+    went, the rest goes too. A null text stays null, an emptied text stays as an empty row. Rows that repeat an id with
+    the same text are texts of their own, so each is a repeat of the other; rows with a null id count as any other. An
+    empty table stays empty, and columns may have any names.
+    """
     keyed = _keyed(docs, doc_id, text)
-    spans = _intervals(keyed, length, gram, crowd)
+    spans = _intervals(keyed, length, gram, crowd) if words is None else _intervals(keyed, CODE * words, gram, crowd, True)
     hashed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_hash"))
-    place = f"c{docs.columns.index(text)}"
     joined = _join_docs(hashed, spans, "left")
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = joined.select(*names).schema
-    at = names.index(place)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for t, found in zip(batch.column(at), batch.column(len(names)).to_pylist()):
-                kept.append(t.as_py() if not found or not t.is_valid else _kept(t.as_buffer().to_pybytes(), _merged(found)).decode(errors="ignore"))
+                if not found or not t.is_valid:
+                    kept.append(t.as_py())
+                    continue
+                data, runs = t.as_buffer().to_pybytes(), _merged(found)
+                kept.append(_kept(data, runs if words is None else _word_runs(data, runs)).decode(errors="ignore"))
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(kept, batch.column(at).type)
             yield pa.record_batch(columns, names=names)

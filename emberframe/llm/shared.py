@@ -1,42 +1,27 @@
-"""Intermediate tables in the folder that all executors share.
-
-A table is written as Parquet under ``spark.checkpoint.dir`` and read back, so lineage is cut by files that survive the
-loss of any executor. Only where that setting is absent (local tests) a temporary folder of this machine is set.
-"""
+"""Intermediate tables in the folder that all executors share: the library's, under the names that the operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from emberframe.operators.tables import discard
+from emberframe.operators.tables import kept as materialize
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a new local folder only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="emberframe-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table in the shared folder and return the table."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/emberframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "materialize", "shuffle_partitions", "small_batches"]
 
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` made, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+#: Most rows that a Python worker gets at once where rows hold whole texts: some MB of usual texts.
+TEXT_ROWS = 1000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts are about to be sent to Python: the session's batches are brought down to ``TEXT_ROWS`` rows, so
+    that a worker's memory follows a few MB of text and not ten thousand texts."""
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+    return df

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from emberframe.llm.shared import small_batches
 from emberframe.llm.words import slices, text_bytes
 
 RULES = ("first", "middle", "last")
@@ -70,7 +71,7 @@ def _attribute(ids: pa.Array, column: pa.Array, encoder, rule: str) -> pa.Record
     ], names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"])
 
 
-def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first", text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = 1 << 22) -> DataFrame:
+def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first", text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row per section (line) of each document: its characters [start_char, end_char), the tokens allocated to it,
     those of them that reach into another section, and the whole document's tokens.
 
@@ -88,4 +89,4 @@ def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str =
             for i, j in slices(offsets, chunk_bytes):
                 yield _attribute(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), encoder, rule)
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -120,33 +120,35 @@ def tuple_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sets(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes ordered by row and hash, number per row). A row with fewer words than ``size`` has its
-    whole sequence as its one shingle, a row without words has none. A hash keeps 48 bits; at most 2**15 rows at once."""
+    """(distinct shingle hashes of 64 bits ordered by row and hash, number per row). A row with fewer words than ``size``
+    has its whole sequence as its one shingle, a row without words has none. A row's set does not depend on the rows that
+    come with it."""
     ends = np.cumsum(counts)
     begins = ends - counts
-    row_bits = max(1, int(len(counts)).bit_length())
-    keep = np.uint64(row_bits)
-    all_of = tuple_hashes(h, size)
-    # a shingle starts at each word but the last size-1 of its row
-    starts_of = np.zeros(len(h), dtype=bool)
     long = counts >= size
-    if len(h):
-        mark = np.zeros(len(h) + 1, dtype=np.int32)
-        np.add.at(mark, begins[long], 1)
-        np.add.at(mark, ends[long] - size + 1, -1)
-        starts_of = np.cumsum(mark[:-1]) > 0
-    at = np.flatnonzero(starts_of)
-    row = np.repeat(np.arange(len(counts)), np.where(long, counts - size + 1, 0))
-    values = all_of[at] if len(at) else np.empty(0, dtype=np.uint64)
+    length = np.where(long, counts - size + 1, np.minimum(counts, 1))
+    last = np.cumsum(length)
+    first = last - length
+    values = np.empty(int(length.sum()), dtype=np.uint64)
+    # a shingle starts at each word but the last size-1 of its row
+    mark = np.zeros(len(h) + 1, dtype=np.int32)
+    np.add.at(mark, begins[long], 1)
+    np.add.at(mark, ends[long] - size + 1, -1)
     short = np.flatnonzero((counts > 0) & ~long)
-    if len(short):
-        extra = np.array([tuple_hashes(h[begins[i] : ends[i]], int(counts[i]))[0] for i in short], dtype=np.uint64)
-        # told apart from a longer run's hash by the number of words
-        extra = mix(extra + counts[short].astype(np.uint64))
-        values, row = np.concatenate([values, extra]), np.concatenate([row, short])
-    joined = (row.astype(np.uint64) << (np.uint64(64) - keep)) | (values >> keep)
-    joined.sort()
-    if len(joined):
-        joined = joined[np.concatenate([[True], joined[1:] != joined[:-1]])]
-    rows = (joined >> (np.uint64(64) - keep)).astype(np.int64)
-    return (joined << keep) >> np.uint64(16), np.bincount(rows, minlength=len(counts))
+    whole = np.ones(len(values), dtype=bool)
+    whole[first[short]] = False
+    at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    values[whole] = tuple_hashes(h, size)[at] if len(at) else np.empty(0, dtype=np.uint64)
+    for i in short.tolist():  # told apart from a longer run's hash by the number of words
+        values[first[i]] = mix(tuple_hashes(h[begins[i] : ends[i]], int(counts[i])) + np.uint64(counts[i]))[0]
+    new = np.ones(len(values), dtype=bool)
+    for i, j in zip(first.tolist(), last.tolist()):
+        if j > i + 1:
+            values[i:j].sort()
+    new[1:] = values[1:] != values[:-1]
+    new[first[length > 0]] = True
+    n = np.zeros(len(counts), dtype=np.int64)
+    some = length > 0
+    if some.any():
+        n[some] = np.add.reduceat(new.astype(np.int64), first[some])
+    return values[new], n

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.functions.geo import axis_step, haversine_km, pixel_ring, ring_area_km2
+from emberframe.functions.geo import EARTH_KM, axis_step, pixel_ring, ring_area_km2
 from emberframe.operators.graphs import connected_components
 from emberframe.operators.spatial import distance_join
 
@@ -51,12 +53,14 @@ def fire_clusters(fires: DataFrame, least: int = 2, key: str = "fire_id") -> Dat
 
 
 def reference_edges(references: DataFrame, km: float = 2.5, minutes: float = 30.0) -> DataFrame:
-    """(a, b): detections within both a distance and a time of each other."""
-    slot = F.floor(F.unix_micros("acq_ts") / max(minutes * 6e7, 1.0)).cast("long")  # near in time: the same slot or the next
+    """(a, b): detections within both a distance and a time of each other. Near in time are those of the same slot or of
+    the next, so each looks at its own slot and forward, and every pair is met once."""
+    slot = F.floor(F.unix_micros("acq_ts") / max(minutes * 6e7, 1.0)).cast("long")
     r = references.select(F.col("id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"), slot.alias("_slot"))
-    left = references.select(F.col("id").alias("a"), "lon", "lat", "acq_ts", F.explode(F.sequence(slot - 1, slot + 1)).alias("_slot"))
-    near = distance_join(left, r, km, on=("_slot",), extra=F.col("a") < F.col("b"))
-    return near.filter(F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) <= minutes * 6e7).select("a", "b")
+    left = references.select(F.col("id").alias("a"), "lon", "lat", "acq_ts", slot.alias("_own"), F.explode(F.sequence(slot, slot + 1)).alias("_slot"))
+    once = (F.col("_slot") > F.col("_own")) | (F.col("a") < F.col("b"))
+    close = F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) <= minutes * 6e7
+    return distance_join(left, r, km, on=("_slot",), extra=once & close).select("a", "b")
 
 
 def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float = 30.0, order: str = "id") -> DataFrame:
@@ -72,14 +76,28 @@ def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float =
 
 
 def persistent_edges(points: DataFrame, km: float = 1.5) -> DataFrame:
-    """(a, b) within ``km`` whose cells (km / 111 degrees both ways) touch. At high latitudes such cells are narrower than
-    the distance, so some pairs do not count; ``distance_join`` gives all."""
-    cell = max(km / 111.0, 0.001)
-    at = lambda c: F.floor(F.col(c) / cell)
-    a = points.select(F.col("id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    a = a.withColumn("cx", F.explode(F.array(*[at("x") + d for d in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[at("y") + d for d in (-1, 0, 1)])))
-    b = points.select(F.col("id").alias("b"), "lon", "lat", at("lon").alias("cx"), at("lat").alias("cy"))
-    return a.join(b, ["cx", "cy"]).filter("a < b").filter(haversine_km("x", "y", "lon", "lat") <= km).select("a", "b")
+    """(a, b): links whose components are those of all pairs of points (id, lon, lat) within ``km``, at any latitude.
+
+    Cells whose diagonal is below the distance hold points that are all linked: each is linked with the cell's least id.
+    Only places of different cells are compared, each distinct place once, so a flare that is seen for years at one
+    place does not meet itself. Cells are left out for distances at which the sphere's curvature counts."""
+    p = points.select("id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).dropna()
+    if km <= 600:
+        step = math.degrees(km / EARTH_KM) / math.sqrt(2) * 0.999
+        band = F.floor((F.col("lat") + 90) / step)
+        low, high = band * step - 90, (band + 1) * step - 90
+        nearest = F.when(low * high <= 0, 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
+        columns = F.ceil(360 * F.cos(F.radians(nearest)) / step)
+        cell = F.struct(band.alias("band"), F.floor((F.col("lon") + 180) / 360 * columns).alias("column"))
+    else:
+        cell = F.struct("lon", "lat")
+    p = p.withColumn("cell", cell)
+    reps = p.groupBy("cell").agg(F.min("id").alias("rep"))
+    named = p.join(reps, "cell")
+    places = named.select("rep", "lon", "lat").distinct()
+    other = places.select(F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    between = distance_join(places, other, km, extra=F.col("rep") < F.col("r_rep")).select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
+    return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(between)
 
 
 def persistent_sources(points: DataFrame, km: float = 1.5, days: int = 4, hits: int = 4) -> DataFrame:

@@ -2,42 +2,65 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.operators.graphs import greedy_selection
-from emberframe.operators.spatial import distance_join, nearest_distance
+from emberframe.operators.graphs import connected_components, greedy_selection
+from emberframe.operators.spatial import nearest_distance, time_distance_join
 from emberframe.operators.tables import kept
 
 
 def possible_matches(candidates: DataFrame, references: DataFrame, km: float = 5.0, hours: float = 3.0) -> DataFrame:
     """(id, r_id, distance_km, dt_hours) within both bounds."""
     r = references.select(F.col("id").alias("r_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"))
-    near = distance_join(candidates.select("id", "lon", "lat", "acq_ts"), r, km)
+    near = time_distance_join(candidates.select("id", "lon", "lat", "acq_ts"), r, km, hours)
     near = near.withColumn("dt_hours", F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) / 3.6e9)
-    return near.filter(F.col("dt_hours") <= hours).select("id", "r_id", "distance_km", "dt_hours")
+    return near.select("id", "r_id", "distance_km", "dt_hours")
 
 
-def match(candidates: DataFrame, references: DataFrame, km: float = 5.0, hours: float = 3.0) -> DataFrame:
+def match(candidates: DataFrame, references: DataFrame, km: float = 5.0, hours: float = 3.0, rounds: int = 6) -> DataFrame:
     """One-to-one matches, the same as a greedy pass over all possible pairs by distance, time, candidate and reference.
 
-    Pairs that share a side conflict; each is ordered by (distance, time, ids), and the greedy selection is exact. The
-    rank is unique without a global sort: conflicts only compare pairs of one candidate or one reference.
+    Rounds take the pairs that both their sides prefer, which is what the greedy pass takes; most pairs are decided in a
+    few. What ``rounds`` leave open are chains, each of which is a component of the pairs' graph: a component is gone
+    through by one task, in order, so a chain of any length takes no more rounds.
     """
-    pairs = possible_matches(candidates, references, km, hours)
-    pairs = kept(pairs.withColumn("pair", F.struct("distance_km", "dt_hours", "id", "r_id")), "pairs")
-    left = pairs
-    taken = None
-    while True:
+    pair = F.struct("distance_km", "dt_hours", "id", "r_id").alias("pair")
+    left = kept(possible_matches(candidates, references, km, hours).select("id", "r_id", pair), "pairs")
+    taken = left.select("pair.*").limit(0)
+    for _ in range(rounds):
+        if not left.limit(1).count():
+            break
         best_c = left.groupBy("id").agg(F.min("pair").alias("pair"))
         best_r = left.groupBy("r_id").agg(F.min("pair").alias("pair"))
-        won = best_c.join(best_r, "pair").select("pair.*")
-        won = kept(won, "matches")
-        taken = won if taken is None else taken.unionByName(won)
-        left = left.join(won.select("id"), "id", "left_anti").join(won.select("r_id"), "r_id", "left_anti").select("id", "r_id", "distance_km", "dt_hours", "pair")
+        won = kept(best_c.join(best_r, "pair").select("pair.*"), "matches")
+        taken = taken.unionByName(won)
+        left = left.join(won.select("id"), "id", "left_anti").join(won.select("r_id"), "r_id", "left_anti").select("id", "r_id", "pair")
         left = kept(left, "pairs")
-        if not left.limit(1).count():
-            return taken.select("id", "r_id", F.round("distance_km", 3).alias("distance_km"), F.round("dt_hours", 3).alias("dt_hours"))
+    else:
+        taken = taken.unionByName(_match_chains(left))
+    return taken.select("id", "r_id", F.round("distance_km", 3).alias("distance_km"), F.round("dt_hours", 3).alias("dt_hours"))
+
+
+def _match_chains(pairs: DataFrame) -> DataFrame:
+    """The greedy pass over each component of the open pairs."""
+    sides = pairs.select(F.xxhash64(F.lit("c"), "id").alias("a"), F.xxhash64(F.lit("r"), "r_id").alias("b"), "pair")
+    label = connected_components(sides.select(F.col("a").alias("id")), sides.select("a", "b"))
+    kinds = pairs.schema["pair"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in kinds.names)))
+        ids, others, keep = set(), set(), []
+        for row in rows:
+            if row[2] not in ids and row[3] not in others:
+                ids.add(row[2])
+                others.add(row[3])
+                keep.append(row)
+        return pa.table([pa.array(c, table.schema.field(n).type) for c, n in zip(list(zip(*keep)) or [[]] * 4, kinds.names)], names=kinds.names)
+
+    open_ = sides.join(label, sides["a"] == label["id"]).select("component", "pair.*")
+    return open_.groupBy("component").applyInArrow(lambda t: run(t.select(kinds.names)), kinds)
 
 
 def metrics(candidates: DataFrame, references: DataFrame, matches: DataFrame, hours: float, km: float) -> DataFrame:

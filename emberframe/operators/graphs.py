@@ -2,43 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from emberframe.operators.tables import kept
+from emberframe.operators.tables import discard, kept
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for every node (id); component is the least id reachable over edges (a, b).
+#: Nodes that a task remembers while it shortens edges.
+REMEMBERED = 1 << 20
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task as edges from every node to the least one that it reaches by them; what was remembered is
+    sent on and forgotten after ``REMEMBERED`` nodes, which loses no link."""
+    top: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        root = v
+        while top.setdefault(root, root) != root:
+            root = top[root]
+        while top[v] != root:
+            top[v], v = root, top[v]
+        return root
+
+    def told() -> pa.RecordBatch:
+        a = [v for v in top if top[v] != v]
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array([find(v) for v in a], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = find(u), find(v)
+            if p != q:
+                top[max(p, q)] = min(p, q)
+        if len(top) > REMEMBERED:
+            yield told()
+            top.clear()
+    yield told()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b: long); component is the least node that it reaches.
 
-    Every node takes the least label among its neighbours, and its label's label. Rounds grow with the logarithm of the
-    longest path; each is written to the shared folder. Nodes without an edge take no part in them.
+    Self-loops, repeated edges and edges with a null are ignored. Each task first shortens the edges that it has, in
+    place, to one per node: edges that come from a join by cells lie with their neighbours, so most components are whole
+    then. Rounds of large stars and small stars (Kiveris et al., 2014) join what is left: each joins on nodes,
+    pre-aggregated by minimum, and is written to the shared folder; nothing is collected but a checksum, summed while the
+    round is written. The number of rounds grows with the logarithm of the longest path.
     """
-    both = edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = kept(both, "edges")
-    labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "id"), "labels")
+    e = edges.filter("a <> b").select("a", "b").mapInArrow(_shortened, "a long, b long")
+    e = kept(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "near").alias("step"))
-        jump = labels.select(F.col("id").alias("at"), F.col("component").alias("jumped"))
-        labels = kept(step.join(jump, step["step"] == jump["at"], "left").select("id", F.least("step", F.coalesce("jumped", "step")).alias("component")), "labels")
-        now = labels.agg(F.bit_xor(F.xxhash64("id", "component")), F.sum(F.xxhash64("component") % 1_000_003)).first()
-        if now == state or now[0] is None:
-            ids = nodes.select("id").distinct()
-            return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        seen = Observation()
+        new = small.unionByName(least.withColumnRenamed("m", "b")).distinct()
+        new = kept(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")), "edges")
+        discard(e)
+        e, now = new, seen.get
+        if now == state or not now["n"]:
+            break
         state = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def greedy_selection(items: DataFrame, conflicts: DataFrame, rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component) for every node (id); component is the least id reachable over edges (a, b). Ids that are no numbers
+    are numbered by their hash."""
+    kind = nodes.schema["id"].dataType.simpleString()
+    if kind not in ("bigint", "int"):
+        return _components_by_hash(nodes, edges.filter("a <> b").select("a", "b"), rounds)
+    found = components(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), rounds)
+    label = found.select(F.col("node").cast(kind).alias("id"), F.col("component").cast(kind).alias("component"))
+    return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _components_by_hash(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """``connected_components`` of ids of any kind. Two ids share a hash with a probability of n^2 / 2^65, and then count as
+    linked."""
+    named = kept(nodes.select("id").unionByName(edges.select(F.col("a").alias("id"))).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("h", F.xxhash64("id")), "names")
+    label = connected_components(named.select(F.col("h").alias("id")), edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), rounds)
+    of = named.join(label.withColumnRenamed("id", "h"), "h").select("id", F.col("component").alias("group"))
+    first = of.groupBy("group").agg(F.min("id").alias("component"))
+    return nodes.select("id").distinct().join(of.join(first, "group").select("id", "component"), "id")
+
+
+def greedy_selection(items: DataFrame, conflicts: DataFrame, rounds: int = 12) -> DataFrame:
     """The ids that a sequential greedy pass keeps: items (id, rank: unique, the least first) are taken unless they conflict
     (a, b, either way) with one taken before.
 
     Each round takes every item that ranks before all its remaining conflicts and drops those conflicts; with unique
-    ranks this is the sequential result. Only ids travel; each round is written to the shared folder.
+    ranks this is the sequential result, and most items are decided in a few rounds. What ``rounds`` leave open are chains
+    of falling ranks: each component of the open conflicts is gone through by one task, in order, so that a chain of any
+    length takes no more rounds. Only ids travel; each round is written to the shared folder.
     """
-    both = conflicts.filter("a <> b").select("a", "b").unionByName(conflicts.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = conflicts.filter("a <> b").select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     rank = items.select("id", "rank")
     both = both.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
     left = kept(both, "conflicts")
@@ -55,4 +122,24 @@ def greedy_selection(items: DataFrame, conflicts: DataFrame, rounds: int = 200)
         free = left.select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti").join(after.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
         taken = kept(taken.unionByName(won).unionByName(free), "taken")
         left = after
-    raise RuntimeError(f"the selection did not settle in {rounds} rounds")
+    return taken.unionByName(_select_chains(left))
+
+
+def _select_chains(conflicts: DataFrame) -> DataFrame:
+    """The greedy pass over each component of the conflicts (a, b, ra, rb; both ways)."""
+    label = connected_components(conflicts.select(F.col("a").alias("id")), conflicts.select("a", "b"))
+    kind = conflicts.schema["a"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, rank = (table[c].to_pylist() for c in ("a", "b", "ra"))
+        against: dict = {}
+        for u, v in zip(a, b):
+            against.setdefault(u, []).append(v)
+        keep: set = set()
+        for _, u in sorted(set(zip(rank, a))):
+            if not keep.intersection(against[u]):
+                keep.add(u)
+        return pa.table([pa.array(list(keep), table.schema.field("a").type)], names=["id"])
+
+    rows = conflicts.join(label, conflicts["a"] == label["id"]).select("component", "a", "b", "ra")
+    return rows.groupBy("component").applyInArrow(run, f"id {kind.simpleString()}")

@@ -5,6 +5,10 @@ A pixel table has scene_id, row, col, lon, lat, acq_ts, b07, b13, b14, rvis, roi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,56 +56,114 @@ def local_maximum(pixels: DataFrame, value: str, window: int) -> DataFrame:
     return p.withColumn("is_maximum", true(F.col(value) >= F.col("_top"))).drop("_top")
 
 
-def background(seeds: DataFrame, observed: DataFrame, t: Thresholds = Thresholds(), tile: int = 32) -> DataFrame:
+#: Neighbours of seeds that are gathered at once.
+GATHER = 1 << 21
+STATISTICS = (
+    "scene_id string, row int, col int, window int, n_valid long, n_clear long, n_used long, t7_bg double, t13_bg double, rvis_bg double, n_rvis long, t713_bg double, "
+    "std_t7 double, std_t713 double, pv double, pc double"
+)
+
+
+def background(seeds: DataFrame, observed: DataFrame, t: Thresholds = Thresholds(), tile: int = 96) -> DataFrame:
     """Background statistics of each seed (scene_id, row, col) in its first window with enough clear pixels; seeds without
     one are left out.
 
-    Most seeds are done with the smallest window, whose neighbours are a twelfth of the largest window's, so it comes
-    first, and only the seeds that it leaves open meet the larger ones, all in one pass.
+    Valid pixels are sent, once per tile that needs them, to the tiles of ``tile`` rows and columns that hold a seed: a
+    tile comes with a halo as wide as the largest window's half. A task lays a tile out as arrays and gathers the
+    neighbours of its seeds window by window; a seed that a window decides takes no part in the larger ones. One shuffle,
+    and a group is bounded by the tile, whatever the scene or the number of seeds.
     """
-    from emberframe.operators.tables import kept
-
-    first, *rest = t.windows
-    places = kept(seeds.select(*PIXEL), "seeds")
-    done = kept(_windows(places, observed, t, (first,), tile), "background")
-    if not rest:
-        return done
-    left = kept(places.join(done, list(PIXEL), "left_anti"), "seeds")
-    return done.unionByName(_windows(left, observed, t, tuple(rest), tile)) if left.limit(1).count() else done
-
-
-def _windows(seeds: DataFrame, observed: DataFrame, t: Thresholds, windows: tuple[int, ...], tile: int) -> DataFrame:
-    """``background`` for the given windows. Seeds meet the pixels of the tiles that their largest window touches (an equi
-    join; rows and columns are a residual), each neighbour counts in every window that reaches it, and the 80th percentile
-    comes from ranks in the partitioning that the statistics need anyway."""
-    reach = max(windows) // 2
-    near = seeds.withColumn("_tr", F.explode(F.sequence(F.floor((F.col("row") - reach) / tile), F.floor((F.col("row") + reach) / tile))))
-    near = near.withColumn("_tc", F.explode(F.sequence(F.floor((F.col("col") - reach) / tile), F.floor((F.col("col") + reach) / tile))))
-    p = observed.filter("valid").select("scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "b07", "b13", "rvis", "t713", "cloud", "clear", "non_vegetation")
-    p = p.withColumn("_tr", F.floor(F.col("_r") / tile)).withColumn("_tc", F.floor(F.col("_c") / tile))
-    away = F.greatest(F.abs(F.col("_r") - F.col("row")), F.abs(F.col("_c") - F.col("col")))
-    n = near.join(p, ["scene_id", "_tr", "_tc"]).withColumn("_away", away).filter((F.col("_away") > 0) & (F.col("_away") <= reach))
-    sizes = F.array(*[F.lit(w) for w in windows])
-    n = n.withColumn("window", F.explode(F.filter(sizes, lambda w: F.floor(w / 2) >= F.col("_away"))))
-    own = Window.partitionBy(*PIXEL, "window")
-    n = n.withColumn("_rank", F.row_number().over(own.orderBy(F.desc("clear"), "b07"))).withColumn("_n", F.count_if("clear").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    at = 0.8 * (F.col("_n") - 1)  # linear between the ranks around it
-    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    value = lambda k: F.max(F.when(F.col("clear") & (F.col("_rank") == k + 1), F.col("b07"))).over(whole)
-    n = n.withColumns({"_low": value(F.floor(at)), "_high": value(F.ceil(at))}).withColumn("_p80", F.col("_low") + (at - F.floor(at)) * (F.col("_high") - F.col("_low")))
-    hot = F.col("clear") & (F.col("b07") >= F.col("_p80")) & (F.col("b07") >= F.col("b13") + F.coalesce("rvis", F.lit(0.0)) * t.suspicious_visible_factor + t.suspicious_offset_k)
-    n = n.withColumn("_use", F.col("clear") & ~true(hot))
-    use = lambda c: F.when(F.col("_use"), F.col(c))
-    stats = n.groupBy(*PIXEL, "window").agg(
-        F.count("*").alias("n_valid"), F.count_if("clear").alias("n_clear"), F.count_if("_use").alias("n_used"), F.avg(use("b07")).alias("t7_bg"), F.avg(use("b13")).alias("t13_bg"),
-        F.avg(use("rvis")).alias("rvis_bg"), F.count(use("rvis")).alias("n_rvis"), F.avg(use("t713")).alias("t713_bg"), F.stddev_pop(use("b07")).alias("std_t7"), F.stddev_pop(use("t713")).alias("std_t713"),
-        (F.count_if(true(F.col("non_vegetation"))) / F.count("*")).alias("pv"), (F.count_if("cloud") / F.count("*")).alias("pc"),
+    reach = max(t.windows) // 2
+    kinds = {c: seeds.schema[c].dataType.simpleString() for c in PIXEL}
+    place = [F.floor(F.col(c) / tile).cast("int").alias(f"_t{c[0]}") for c in ("row", "col")]
+    s = seeds.select(*PIXEL).dropDuplicates().select(F.col("scene_id").cast("string").alias("scene_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *place)
+    tiles = s.select("scene_id", "_tr", "_tc").distinct()
+    near = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
+    p = observed.filter("valid").select(
+        F.col("scene_id").cast("string").alias("scene_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(c).cast("double").alias(c) for c in ("b07", "b13", "rvis", "t713")],
+        "cloud", "clear", true(F.col("non_vegetation")).alias("bare"), F.lit(False).alias("seed"),
     )
-    least = F.greatest(F.ceil(F.col("n_valid") * t.min_valid_ratio), F.lit(t.min_background_pixels))
-    stats = stats.filter((F.col("n_clear") >= least) & (F.col("n_used") >= least))
-    order = F.array_position(sizes, F.col("window"))
-    first = stats.groupBy(*PIXEL).agg(F.min_by(F.struct(*[c for c in stats.columns if c not in PIXEL]), order).alias("s")).select(*PIXEL, "s.*")
-    return first.withColumns({"std_t7": F.greatest("std_t7", F.lit(0.5)), "std_t713": F.least(F.greatest("std_t713", F.lit(t.min_std_t713_k)), F.lit(t.max_std_t713_k)), "rvis_bg": F.coalesce("rvis_bg", F.lit(0.0))})
+    p = p.withColumn("_tr", F.explode(near("row"))).withColumn("_tc", F.explode(near("col"))).withColumns({c: F.col(c).cast("int") for c in ("_tr", "_tc")})
+    p = p.join(tiles, ["scene_id", "_tr", "_tc"], "left_semi")
+    none = {c: F.lit(None).cast("double") for c in ("b07", "b13", "rvis", "t713")} | {c: F.lit(False) for c in ("cloud", "clear", "bare")} | {"seed": F.lit(True)}
+    rows = p.unionByName(s.withColumns(none))
+
+    def run(table: pa.Table) -> pa.Table:
+        return _tile_statistics(table, t)
+
+    found = rows.groupBy("scene_id", "_tr", "_tc").applyInArrow(run, STATISTICS)
+    return found.withColumns({c: F.col(c).cast(kinds[c]) for c in PIXEL})
+
+
+def _tile_statistics(table: pa.Table, t: Thresholds) -> pa.Table:
+    """The statistics of one tile's seeds from the pixels around them."""
+    reach = max(t.windows) // 2
+    row, col, seed = (np.asarray(table[c]) for c in ("row", "col", "seed"))
+    here = ~seed
+    top, left = row[seed].min() - reach, col[seed].min() - reach
+    height, width = row[seed].max() + reach + 1 - top, col[seed].max() + reach + 1 - left
+    here &= (row >= top) & (row < top + height) & (col >= left) & (col < left + width)
+    at = (row[here] - top) * width + col[here] - left
+    layers = {}
+    for name in ("b07", "b13", "rvis", "t713"):
+        layers[name] = np.full(height * width, np.nan)
+        layers[name][at] = table[name].to_numpy(zero_copy_only=False).astype(float)[here]
+    for name in ("valid", "clear", "cloud", "bare"):
+        layers[name] = np.zeros(height * width, dtype=bool)
+        layers[name][at] = True if name == "valid" else table[name].to_numpy(zero_copy_only=False)[here]
+    rows, cols = row[seed] - top, col[seed] - left
+    open_, out = np.arange(len(rows)), []
+    for window in t.windows:
+        r = window // 2
+        away = (np.arange(-r, r + 1)[:, None] * width + np.arange(-r, r + 1)).ravel()
+        away = away[away != 0]
+        left_open = []
+        for k in range(0, len(open_), max(1, GATHER // len(away))):
+            some = open_[k : k + max(1, GATHER // len(away))]
+            x = {n: v[(rows[some] * width + cols[some])[:, None] + away] for n, v in layers.items()}
+            stats, enough = _window_statistics(x, t)
+            left_open.append(some[~enough])
+            done = some[enough]
+            out.append([row[seed][done], col[seed][done], np.full(len(done), window), *(v[enough] for v in stats)])
+        open_ = np.concatenate(left_open) if left_open else open_
+        if not len(open_):
+            break
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 15
+    schema = [pa.int32()] * 3 + [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.int64()] + [pa.float64()] * 5
+    scene = pa.array([table["scene_id"][0].as_py()] * len(columns[0]), pa.string())
+    names = [f.split()[0] for f in STATISTICS.split(", ")]
+    return pa.table([scene, *(pa.array(c).cast(k) for c, k in zip(columns, schema))], names=names)
+
+
+def _window_statistics(x: dict[str, np.ndarray], t: Thresholds) -> tuple[list[np.ndarray], np.ndarray]:
+    """(statistics of rows of neighbours, which rows have enough clear ones)."""
+    n_valid, n_clear = x["valid"].sum(1), x["clear"].sum(1)
+    ordered = np.sort(np.where(x["clear"], x["b07"], np.inf), axis=1)
+    at = 0.8 * np.maximum(n_clear - 1, 0)  # linear between the ranks around it
+    line, low, high = np.arange(len(ordered)), np.floor(at).astype(int), np.ceil(at).astype(int)
+    with np.errstate(invalid="ignore"):
+        p80 = ordered[line, low] + (at - low) * (ordered[line, high] - ordered[line, low])
+        hot = (x["b07"] >= p80[:, None]) & (x["b07"] >= x["b13"] + np.nan_to_num(x["rvis"]) * t.suspicious_visible_factor + t.suspicious_offset_k)
+    use = x["clear"] & ~hot
+    n_used = use.sum(1)
+    n = np.maximum(n_used, 1)
+
+    def mean(v: np.ndarray) -> np.ndarray:
+        return np.where(use, v, 0).sum(1) / n
+
+    def deviation(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.sqrt((np.where(use, v - m[:, None], 0) ** 2).sum(1) / n)
+
+    seen = use & ~np.isnan(x["rvis"])
+    n_rvis = seen.sum(1)
+    rvis = np.where(seen, x["rvis"], 0).sum(1) / np.maximum(n_rvis, 1)
+    t7, t13, t713 = mean(x["b07"]), mean(x["b13"]), mean(x["t713"])
+    std_t7 = np.maximum(deviation(x["b07"], t7), 0.5)
+    std_t713 = np.clip(deviation(x["t713"], t713), t.min_std_t713_k, t.max_std_t713_k)
+    valid = np.maximum(n_valid, 1)
+    least = np.maximum(np.ceil(n_valid * t.min_valid_ratio), t.min_background_pixels)
+    enough = (n_clear >= least) & (n_used >= least)
+    return [n_valid, n_clear, n_used, t7, t13, rvis, n_rvis, t713, std_t7, std_t713, x["bare"].sum(1) / valid, x["cloud"].sum(1) / valid], enough
 
 
 STAGES = ("background", "dynamic", "cloud", "edge", "static")
@@ -152,7 +214,7 @@ def judge(pixels: DataFrame, sources: DataFrame | None = None, polygons: DataFra
     found = found.withColumn("_key", F.struct(*PIXEL))
     hits = None
     if sources is not None:
-        hits = near_sources(found, sources, "_key", t.thermal_source_radius_km, most_km=0)
+        hits = near_sources(found, sources, "_key", t.thermal_source_radius_km)
     if polygons is not None:
         inside = within_polygons(found, polygons, "_key").select("_key")
         hits = inside.distinct() if hits is None else hits.unionByName(inside).distinct()
@@ -194,10 +256,30 @@ def conflicts(fires: DataFrame, radius: int, key: str = "fire_id") -> DataFrame:
 
 def suppress(fires: DataFrame, radius: int = 2, key: str = "fire_id", order: tuple[Column, ...] | None = None) -> DataFrame:
     """``fires`` that a greedy pass by falling score keeps: none within ``radius`` rows and columns of one kept before.
-    Ties go to the lower row, column and key."""
-    from emberframe.operators.graphs import greedy_selection
+    Ties go to the lower row, column and key.
 
+    A scene's fires come to one task in that order, and only the places kept so far are remembered: a cell as wide as the
+    radius holds one at most, so a fire looks at nine cells. What a scene holds is bounded by its grid, not by the table.
+    """
     order = order or (F.desc("score"), F.asc("row"), F.asc("col"), F.asc(key))
-    ranked = fires.withColumn("rank", F.row_number().over(Window.partitionBy("scene_id").orderBy(*order)))
-    kept = greedy_selection(ranked.select(F.col(key).alias("id"), "rank"), conflicts(fires, radius, key))
-    return fires.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    names = [f"c{i}" for i in range(len(fires.columns))]
+    scene, row, col = (fires.columns.index(c) for c in PIXEL)
+    side = radius + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = object(), {}
+        for batch in batches:
+            keep = []
+            for s, r, c in zip(*(batch.column(i).to_pylist() for i in (scene, row, col))):
+                if s != now:
+                    now, taken = s, {}
+                a, b = r // side, c // side
+                near = (taken.get((a + i, b + j)) for i in (-1, 0, 1) for j in (-1, 0, 1))
+                free = not any(n and abs(n[0] - r) <= radius and abs(n[1] - c) <= radius for n in near)
+                if free:
+                    taken[a, b] = (r, c)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = fires.repartition("scene_id").sortWithinPartitions("scene_id", *order).toDF(*names)
+    return ordered.mapInArrow(run, ordered.schema).toDF(*fires.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.geo import EARTH_KM, haversine_km, point_in_polygon, ring_box
+from emberframe.operators.tables import kept
 
 
 def _band(lat: Column, step: float) -> Column:
@@ -53,12 +54,22 @@ def distance_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, .
     return (joined if extra is None else joined.filter(extra)).drop("_band", "_cell")
 
 
+def time_distance_join(left: DataFrame, right: DataFrame, km: float, hours: float, ts: str = "acq_ts", r_ts: str = "r_ts") -> DataFrame:
+    """``distance_join`` of rows within ``hours`` of each other as well: times are bucketed by that width, and a left row
+    looks at its own bucket and those beside it, so a place that burns for years never meets its whole history."""
+    width = max(hours * 3.6e9, 1.0)
+    slot = lambda c: F.floor(F.unix_micros(c) / width).cast("long")
+    a = left.withColumn("_slot", F.explode(F.sequence(slot(ts) - 1, slot(ts) + 1)))
+    close = F.abs(F.unix_micros(ts) - F.unix_micros(r_ts)) <= hours * 3.6e9
+    return distance_join(a, right.withColumn("_slot", slot(r_ts)), km, on=("_slot",), extra=close).drop("_slot")
+
+
 def nearest_reference(fires: DataFrame, references: DataFrame, km: float = 4.0, hours: float = 3.0) -> DataFrame:
     """Fires (fire_id, lon, lat, acq_ts, ...) each with its nearest official detection (id, sensor, lon, lat, acq_ts,
     confidence, frp) by distance, then time difference, then id; official_* are null where there is none."""
-    r = references.select(F.col("id").alias("r_id"), F.col("sensor").alias("r_sensor"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"), F.col("confidence").alias("r_confidence"), F.col("frp").alias("r_frp"))
-    near = distance_join(fires.select("fire_id", "lon", "lat", "acq_ts"), r, km)
-    near = near.withColumn("dt", F.abs(F.unix_micros("r_ts") - F.unix_micros("acq_ts")) / 3.6e9).filter(F.col("dt") <= hours)
+    r = references.select("id", "sensor", "lon", "lat", "acq_ts", "confidence", "frp").toDF("r_id", "r_sensor", "r_lon", "r_lat", "r_ts", "r_confidence", "r_frp")
+    near = time_distance_join(fires.select("fire_id", "lon", "lat", "acq_ts"), r, km, hours)
+    near = near.withColumn("dt", F.abs(F.unix_micros("r_ts") - F.unix_micros("acq_ts")) / 3.6e9)
     best = near.groupBy("fire_id").agg(F.min(F.struct("distance_km", "dt", "r_id", "r_sensor", "r_confidence", "r_frp")).alias("o"))
     out = fires.join(best, "fire_id", "left")
     found = F.col("o").isNotNull()
@@ -77,20 +88,24 @@ def official_ranges(references: DataFrame, fused: DataFrame) -> DataFrame:
     return out.withColumns({"width_km": size("scan_km"), "height_km": size("track_km"), "fusion_status": F.when(F.col("matched"), "official-confirmed").otherwise("official-only")})
 
 
-def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: float = 4.0, most_km: float = 0.0) -> DataFrame:
-    """(key): the points within the radius of a static source (lon, lat, radius_km; a radius not above 0 is the default), or
-    within ``most_km`` if that is above 0 and less."""
-    radius = F.when(F.col("radius_km") > 0, F.col("radius_km")).otherwise(default_km)
-    s = sources.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), radius.alias("r_km"))
-    reach = s.agg(F.max("r_km")).first()[0]
-    if reach is None:
-        return points.select(key).limit(0)
-    return distance_join(points.select(key, "lon", "lat"), s, min(float(reach), most_km) if most_km else float(reach), extra=F.col("distance_km") <= F.col("r_km")).select(key).distinct()
+def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: float = 4.0) -> DataFrame:
+    """(key): the points within the radius of a static source (lon, lat, radius_km; a radius not above 0 is the default).
+
+    Sources are joined by classes of radius, each twice as wide as the one before, so a wide source does not widen the
+    cells of the others. There are as many classes as the radii have magnitudes."""
+    radius = F.when(F.col("radius_km") > 0, F.col("radius_km")).otherwise(default_km).cast("double")
+    s = sources.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), radius.alias("r_km")).withColumn("_class", F.ceil(F.log2("r_km")).cast("int"))
+    classes = [r["_class"] for r in s.select("_class").distinct().orderBy("_class").collect()]
+    p, found = points.select(key, "lon", "lat"), points.select(key).limit(0)
+    for c in classes:
+        hits = distance_join(p, s.filter(F.col("_class") == c).drop("_class"), 2.0**c, extra=F.col("distance_km") <= F.col("r_km")).select(key)
+        found = hits if c == classes[0] else found.unionByName(hits)
+    return found.distinct()
 
 
 def without_sources(points: DataFrame, sources: DataFrame, key: str, default_km: float = 4.0) -> DataFrame:
     """``points`` that no static source covers."""
-    return points.join(near_sources(points, sources, key, default_km, most_km=0), key, "left_anti")
+    return points.join(near_sources(points, sources, key, default_km), key, "left_anti")
 
 
 def within_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
@@ -118,20 +133,48 @@ def rejected_sample(clipped: DataFrame, order: list[str], n: int = 5) -> DataFra
 
 
 def nearest_distance(points: DataFrame, references: DataFrame, key: str, start_km: float = 50.0) -> DataFrame:
-    """(key, distance_km) to the nearest reference at any distance, by rings that double until every point has one."""
-    r = references.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    done, left, km = None, points.select(key, "lon", "lat"), start_km
+    """(key, distance_km) to the nearest reference at any distance, by rings that grow until every point has one.
+
+    Each ring's result is written, so no ring is computed again. Points without a reference within some hundred kilometres
+    are few or far from all: they go through cells instead (``_far_distance``), for a wider ring would meet all references.
+    """
+    r = references.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat")).dropna().distinct()
+    every = points.select(key, "lon", "lat")
     if not r.limit(1).count():
-        return points.select(key, F.lit(None).cast("double").alias("distance_km"))
-    while True:
-        found = distance_join(left, r, km).groupBy(key).agg(F.min("distance_km").alias("distance_km"))
+        return every.select(key, F.lit(None).cast("double").alias("distance_km"))
+    done, left, km = None, kept(every.dropna(), "open"), start_km
+    while left.limit(1).count():
+        if km > 600:
+            done = _far_distance(left, r, key) if done is None else done.unionByName(_far_distance(left, r, key))
+            break
+        found = kept(distance_join(left, r, km).groupBy(key).agg(F.min("distance_km").alias("distance_km")), "ring")
         done = found if done is None else done.unionByName(found)
-        if km >= math.pi * EARTH_KM:
-            return points.select(key).join(done, key, "left")
-        left = left.join(found.select(key), key, "left_anti")
-        if not left.limit(1).count():
-            return done
-        km = min(km * 4, math.pi * EARTH_KM)
+        left = kept(left.join(found.select(key), key, "left_anti"), "open")
+        km *= 4
+    if done is None:
+        return every.select(key, F.lit(None).cast("double").alias("distance_km"))
+    return every.select(key).join(done, key, "left")
+
+
+def _far_distance(points: DataFrame, r: DataFrame, key: str) -> DataFrame:
+    """The distance to the nearest reference, by cells of 15 degrees, then of one. A cell's centre and the greatest distance
+    of its references from it bound from both sides how far the nearest of them is, so a point meets the cells that can
+    hold its nearest reference, and of the references only theirs. There are 288 wide cells at most; they come as one row."""
+    wide, cell = (lambda c: F.floor(F.col(c) / 15).cast("int")), (lambda c: F.floor(c).cast("int"))
+    r = r.withColumns({"_x": cell("r_lon"), "_y": cell("r_lat")})
+    spread = lambda x, y: F.max(haversine_km(F.col("r_lon"), F.col("r_lat"), x, y)).alias("spread")
+    fine = r.groupBy("_x", "_y").agg(spread(F.col("_x") + 0.5, F.col("_y") + 0.5)).withColumns({"_wx": wide("_x"), "_wy": wide("_y")})
+    coarse = r.withColumns({"_wx": wide("_x"), "_wy": wide("_y")}).groupBy("_wx", "_wy").agg(spread((F.col("_wx") + 0.5) * 15, (F.col("_wy") + 0.5) * 15))
+    one = coarse.agg(F.collect_list(F.struct("_wx", "_wy", "spread")).alias("_cells"))
+    away = lambda c: haversine_km(F.col("lon"), F.col("lat"), (c["_wx"] + 0.5) * 15, (c["_wy"] + 0.5) * 15)
+    p = points.crossJoin(F.broadcast(one)).withColumn("_most", F.array_min(F.transform("_cells", lambda c: away(c) + c["spread"])) + 1e-6)
+    p = p.withColumn("_c", F.explode(F.filter("_cells", lambda c: away(c) - c["spread"] <= F.col("_most")))).select(key, "lon", "lat", "_most", "_c._wx", "_c._wy")
+    p = p.join(fine, ["_wx", "_wy"]).withColumn("_away", haversine_km(F.col("lon"), F.col("lat"), F.col("_x") + 0.5, F.col("_y") + 0.5))
+    p = p.filter(F.col("_away") - F.col("spread") <= F.col("_most"))
+    best = p.groupBy(key).agg(F.min(F.col("_away") + F.col("spread")).alias("_near"))
+    p = p.join(best, key).filter(F.col("_away") - F.col("spread") <= F.col("_near") + 1e-6)
+    near = p.select(key, "lon", "lat", "_x", "_y").join(r, ["_x", "_y"])
+    return near.groupBy(key).agg(F.min(haversine_km("lon", "lat", "r_lon", "r_lat")).alias("distance_km"))
 
 
 def in_time_reach(references: DataFrame, candidates: DataFrame, hours: float) -> DataFrame:

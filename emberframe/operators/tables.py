@@ -10,12 +10,24 @@ from pyspark.sql import DataFrame
 
 def kept(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir`` and read back, so that lineage ends in files that outlive executors.
-    Only where the session has no such folder a temporary one of this machine is set."""
+    Where the session has no such folder, a temporary one of this machine is set if all runs on this machine; on a cluster
+    executors would each write to their own disk, so there it is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="emberframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/emberframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``kept`` made, once nothing will read them again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -103,9 +103,13 @@ CONTEXT = PIX + """
   QUALIFY row_number() OVER (PARTITION BY scene_id, "row", col ORDER BY "window") = 1
 )"""
 
-CASCADE = CONTEXT + """
+#: Every supplier as a static source. Radii are below the distance of two pixels, or all pixels would be static; a radius of
+#: 0 or none stands for the default.
+HEAT = "SELECT 104.5 + (s_suppkey % 50) * 0.02 AS lon, 30 + (s_suppkey % 47) * 0.02 AS lat, (1 + s_suppkey % 3) * 0.4 AS radius_km FROM supplier"
+
+CASCADE = CONTEXT + f"""
 , heat AS (
-  SELECT 104.5 + (s_suppkey % 50) * 0.02 AS lon, 30 + (s_suppkey % 47) * 0.02 AS lat, (s_suppkey % 3) * 0.8 AS radius_km FROM supplier WHERE s_suppkey % 5 = 0
+  {HEAT}
 ), joined AS (
   SELECT s.*, c."window", c.t7_bg, c.t13_bg, c.rvis_bg, c.n_rvis, c.t713_bg, c.std_t7, c.std_t713, c.pv, c.pc,
     EXISTS (SELECT 1 FROM heat h WHERE 2 * 6371.0 * asin(sqrt(pow(sin(radians(h.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(h.lat)) * pow(sin(radians(h.lon - s.lon) / 2), 2)))
@@ -133,24 +137,15 @@ CASCADE = CONTEXT + """
 
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").filter(F.pmod(s, F.lit(5)) == 0).select((104.5 + F.pmod(s, F.lit(50)) * 0.02).alias("lon"), (30 + F.pmod(s, F.lit(47)) * 0.02).alias("lat"), (F.pmod(s, F.lit(3)) * 0.8).alias("radius_km"))
-
-
-#: Every supplier as a static source. Radii are below the distance of two pixels, or all pixels would be static.
-HEAT_ALL = "SELECT 104.5 + (s_suppkey % 50) * 0.02 AS lon, 30 + (s_suppkey % 47) * 0.02 AS lat, (1 + s_suppkey % 3) * 0.4 AS radius_km FROM supplier"
-CASCADE_ALL = CASCADE.replace("SELECT 104.5 + (s_suppkey % 50) * 0.02 AS lon, 30 + (s_suppkey % 47) * 0.02 AS lat, (s_suppkey % 3) * 0.8 AS radius_km FROM supplier WHERE s_suppkey % 5 = 0", HEAT_ALL)
-
-
-def heat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select((104.5 + F.pmod(s, F.lit(50)) * 0.02).alias("lon"), (30 + F.pmod(s, F.lit(47)) * 0.02).alias("lat"), ((1 + F.pmod(s, F.lit(3))) * 0.4).alias("radius_km"))
+    place = (104.5 + F.pmod(s, F.lit(50)) * 0.02).alias("lon"), (30 + F.pmod(s, F.lit(47)) * 0.02).alias("lat")
+    return table(spark, sf_dir, "supplier").select(*place, ((1 + F.pmod(s, F.lit(3))) * 0.4).alias("radius_km"))
 
 
 RESCUE = R.Rescue(enabled=True)
 
 
-def judged(spark: SparkSession, sf_dir: str, sources: Callable[[SparkSession, str], DataFrame] = heat) -> DataFrame:
-    return pixels.judge(pix(spark, sf_dir), sources(spark, sf_dir), None, R.Thresholds(), RESCUE)
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.judge(pix(spark, sf_dir), heat(spark, sf_dir), None, R.Thresholds(), RESCUE)
 
 
 #: Fires for the operators after detection: a simple stand-in that needs no context.
@@ -224,21 +219,26 @@ DISK = R.Projection(140.7, 20466275, 20466275, 2750.5, 2750.5)
 
 
 @query("""
-WITH p AS (SELECT event_id, 80 + (event_id % 977) * 0.12 AS lon, -55 + (event_id % 991) * 0.11 AS lat FROM events),
-a AS (SELECT *, radians(lon - 140.7) AS dl, atan(pow(6356.7523, 2) / pow(6378.137, 2) * tan(radians(lat))) AS phi FROM p),
-b AS (SELECT *, 6356.7523 / sqrt(1 - (1 - pow(6356.7523, 2) / pow(6378.137, 2)) * pow(cos(phi), 2)) AS re FROM a),
-c AS (SELECT *, 42164.0 - re * cos(phi) * cos(dl) AS r1, -re * cos(phi) * sin(dl) AS r2, re * sin(phi) AS r3 FROM b)
-SELECT event_id, round(2750.5 + degrees(atan2(-r2, r1)) * 20466275 / 65536 + 1e-9, 4) AS col, round(2750.5 + degrees(asin(-r3 / sqrt(r1 * r1 + r2 * r2 + r3 * r3))) * 20466275 / 65536 + 1e-9, 4) AS line,
-  r1 * (re * cos(phi) * cos(dl)) - r2 * (re * cos(phi) * sin(dl)) - r3 * r3 * pow(6378.137, 2) / pow(6356.7523, 2) > 0 AS visible,
-  CASE WHEN r1 * (re * cos(phi) * cos(dl)) - r2 * (re * cos(phi) * sin(dl)) - r3 * r3 * pow(6378.137, 2) / pow(6356.7523, 2) > 0 THEN round(lon, 3) END AS lon_back,
-  CASE WHEN r1 * (re * cos(phi) * cos(dl)) - r2 * (re * cos(phi) * sin(dl)) - r3 * r3 * pow(6378.137, 2) / pow(6356.7523, 2) > 0 THEN round(lat, 3) END AS lat_back FROM c""")
+WITH p AS (SELECT event_id, 30 + (event_id % 977) * 0.25 AS lon, -55 + (event_id % 991) * 0.11 AS lat FROM events),
+a AS (SELECT *, radians(lon - 140.7) AS dl, atan(pow(6356.7523 / 6378.137, 2) * tan(radians(lat))) AS phi FROM p),
+b AS (SELECT *, 6356.7523 / sqrt(1 - (1 - pow(6356.7523 / 6378.137, 2)) * pow(cos(phi), 2)) AS re FROM a),
+c AS (SELECT *, re * cos(phi) * cos(dl) AS x, re * cos(phi) * sin(dl) AS y, re * sin(phi) AS z FROM b),
+-- on the near side: towards the satellite at (h, 0, 0), the tangent plane's point h x = y^2 + (a z / b)^2 is the limb
+d AS (SELECT *, 42164.0 * x > y * y + pow(z * 6378.137 / 6356.7523, 2) AS visible,
+  cos(radians(lat)) * cos(dl) > cos(radians(80)) AS well_inside FROM c)
+SELECT event_id, round(2750.5 + degrees(atan2(y, 42164.0 - x)) * 20466275 / 65536 + 1e-9, 4) AS col,
+  round(2750.5 + degrees(asin(-z / sqrt(pow(42164.0 - x, 2) + y * y + z * z))) * 20466275 / 65536 + 1e-9, 4) AS line, visible,
+  CASE WHEN well_inside THEN round(lon, 3) END AS lon_back, CASE WHEN well_inside THEN round(lat, 3) END AS lat_back FROM d""")
 def nav_lonlat_roundtrip(spark, sf_dir):
+    """Places up to 133 degrees from the point below the satellite, and back again for those within 80 degrees."""
     k = F.col("event_id")
-    p = table(spark, sf_dir, "events").select(k, (80 + F.pmod(k, F.lit(977)) * 0.12).alias("lon"), (-55 + F.pmod(k, F.lit(991)) * 0.11).alias("lat"))
+    p = table(spark, sf_dir, "events").select(k, (30 + F.pmod(k, F.lit(977)) * 0.25).alias("lon"), (-55 + F.pmod(k, F.lit(991)) * 0.11).alias("lat"))
     c, ln, v = R.to_column_line("lon", "lat", DISK)
     p = p.withColumns({"c": c, "l": ln, "visible": v})
     x, y = R.to_lon_lat("c", "l", DISK)
-    return p.select("event_id", r4("c").alias("col"), r4("l").alias("line"), "visible", F.when(F.col("visible"), F.round(F.pmod(x, F.lit(360.0)), 3)).alias("lon_back"), F.when(F.col("visible"), F.round(y, 3)).alias("lat_back"))
+    inside = F.col("visible") & (F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lon") - 140.7)) > F.cos(F.radians(F.lit(80.0))))
+    back = [F.when(inside, F.round(b, 3)).alias(n) for b, n in ((F.pmod(x, F.lit(360.0)), "lon_back"), (y, "lat_back"))]
+    return p.select("event_id", r4("c").alias("col"), r4("l").alias("line"), "visible", *back)
 
 
 # ------------------------------------------------------------------ detection
@@ -278,12 +278,6 @@ def detect_cascade(spark, sf_dir):
     return judged(spark, sf_dir).select("scene_id", "row", "col", "reject", "tier", r4("factor").alias("factor"), F.round(F.col("score") + 1e-9, 2).alias("score"))
 
 
-@query(f'WITH {CASCADE_ALL} SELECT scene_id, "row", col, reject, tier, round(factor + 1e-9, 4) AS factor, round(score + 1e-9, 2) AS score FROM scored')
-def detect_cascade_all(spark, sf_dir):
-    """The cascade with every supplier as a static source."""
-    return judged(spark, sf_dir, heat_all).select("scene_id", "row", "col", "reject", "tier", r4("factor").alias("factor"), F.round(F.col("score") + 1e-9, 2).alias("score"))
-
-
 @query(f"""WITH {CASCADE} SELECT scene_id, count(*) AS seeds, count(*) FILTER (day) AS day_seeds, count(*) FILTER (night_hot) AS night_seeds, count(*) FILTER (reject = 'background') AS rejected_background,
   count(*) FILTER (reject = 'dynamic') AS rejected_dynamic, count(*) FILTER (reject = 'cloud') AS rejected_cloud, count(*) FILTER (reject = 'edge') AS rejected_edge, count(*) FILTER (reject = 'static') AS rejected_static,
   count(*) FILTER (reject IS NULL) AS accepted, count(*) FILTER (reject IS NULL AND tier = 'model-rescue') AS rescued FROM scored GROUP BY scene_id""")
@@ -325,15 +319,10 @@ def crossings(ring: list[tuple[float, float]], x: str = "lon", y: str = "lat") -
 INSIDE = f"(({crossings(BOX)}) % 2 = 1 AND NOT ({crossings(HOLE)}) % 2 = 1)"
 
 
-@query(f"WITH {SPOTS}, heat AS (SELECT 104.5 + (s_suppkey % 50) * 0.02 AS x, 30 + (s_suppkey % 47) * 0.02 AS y, (s_suppkey % 3) * 0.8 AS r FROM supplier WHERE s_suppkey % 5 = 0) SELECT fire_id FROM spots WHERE NOT EXISTS (SELECT 1 FROM heat WHERE {hav('lon', 'lat', 'x', 'y')} <= CASE WHEN r > 0 THEN r ELSE 4 END)")
+@query(f"WITH {SPOTS}, heat AS ({HEAT}) SELECT fire_id FROM spots s WHERE NOT EXISTS (SELECT 1 FROM heat h WHERE {hav('s.lon', 's.lat', 'h.lon', 'h.lat')} <= h.radius_km)")
 def static_source_anti(spark, sf_dir):
-    return spatial.without_sources(spots(spark, sf_dir), heat(spark, sf_dir), "fire_id").select("fire_id")
-
-
-@query(f"WITH {SPOTS}, heat AS ({HEAT_ALL}) SELECT fire_id FROM spots s WHERE NOT EXISTS (SELECT 1 FROM heat h WHERE {hav('s.lon', 's.lat', 'h.lon', 'h.lat')} <= h.radius_km)")
-def static_source_anti_all(spark, sf_dir):
     """Spots that none of all suppliers' places covers."""
-    return spatial.without_sources(spots(spark, sf_dir), heat_all(spark, sf_dir), "fire_id").select("fire_id")
+    return spatial.without_sources(spots(spark, sf_dir), heat(spark, sf_dir), "fire_id").select("fire_id")
 
 
 @query(f"WITH {SPOTS} SELECT fire_id FROM spots WHERE {INSIDE}")
@@ -374,16 +363,11 @@ def references_in_time(spark, sf_dir):
     return spatial.in_time_reach(refs(spark, sf_dir), spots(spark, sf_dir), 1.0).select("id")
 
 
-@query(f"WITH {SPOTS}, {REFS}, few AS (SELECT * FROM refs WHERE id % 97 = 0) SELECT fire_id, round(min({hav('f.lon', 'f.lat', 'r.lon', 'r.lat')}) + 1e-9, 3) AS km FROM spots f, few r GROUP BY fire_id")
-def nearest_distance(spark, sf_dir):
-    few = refs(spark, sf_dir).filter(F.pmod("id", F.lit(97)) == 0)  # a sparse reference table is what this query is about
-    return spatial.nearest_distance(spots(spark, sf_dir), few, "fire_id", start_km=5).select("fire_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km"))
-
-
 @query(f"WITH {SPOTS}, {REFS} SELECT fire_id, round(min({hav('f.lon', 'f.lat', 'r.lon', 'r.lat')}) + 1e-9, 3) AS km FROM spots f, refs r GROUP BY fire_id")
-def nearest_distance_all(spark, sf_dir):
+def nearest_distance(spark, sf_dir):
     """The distance to the nearest of all references, which lie close: the first ring is small."""
-    return spatial.nearest_distance(spots(spark, sf_dir), refs(spark, sf_dir), "fire_id", start_km=1).select("fire_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km"))
+    near = spatial.nearest_distance(spots(spark, sf_dir), refs(spark, sf_dir), "fire_id", start_km=1)
+    return near.select("fire_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km"))
 
 
 @query(f"""WITH {SPOTS}, s AS (SELECT *, radians(1.0) * 6371.0 AS k FROM spots) SELECT fire_id, round(lon - 0.2 / (k * cos(radians(lat))) + 1e-9, 5) AS west, round(lat + 0.15 / k + 1e-9, 5) AS north,
@@ -433,19 +417,10 @@ def grid_temporal_state(spark, sf_dir):
     return temporal.grid_state(cand(spark, sf_dir)).select(big("glon").alias("glon"), big("glat").alias("glat"), big("slot_ord").alias("slot_ord"), r4("max_bt07_k").alias("max_bt07_k"), "n_cand", "max_area")
 
 
-@query(f"""WITH {CAND}, l AS (SELECT c.*, coalesce(a.max_bt07_k, 0) AS bm1, coalesce(b.max_bt07_k, 0) AS bm2, coalesce(p.max_bt07_k, 0) AS bp1, coalesce(a.n_cand, 0) > 0 AS h1, coalesce(b.n_cand, 0) > 0 AS h2
-FROM cand c LEFT JOIN state a ON a.glon = c.glon AND a.glat = c.glat AND a.slot_ord = c.slot_ord - 1 LEFT JOIN state b ON b.glon = c.glon AND b.glat = c.glat AND b.slot_ord = c.slot_ord - 2 LEFT JOIN state p ON p.glon = c.glon AND p.glat = c.glat AND p.slot_ord = c.slot_ord + 1)
-SELECT fire_id, round(bm1 + 1e-9, 4) AS bt07_m1, round(bp1 + 1e-9, 4) AS bt07_p1, round(max_bt07_k - bm1 + 1e-9, 4) AS delta_m1, CAST(h1 AS BIGINT) + CAST(h2 AS BIGINT) AS persist, round(greatest(bm1, bm2) + 1e-9, 4) AS past_max FROM l""")
-def lag_features(spark, sf_dir):
-    c = cand(spark, sf_dir)
-    f = temporal.lag_features(c, temporal.grid_state(c), "fire_id", lags=(-2, -1, 1))
-    return f.select("fire_id", r4("temp_bt07_m1").alias("bt07_m1"), r4("temp_bt07_p1").alias("bt07_p1"), r4("temp_bt07_delta_m1").alias("delta_m1"), big("temp_persist_3").alias("persist"), r4("temp_bt07_past_max").alias("past_max"))
-
-
 @query(f"""WITH {CAND}, l AS (SELECT c.fire_id, c.max_bt07_k, {", ".join(f"coalesce(max(s.max_bt07_k) FILTER (s.slot_ord = c.slot_ord + ({k})), 0) AS b{k + 6}, count(*) FILTER (s.slot_ord = c.slot_ord + ({k}) AND s.n_cand > 0) AS h{k + 6}" for k in temporal.LAGS)}
 FROM cand c LEFT JOIN state s ON s.glon = c.glon AND s.glat = c.glat AND s.slot_ord - c.slot_ord BETWEEN -6 AND 3 GROUP BY c.fire_id, c.max_bt07_k)
 SELECT fire_id, {", ".join(f"round(b{k + 6} + 1e-9, 4) AS bt07_{'m' if k < 0 else 'p'}{abs(k)}" for k in temporal.LAGS)}, round(max_bt07_k - b5 + 1e-9, 4) AS delta_m1, h3 + h4 + h5 AS persist, {" + ".join(f"h{k + 6}" for k in temporal.LAGS)} AS persist_all, round(greatest(b0, b3, b4, b5) + 1e-9, 4) AS past_max FROM l""")
-def lag_features_all(spark, sf_dir):
+def lag_features(spark, sf_dir):
     """All seven lags of the operator."""
     c = cand(spark, sf_dir)
     f = temporal.lag_features(c, temporal.grid_state(c), "fire_id")
@@ -774,5 +749,5 @@ def scene_flow(spark, sf_dir):
     from emberframe.plans import scene
 
     r = refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)})
-    out = scene.detect(pix(spark, sf_dir), heat_all(spark, sf_dir), zone(spark), r, c=scene.SceneConfig(rescue=RESCUE))
+    out = scene.detect(pix(spark, sf_dir), heat(spark, sf_dir), zone(spark), r, c=scene.SceneConfig(rescue=RESCUE))
     return out.selected.select("fire_id", "scene_id", "row", "col", "score", "confidence", "official_confirmed", "tier")

@@ -27,7 +27,7 @@ def test_nearest_of_all_references(spark, tmp_path):
     d = tables(tmp_path)
     places = [(104.5 + k * 37 % 9973 / 9973, 30 + k * 91 % 9967 / 9967) for k in range(1, 301)]
     spots = {s["fire_id"]: (s["lon"], s["lat"]) for s in queries.spots(spark, d).collect()}
-    got = {q["fire_id"]: q["km"] for q in queries.QUERIES["nearest_distance_all"](spark, d).collect()}
+    got = {q["fire_id"]: q["km"] for q in queries.QUERIES["nearest_distance"](spark, d).collect()}
     assert spots and got.keys() == spots.keys()
     assert all(abs(got[k] - min(km(p, q) for q in places)) <= 0.0011 for k, p in spots.items())
 
@@ -35,17 +35,17 @@ def test_nearest_of_all_references(spark, tmp_path):
 def test_every_supplier_is_a_source(spark, tmp_path):
     d = tables(tmp_path)
     sources = [((104.5 + k % 50 * 0.02, 30 + k % 47 * 0.02), (1 + k % 3) * 0.4) for k in range(1, 31)]
-    assert queries.heat_all(spark, d).count() == 30
+    assert queries.heat(spark, d).count() == 30
     spots = {s["fire_id"]: (s["lon"], s["lat"]) for s in queries.spots(spark, d).collect()}
     want = {k for k, p in spots.items() if all(km(p, q) > r for q, r in sources)}
-    assert {q["fire_id"] for q in queries.QUERIES["static_source_anti_all"](spark, d).collect()} == want and 0 < len(want) < len(spots)
+    assert {q["fire_id"] for q in queries.QUERIES["static_source_anti"](spark, d).collect()} == want and 0 < len(want) < len(spots)
 
 
 def test_all_windows_and_lags(spark, tmp_path):
     from pyspark.sql import functions as F
 
     d = tables(tmp_path, events=8 * 2500)
-    lags = queries.QUERIES["lag_features_all"](spark, d)
+    lags = queries.QUERIES["lag_features"](spark, d)
     assert {"bt07_m6", "bt07_m3", "bt07_m2", "bt07_m1", "bt07_p1", "bt07_p2", "bt07_p3"} <= set(lags.columns)
     r = lags.agg(F.max("persist"), F.max("persist_all"), F.max("bt07_m6")).first()
     assert r[0] == 3 and r[1] > 3 and r[2] > 0
