@@ -79,11 +79,12 @@ def spanning_edges(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
-def link_groups(members: DataFrame, items: DataFrame, compare: Callable[[pa.Table], list[tuple[int, int]]], block: int = 512) -> DataFrame:
+def link_groups(members: DataFrame, send: Callable[[DataFrame], DataFrame], compare: Callable[[pa.Table], list[tuple[int, int]]], block: int = 512) -> DataFrame:
     """(node, component) after all links among items that share a bucket, directly or through others.
 
-    ``members`` has (key, rep), ``items`` has rep and what ``compare`` needs. ``compare`` gets some items as a table and
-    returns links among them, at best a spanning forest. No pair of items is ever a row. Two steps:
+    ``members`` has (key, rep). ``send`` gets rows (rep, and keys of type long) and returns them with what ``compare`` needs
+    of the item. ``compare`` gets some items as a table, perhaps one of them twice, and returns links among them, at best a
+    spanning forest. No pair of items is ever a row. Two steps:
 
     1. Every item meets the least item of each of its buckets. A leader's items come in chunks of about ``block``, each
        with the leader, so a cluster of near copies costs an item sent once or twice, whatever its size.
@@ -97,15 +98,15 @@ def link_groups(members: DataFrame, items: DataFrame, compare: Callable[[pa.Tabl
             found = compare(table.drop_columns(keys))
             return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        return materialize(sent.groupBy(*keys).applyInArrow(run, "a long, b long"), "links")
+        return materialize(send(sent).groupBy(*keys).applyInArrow(run, "a long, b long"), "links")
 
     lead = members.groupBy("key").agg(F.min("rep").alias("lead"))
     led = members.join(lead, "key").filter("rep <> lead").select("rep", "lead").distinct()
     led = materialize(led, "led")
-    chunks = led.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    of = led.join(chunks, "lead").select("lead", "rep", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    heads = chunks.select("lead", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    links = linked(of.unionByName(heads).join(items, "rep"), ["lead", "chunk"])
+    chunks = led.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("chunks"))
+    of = led.join(chunks, "lead").select("lead", "rep", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"))
+    heads = chunks.select("lead", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    links = linked(of.unionByName(heads), ["lead", "chunk"])
     found = materialize(components(links), "components")
 
     state = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
@@ -117,13 +118,12 @@ def link_groups(members: DataFrame, items: DataFrame, compare: Callable[[pa.Tabl
     grouped = materialize(state.select("rep", "c").distinct().join(groups, F.col("c") == F.col("node")).select("rep", "c", F.col("component").alias("group")), "groups")
     sizes = grouped.groupBy("group", "c").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("group").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n"))
-    cut = sizes.select("group", F.col("main.c").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("rest"))
+    cut = sizes.select("group", F.col("main.c").alias("main"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("rest"))
     # a group of one block is compared at once; of others, each block of the rest with each block of all
-    placed = grouped.join(cut, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = placed.select("group", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("low"))
+    placed = grouped.join(cut, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    every = placed.select("group", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("low"))
     whole = every.select("group", "low", F.col("own").alias("high"), "rep")
-    rest = placed.filter("c <> main").withColumn("low", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rest")).cast("int"))
-    rest = rest.select("group", "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), "rep")
-    sent = whole.unionByName(rest).distinct().join(items, "rep")
-    more = linked(sent, ["group", "low", "high"])
+    rest = placed.filter("c <> main").withColumn("low", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rest")))
+    rest = rest.select("group", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("high"), "rep")
+    more = linked(whole.unionByName(rest).distinct(), ["group", "low", "high"])
     return materialize(components(links.unionByName(more)), "components")

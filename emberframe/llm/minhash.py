@@ -23,7 +23,7 @@ from emberframe.llm.linking import link_groups, spanning_edges
 from emberframe.llm.shared import materialize, small_batches
 from emberframe.llm.words import mix, shingle_sets, slices, text_bytes, word_hashes
 
-SIGNATURES = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, print_a long, print_b long, bands array<long>"
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -68,9 +68,9 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(minmax_signatures(values, n[n > 0], bands * rows // 2), rows) if n.any() else np.empty((0, bands), dtype=np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
+                    batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
-                ], names=["doc_id", "n_shingles", "print_a", "print_b", "bands"])
+                ], names=["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "bands"])
 
     return materialize(docs.mapInArrow(run, SIGNATURES), "signatures")
 
@@ -86,24 +86,40 @@ def _prints(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.view(np.int64), b.view(np.int64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of the classes (rep, doc, print_a, print_b) in ``wanted``, from the text of their document that has
-    their set; a set is its ordered hashes in 8 bytes each."""
-    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("rep", "text", "print_a", "print_b")
+def _with_sets(docs: DataFrame, classes: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (rep, and keys of type long) with ``shingles``, the set of the class: its ordered hashes in 8
+    bytes each, from the text of the class's document. Texts are shuffled once, at every size, and a set is made when it is
+    sent. Rows of ``docs`` that repeat id and text send it once, unless Spark has split them to several tasks."""
+    keys = [c for c in wanted.columns if c != "rep"]
+    to = wanted.join(classes.select("rep", "doc", F.col("text_hash").alias("hash")), "rep")
+    on = (F.col("doc_id") == F.col("doc")) & (F.col("text_hash") == F.col("hash"))
+    sent = docs.filter("doc_id is not null").join(to.hint("merge"), on).select("rep", *keys, "text")  # rows of one text are neighbours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            a, b = (np.asarray(batch.column(k)) for k in (2, 3))
+            keep = []
+            for k, told in enumerate(zip(*(c.to_pylist() for c in batch.columns[:-1]))):
+                if told[0] != now:
+                    now, seen = told[0], set()
+                if told not in seen:
+                    seen.add(told)
+                    keep.append(k)
+            if not keep:
+                continue
+            batch = batch.take(pa.array(keep))
+            rep = np.asarray(batch.column(0))
+            first = np.flatnonzero(np.append(True, rep[1:] != rep[:-1]))
+            raw, offsets = text_bytes(batch.column(len(keys) + 1).take(pa.array(first)))
             for i, j in slices(offsets, 1 << 20):
                 values, n = shingle_sets(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size)
-                own_a, own_b = _prints(values, n)
                 data, ends = values.tobytes(), 8 * np.cumsum(n)
-                keep = np.flatnonzero((own_a == a[i:j]) & (own_b == b[i:j]))  # another text may have the same id
-                sets = [data[ends[k] - 8 * n[k] : ends[k]] for k in keep.tolist()]
-                yield pa.record_batch([batch.column(0).take(pa.array(keep + i)), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                low, high = first[i], first[j] if j < len(first) else len(rep)
+                of = np.repeat(np.arange(j - i), np.diff(np.append(first[i:j], high)))
+                sets = pa.array([data[ends[k] - 8 * n[k] : ends[k]] for k in range(j - i)], pa.binary()).take(pa.array(of))
+                yield pa.record_batch([*(c.slice(low, high - low) for c in batch.columns[:-1]), sets], names=["rep", *keys, "shingles"])
 
-    return materialize(texts.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    return sent.mapInArrow(run, ", ".join(f"{c} long" for c in ("rep", *keys)) + ", shingles binary")
 
 
 def linked_sets(table: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -139,18 +155,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     with nothing: its component_id is null and it is kept. An empty table gives an empty result. Other columns are not
     returned. ``rows`` must divide ``bands * rows / 2``.
     """
-    docs = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    text_ = docs[text].cast("string")
+    docs = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), text_.alias("text"), F.xxhash64(text_).alias("text_hash"))
     signed = _signatures(docs, size, bands, rows)
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("print_a", "print_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, in files
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    classes = named.groupBy("print_a", "print_b", F.col("n_shingles").alias("n")).agg(one, F.first("bands").alias("bands"))
+    classes = classes.select("print_a", "print_b", "n", F.col("one.doc_id").alias("doc"), "one.text_hash", "bands", F.monotonically_increasing_id().alias("rep"))
+    classes = materialize(classes, "classes")  # numbered once, in files
 
     placed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % 1_000_000_007).alias("s"))
     buckets = buckets.filter("k > 1").groupBy("k", "x", "s").agg(F.min("key").alias("key"))
     members = materialize(placed.join(buckets.select("key"), "key").select("key", "rep").distinct(), "members")
-    wanted = members.select("rep").distinct().join(classes.select("rep", "doc", "print_a", "print_b"), "rep")
-    found = link_groups(members, _sets(docs, wanted, size), lambda table: linked_sets(table, percent))
+    found = link_groups(members, lambda wanted: _with_sets(docs, classes, size, wanted), lambda table: linked_sets(table, percent))
 
     rep = classes.select("print_a", "print_b", F.col("n").alias("n_shingles"), "rep", "doc").join(found, F.col("rep") == F.col("node"), "left")
     rep = rep.withColumn("group", F.coalesce("component", "rep")).select("print_a", "print_b", "n_shingles", "group", "doc")
