@@ -39,7 +39,7 @@ CHUNK = 1 << 18
 #: Bytes of a word's code.
 CODE = 4
 _CASED = np.random.default_rng(0xCA5E).integers(0, 2**64, 256, dtype=np.uint64)
-SEGMENTS = "doc_id long, text_hash long, n_bytes long, anchor long, segment long, start long, windows int, at int, done int"
+SEGMENTS = "doc_id long, text_hash long, anchor long, segment long, start long, windows int, at int, done int"
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _segments(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame
                         r, st, at, anchor, segment = r[head], st[head], np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64)
                     rows = pa.array(r)
                     yield pa.record_batch([
-                        batch.column(0).take(rows), batch.column(2).take(rows), pa.array(offsets[r + 1] - offsets[r]), pa.array(anchor), pa.array(segment),
+                        batch.column(0).take(rows), batch.column(2).take(rows), pa.array(anchor), pa.array(segment),
                         pa.array(st), pa.array(w.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(len(r), done, dtype=np.int32)),
                     ], names=SEGMENTS.replace(" long", "").replace(" int", "").split(", "))
 
@@ -299,7 +299,7 @@ def _join_docs(docs: DataFrame, extra: DataFrame, how: str = "inner") -> DataFra
     grows with the input, so both sides are shuffled at every size."""
     extra = extra.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     on = docs["doc_id"].eqNullSafe(extra["_id"]) & docs["text_hash"].eqNullSafe(extra["_hash"])
-    return docs.join(extra, on, how).drop("_id", "_hash")
+    return docs.join(extra.hint("merge"), on, how).drop("_id", "_hash")
 
 
 def _word_runs(data: bytes, spans: list[list[int]]) -> list[list[int]]:
