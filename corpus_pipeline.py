@@ -6,7 +6,7 @@ stage's documents; all stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.llm import minhash, mixing, packing, quality, repeats
@@ -46,21 +46,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty, and further columns may have any names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, docs.columns)], *[docs[c].alias(f"own_{c}") for c in ("doc_id", "source", "text")], size.alias("own_size"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("of"), "quality").groupBy("of").agg(F.min("quality").alias("rated"))
-    rated = rows.select(F.col("own_doc_id").alias("doc_id"), F.col("own_source").alias("source"), F.col("own_size").alias("words")).join(labels, F.col("doc_id") == F.col("of"), "left")
+    own = [docs["doc_id"].alias("own_id"), docs["source"].alias("own_source"), size.alias("own_size"), F.monotonically_increasing_id().alias("own_row")]
+    rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, docs.columns)], *own)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("rated"))
+    # labels grow with the documents: both sides are shuffled at every size
+    rated = rows.join(labels.hint("merge"), F.col("own_id") == F.col("labelled"), "left")
     weight = F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0)
-    mixed = mixing.mix_sources(rated, size=F.col("words"), weight=weight).filter("size > 0")
-    # rows that share all three are taken as often as each other, or some of them once more
-    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum(F.expr("taken div size")).alias("sum")).filter("sum > 0")
-    mixed = mixed.select("doc_id", "source", "size", F.expr("sum div n").alias("times"), F.expr("sum % n").alias("more"))
-    on = F.col("own_doc_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
-    taken = rows.join(materialize(mixed, "mixed"), on)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("own_text")))
-    some = taken.filter("more > 0").withColumn("times", F.col("times") + (turn <= F.col("more")).cast("long"))
-    taken = taken.filter("more = 0").unionByName(some).filter("times > 0")
-    copy = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
-    return taken.withColumn("copy", copy).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    taken = mixing.repeat_rows(rated, size="own_size", row="own_row", weight=weight, doc_id="own_id", source="own_source")
+    return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
