@@ -88,6 +88,13 @@ def report_time(date, time) -> Column:
     return F.try_to_timestamp(F.concat(F.trim(_col(date)), F.lit(" "), F.lpad(F.trim(_col(time).cast("string")), 4, "0")), F.lit("yyyy-MM-dd HHmm"))
 
 
+def listing_next(xml) -> Column:
+    """The token of the listing's next page, null on the last one."""
+    token = F.regexp_extract(_col(xml), r"(?s)<NextContinuationToken>(.*?)</NextContinuationToken>", 1)
+    more = F.lower(F.regexp_extract(_col(xml), r"<IsTruncated>\s*(\w+)\s*</IsTruncated>", 1)) == "true"
+    return F.when(more & (F.length(token) > 0), token)
+
+
 def listing_entries(xml) -> Column:
     """array of struct(key, size, modified) of an object-store listing in XML, with entities decoded."""
     entry = F.regexp_extract_all(_col(xml), F.lit(r"(?s)<Contents>(.*?)</Contents>"), F.lit(1))

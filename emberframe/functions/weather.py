@@ -75,6 +75,17 @@ def forecast_index(times: Column, target: Column) -> Column:
     return F.when(F.size(times) <= 0, -1).otherwise(F.coalesce(F.get(F.filter(valid, lambda i: F.get(times, i) >= target), F.lit(0)), F.element_at(F.when(F.size(valid) > 0, valid), -1), F.lit(-1)))
 
 
+def forecast_cells(points: DataFrame, target_ms: Column, step_lon: float, step_lat: float) -> DataFrame:
+    """(lat, lon, ring, forecast_ts, and the values) of weather points at the forecast time for ``target_ms``, as cells of
+    their grid. Points without a valid time are left out."""
+    from emberframe.functions.geo import cell_ring
+
+    p = points.withColumn("_at", forecast_index(F.col("ts"), target_ms)).filter("_at >= 0")
+    values = forecast_values(F.col("ts"), F.col("series"), F.col("units"), target_ms)
+    at = F.timestamp_millis(F.get("ts", F.col("_at")))
+    return p.select("lat", "lon", cell_ring("lon", "lat", step_lon, step_lat).alias("ring"), at.alias("forecast_ts"), values.alias("v")).select("lat", "lon", "ring", "forecast_ts", "v.*")
+
+
 def forecast_values(times: Column, series: Column, units: Column, target: Column) -> Column:
     """struct of the converted and rounded weather at the forecast time. ``series`` maps a variable to its values,
     ``units`` to its unit."""

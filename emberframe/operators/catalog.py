@@ -84,6 +84,26 @@ def manifest(files: DataFrame) -> DataFrame:
     return one.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def collected_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(output, path, order) of the files (output, path) of the wanted outputs (output, order, required), a path once, for
+    the first output that has it. A required output without a file fails the job; others may have none."""
+    found = outputs.join(files, "output", "left")
+    missing = F.col("path").isNull() & F.coalesce("required", F.lit(True))
+    checked = F.when(missing, F.raise_error(F.concat(F.lit("no file of the output "), "output"))).otherwise(F.col("path"))
+    present = found.select("output", checked.alias("path"), "order").filter("path is not null")
+    return first_rows(present, ["path"], ["order", "output"])
+
+
+def resolved_overlays(overlays: DataFrame, files: DataFrame) -> DataFrame:
+    """Overlays (source_id, type, local_path, web_path, description) with the names of the latest files (local_path,
+    file_name, web_path, place) at their paths, the first of several; without one, the path's own last part."""
+    one = first_rows(files, ["local_path"], ["place"]).select("local_path", F.col("file_name").alias("_name"), F.col("web_path").alias("_web"))
+    own = F.element_at(F.split("local_path", r"[/\\]"), -1)
+    return overlays.join(one, "local_path", "left").select(
+        "source_id", "type", F.coalesce("_name", own).alias("file_name"), F.coalesce("_web", "web_path").alias("web_path"), F.coalesce("description", F.lit("")).alias("description")
+    )
+
+
 def manifest_changes(old: DataFrame, new: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """(path, change): new, changed, missing (listed in both, alike, but not ``present`` here), same, or removed."""
     o = old.select("path", F.col("size").alias("o_size"), F.col("sha256").alias("o_sha"), F.lit(True).alias("_o"))
@@ -142,9 +162,10 @@ def unmatched_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: st
     return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(parent_key or key).alias(key)).distinct(), key, "left_anti")
 
 
-def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once: what a unique index would refuse."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+def repeated_keys(df: DataFrame, keys: list[str], partial: bool = False) -> DataFrame:
+    """Keys that occur more than once: what a unique index would refuse; with ``partial``, keys with a null may repeat."""
+    rows = df.dropna(subset=keys) if partial else df
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def scene_ids(rows: DataFrame, scenes: DataFrame, ts: str = "acq_ts") -> DataFrame:

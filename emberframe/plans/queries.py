@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions import features, geo, names, serving, weather
 from emberframe.functions import radiometry as R
-from emberframe.operators import catalog, clusters, evaluation, graphs, pixels, ranking, spatial, temporal
+from emberframe.operators import catalog, clusters, evaluation, graphs, pixels, ranking, spatial, summaries, temporal
 from emberframe.operators.tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,6 +613,65 @@ def scene_completeness(spark, sf_dir):
     return catalog.complete_scenes(f, ["1", "2"], [1, 2, 3]).select("scene_id")
 
 
+@query("""WITH p AS (SELECT CAST(p_retailprice AS DOUBLE) / 10 AS mw FROM part), h AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_type = 'purchase')
+SELECT (SELECT count(*) FROM p) AS plant_count, round((SELECT sum(mw) FROM p) + 1e-9, 1) AS mw, count(*) AS hit_count, min(d) AS first_date, max(d) AS last_date,
+  (SELECT count(*) FROM nation) AS persistent_count, (SELECT count(*) FROM supplier) AS static_count, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM p) AS automatic_count FROM h""")
+def interference_summary(spark, sf_dir):
+    plants = table(spark, sf_dir, "part").select((F.col("p_retailprice").cast("double") / 10).alias("capacity_mw"))
+    hits = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd").alias("acq_date"))
+    s = summaries.interference_summary(plants, hits, table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"))
+    return s.select("plant_count", F.round(F.col("total_capacity_mw") + 1e-9, 1).alias("mw"), "hit_count", "first_date", "last_date", "persistent_count", "static_count", "automatic_count")
+
+
+@query(f"""WITH {CASCADE}, {REFS}, beside AS (
+  SELECT f.scene_id, f."row", f.col, r.id, {hav('f.lon', 'f.lat', 'r.lon', 'r.lat')} AS d, abs(epoch_us(r.acq_ts) - epoch_us(f.acq_ts)) AS dt FROM fires f JOIN refs r ON abs(epoch_us(r.acq_ts) - epoch_us(f.acq_ts)) <= 3 * 3.6e9 AND r.lat BETWEEN f.lat - 0.1 AND f.lat + 0.1
+), closest AS (SELECT * FROM beside WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY scene_id, "row", col ORDER BY d, dt, id) = 1
+), per AS (SELECT f.scene_id, count(*) AS n, count(b.id) AS confirmed, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'low') AS low FROM fires f LEFT JOIN closest b USING (scene_id, "row", col) GROUP BY f.scene_id)
+SELECT s.scene_id, count(*) AS seeds, coalesce(any_value(n), 0) AS fire_pixel_count, coalesce(any_value(confirmed), 0) AS official_confirmed_pixel_count, coalesce(any_value(high), 0) AS high, coalesce(any_value(low), 0) AS low,
+  (SELECT count(*) FROM refs) AS official_reference_count, (SELECT count(DISTINCT id) FROM closest) AS official_matched_count
+FROM scored s LEFT JOIN per USING (scene_id) GROUP BY s.scene_id""")
+def run_summary(spark, sf_dir):
+    """Stages, fires and what official detections say of them, by scene."""
+    from emberframe.plans import scene
+
+    found = kept(judged(spark, sf_dir), "judged")
+    fires = kept(spatial.nearest_reference(scene.fire_rows(found), refs(spark, sf_dir)), "fires")
+    ranges = spatial.official_ranges(refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)}), fires)
+    return summaries.run_summary(found, fires, None, ranges).select("scene_id", "seeds", "fire_pixel_count", "official_confirmed_pixel_count", "high", "low", "official_reference_count", "official_matched_count")
+
+
+@query("""SELECT event_id, CAST(1700000000000 + (event_id % 7) * 3600000 + CASE WHEN event_id % 5 <= 1 THEN 3600000 ELSE 10800000 END AS BIGINT) AS forecast_ms,
+  round(CASE WHEN event_id % 5 <= 1 THEN event_id % 40 ELSE event_id % 40 + 2 END + 1e-9, 1) AS temp_c, round(CASE WHEN event_id % 5 <= 1 THEN 40 ELSE 60 END + 1e-9, 1) AS rh_pct FROM events WHERE event_id % 11 <> 0""")
+def forecast_payloads(spark, sf_dir):
+    """Answers of a forecast service as they come, one without times in eleven, at the first time from a target on."""
+    from emberframe.sources import readers
+
+    k = F.col("event_id")
+    first = F.lit(1700000000000) + F.pmod(k, F.lit(7)) * 3600000
+    warm = F.pmod(k, F.lit(40)) + 273.15
+    payload = F.format_string('{"ts":[%d,%d],"units":{"temp-surface":"K","rh-surface":"%%"},"temp-surface":[%f,%f],"rh-surface":[40,60],"warning":"x"}', first + 3600000, first + 10800000, warm, warm + 2)
+    answers = table(spark, sf_dir, "events").select(k.cast("double").alias("lat"), (1 + F.pmod(k, F.lit(5))).cast("double").alias("lon"), F.when(F.pmod(k, F.lit(11)) != 0, payload).otherwise('{"ts":[]}').alias("payload"))
+    at = F.lit(1700000000000) + F.pmod(F.col("lat").cast("long"), F.lit(7)) * 3600000 + F.col("lon").cast("long") * 1800000
+    cells = weather.forecast_cells(readers.forecast_series(answers), at, 2.0, 2.0)
+    return cells.select(big("lat").alias("event_id"), F.unix_millis("forecast_ts").alias("forecast_ms"), F.round(F.col("temp_c") + 1e-9, 1).alias("temp_c"), F.round(F.col("rh_pct") + 1e-9, 1).alias("rh_pct"))
+
+
+@query("""WITH o AS (SELECT c_custkey AS source_id, 'd/' || c_custkey AS local_path, CASE WHEN c_custkey % 2 = 0 THEN 'w' || c_custkey END AS web_path FROM customer), f AS (SELECT 'd/' || s_suppkey AS local_path, 's' || s_suppkey AS file_name, 'web/' || s_suppkey AS web_path FROM supplier)
+SELECT source_id, coalesce(f.file_name, CAST(source_id AS VARCHAR)) AS file_name, coalesce(f.web_path, o.web_path) AS web_path FROM o LEFT JOIN f USING (local_path)""")
+def overlay_files(spark, sf_dir):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    overlays = table(spark, sf_dir, "customer").select(c.alias("source_id"), F.lit("raster").alias("type"), F.concat(F.lit("d/"), c).alias("local_path"), F.when(c % 2 == 0, F.concat(F.lit("w"), c)).alias("web_path"), F.lit(None).cast("string").alias("description"))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("d/"), s).alias("local_path"), F.concat(F.lit("s"), s).alias("file_name"), F.concat(F.lit("web/"), s).alias("web_path"), F.lit(0).alias("place"))
+    return catalog.resolved_overlays(overlays, files).select("source_id", "file_name", "web_path")
+
+
+@query("SELECT event_id, round(73 + (event_id % 2500 % 50) * 0.02, 6) AS lon, round(54 - (event_id % 2500 // 50) * 0.02, 6) AS lat FROM events")
+def affine_grid(spark, sf_dir):
+    p = pix(spark, sf_dir)
+    lon, lat = R.affine_lon_lat("row", "col", 73.0, 54.0, 0.02, -0.02)
+    return p.select("event_id", lon.alias("lon"), lat.alias("lat"))
+
+
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE")
 def slot_retention(spark, sf_dir):
     return catalog.retained(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts", 60).select("event_id")
@@ -669,16 +728,19 @@ def archive_names(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS slot, count(*) AS n, round(max(value) + 1e-9, 4) AS max_value FROM events GROUP BY 1")
 def stream_slot_counts(spark, sf_dir):
-    """The events as a stream: tumbling slots under a watermark, each micro-batch's result kept as a table."""
+    """The events as a stream: tumbling slots under a watermark; each micro-batch tells the slots that it changed."""
     from emberframe.streaming import scenes
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     found = []
     slots = scenes.slot_counts(source, 10, 60)
-    run = slots.writeStream.outputMode("complete").foreachBatch(lambda batch, _: found.append(kept(batch, "slots"))).trigger(availableNow=True).start()
+    run = slots.writeStream.outputMode("update").foreachBatch(lambda batch, k: found.append(kept(batch.withColumn("batch", F.lit(k)), "slots"))).trigger(availableNow=True).start()
     run.awaitTermination()
-    return found[-1].select(F.col("slot").cast("timestamp_ntz").alias("slot"), "n", r4("max_value").alias("max_value"))
+    told = found[0]
+    for batch in found[1:]:
+        told = told.unionByName(batch)
+    return catalog.first_rows(told, ["slot"], [F.desc("batch")]).select(F.col("slot").cast("timestamp_ntz").alias("slot"), "n", r4("max_value").alias("max_value"))
 
 
 @query("SELECT n_nationkey AS id, n_regionkey AS component FROM (SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS n_regionkey FROM nation)")

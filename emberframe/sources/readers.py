@@ -151,6 +151,39 @@ def numpy_raster(spark: SparkSession, path: str, shape: tuple[int, int] | None =
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row int, col int, value float")
 
 
+def support_mask(spark: SparkSession, path: str, pixels: DataFrame, shape: tuple[int, int] | None = None, keys: tuple[str, ...] = ("scene_id", "row", "col")) -> DataFrame:
+    """``pixels`` (keys, lon, lat) with ``masked``, from a raster (.npy, .npz: any value but 0) or from polygons (.geojson,
+    .json: the pixel's centre lies in one). Another suffix, and a file without polygons, is an error."""
+    from emberframe.operators.spatial import rasterize
+
+    suffix = path.lower().rsplit(".", 1)[-1]
+    if suffix in ("npy", "npz"):
+        mask = numpy_raster(spark, path, shape).filter(F.col("value") != 0).select("row", "col", F.lit(True).alias("masked"))
+        return pixels.join(mask, ["row", "col"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
+    if suffix not in ("geojson", "json"):
+        raise ValueError(f"unsupported kind of mask: {path}")
+    found = polygons(spark, path)
+    if not found.limit(1).count():
+        raise ValueError(f"the mask {path} has no polygon")
+    return rasterize(pixels, found, keys)
+
+
+def forecast_points(spark: SparkSession, path: str) -> DataFrame:
+    """(lat, lon, ts, series, units) of saved answers of a point forecast service: JSON lines with lat, lon and payload."""
+    return forecast_series(spark.read.schema("lat double, lon double, payload string").json(path))
+
+
+def forecast_series(answers: DataFrame) -> DataFrame:
+    """(lat, lon, ts, series, units) of answers (lat, lon, payload: JSON text). ``series`` has the variables of the surface
+    by name; a payload that is no JSON, or has no times, gives no row."""
+    p = answers.select("lat", "lon", F.from_json("payload", "map<string,string>").alias("p"))
+    times = F.transform(F.from_json(F.col("p")["ts"], "array<double>"), lambda t: t.cast("long"))
+    own = F.map_filter("p", lambda k, v: k.endswith("-surface") & v.startswith("["))
+    series = F.transform_values(own, lambda k, v: F.from_json(v, "array<double>"))
+    units = F.coalesce(F.from_json(F.col("p")["units"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return p.select("lat", "lon", times.alias("ts"), series.alias("series"), units.alias("units")).filter("size(ts) > 0")
+
+
 def object_listing(spark: SparkSession, path: str) -> DataFrame:
     """(key, size, modified) of saved object-store listings in XML."""
     from emberframe.functions.names import listing_entries

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,12 @@ def feature_collection(df: DataFrame, geometry: Column, properties: list[str] |
 
 def write_scene(df: DataFrame, path: str, scenes: list[str] | None = None) -> None:
     """Replace the scenes' partitions. A scene without rows any more loses its partition too, so a replay is idempotent."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").parquet(path)
+    spark, seen = df.sparkSession, Observation()
+    # the scenes that have rows are told by the write itself; there are as many as partitions
+    told = df.observe(seen, F.collect_set(F.col("scene_id").cast("string")).alias("scenes"))
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").parquet(path)
     if scenes:
-        have = {r["scene_id"] for r in df.select(F.col("scene_id").cast("string").alias("scene_id")).filter(F.col("scene_id").isin(scenes)).distinct().collect()}
+        have = set(seen.get["scenes"])
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for s in set(scenes) - have:
@@ -75,7 +77,8 @@ def grid_file(pixels: DataFrame, fires: DataFrame, height: int, width: int, line
 
 
 def publish(df: DataFrame, path: str, tries: int = 3) -> None:
-    """Write beside the target, then put in its place: readers see the old table or the new one."""
+    """Write beside the target, then put in its place: readers see the old table or the new one. Where renaming fails
+    ``tries`` times the files are copied."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target, staging, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staging", f"{path}.old"))
@@ -86,4 +89,9 @@ def publish(df: DataFrame, path: str, tries: int = 3) -> None:
         if (not fs.exists(target) or fs.rename(target, old)) and fs.rename(staging, target):
             fs.delete(old, True)
             return
-    raise RuntimeError(f"{path} could not be replaced")
+    # stores that do not rename: copied, which readers may see half done
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, staging, fs, target, True, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise RuntimeError(f"{path} could not be replaced")
+    fs.delete(old, True)
