@@ -212,11 +212,11 @@ def judge(pixels: DataFrame, sources: DataFrame | None = None, polygons: DataFra
     seeds = seed(observed, t).filter(F.col("day") | F.col("night_hot"))
     found = seeds.drop("pv", "pc").join(background(seeds, observed, t), list(PIXEL), "left")
     found = found.withColumn("_key", F.struct(*PIXEL))
-    hits = None
+    hits, places = None, seeds.select(F.struct(*PIXEL).alias("_key"), "lon", "lat")  # without the background, which is costly
     if sources is not None:
-        hits = near_sources(found, sources, "_key", t.thermal_source_radius_km)
+        hits = near_sources(places, sources, "_key", t.thermal_source_radius_km)
     if polygons is not None:
-        inside = within_polygons(found, polygons, "_key").select("_key")
+        inside = within_polygons(places, polygons, "_key").select("_key")
         hits = inside.distinct() if hits is None else hits.unionByName(inside).distinct()
     found = found.withColumn("static", F.lit(False)) if hits is None else found.join(hits.withColumn("static", F.lit(True)), "_key", "left").withColumn("static", F.coalesce("static", F.lit(False)))
     return cascade(found.drop("_key"), t, rescue)
