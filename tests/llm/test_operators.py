@@ -291,30 +291,57 @@ def test_consensus_wants_one_turn_scale_and_shift():
     assert media.consensus(a, bits, r.uniform(0, 100, (20, 2)), bits) < 6
 
 
+def brute_mixture(tokens, held, tuning):
+    """Scores by counters: weights learned from the counts of the training texts that do not tune, then the mixture of the
+    counts of all training texts."""
+
+    def counted(keys):
+        word, pair, before = Counter(), Counter(), Counter()
+        for k in keys:
+            word.update(tokens[k])
+            pair.update(zip([None, *tokens[k]], tokens[k]))
+            before.update([None, *tokens[k][:-1]])
+        n, v = sum(word.values()), len(word)
+        return lambda h, w: (pair[h, w] / max(before[h], 1), word[w] / max(n, 1), 1 / (v + 1), min(before[h].bit_length(), language_model.LEVELS - 1))
+
+    estimate = counted([k for k in tokens if not held(k) and not tuning(k)])
+    steps = Counter()
+    for k in tokens:
+        if tuning(k):
+            for h, w in zip([None, *tokens[k]], tokens[k]):
+                p, q, u, level = estimate(h, w)
+                steps[level, *(int(language_model._ratio(np.array([x / u]))[0]) for x in (p, q))] += 1
+    level, p, q = (np.array(x) for x in zip(*sorted(steps)))
+    weights = language_model.learn_weights(level, p, q, np.array([float(steps[x]) for x in sorted(steps)]))
+    estimate = counted([k for k in tokens if not held(k)])
+    out = {}
+    for k, t in tokens.items():
+        found = [estimate(h, w) for h, w in zip([None, *t], t)]
+        out[k] = sum(math.log10(float(weights[x[3]] @ x[:3])) for x in found)
+    return out
+
+
 def test_language_model(docs, odd, spark):
     held, tuning = F.col("doc_id") % 5 == 2, F.col("doc_id") % 5 == 3
     got = {r["doc_id"]: r for r in language_model.score_texts(docs, held, tuning, batch_bytes=2000, range_bytes=1000).collect()}
     one = {r["doc_id"]: r for r in language_model.score_texts(docs, held, tuning).collect()}
     tokens = {k: [*split(t), 0] for k, t in enumerate(TEXTS)}
-    count, pairs, context = Counter(), Counter(), Counter()
-    for k, t in tokens.items():
-        if k % 5 != 2:
-            count.update(t)
-            pairs.update(zip([None, *t], t))
-            context.update([None, *t[:-1]])
+    count = Counter(w for k, t in tokens.items() if k % 5 != 2 for w in t)
     n, v = sum(count.values()), len(count)
     for k, t in tokens.items():
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (k % 5 == 2, len(t), sum(count[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t))
         assert r["score"] == pytest.approx(one[k]["score"]) and r["score"] <= 0
+    want = brute_mixture(tokens, lambda k: k % 5 == 2, lambda k: k % 5 == 3)
+    assert [got[k]["score"] for k in tokens] == pytest.approx([want[k] for k in tokens])
     assert language_model.score_texts(odd, F.lit(False), F.lit(True)).count() == 5
     assert language_model.score_texts(odd, F.lit(True), F.lit(False)).filter("train_tokens = 0 and score < 0").count() == 5
     assert language_model.score_texts(empty(spark), held, tuning).count() == 0
 
 
 def test_language_model_estimates_and_mixture():
-    """Scores are the mixture of the estimates that brute force gives, and the weights raise the likelihood."""
+    """No other weights on a grid have a greater likelihood."""
     levels, p, w = np.array([3] * 3), np.array([40, 0, 30]), np.array([20, 20, 25])
     counts = np.array([50.0, 30.0, 20.0])
     weights = language_model.learn_weights(levels, p, w, counts)
