@@ -37,6 +37,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 0.8 and more on shingles of four words, over all whole texts. Null, empty and blank texts link with nothing."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
@@ -63,18 +64,22 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens. A null or empty text is its end id alone."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a cosine of 0.95 and more among all vectors. Null, zero and non-finite ones link with nothing."""
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of all conversations with its cheapest repair and its rendering. Empty texts are turns, ties have an order."""
     return chat.repair_roles(_read(spark, sf_dir, "conversations"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every text that 400-byte strings with another start cover. A null text is empty; repeated rows repeat each other."""
     return repeats.repeated_bytes(_read(spark, sf_dir, "documents"))
 
 
