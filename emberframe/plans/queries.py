@@ -295,7 +295,10 @@ def rescue_topn(spark, sf_dir):
     return pixels.limit_rescued(spots(spark, sf_dir), R.Rescue(enabled=True, most=10)).select("fire_id", "tier")
 
 
-@query()
+@query(f"""WITH {SPOTS}, o AS (SELECT scene_id, list([{{'id': fire_id, 'r': "row", 'c': col, 's': score}}] ORDER BY score DESC, "row", col, fire_id) AS l FROM spots GROUP BY scene_id),
+-- one after the other: a spot joins the list unless one of the list is within two rows and columns
+k AS (SELECT scene_id, list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y.r - x[1].r) <= 2 AND abs(y.c - x[1].c) <= 2)) > 0 THEN kept ELSE list_concat(kept, x) END) AS l FROM o),
+u AS (SELECT scene_id, unnest(l) AS q FROM k) SELECT q.id AS fire_id, scene_id, q.r AS "row", q.c AS col, q.s AS score FROM u""")
 def nms_dedup(spark, sf_dir):
     return pixels.suppress(spots(spark, sf_dir), 2).select("fire_id", "scene_id", "row", "col", "score")
 
