@@ -475,11 +475,16 @@ def regional_budget(spark, sf_dir):
 
 
 @query(f"""WITH {SPOTS}, h AS (SELECT *, (hour(acq_ts) + minute(acq_ts) / 60.0 + lon / 15) % 24 AS hl FROM spots)
-SELECT fire_id, round(sin(6.283185307179586 * month(acq_ts) / 12) + 1e-9, 4) AS month_sin, round(cos(6.283185307179586 * hl / 24) + 1e-9, 4) AS hour_cos, round(6371.0088 * acos(least(greatest(cos(radians(lat)) * cos(radians(lon - 140.7)), -1), 1)) + 1e-9, 2) AS star_km,
- round(bt_tir * bt_tir + 1e-9, 3) AS bt07_sq, CASE WHEN hl >= 6 AND hl < 18 THEN 'day' WHEN (hl >= 5 AND hl < 6) OR (hl >= 18 AND hl < 19) THEN 'twilight' ELSE 'night' END AS phase FROM h""")
+SELECT fire_id, round(sin(6.283185307179586 * month(acq_ts) / 12) + 1e-9, 4) AS month_sin, round(cos(6.283185307179586 * hl / 24) + 1e-9, 4) AS hour_cos, round(cos(6.283185307179586 * month(acq_ts) / 12) + 1e-9, 4) AS month_cos, round(sin(6.283185307179586 * hl / 24) + 1e-9, 4) AS hour_sin, round(6371.0088 * acos(least(greatest(cos(radians(lat)) * cos(radians(lon - 140.7)), -1), 1)) + 1e-9, 2) AS star_km,
+ round(bt_tir * bt_tir + 1e-9, 3) AS bt07_sq, bt_tir AS level, greatest(bt_dif, 0) AS strength, round(bt_tir * bt_dif + 1e-9, 3) AS product, 1e0 AS area_sq, 0e0 AS lon_span, 0e0 AS lat_span, 0e0 AS aspect, 0e0 AS offset_km, 0e0 AS offset_ratio,
+ CASE WHEN lon < 105 THEN 1e0 ELSE 0e0 END AS west, CASE WHEN lon >= 105 AND lon < 115 THEN 1e0 ELSE 0e0 END AS central, CASE WHEN lon >= 115 THEN 1e0 ELSE 0e0 END AS east,
+ CASE WHEN hl >= 6 AND hl < 18 THEN 1e0 ELSE 0e0 END AS day, CASE WHEN (hl >= 5 AND hl < 6) OR (hl >= 18 AND hl < 19) THEN 1e0 ELSE 0e0 END AS twilight, CASE WHEN hl < 5 OR hl >= 19 THEN 1e0 ELSE 0e0 END AS night, CASE WHEN hl >= 6 AND hl < 18 THEN 'day' WHEN (hl >= 5 AND hl < 6) OR (hl >= 18 AND hl < 19) THEN 'twilight' ELSE 'night' END AS phase FROM h""")
 def base_features(spark, sf_dir):
     f = features.base_features(features.candidate_frame(spots(spark, sf_dir)))
-    return f.select("fire_id", r4("month_sin").alias("month_sin"), r4("hour_cos").alias("hour_cos"), F.round(F.col("distance_star_km") + 1e-9, 2).alias("star_km"), F.round(F.col("bt07_sq") + 1e-9, 3).alias("bt07_sq"), F.col("day_phase").alias("phase"))
+    same = {"level": "bt07_level", "strength": "t713_strength", "area_sq": "area_sq", "lon_span": "lon_span_deg", "lat_span": "lat_span_deg", "aspect": "aspect_ratio", "west": "region_west", "central": "region_central", "east": "region_east", "day": "dn_day", "twilight": "dn_twilight", "night": "dn_night"}
+    rest = [F.col(c).cast("double").alias(n) for n, c in same.items()] + [F.round(c, 2).alias(n) for n, c in (("offset_km", "peak_offset_km"), ("offset_ratio", "peak_offset_ratio"))]
+    rest += [r4("month_cos").alias("month_cos"), r4("hour_sin").alias("hour_sin"), F.round(F.col("bt07_x_t713") + 1e-9, 3).alias("product")]
+    return f.select("fire_id", *rest, r4("month_sin").alias("month_sin"), r4("hour_cos").alias("hour_cos"), F.round(F.col("distance_star_km") + 1e-9, 2).alias("star_km"), F.round(F.col("bt07_sq") + 1e-9, 3).alias("bt07_sq"), F.col("day_phase").alias("phase"))
 
 
 FLAGS = " OR ".join(f"(x BETWEEN {a} AND {b} AND y BETWEEN {c} AND {d})" for a, b, c, d in features.URBAN_BOXES)
@@ -668,7 +673,7 @@ def overlay_files(spark, sf_dir):
     return catalog.resolved_overlays(overlays, files).select("source_id", "file_name", "web_path")
 
 
-@query("SELECT event_id, round(73 + (event_id % 2500 % 50) * 0.02, 6) AS lon, round(54 - (event_id % 2500 // 50) * 0.02, 6) AS lat FROM events")
+@query("SELECT event_id, round(73 + (event_id % 2500 % 50) * 0.02e0, 6) AS lon, round(54 - (event_id % 2500 // 50) * 0.02e0, 6) AS lat FROM events")
 def affine_grid(spark, sf_dir):
     p = pix(spark, sf_dir)
     lon, lat = R.affine_lon_lat("row", "col", 73.0, 54.0, 0.02, -0.02)
