@@ -457,6 +457,17 @@ def test_chat_repair(spark):
         assert all(b in chat.LEGAL[a] for a, b in itertools.pairwise(states)) and states[-1] in chat.ENDS
         assert [line for line in out.split("\n") if line.startswith("t")] == [f"t{t}" for t in range(len(roles)) if t % 5]
     assert "".join(x["rendered"] for x in sorted(got[None], key=lambda x: x["seq"])) == "<|user|>\nb\nb\na"
+    # pieces and blocks: the cost is that of one piece, however rows are dealt, and the repair does not depend on the dealing
+    one = {k: sum(x["cost"] for x in q) for k, q in got.items()}
+    for width in (2, 7):
+        dealt = [sorted(chat.repair_roles(frame, partitions=n, width=width).collect(), key=str) for n in (1, 5, 9)]
+        assert dealt[0] == dealt[1] == dealt[2]
+        cost, states = Counter(), defaultdict(list)
+        for q in sorted(dealt[0], key=lambda x: x["seq"]):
+            cost[q["conv_id"]] += q["cost"]
+            states[q["conv_id"]] += [line[2:-2] for line in q["rendered"].split("\n") if line.startswith("<|")]
+        assert cost == one
+        assert all(chat.ROLES.index(b) + 1 in chat.LEGAL[chat.ROLES.index(a) + 1] for v in states.values() for a, b in itertools.pairwise(v))
     assert chat.repair_roles(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
