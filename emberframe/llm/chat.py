@@ -115,7 +115,9 @@ def multiplied(m: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return m
 
 
-def steps(matrices: np.ndarray, heads: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def steps(
+    matrices: np.ndarray, heads: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """(state before, state after) of each matrix on the cheapest way through its run, from the run's state ``first`` to
     ``last`` (``FREE``: the one that is cheapest to end in). Of equal ways, the one whose states are least from the end
     backwards. All runs go forward together, one place at a time, and then back."""
@@ -198,7 +200,13 @@ def _settled(lists: DataFrame, keys: list[str], at: str) -> DataFrame:
             ends = np.zeros(len(places), dtype=bool)
             ends[heads + count - 1] = end.to_numpy(zero_copy_only=False)
             of = pa.array(np.repeat(np.arange(len(heads)), count))
-            yield pa.record_batch([*(b.column(k).take(of) for k in range(len(keys))), places, pa.array(before), pa.array(after), pa.array(ends)], names=[*keys, at, "first", "last", "end"])
+            yield pa.record_batch(
+                [
+                    *(b.column(k).take(of) for k in range(len(keys))), places, pa.array(before), pa.array(after),
+                    pa.array(ends)
+                ],
+                names=[*keys, at, "first", "last", "end"]
+            )
 
     schema = ", ".join(f"{k} long" for k in (*keys, at, "first", "last"))
     return lists.select(*keys, "f", "first", "last", "end").mapInArrow(run, f"{schema}, end boolean")
@@ -214,17 +222,24 @@ def _piece_ends(products: DataFrame, width: int) -> DataFrame:
         for b in batches:
             f = b.column(2)
             m = _matrices(f.flatten().flatten()[1])
-            yield pa.record_batch([*b.columns[:2], _listed(multiplied(m, np.asarray(f.offsets)[:-1] - f.offsets[0].as_py()))], names=["conv_id", "block", "matrix"])
+            yield pa.record_batch(
+                [*b.columns[:2], _listed(multiplied(m, np.asarray(f.offsets)[:-1] - f.offsets[0].as_py()))],
+                names=["conv_id", "block", "matrix"]
+            )
 
     whole = _gathered(blocks.mapInArrow(multiply, "conv_id long, block long, matrix array<long>"), ["conv_id"], "block")
-    whole = whole.withColumns({"first": F.lit(START).cast("long"), "last": F.lit(FREE).cast("long"), "end": F.lit(True)})
+    whole = whole.withColumns(
+        {"first": F.lit(START).cast("long"), "last": F.lit(FREE).cast("long"), "end": F.lit(True)}
+    )
     ends = _settled(whole, ["conv_id"], "block").withColumnsRenamed({"conv_id": "_conv", "block": "_block"})
     below = blocks.join(ends, blocks["conv_id"].eqNullSafe(ends["_conv"]) & (blocks["block"] == ends["_block"]))
     return _settled(below, ["conv_id", "block"], "piece").drop("block")
 
 
 def _literals(values: list) -> Column:
-    return F.array(*[F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, (list, tuple)) else F.lit(v) for v in values])
+    return F.array(
+        *[F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, (list, tuple)) else F.lit(v) for v in values]
+    )
 
 
 def rendered(rows: DataFrame) -> DataFrame:
@@ -236,18 +251,32 @@ def rendered(rows: DataFrame) -> DataFrame:
     cost = F.get(_literals([int(TABLES[r][0][b, a]) for r in range(4) for b, a in pairs]), code).cast("long")
     merged = F.col("action") == "merge"
     none = F.array().cast("array<string>")
-    inserted = F.when(merged, none).otherwise(F.get(_literals([[ROLES[w - 1] for w in way(b, a)] for b, a in pairs]), pair))
-    heads = F.when(merged, "").otherwise(F.get(_literals(["".join(header(w) + "\n" for w in way(b, a)) + (header(a) if a else "") for b, a in pairs]), pair))
+    inserted = F.when(merged, none).otherwise(
+        F.get(_literals([[ROLES[w - 1] for w in way(b, a)] for b, a in pairs]), pair)
+    )
+    heads = F.when(merged, "").otherwise(
+        F.get(
+            _literals(["".join(header(w) + "\n" for w in way(b, a)) + (header(a) if a else "") for b, a in pairs]), pair
+        )
+    )
     body = F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit(APART))
     short = F.col("final") & F.get(_literals([bool(c) for c in END_COST]), F.col("after"))
-    piece = F.concat(F.when(F.col("seq") == 0, "").otherwise("\n"), heads, body, F.when(short, "\n" + header(USER)).otherwise(""))
+    piece = F.concat(
+        F.when(F.col("seq") == 0, "").otherwise("\n"), heads, body, F.when(short, "\n" + header(USER)).otherwise("")
+    )
     out = rows.withColumn("action", action).withColumn("cost", cost + F.when(short, INSERT).otherwise(0))
     new_role = F.get(_literals(["", *ROLES]), F.col("after"))
     more = F.when(short, F.array(F.lit(ROLES[USER - 1]))).otherwise(none)
-    return out.select("conv_id", "seq", "turn", "role", "action", new_role.alias("new_role"), F.concat(inserted, more).alias("inserted"), "cost", piece.alias("rendered"))
+    return out.select(
+        "conv_id", "seq", "turn", "role", "action", new_role.alias("new_role"),
+        F.concat(inserted, more).alias("inserted"), "cost", piece.alias("rendered")
+    )
 
 
-def repair_roles(turns: DataFrame, partitions: int | None = None, width: int = PIECE, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def repair_roles(
+    turns: DataFrame, partitions: int | None = None, width: int = PIECE, conv_id: str = "conv_id", turn: str = "turn",
+    role: str = "role", text: str = "text"
+) -> DataFrame:
     """One row per row of ``turns``: its place in the conversation (seq from 0), what became of it and its rendering.
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a defined order; rows with
@@ -259,8 +288,13 @@ def repair_roles(turns: DataFrame, partitions: int | None = None, width: int = P
     row's share of the conversation's cost. An empty table gives an empty result. Other columns are not returned.
     """
     n = partitions or shuffle_partitions(turns.sparkSession)
-    rows = turns.select(turns[conv_id].cast("long").alias("conv_id"), turns[turn].cast("long").alias("turn"), turns[role].cast("string").alias("role"), turns[text].cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = turns.select(
+        turns[conv_id].cast("long").alias("conv_id"), turns[turn].cast("long").alias("turn"),
+        turns[role].cast("string").alias("role"), turns[text].cast("string").alias("text")
+    )
+    ordered = rows.repartitionByRange(
+        n, "conv_id", "turn", "role", "text"
+    ).sortWithinPartitions("conv_id", "turn", "role", "text")
     ordered = ordered.withColumn("code", role_code(F.col("role")))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,15 +308,29 @@ def repair_roles(turns: DataFrame, partitions: int | None = None, width: int = P
             if last == (b.column(0)[0].as_py(),):  # goes on from the batch before
                 place[: counts[0]] += rows_of_last
             last, rows_of_last = (b.column(0)[len(b) - 1].as_py(),), int(place[-1]) + 1
-            yield pa.record_batch([*b.columns, pa.array(np.full(len(b), part)), pa.array(place)], names=["conv_id", "turn", "role", "text", "code", "part", "place"])
-
-    ordered = materialize(ordered.mapInArrow(number, "conv_id long, turn long, role string, text string, code int, part long, place long"), "turns")
+            yield pa.record_batch(
+                [*b.columns, pa.array(np.full(len(b), part)), pa.array(place)],
+                names=["conv_id", "turn", "role", "text", "code", "part", "place"]
+            )
+
+    ordered = materialize(
+        ordered.mapInArrow(
+            number, "conv_id long, turn long, role string, text string, code int, part long, place long"
+        ),
+        "turns"
+    )
     # only the first conversation of a partition can have begun before it: at most a row per partition is broadcast
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begun = ordered.groupBy("conv_id", "part").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(earlier))
-    begun = F.broadcast(begun.filter("base > 0").select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "base"))
-    rows = ordered.join(begun, ordered["conv_id"].eqNullSafe(begun["_conv"]) & (ordered["part"] == begun["_part"]), "left")
-    rows = rows.withColumn("seq", F.col("place") + F.coalesce("base", F.lit(0))).withColumn("piece", F.expr(f"seq div {width}"))
+    begun = F.broadcast(
+        begun.filter("base > 0").select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "base")
+    )
+    rows = ordered.join(
+        begun, ordered["conv_id"].eqNullSafe(begun["_conv"]) & (ordered["part"] == begun["_part"]), "left"
+    )
+    rows = rows.withColumn(
+        "seq", F.col("place") + F.coalesce("base", F.lit(0))
+    ).withColumn("piece", F.expr(f"seq div {width}"))
     rows = rows.select("conv_id", "piece", "turn", "role", "text", "code", "seq")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +341,21 @@ def repair_roles(turns: DataFrame, partitions: int | None = None, width: int = P
             if len(some):
                 heads = _heads(some, [0, 1])
                 m = multiplied(COSTS[np.asarray(some.column(2))], heads)
-                yield pa.record_batch([*(some.column(k).take(pa.array(heads)) for k in range(2)), _listed(m)], names=["conv_id", "piece", "matrix"])
-
-    roles = rows.select("conv_id", "piece", "code", "seq").repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "seq")
+                yield pa.record_batch(
+                    [*(some.column(k).take(pa.array(heads)) for k in range(2)), _listed(m)],
+                    names=["conv_id", "piece", "matrix"]
+                )
+
+    roles = rows.select(
+        "conv_id", "piece", "code", "seq"
+    ).repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "seq")
     ends = _piece_ends(roles.mapInArrow(multiply, "conv_id long, piece long, matrix array<long>"), width)
 
     # a piece's states come ahead of its rows, as a row of its own: texts are shuffled once, and joined with nothing
     states = {"first": F.lit(START).cast("long"), "last": F.lit(FREE).cast("long"), "end": F.lit(True)}
-    told = rows.withColumns(states).unionByName(ends.withColumn("seq", F.lit(-1).cast("long")), allowMissingColumns=True)
+    told = rows.withColumns(states).unionByName(
+        ends.withColumn("seq", F.lit(-1).cast("long")), allowMissingColumns=True
+    )
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, heads in _whole_pieces(batches, [0, 1]):
@@ -312,8 +367,16 @@ def repair_roles(turns: DataFrame, partitions: int | None = None, width: int = P
             final = np.zeros(len(some), dtype=bool)
             final[np.append(heads[1:], len(some)) - 1] = end
             columns = [some.column(k) for k in (0, 2, 3, 4, 5, 6)]
-            yield pa.record_batch([*columns, pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(final)], names=["conv_id", "turn", "role", "text", "code", "seq", "before", "after", "final"])
+            yield pa.record_batch(
+                [*columns, pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(final)],
+                names=["conv_id", "turn", "role", "text", "code", "seq", "before", "after", "final"]
+            )
 
     told = told.select("conv_id", "piece", "turn", "role", "text", "code", "seq", "first", "last", "end")
     traced = told.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "seq")
-    return rendered(traced.mapInArrow(trace, "conv_id long, turn long, role string, text string, code int, seq long, before int, after int, final boolean"))
+    return rendered(
+        traced.mapInArrow(
+            trace,
+            "conv_id long, turn long, role string, text string, code int, seq long, before int, after int, final boolean"
+        )
+    )

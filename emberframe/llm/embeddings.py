@@ -91,7 +91,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare(own: np.ndarray, own_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, own_home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(
+    own: np.ndarray, own_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, own_home: np.ndarray,
+    threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (own, other) of links; among a cell's own vectors, only those with own id < other id."""
     single, found = own.astype(np.float32), []
     for first in range(0, len(other), 4096):
@@ -109,7 +112,10 @@ def compare(own: np.ndarray, own_ids: np.ndarray, other: np.ndarray, other_ids:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK, chunk: int = CHUNK, pivots: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK, chunk: int = CHUNK, pivots: int | None = None,
+    vec_id: str = "vec_id", embedding: str = "embedding"
+) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id (the least id reachable by links) and kept.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing. So do rows with a null id:
@@ -122,16 +128,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
         for batch in batches:
             x, good = unit(batch.column(1))
             packed = _packed(x).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array([p if g else None for p, g in zip(packed, good)], pa.binary())], names=["id", "vector"])
-
-    rows = vectors.select(vectors[vec_id].cast("long").alias("id"), vectors[embedding].cast("array<double>").alias("e")).mapInArrow(prepare, "id long, vector binary")
+            yield pa.record_batch(
+                [batch.column(0), pa.array([p if g else None for p, g in zip(packed, good)], pa.binary())],
+                names=["id", "vector"]
+            )
+
+    rows = vectors.select(
+        vectors[vec_id].cast("long").alias("id"), vectors[embedding].cast("array<double>").alias("e")
+    ).mapInArrow(prepare, "id long, vector binary")
     rows = materialize(rows, "vectors")
     single = rows.filter("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
     classes = single.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes.select(F.col("rep").alias("id"), "n", "vector"), "classes")
     total = classes.count()
     if total == 0:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(
+            F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
+            F.lit(True).alias("kept")
+        )
     # a vector meets every pivot, then its cell: with more pivots than the square root, meeting them costs more than it saves
     centres = choose_pivots(classes, pivots or max(1, min(-(-total // block), 2 * math.isqrt(total))))
 
@@ -143,17 +157,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
                 every = np.concatenate([np.arange(len(part)), r])
                 cell = np.concatenate([home, cells]).astype(np.int32)
                 at_home = np.arange(len(every)) < len(part)
-                yield pa.record_batch([pa.array(cell), pa.array(at_home), *(c.take(pa.array(every)) for c in part.columns)], names=["cell", "home", "id", "n", "vector"])
+                yield pa.record_batch(
+                    [pa.array(cell), pa.array(at_home), *(c.take(pa.array(every)) for c in part.columns)],
+                    names=["cell", "home", "id", "n", "vector"]
+                )
 
     placed = materialize(classes.mapInArrow(place, "cell int, home boolean, id long, n long, vector binary"), "cells")
     # blocks of a cell's own vectors, chunks of all its vectors: a row per cell
     sizes = placed.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("own"), F.count("*").alias("all"))
-    sizes = sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("blocks"), F.ceil(F.col("all") / chunk).cast("int").alias("chunks")).filter("blocks > 0")
+    sizes = sizes.select(
+        "cell", F.ceil(F.col("own") / block).cast("int").alias("blocks"),
+        F.ceil(F.col("all") / chunk).cast("int").alias("chunks")
+    ).filter("blocks > 0")
     spread = placed.join(sizes, "cell")
     block_of = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     chunk_of = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
-    as_own = spread.filter("home").select("cell", block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("own"), "home", "id", "n", "vector")
-    as_other = spread.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk_of.alias("chunk"), F.lit(False).alias("own"), "home", "id", "n", "vector")
+    as_own = spread.filter("home").select(
+        "cell", block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.lit(True).alias("own"), "home", "id", "n", "vector"
+    )
+    as_other = spread.select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk_of.alias("chunk"),
+        F.lit(False).alias("own"), "home", "id", "n", "vector"
+    )
 
     def join(table: pa.Table) -> pa.Table:
         mine = np.asarray(table["own"])
@@ -163,14 +189,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
         a = b = np.empty(0, dtype=np.int64)
         if len(own) and len(other):
             a, b = compare(x[own], ids[own], x[other], ids[other], home[other], threshold)
-        counts = np.bincount(own[a], weights=n[other[b]], minlength=len(ids)) + np.bincount(other[b], weights=n[own[a]], minlength=len(ids))
+        counts = np.bincount(
+            own[a], weights=n[other[b]], minlength=len(ids)
+        ) + np.bincount(other[b], weights=n[own[a]], minlength=len(ids))
         at = np.flatnonzero(counts)
         forest = np.array(_forest(ids[own[a]], ids[other[b]]), dtype=np.int64).reshape(-1, 2)
         return pa.table([
-            pa.array(np.concatenate([ids[at], forest[:, 0]])), pa.array([None] * len(at) + forest[:, 1].tolist(), pa.int64()), pa.array(np.concatenate([counts[at].astype(np.int64), np.zeros(len(forest), dtype=np.int64)])),
-        ], names=["a", "b", "links"])
-
-    found = as_own.unionByName(as_other).groupBy("cell", "block", "chunk").applyInArrow(join, "a long, b long, links long")
+            pa.array(np.concatenate([ids[at], forest[:, 0]])),
+            pa.array([None] * len(at) + forest[:, 1].tolist(), pa.int64()),
+            pa.array(np.concatenate([counts[at].astype(np.int64), np.zeros(len(forest), dtype=np.int64)])),
+        ], names=["a", "b", "links"])
+
+    found = as_own.unionByName(as_other).groupBy("cell", "block", "chunk").applyInArrow(
+        join, "a long, b long, links long"
+    )
     found = materialize(found, "links")
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     edges = found.filter("b is not null").select("a", "b")
@@ -179,7 +211,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     named = named.join(links, named["rep"] == links["a"], "left").drop("a")
     found_top = components(edges)
     named = named.join(found_top, named["rep"] == found_top["node"], "left")
-    named = named.select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("top"))
+    named = named.select(
+        "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("top")
+    )
     out = rows.select("id").join(named.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     top = F.coalesce("top", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), top.alias("component_id"), F.coalesce(top == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        top.alias("component_id"), F.coalesce(top == F.col("id"), F.lit(True)).alias("kept")
+    )

@@ -43,14 +43,18 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _pack(a: np.ndarray) -> bytes:
     """Compressed by byte planes."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1) if len(a) else b""
+    return zstandard.compress(
+        np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1
+    ) if len(a) else b""
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
     if not data:
         return np.empty(0, dtype=kind)
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(
+        np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(width, -1).T
+    ).view(kind).ravel()
 
 
 def _texts(docs: DataFrame, role: Column, batch_bytes: int) -> DataFrame:
@@ -66,9 +70,11 @@ def _texts(docs: DataFrame, role: Column, batch_bytes: int) -> DataFrame:
                 for i, j in slices(offsets, batch_bytes):
                     sizes = np.diff(offsets[i : j + 1]).astype(np.int64)
                     yield pa.record_batch([
-                        pa.array([uuid.uuid4().int >> 65]), pa.array([tuning]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), some.column(0).slice(i, j - i)),
-                        pa.array([kinds[i:j].tobytes()]), pa.array([sizes.tobytes()]), pa.array([zstandard.compress(raw[offsets[i] : offsets[j]].tobytes(), 1)]),
-                    ], names=["batch", "tuning", "ids", "roles", "sizes", "text"])
+                        pa.array([uuid.uuid4().int >> 65]), pa.array([tuning]),
+                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), some.column(0).slice(i, j - i)),
+                        pa.array([kinds[i:j].tobytes()]), pa.array([sizes.tobytes()]),
+                        pa.array([zstandard.compress(raw[offsets[i] : offsets[j]].tobytes(), 1)]),
+                    ], names=["batch", "tuning", "ids", "roles", "sizes", "text"])
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), role.cast("int").alias("role"))
     return materialize(rows.mapInArrow(run, TEXTS), "texts")
@@ -112,9 +118,11 @@ def _ask(texts: DataFrame, bits: int) -> DataFrame:
                 none = [b""] * len(rows)
                 counts = [_pack(c) for _, _, c in rows]
                 yield pa.record_batch([
-                    pa.array([number] * len(rows)), pa.array([p for p, _, _ in rows], pa.int64()), pa.array([_pack(np.diff(k, prepend=np.uint64(0))) for _, k, _ in rows], pa.binary()),
-                    pa.array(none if tuning else counts, pa.binary()), pa.array(counts if tuning else none, pa.binary()),
-                ], names=["batch", "part", "keys", "est", "tune"])
+                    pa.array([number] * len(rows)), pa.array([p for p, _, _ in rows], pa.int64()),
+                    pa.array([_pack(np.diff(k, prepend=np.uint64(0))) for _, k, _ in rows], pa.binary()),
+                    pa.array(none if tuning else counts, pa.binary()),
+                    pa.array(counts if tuning else none, pa.binary()),
+                ], names=["batch", "part", "keys", "est", "tune"])
 
     return texts.select("batch", "tuning", "roles", "sizes", "text").mapInArrow(run, ASKED)
 
@@ -135,14 +143,27 @@ def _answer(table: pa.Table) -> pa.Table:
     back = np.empty(len(order), dtype=np.int64)
     back[order] = group
     for name in ("est", "tune"):
-        own = np.concatenate([_unpack(c, np.uint32) if c else np.zeros(n, dtype=np.uint32) for c, n in zip(table[name].to_pylist(), sizes)])
+        own = np.concatenate(
+            [
+                _unpack(c, np.uint32) if c else np.zeros(n, dtype=np.uint32) for c,
+                n in zip(table[name].to_pylist(), sizes)
+            ]
+        )
         sums.append(np.add.reduceat(own[order].astype(np.int64), head))
     totals = [int(x) for v in (sums[0] + sums[1], sums[0]) for x in (v[words].sum(), (v[words] > 0).sum())]
     told = [np.split(s.astype(np.uint64)[back], np.cumsum(sizes)[:-1]) for s in sums]
     part = table["part"][0].as_py()
-    rows = [(b, part, _pack(e), _pack(t), None) for b, e, t in zip(table["batch"].to_pylist(), *told)] + [(-1, part, b"", b"", totals)]
+    rows = [
+        (b, part, _pack(e), _pack(t), None) for b, e, t in zip(table["batch"].to_pylist(), *told)
+    ] + [(-1, part, b"", b"", totals)]
     columns = list(zip(*rows))
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["batch", "part", "est", "tune", "totals"])
+    return pa.table(
+        [
+            pa.array(c, t) for c,
+            t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))
+        ],
+        names=["batch", "part", "est", "tune", "totals"]
+    )
 
 
 def _estimates(batch: dict, told: pa.Table, which: tuple[str, ...]) -> tuple[np.ndarray, ...]:
@@ -154,7 +175,9 @@ def _estimates(batch: dict, told: pa.Table, which: tuple[str, ...]) -> tuple[np.
     index = np.empty(len(key), dtype=np.int64)
     index[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) - 1
     told = told.sort_by("part")
-    count = sum(np.concatenate([_unpack(c, np.uint64) for c in told[name].to_pylist()]).astype(np.int64) for name in which)
+    count = sum(
+        np.concatenate([_unpack(c, np.uint64) for c in told[name].to_pylist()]).astype(np.int64) for name in which
+    )
     t = len(token)
     word, pair = count[index[:t]], count[index[t : 2 * t]]
     before = np.empty_like(word)
@@ -179,7 +202,9 @@ def _value(step: np.ndarray) -> np.ndarray:
     return np.where(step > 0, 2.0 ** ((step - 1) / 2 + LOWEST), 0.0)
 
 
-def learn_weights(levels: np.ndarray, pairs: np.ndarray, words: np.ndarray, counts: np.ndarray, steps: int = 100) -> np.ndarray:
+def learn_weights(
+    levels: np.ndarray, pairs: np.ndarray, words: np.ndarray, counts: np.ndarray, steps: int = 100
+) -> np.ndarray:
     """Weights (pair, word, uniform) of each level by expectation-maximisation. The estimates are given relative to the
     uniform one. A level without counts has the weights of the level below it; the lowest starts from thirds."""
     out = np.empty((LEVELS, 3))
@@ -199,17 +224,25 @@ def learn_weights(levels: np.ndarray, pairs: np.ndarray, words: np.ndarray, coun
     return out
 
 
-def score_texts(docs: DataFrame, held_out: Column, tuning: Column, batch_bytes: int = BATCH, range_bytes: int = RANGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out: Column, tuning: Column, batch_bytes: int = BATCH, range_bytes: int = RANGE,
+    doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those that are not ``held_out``; of them, those with ``tuning`` teach the weights. A null text is
     empty: its one token is the end. A null id is kept; repeated rows each count. Without training texts, or for an empty
     table, every count is 0 and only the uniform estimate is left. Other columns are not returned.
     """
-    docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.when(held_out, HELD).when(tuning, TUNE).otherwise(TRAIN).alias("role"))
+    docs = docs.select(
+        docs[doc_id].alias("doc_id"), docs[text].alias("text"),
+        F.when(held_out, HELD).when(tuning, TUNE).otherwise(TRAIN).alias("role")
+    )
     texts = _texts(docs, F.col("role"), batch_bytes)
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0  # compressed to about half
-    bits = max(1, (int(2 * size) // range_bytes).bit_length())  # a range's entries stay as many, however large the corpus
+    bits = max(
+        1, (int(2 * size) // range_bytes).bit_length()
+    )  # a range's entries stay as many, however large the corpus
     told = materialize(_ask(texts, bits).groupBy("part").applyInArrow(_answer, TOLD), "told")
     total = told.filter("batch = -1").select(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(4))).first()
     tokens, words, est_tokens, est_words = (int(x or 0) for x in total)
@@ -225,8 +258,13 @@ def score_texts(docs: DataFrame, held_out: Column, tuning: Column, batch_bytes:
         at = np.flatnonzero(n)
         return pa.table([pa.array(at), pa.array(n[at].astype(np.int64))], names=["code", "n"])
 
-    tuned = texts.filter("tuning").groupBy("batch").cogroup(answers.join(texts.filter("tuning").select("batch"), "batch", "left_semi").groupBy("batch")).applyInArrow(tune, "code long, n long")
-    found = np.array([(r["code"], r["n"]) for r in tuned.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()], dtype=np.int64).reshape(-1, 2)
+    tuned = texts.filter("tuning").groupBy("batch").cogroup(
+        answers.join(texts.filter("tuning").select("batch"), "batch", "left_semi").groupBy("batch")
+    ).applyInArrow(tune, "code long, n long")
+    found = np.array(
+        [(r["code"], r["n"]) for r in tuned.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()],
+        dtype=np.int64
+    ).reshape(-1, 2)
     code = found[:, 0]
     weights = learn_weights(code // RATIOS**2, code // RATIOS % RATIOS, code % RATIOS, found[:, 1].astype(float))
 
@@ -238,8 +276,10 @@ def score_texts(docs: DataFrame, held_out: Column, tuning: Column, batch_bytes:
         p = w[:, 0] * pair / np.maximum(before, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (words + 1)
         base = np.log10((word + 1) / (tokens + words + 1))
         return pa.table([
-            pa.array(batch["ids"], pa.int64()), pa.array(np.frombuffer(batch["roles"], dtype=np.uint8) == HELD), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat((word > 0).astype(np.int64), at)),
-            pa.array(np.full(len(n), tokens)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at)),
-        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            pa.array(batch["ids"], pa.int64()), pa.array(np.frombuffer(batch["roles"], dtype=np.uint8) == HELD),
+            pa.array(n.astype(np.int64)), pa.array(np.add.reduceat((word > 0).astype(np.int64), at)),
+            pa.array(np.full(len(n), tokens)), pa.array(np.add.reduceat(base, at)),
+            pa.array(np.add.reduceat(np.log10(p), at)),
+        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, SCORED)

@@ -18,7 +18,10 @@ from emberframe.llm.components import components
 from emberframe.llm.shared import discard, materialize
 
 
-def link_members(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close: Column | None = None, shared: int = 1, full: int = 4) -> DataFrame | None:
+def link_members(
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close: Column | None = None, shared: int = 1,
+    full: int = 4
+) -> DataFrame | None:
     """(node, component) after all links among the members (key, rep, n) of common buckets; None without a link.
 
     ``confirm`` gets distinct pairs (a, b), a > b, and returns those that are links. ``close`` is a condition on the two
@@ -28,22 +31,41 @@ def link_members(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     links = found = None
     leaders = 1
     while True:
-        state = members.withColumn("c", F.col("rep")) if found is None else members.join(found, members["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        per = state.groupBy("key", "c").agg(F.count("*").alias("k"), F.min("rep").alias("rep"), F.min_by("n", "rep").alias("m"))
-        per = per.groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("parts"), F.min(F.struct("rep", "c", "m")).alias("lead"))
+        state = members.withColumn("c", F.col("rep")) if found is None else members.join(
+            found, members["rep"] == found["node"], "left"
+        ).select(
+            "key", "rep", "n", F.coalesce("component", "rep").alias("c")
+        )
+        per = state.groupBy("key", "c").agg(
+            F.count("*").alias("k"), F.min("rep").alias("rep"), F.min_by("n", "rep").alias("m")
+        )
+        per = per.groupBy("key").agg(
+            F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("parts"),
+            F.min(F.struct("rep", "c", "m")).alias("lead")
+        )
         mixed = materialize(per.filter("parts > 1"), "mixed")
-        todo = mixed.agg(F.count("*").alias("keys"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows"), F.max("all").alias("most")).first()
+        todo = mixed.agg(
+            F.count("*").alias("keys"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"),
+            F.sum("all").alias("rows"), F.max("all").alias("most")
+        ).first()
         if not todo["keys"]:
             return found
         state = state.join(mixed, "key")
         last = leaders > 1 and (todo["pairs"] <= full * todo["rows"] + 100_000 or leaders >= todo["most"])
         if leaders == 1:  # the least member, which the buckets of a group mostly have in common
-            pairs = state.filter((F.col("c") != F.col("lead.c")) & (F.col("rep") != F.col("lead.rep"))).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), "n", F.col("lead.m").alias("m"))
+            pairs = state.filter((F.col("c") != F.col("lead.c")) & (F.col("rep") != F.col("lead.rep"))).select(
+                F.col("rep").alias("a"), F.col("lead.rep").alias("b"), "n", F.col("lead.m").alias("m")
+            )
         else:
             chosen = state if last else state.filter(F.pmod(F.xxhash64("rep", F.lit(leaders)), F.col("all")) < leaders)
             chosen = chosen.select("key", F.col("rep").alias("other"), F.col("c").alias("d"), F.col("n").alias("m"))
             # in full, a pair would come twice from every bucket
-            pairs = state.join(chosen, "key").filter("c <> d and rep > other" if last and close is None else "c <> d").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"), "n", "m", *(["key"] if shared > 1 else []))
+            pairs = state.join(chosen, "key").filter(
+                "c <> d and rep > other" if last and close is None else "c <> d"
+            ).select(
+                F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"), "n", "m",
+                *(["key"] if shared > 1 else [])
+            )
         pairs = pairs if close is None else pairs.filter(close)
         if shared > 1:  # a pair comes twice from a bucket in which both lead
             tally = F.count("*") if leaders == 1 or last and close is None else F.count_distinct("key")
@@ -79,7 +101,10 @@ def spanning_edges(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
-def link_groups(members: DataFrame, send: Callable[[DataFrame], DataFrame], compare: Callable[[pa.Table], list[tuple[int, int]]], block: int = 512) -> DataFrame:
+def link_groups(
+    members: DataFrame, send: Callable[[DataFrame], DataFrame], compare: Callable[[pa.Table], list[tuple[int, int]]],
+    block: int = 512
+) -> DataFrame:
     """(node, component) after all links among items that share a bucket, directly or through others.
 
     ``members`` has (key, rep). ``send`` gets rows (rep, and keys of type long) and returns them with what ``compare`` needs
@@ -105,25 +130,47 @@ def link_groups(members: DataFrame, send: Callable[[DataFrame], DataFrame], comp
     led = materialize(led, "led")
     chunks = led.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("chunks"))
     of = led.join(chunks, "lead").select("lead", "rep", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"))
-    heads = chunks.select("lead", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    heads = chunks.select(
+        "lead", F.col("lead").alias("rep"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    )
     links = linked(of.unionByName(heads), ["lead", "chunk"])
     found = materialize(components(links), "components")
 
-    state = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_ = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key", "low")
-    open_ = materialize(state.join(open_, "key").filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct(), "open")
+    state = members.join(found, members["rep"] == found["node"], "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("c")
+    )
+    open_ = state.groupBy("key").agg(
+        F.min("c").alias("low"), F.max("c").alias("high")
+    ).filter("low <> high").select("key", "low")
+    open_ = materialize(
+        state.join(open_, "key").filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct(),
+        "open"
+    )
     if not open_.limit(1).count():
         return found
     groups = components(open_)
-    grouped = materialize(state.select("rep", "c").distinct().join(groups, F.col("c") == F.col("node")).select("rep", "c", F.col("component").alias("group")), "groups")
+    grouped = materialize(
+        state.select("rep", "c").distinct().join(groups, F.col("c") == F.col("node")).select(
+            "rep", "c", F.col("component").alias("group")
+        ),
+        "groups"
+    )
     sizes = grouped.groupBy("group", "c").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("group").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n"))
-    cut = sizes.select("group", F.col("main.c").alias("main"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("rest"))
+    cut = sizes.select(
+        "group", F.col("main.c").alias("main"), F.ceil(F.col("n") / block).alias("blocks"),
+        F.ceil((F.col("n") - F.col("main.n")) / block).alias("rest")
+    )
     # a group of one block is compared at once; of others, each block of the rest with each block of all
     placed = grouped.join(cut, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    every = placed.select("group", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("low"))
+    every = placed.select(
+        "group", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("low")
+    )
     whole = every.select("group", "low", F.col("own").alias("high"), "rep")
     rest = placed.filter("c <> main").withColumn("low", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rest")))
-    rest = rest.select("group", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("high"), "rep")
+    rest = rest.select(
+        "group", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("high"), "rep"
+    )
     more = linked(whole.unionByName(rest).distinct(), ["group", "low", "high"])
     return materialize(components(links.unionByName(more)), "components")

@@ -54,7 +54,9 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     n, width = signatures.shape
     salt = multipliers(width + 1)[-rows:]
     grouped = signatures.reshape(n, width // rows, rows)
-    total = (grouped * salt).sum(2, dtype=np.uint64) + np.arange(width // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = (grouped * salt).sum(2, dtype=np.uint64) + np.arange(
+        width // rows, dtype=np.uint64
+    ) * np.uint64(0x9E3779B97F4A7C15)
     return mix(total)
 
 
@@ -63,14 +65,19 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for i, j in slices(offsets, 1 << 20):
-                values, n = shingle_sets(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size)
+                values, n = shingle_sets(
+                    *word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size
+                )
                 a, b = _prints(values, n)
-                keys = band_keys(minmax_signatures(values, n[n > 0], bands * rows // 2), rows) if n.any() else np.empty((0, bands), dtype=np.uint64)
+                keys = band_keys(
+                    minmax_signatures(values, n[n > 0], bands * rows // 2), rows
+                ) if n.any() else np.empty((0, bands), dtype=np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
+                    batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)),
+                    pa.array(a), pa.array(b),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
-                ], names=["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "bands"])
+                ], names=["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "bands"])
 
     return materialize(docs.mapInArrow(run, SIGNATURES), "signatures")
 
@@ -93,7 +100,9 @@ def _with_sets(docs: DataFrame, classes: DataFrame, size: int, wanted: DataFrame
     keys = [c for c in wanted.columns if c != "rep"]
     to = wanted.join(classes.select("rep", "doc", F.col("text_hash").alias("hash")), "rep")
     on = (F.col("doc_id") == F.col("doc")) & (F.col("text_hash") == F.col("hash"))
-    sent = docs.filter("doc_id is not null").join(to.hint("merge"), on).select("rep", *keys, "text")  # rows of one text are neighbours
+    sent = docs.filter(
+        "doc_id is not null"
+    ).join(to.hint("merge"), on).select("rep", *keys, "text")  # rows of one text are neighbours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, set()
@@ -112,12 +121,18 @@ def _with_sets(docs: DataFrame, classes: DataFrame, size: int, wanted: DataFrame
             first = np.flatnonzero(np.append(True, rep[1:] != rep[:-1]))
             raw, offsets = text_bytes(batch.column(len(keys) + 1).take(pa.array(first)))
             for i, j in slices(offsets, 1 << 20):
-                values, n = shingle_sets(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size)
+                values, n = shingle_sets(
+                    *word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), size
+                )
                 data, ends = values.tobytes(), 8 * np.cumsum(n)
                 low, high = first[i], first[j] if j < len(first) else len(rep)
                 of = np.repeat(np.arange(j - i), np.diff(np.append(first[i:j], high)))
-                sets = pa.array([data[ends[k] - 8 * n[k] : ends[k]] for k in range(j - i)], pa.binary()).take(pa.array(of))
-                yield pa.record_batch([*(c.slice(low, high - low) for c in batch.columns[:-1]), sets], names=["rep", *keys, "shingles"])
+                sets = pa.array(
+                    [data[ends[k] - 8 * n[k] : ends[k]] for k in range(j - i)], pa.binary()
+                ).take(pa.array(of))
+                yield pa.record_batch(
+                    [*(c.slice(low, high - low) for c in batch.columns[:-1]), sets], names=["rep", *keys, "shingles"]
+                )
 
     return sent.mapInArrow(run, ", ".join(f"{c} long" for c in ("rep", *keys)) + ", shingles binary")
 
@@ -146,7 +161,10 @@ def linked_sets(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return spanning_edges((shared > 0) & (100 * shared >= percent * union), ids)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, doc_id: str = "doc_id",
+    text: str = "text"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links) and kept.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets of ``size`` words
@@ -156,27 +174,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     returned. ``rows`` must divide ``bands * rows / 2``.
     """
     text_ = docs[text].cast("string")
-    docs = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), text_.alias("text"), F.xxhash64(text_).alias("text_hash"))
+    docs = small_batches(docs).select(
+        docs[doc_id].cast("long").alias("doc_id"), text_.alias("text"), F.xxhash64(text_).alias("text_hash")
+    )
     signed = _signatures(docs, size, bands, rows)
     named = signed.filter("doc_id is not null and n_shingles > 0")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    classes = named.groupBy("print_a", "print_b", F.col("n_shingles").alias("n")).agg(one, F.first("bands").alias("bands"))
-    classes = classes.select("print_a", "print_b", "n", F.col("one.doc_id").alias("doc"), "one.text_hash", "bands", F.monotonically_increasing_id().alias("rep"))
+    classes = named.groupBy(
+        "print_a", "print_b", F.col("n_shingles").alias("n")
+    ).agg(one, F.first("bands").alias("bands"))
+    classes = classes.select(
+        "print_a", "print_b", "n", F.col("one.doc_id").alias("doc"), "one.text_hash", "bands",
+        F.monotonically_increasing_id().alias("rep")
+    )
     classes = materialize(classes, "classes")  # numbered once, in files
 
     placed = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = placed.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % 1_000_000_007).alias("s"))
+    buckets = placed.groupBy("key").agg(
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"),
+        F.sum(F.xxhash64("rep", F.lit(1)) % 1_000_000_007).alias("s")
+    )
     buckets = buckets.filter("k > 1").groupBy("k", "x", "s").agg(F.min("key").alias("key"))
     members = materialize(placed.join(buckets.select("key"), "key").select("key", "rep").distinct(), "members")
-    found = link_groups(members, lambda wanted: _with_sets(docs, classes, size, wanted), lambda table: linked_sets(table, percent))
-
-    rep = classes.select("print_a", "print_b", F.col("n").alias("n_shingles"), "rep", "doc").join(found, F.col("rep") == F.col("node"), "left")
-    rep = rep.withColumn("group", F.coalesce("component", "rep")).select("print_a", "print_b", "n_shingles", "group", "doc")
+    found = link_groups(
+        members, lambda wanted: _with_sets(docs, classes, size, wanted), lambda table: linked_sets(table, percent)
+    )
+
+    rep = classes.select(
+        "print_a", "print_b", F.col("n").alias("n_shingles"), "rep", "doc"
+    ).join(found, F.col("rep") == F.col("node"), "left")
+    rep = rep.withColumn("group", F.coalesce("component", "rep")).select(
+        "print_a", "print_b", "n_shingles", "group", "doc"
+    )
     least = rep.groupBy("group").agg(F.min("doc").alias("least"))
     rep = rep.join(least, "group").drop("group", "doc")
-    out = signed.select("doc_id", "n_shingles", "print_a", "print_b").join(rep, ["print_a", "print_b", "n_shingles"], "left")
+    out = signed.select("doc_id", "n_shingles", "print_a", "print_b").join(
+        rep, ["print_a", "print_b", "n_shingles"], "left"
+    )
     top = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept"))
+    return out.select(
+        "doc_id", "n_shingles", top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept")
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -185,5 +223,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     marked = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("doc_id")
-    kept = docs.toDF(*names).join(materialize(marked, "dropped"), F.col(names[at]).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.toDF(*names).join(
+        materialize(marked, "dropped"), F.col(names[at]).cast("long") == F.col("_gone"), "left_anti"
+    )
     return kept.toDF(*docs.columns)

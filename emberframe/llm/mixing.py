@@ -46,17 +46,24 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(ranked), F.lit(0))
     level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(ranked), F.lit(0)))
     s = s.withColumn("level", level)
-    s = s.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(whole)["level"])
+    s = s.withColumn(
+        "level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(whole)["level"]
+    )
     target = F.least(cap.cast("double"), F.coalesce(F.col("level") * F.col("weight"), cap.cast("double")))
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _drawn(docs: DataFrame, size: Column, weight: Column | None, row: Column, seed: int, bins: int, doc_id: str, source: str) -> list[Column]:
+def _drawn(
+    docs: DataFrame, size: Column, weight: Column | None, row: Column, seed: int, bins: int, doc_id: str, source: str
+) -> list[Column]:
     """The numbers by which rows of ``docs`` are ordered."""
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(1.0)
     key = -F.log(uniform(F.col(doc_id), seed)) / w
     size = F.coalesce(size, F.lit(0)).cast("long")
-    return [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), F.floor((1 - F.exp(-key)) * bins).cast("int").alias("bin"), row.alias("row")]
+    return [
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"),
+        F.floor((1 - F.exp(-key)) * bins).cast("int").alias("bin"), row.alias("row")
+    ]
 
 
 #: The order in which a source's rows are taken.
@@ -69,21 +76,35 @@ def _plan(drawn: DataFrame, max_epochs: int) -> DataFrame:
     A row is taken if the sizes before it and half its own are within the budget; after the first that is not, none is."""
     per_bin = drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), max_epochs)
-    full = F.when(F.col("source_size") <= 0, 0).when(F.col("target") >= max_epochs * F.col("source_size"), max_epochs).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    rest = F.when(F.col("epochs") >= max_epochs, 0.0).otherwise(F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = targets.withColumn("epochs", full.cast("long")).withColumn("budget", rest).withColumnRenamed("source", "of")
+    full = F.when(F.col("source_size") <= 0, 0).when(
+        F.col("target") >= max_epochs * F.col("source_size"), max_epochs
+    ).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    rest = F.when(F.col("epochs") >= max_epochs, 0.0).otherwise(
+        F.col("target") - F.col("epochs") * F.col("source_size")
+    )
+    targets = targets.withColumn(
+        "epochs", full.cast("long")
+    ).withColumn("budget", rest).withColumnRenamed("source", "of")
 
     up_to = Window.partitionBy("source").orderBy("bin")  # at most a row per bin
-    ends = per_bin.withColumn("sum", F.sum("bin_size").over(up_to)).join(targets.select("of", "budget"), F.col("source").eqNullSafe(F.col("of")))
+    ends = per_bin.withColumn("sum", F.sum("bin_size").over(up_to)).join(
+        targets.select("of", "budget"), F.col("source").eqNullSafe(F.col("of"))
+    )
     ends = ends.filter((F.col("sum") > F.col("budget")) & (F.col("sum") - F.col("bin_size") <= F.col("budget")))
-    ends = ends.groupBy("of").agg(F.min(F.struct("bin", (F.col("sum") - F.col("bin_size")).alias("before"), "budget")).alias("end"))
+    ends = ends.groupBy("of").agg(
+        F.min(F.struct("bin", (F.col("sum") - F.col("bin_size")).alias("before"), "budget")).alias("end")
+    )
     ends = materialize(ends.select("of", F.col("end.bin").alias("end_bin"), "end.before", "end.budget"), "ends")
 
     last = drawn.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("end_bin")))
     running = Window.partitionBy("of").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("ahead", F.coalesce(F.sum("size").over(running), F.lit(0)) + F.col("before"))
-    last = last.filter(F.col("ahead") + F.col("size") / 2 <= F.col("budget")).groupBy("of").agg(F.max(F.struct(*ORDER)).alias("last"))
-    plan = targets.drop("budget").join(ends.select(F.col("of").alias("_of"), "end_bin"), F.col("of").eqNullSafe(F.col("_of")), "left").drop("_of")
+    last = last.filter(
+        F.col("ahead") + F.col("size") / 2 <= F.col("budget")
+    ).groupBy("of").agg(F.max(F.struct(*ORDER)).alias("last"))
+    plan = targets.drop("budget").join(
+        ends.select(F.col("of").alias("_of"), "end_bin"), F.col("of").eqNullSafe(F.col("_of")), "left"
+    ).drop("_of")
     plan = plan.join(last.withColumnRenamed("of", "_of"), F.col("of").eqNullSafe(F.col("_of")), "left").drop("_of")
     return materialize(plan, "mix-plan")
 
@@ -93,12 +114,19 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     the plan in ``SALTS`` parts, so a source with a third of all rows is no hot key."""
     plan = plan.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     part = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")
-    out = rows.withColumn("part", part).join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
-    picked = (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & (F.struct(*ORDER) <= F.col("last")))
+    out = rows.withColumn("part", part).join(
+        plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))
+    )
+    picked = (F.col("bin") < F.col("end_bin")) | (
+        (F.col("bin") == F.col("end_bin")) & (F.struct(*ORDER) <= F.col("last"))
+    )
     return out.withColumn("times", F.col("epochs") + F.coalesce(picked, F.lit(False)).cast("long"))
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17, max_epochs: int = 3, bins: int = 4096, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_sources(
+    docs: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17, max_epochs: int = 3,
+    bins: int = 4096, doc_id: str = "doc_id", source: str = "source"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, and source.
 
     ``size`` counts the words of ``text`` unless given; ``weight`` is the quality weight (1 unless given; null or not
@@ -111,10 +139,15 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weight: Column | No
     drawn = docs.select(*_drawn(docs, size, weight, F.monotonically_increasing_id(), seed, bins, doc_id, source))
     drawn = materialize(drawn, "mix")  # the texts are read once; what follows reads a few numbers a document
     out = _with_plan(drawn, _plan(drawn, max_epochs))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
+    return out.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source"
+    )
 
 
-def repeat_rows(docs: DataFrame, size: str, row: str, weight: Column | None = None, seed: int = 17, max_epochs: int = 3, bins: int = 4096, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def repeat_rows(
+    docs: DataFrame, size: str, row: str, weight: Column | None = None, seed: int = 17, max_epochs: int = 3,
+    bins: int = 4096, doc_id: str = "doc_id", source: str = "source"
+) -> DataFrame:
     """The rows of ``docs``, with all columns, each as often as ``mix_sources`` takes it. Rows of size 0 are left out.
 
     ``row`` names a column that tells repeated rows apart (such as ``monotonically_increasing_id`` over a scan); ``docs``

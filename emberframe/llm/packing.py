@@ -37,7 +37,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def combinations(parts: int, depth: int) -> np.ndarray:
     """All multisets of up to ``depth`` numbers from 1 to ``parts`` with sum ``parts``: a row per number (from 1), a
     column per multiset."""
-    found = [c for k in range(1, depth + 1) for c in itertools.combinations_with_replacement(range(1, parts + 1), k - 1) if (rest := parts - sum(c)) >= (c[-1] if c else 1) for c in [(*c, rest)]]
+    found = [
+        c for k in range(1, depth + 1) for c in itertools.combinations_with_replacement(
+            range(1, parts + 1), k - 1
+        ) if (rest := parts - sum(c)) >= (c[-1] if c else 1) for c in [(*c, rest)]
+    ]
     table = np.zeros((parts, len(found)))
     for j, c in enumerate(found):
         for x in c:
@@ -126,7 +130,9 @@ class _Ids(dict):
                 other.append(s)
         for i in range(0, len(plain), 500):
             some = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(
+                self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4"
+            )
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):  # another tokenizer: its units are not what they should be
                 other += some
@@ -182,13 +188,18 @@ def _cut(docs: DataFrame, path: str, end: int, window: int, grain: int) -> DataF
                     out.append((n, whole, middle, blocks, zlib.crc32(part), part, tail))
                 columns = list(zip(*out))
                 yield pa.record_batch([
-                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(columns[k], pa.int64()) for k in range(3)),
+                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
+                    *(pa.array(columns[k], pa.int64()) for k in range(3)),
                     pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.int64()),
                     # most vocabularies fit 16 bits: the upper half of each id is kept apart and packs well
                     pa.array([_split(x) for x in columns[5]], pa.binary()), pa.array(columns[6], pa.binary()),
-                ], names=CUT.replace(" long", "").replace(" array<long>", "").replace(" binary", "").split(", "))
+                ], names=CUT.replace(" long", "").replace(
+                    " array<long>", ""
+                ).replace(" binary", "").split(", "))
 
-    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    rows = small_batches(docs).select(
+        F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long"), docs["text"].cast("string")
+    )
     return materialize(rows.mapInArrow(run, CUT), "pack")
 
 
@@ -211,10 +222,14 @@ def _ranked(df: DataFrame, keys: list[str], order: list[str], amount, name: str,
     sums = sums.select(*keys, "bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("ahead", F.coalesce(F.sum("amount").over(within), F.lit(0)))
-    return df.join(sums, [*keys, "bucket"]).withColumn(name, F.col("base") + F.col("ahead")).drop("base", "ahead", "bucket", "amount")
+    return df.join(sums, [*keys, "bucket"]).withColumn(
+        name, F.col("base") + F.col("ahead")
+    ).drop("base", "ahead", "bucket", "amount")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, end: int = END) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, end: int = END
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is a document of its end id alone. A null id is kept; repeated rows are documents of their own.
@@ -232,7 +247,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain:
     with_blocks = cut.select("row", "doc_id", "doc_tokens", "blocks").filter(F.size("blocks") > 0)
     numbered = _ranked(with_blocks, [], ["row"], F.size("blocks"), "base_id", buckets)
     pieces = numbered.select("doc_id", "doc_tokens", "base_id", F.posexplode("blocks").alias("k", "ids_crc32"))
-    pieces = pieces.select("doc_id", (F.col("k") * F.lit(window)).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("base_id") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.select(
+        "doc_id", (F.col("k") * F.lit(window)).cast("long").alias("start"), F.lit(window).cast("long").alias("length"),
+        "ids_crc32", "doc_tokens", (F.col("base_id") + F.col("k")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset")
+    )
 
     # middles: the places of each length, in a fixed order (at most depth * combinations rows)
     middles = cut.select("row", "doc_id", "doc_tokens", "middle_start", "middle", "middle_crc").filter("middle > 0")
@@ -252,19 +271,39 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain:
     places = spark.createDataFrame(places, "middle long, low long, high long, first_id long, offset long")
     ranked = _ranked(middles, ["middle"], ["row"], F.lit(1), "rank", buckets)
     placed = ranked.join(F.broadcast(places), "middle", "left").filter("low is null or (rank >= low and rank < high)")
-    placed = placed.filter("low is not null").select("doc_id", F.col("middle_start").alias("start"), F.col("middle").alias("length"), F.col("middle_crc").alias("ids_crc32"), "doc_tokens", (F.col("first_id") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
-    limits = spark.createDataFrame([(int((k + 1) * grain), int(used[k])) for k in range(len(used))], "middle long, limit long")
+    placed = placed.filter("low is not null").select(
+        "doc_id", F.col("middle_start").alias("start"), F.col("middle").alias("length"),
+        F.col("middle_crc").alias("ids_crc32"), "doc_tokens",
+        (F.col("first_id") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset"
+    )
+    limits = spark.createDataFrame(
+        [(int((k + 1) * grain), int(used[k])) for k in range(len(used))], "middle long, limit long"
+    )
     over = materialize(ranked.join(F.broadcast(limits), "middle").filter("rank >= limit").select("row"), "over")
 
     # the stream: residual middles and all tails
     rest = cut.select("row", "middle_start", "middle_ids").join(over, "row")
-    stream = rest.select("row", F.col("middle_start").alias("start"), "middle_ids", F.lit(None).cast("binary").alias("tail_ids"))
-    tails = cut.select("row", (F.col("middle_start") + F.col("middle")).alias("start"), F.lit(None).cast("binary").alias("middle_ids"), "tail_ids").filter(F.length("tail_ids") > 0)
+    stream = rest.select(
+        "row", F.col("middle_start").alias("start"), "middle_ids", F.lit(None).cast("binary").alias("tail_ids")
+    )
+    tails = cut.select(
+        "row", (F.col("middle_start") + F.col("middle")).alias("start"), F.lit(None).cast("binary").alias("middle_ids"),
+        "tail_ids"
+    ).filter(F.length("tail_ids") > 0)
     whole_rest = rest.select("row").limit(1)
     stream = tails.unionByName(stream) if whole_rest.count() else tails
-    length = F.when(F.col("tail_ids").isNotNull(), F.length("tail_ids") / 4).otherwise(F.when(F.substring("middle_ids", 1, 1) == F.lit(b"\0"), (F.length("middle_ids") - 1) / 2).otherwise((F.length("middle_ids") - 1) / 4))
-    stream = _ranked(stream.withColumn("length", length.cast("long")), [], ["row", "start"], F.col("length"), "at", buckets).join(plain, "row")
-    total = int((tails.agg(F.sum(F.length("tail_ids") / 4)).first()[0] or 0) + (histogram - used) @ (np.arange(1, len(histogram) + 1) * grain))
+    length = F.when(F.col("tail_ids").isNotNull(), F.length("tail_ids") / 4).otherwise(
+        F.when(
+            F.substring("middle_ids", 1, 1) == F.lit(b"\0"), (F.length("middle_ids") - 1) / 2
+        ).otherwise((F.length("middle_ids") - 1) / 4)
+    )
+    stream = _ranked(
+        stream.withColumn("length", length.cast("long")), [], ["row", "start"], F.col("length"), "at", buckets
+    ).join(plain, "row")
+    total = int(
+        (tails.agg(F.sum(F.length("tail_ids") / 4)).first()[0] or 0)
+        + (histogram - used) @ (np.arange(1, len(histogram) + 1) * grain)
+    )
     edges = [total // window * window]  # the stream's full windows end here; then come powers of two, the largest first
     for bit in reversed(range(window.bit_length())):
         if (total - total // window * window) >> bit & 1:
@@ -285,10 +324,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain:
                         k = int(np.searchsorted(edges, here, side="right")) - 1
                         number, begin, stop = edges[0] // window + k, edges[k], edges[k + 1]
                     take = min(size - done, stop - here)
-                    out.append((doc_id, start + done, take, zlib.crc32(ids[4 * done : 4 * (done + take)]), n, first_id + number, here - begin))
+                    out.append(
+                        (
+                            doc_id, start + done, take, zlib.crc32(ids[4 * done : 4 * (done + take)]), n,
+                            first_id + number, here - begin
+                        )
+                    )
                     done += take
             columns = list(zip(*out)) or [[]] * 7
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=PIECES.replace(" long", "").split(", "))
+            yield pa.record_batch(
+                [pa.array(c, pa.int64()) for c in columns], names=PIECES.replace(" long", "").split(", ")
+            )
 
-    streamed = stream.select("doc_id", "doc_tokens", "start", "at", "middle_ids", "tail_ids").mapInArrow(cut_stream, PIECES)
+    streamed = stream.select(
+        "doc_id", "doc_tokens", "start", "at", "middle_ids", "tail_ids"
+    ).mapInArrow(cut_stream, PIECES)
     return pieces.unionByName(placed).unionByName(streamed)

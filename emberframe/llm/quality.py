@@ -39,9 +39,14 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     row = np.repeat(np.arange(len(counts)), counts)
     kinds = ((starts, ends), (starts, np.minimum(starts + 5, ends)), (np.maximum(ends - 2, starts), ends))
     salt = (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-    numbers = [((span_hashes(raw, s, e) ^ np.uint64(x)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS) for (s, e), x in zip(kinds, salt)]
+    numbers = [
+        ((span_hashes(raw, s, e) ^ np.uint64(x)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS) for (s, e),
+        x in zip(kinds, salt)
+    ]
     h = span_hashes(raw, starts, ends)
-    again = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=len(counts)) / np.maximum(counts, 1)
+    again = np.bincount(
+        row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=len(counts)
+    ) / np.maximum(counts, 1)
     rows = [row] * 3 + [np.arange(len(counts))]
     numbers.append(np.log2(counts + 1).astype(np.int64))
     for k, share in enumerate(REPEATED):
@@ -72,15 +77,21 @@ class OrdinalModel:
         number, row = text_features(raw, offsets)
         told = self.weights[number] != 0
         number, row = _distinct(number[told], row[told])
-        return np.bincount(row, weights=self.weights[number], minlength=len(offsets) - 1).astype(float)  # without features, int
+        return np.bincount(
+            row, weights=self.weights[number], minlength=len(offsets) - 1
+        ).astype(float)  # without features, int
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 1e-3, least_rows: int = 8, steps: int = 90) -> OrdinalModel:
+def fit_ordinal(
+    rows: list[np.ndarray], grades: np.ndarray, l1: float = 1e-3, least_rows: int = 8, steps: int = 90
+) -> OrdinalModel:
     """Fit on rows of feature numbers. With no row, or rows of one grade, the weights are 0 and the thresholds are the
     smoothed log-odds of the grades."""
     levels = int(grades.max()) if len(grades) else 1
     n = max(1, len(rows))
-    tail = np.array([(np.sum(grades > k) + 0.5) / (len(grades) + 1) for k in range(levels)]) if len(grades) else np.array([0.5])
+    tail = np.array(
+        [(np.sum(grades > k) + 0.5) / (len(grades) + 1) for k in range(levels)]
+    ) if len(grades) else np.array([0.5])
     thresholds = -np.log(tail / (1 - tail))
     model = OrdinalModel(np.zeros(1 << BITS), thresholds)
     if len(set(grades.tolist())) < 2:
@@ -121,7 +132,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 1e-3, le
             new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
             new_t = np.sort(t_momentum - step * g_t)
             d, d_t = new - momentum, new_t - t_momentum
-            if value(new, new_t)[0] <= here + g @ d + g_t @ d_t + (d @ d + d_t @ d_t) / (2 * step) + 1e-12 or step < 1e-9:
+            if value(new, new_t)[0] <= here + g @ d + g_t @ d_t + (
+                d @ d + d_t @ d_t
+            ) / (2 * step) + 1e-12 or step < 1e-9:
                 break
             step /= 2
         k_new = (1 + np.sqrt(1 + 4 * k * k)) / 2
@@ -132,14 +145,21 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, l1: float = 1e-3, le
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, features: int = FEATURES, doc_id: str = "doc_id", text: str = "text", **options) -> OrdinalModel:
+def train_quality(
+    docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, features: int = FEATURES,
+    doc_id: str = "doc_id", text: str = "text", **options
+) -> OrdinalModel:
     """Fit on the texts of at most ``sample`` rows of ``labels``, those whose ids hash lowest, and of these on the first
     that have ``features`` features together; ``grade`` (an expression over ``labels``) is an integer from 0. Rows with a
     null id or grade do not take part; of several rows with one id the lowest grade counts, and of several texts with one
     id one. The driver gets the feature numbers of the sample, never a text."""
     rated = labels.select(F.col(doc_id).cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
-    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rated), "doc_id")
+    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(
+        F.xxhash64("doc_id"), "doc_id"
+    ).limit(sample)
+    texts = small_batches(docs).select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    ).join(F.broadcast(rated), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,14 +168,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, grade: Column, sample: int
                 number, row = _distinct(*text_features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 ends = np.searchsorted(row, np.arange(1, j - i + 1))
                 values = [p.astype(np.int32).tobytes() for p in np.split(number, ends[:-1])]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(values, pa.binary())], names=["doc_id", "grade", "features"])
+                yield pa.record_batch(
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(values, pa.binary())],
+                    names=["doc_id", "grade", "features"]
+                )
 
     told = texts.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, features binary")
-    told = materialize(told.groupBy("doc_id").agg(F.min(F.struct("features", "grade")).alias("r")).select("doc_id", "r.*"), "sample")
-    upto = F.sum(F.length("features") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most ``sample`` rows
+    told = materialize(
+        told.groupBy("doc_id").agg(F.min(F.struct("features", "grade")).alias("r")).select("doc_id", "r.*"), "sample"
+    )
+    upto = F.sum(F.length("features") / 4).over(
+        Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    )  # at most ``sample`` rows
     few = told.select("doc_id", upto.alias("upto"), "features").filter(F.col("upto") <= features).select("doc_id")
     found = told.join(few, "doc_id").toPandas().sort_values("doc_id")
-    return fit_ordinal([np.frombuffer(b, dtype=np.int32) for b in found["features"]], found["grade"].to_numpy(dtype=np.int64), **options)
+    return fit_ordinal(
+        [np.frombuffer(b, dtype=np.int32) for b in found["features"]], found["grade"].to_numpy(dtype=np.int64),
+        **options
+    )
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,9 +203,14 @@ def score_quality(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id",
             for i, j in slices(offsets, 1 << 20):
                 score = m.scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 tails = m.tails(score)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(score), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=["doc_id", "score", "expected_grade", "tail_probability"])
+                yield pa.record_batch(
+                    [batch.column(0).slice(i, j - i), pa.array(score), pa.array(tails.sum(1)), pa.array(tails[:, -1])],
+                    names=["doc_id", "score", "expected_grade", "tail_probability"]
+                )
 
-    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCORES)
+    return small_batches(docs).select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(run, SCORES)
 
 
 def select_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5, text: str = "text") -> DataFrame:
@@ -190,7 +225,9 @@ def select_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5
         for batch in batches:
             raw, offsets = text_bytes(batch.column(at))
             for i, j in slices(offsets, 1 << 20):
-                good = m.tails(m.scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[:, -1] >= least_tail
+                good = m.tails(
+                    m.scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                )[:, -1] >= least_tail
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

@@ -31,9 +31,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source; documents labelled good weigh 2, those labelled bad 1/2, others 1."""
     labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("rated"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).alias("words"))
+    docs = _read(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).alias("words")
+    )
     rated = docs.join(labels, "doc_id", "left")
-    return mixing.mix_sources(rated, size=F.col("words"), weight=F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0))
+    return mixing.mix_sources(
+        rated, size=F.col("words"),
+        weight=F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0)
+    )
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

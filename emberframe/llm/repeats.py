@@ -62,7 +62,9 @@ def _running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, inverse
 
 
-def anchored_segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+def anchored_segments(
+    raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM
+) -> dict[str, np.ndarray]:
     """The segments of consecutive rows of text: row, start (in the row), windows, anchor's place in the segment (at),
     anchor hash, segment hash, and whether the segment is one of several equal ones of its row."""
     n, sizes = len(raw), np.diff(offsets)
@@ -85,7 +87,9 @@ def anchored_segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH
     row = np.searchsorted(offsets, start, side="right") - 1
     ends = start + windows - 1 + length
     at = anchor_at - start
-    whole = mix((total[ends] - total[start]) * inverse[start]) ^ (at.astype(np.uint64) << np.uint64(32)) ^ windows.astype(np.uint64)
+    whole = mix(
+        (total[ends] - total[start]) * inverse[start]
+    ) ^ (at.astype(np.uint64) << np.uint64(32)) ^ windows.astype(np.uint64)
     anchor, segment = grams[anchor_at].view(np.int64), mix(whole).view(np.int64)
     key = mix(anchor.view(np.uint64) ^ mix(segment.view(np.uint64) + row.astype(np.uint64)))
     order = np.argsort(key, kind="stable")
@@ -94,7 +98,10 @@ def anchored_segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH
     again[order[1:][same]] = 2
     heads = order[:-1][same]
     again[heads[again[heads] == 0]] = 1
-    return {"row": row, "start": start - offsets[row], "windows": windows, "at": at, "anchor": anchor, "segment": segment, "again": again}
+    return {
+        "row": row, "start": start - offsets[row], "windows": windows, "at": at, "anchor": anchor, "segment": segment,
+        "again": again
+    }
 
 
 def coded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +137,9 @@ def _segments(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame
             if words:
                 raw, offsets = coded(raw, offsets)
             for i, j, low, high in _pieces(offsets, length):
-                inside = np.array([0, high - low]) if (low, high) != (offsets[i], offsets[j]) else offsets[i : j + 1] - low
+                inside = np.array([0, high - low]) if (low, high) != (
+                    offsets[i], offsets[j]
+                ) else offsets[i : j + 1] - low
                 s = anchored_segments(raw[low:high], inside, length, gram)
                 row, start = s["row"] + i, s["start"] + (low - offsets[i] if len(inside) == 2 else 0)
                 for done in (0, 1):
@@ -142,20 +151,27 @@ def _segments(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame
                     if done:  # neighbouring runs of windows become one
                         o = np.lexsort((st, r))
                         r, st, w = r[o], st[o], w[o]
-                        head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (st[1:] != st[:-1] + w[:-1])]))
+                        head = np.flatnonzero(
+                            np.concatenate([[True], (r[1:] != r[:-1]) | (st[1:] != st[:-1] + w[:-1])])
+                        )
                         last = np.append(head[1:], len(r)) - 1
                         w = st[last] + w[last] - st[head]
-                        r, st, at, anchor, segment = r[head], st[head], np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64)
+                        r, st, at, anchor, segment = r[head], st[head], np.zeros(
+                            len(head), dtype=np.int64
+                        ), np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64)
                     rows = pa.array(r)
                     yield pa.record_batch([
                         batch.column(0).take(rows), batch.column(2).take(rows), pa.array(anchor), pa.array(segment),
-                        pa.array(st), pa.array(w.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(len(r), done, dtype=np.int32)),
-                    ], names=SEGMENTS.replace(" long", "").replace(" int", "").split(", "))
+                        pa.array(st), pa.array(w.astype(np.int32)), pa.array(at.astype(np.int32)),
+                        pa.array(np.full(len(r), done, dtype=np.int32)),
+                    ], names=SEGMENTS.replace(" long", "").replace(" int", "").split(", "))
 
     return materialize(docs.select("doc_id", "text", "text_hash").mapInArrow(run, SEGMENTS), "segments")
 
 
-def columnwise_repeats(texts: list[bytes], at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def columnwise_repeats(
+    texts: list[bytes], at: np.ndarray, group: np.ndarray, length: int = LENGTH
+) -> list[list[tuple[int, int]]]:
     """For segments aligned at their anchors: runs [from, to) of the window starts, within each segment, at which another
     segment of the same group has the same ``length`` bytes in the same columns."""
     n = len(texts)
@@ -205,7 +221,10 @@ FOUND = "anchor long, segment long, runs array<struct<low:int,high:int>>"
 
 
 def _runs(values: list[list[tuple[int, int]]]) -> pa.Array:
-    return pa.array([[{"low": a, "high": b} for a, b in v] for v in values], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
+    return pa.array(
+        [[{"low": a, "high": b} for a, b in v] for v in values],
+        pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+    )
 
 
 def _compare(texts: DataFrame, length: int, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -218,9 +237,17 @@ def _compare(texts: DataFrame, length: int, batch_bytes: int = 8 << 20) -> DataF
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 anchor, segment, at, data = zip(*rows)
-                runs = columnwise_repeats(list(data), np.array(at, dtype=np.int64), np.array(anchor, dtype=np.int64), length)
+                runs = columnwise_repeats(
+                    list(data), np.array(at, dtype=np.int64), np.array(anchor, dtype=np.int64), length
+                )
                 keep = [i for i, r in enumerate(runs) if r]
-                yield pa.record_batch([pa.array([anchor[i] for i in keep], pa.int64()), pa.array([segment[i] for i in keep], pa.int64()), _runs([runs[i] for i in keep])], names=["anchor", "segment", "runs"])
+                yield pa.record_batch(
+                    [
+                        pa.array([anchor[i] for i in keep], pa.int64()),
+                        pa.array([segment[i] for i in keep], pa.int64()), _runs([runs[i] for i in keep])
+                    ],
+                    names=["anchor", "segment", "runs"]
+                )
 
         size = 0
         for batch in batches:
@@ -234,7 +261,9 @@ def _compare(texts: DataFrame, length: int, batch_bytes: int = 8 << 20) -> DataF
                 size += len(row[3])
         yield from flush(held)
 
-    return texts.repartition("anchor").sortWithinPartitions("anchor", "segment").select("anchor", "segment", "at", "data").mapInArrow(run, FOUND)
+    return texts.repartition("anchor").sortWithinPartitions("anchor", "segment").select(
+        "anchor", "segment", "at", "data"
+    ).mapInArrow(run, FOUND)
 
 
 def _count_windows(texts: DataFrame, length: int) -> DataFrame:
@@ -246,12 +275,25 @@ def _count_windows(texts: DataFrame, length: int) -> DataFrame:
                 total, inverse = _running(np.frombuffer(data, dtype=np.uint8))
                 n = len(data) - length + 1
                 h = mix((total[length:] - total[:-length]) * inverse[:n])
-                yield pa.record_batch([pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32) - at), pa.array(h.view(np.int64))], names=["anchor", "segment", "k", "column", "window"])
-
-    windows = texts.select("anchor", "segment", "at", "data").mapInArrow(run, "anchor long, segment long, k int, column int, window long")
+                yield pa.record_batch(
+                    [
+                        pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)),
+                        pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32) - at),
+                        pa.array(h.view(np.int64))
+                    ],
+                    names=["anchor", "segment", "k", "column", "window"]
+                )
+
+    windows = texts.select("anchor", "segment", "at", "data").mapInArrow(
+        run, "anchor long, segment long, k int, column int, window long"
+    )
     several = windows.groupBy("anchor", "column", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     hits = windows.join(several, ["anchor", "column", "window"])
-    return hits.groupBy("anchor", "segment").agg(F.transform(F.array_sort(F.collect_set("k")), lambda k: F.struct(k.alias("low"), (k + 1).cast("int").alias("high"))).alias("runs"))
+    return hits.groupBy("anchor", "segment").agg(
+        F.transform(
+            F.array_sort(F.collect_set("k")), lambda k: F.struct(k.alias("low"), (k + 1).cast("int").alias("high"))
+        ).alias("runs")
+    )
 
 
 def _intervals(docs: DataFrame, length: int, gram: int, crowd: int, words: bool = False) -> DataFrame:
@@ -259,12 +301,16 @@ def _intervals(docs: DataFrame, length: int, gram: int, crowd: int, words: bool
     ``words`` those of its codes."""
     segments = _segments(docs, length, gram, words)
     open_ = segments.filter("done = 0")
-    kinds = open_.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "windows", "at")).alias("one"))
+    kinds = open_.groupBy("anchor", "segment").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "windows", "at")).alias("one")
+    )
     crowds = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("uses")).filter("uses > 1")
     kinds = materialize(kinds.join(crowds, "anchor").select("anchor", "segment", "n", "kinds", "one.*"), "kinds")
 
     # the texts of representatives that share an anchor with others
-    wanted = kinds.filter("kinds > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "segment", "kinds", "start", "windows", "at")).alias("parts"))
+    wanted = kinds.filter("kinds > 1").groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("anchor", "segment", "kinds", "start", "windows", "at")).alias("parts")
+    )
     texts = _join_docs(docs, materialize(wanted, "wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,22 +320,45 @@ def _intervals(docs: DataFrame, length: int, gram: int, crowd: int, words: bool
                 data = text.as_buffer()
                 if words:
                     data = pa.py_buffer(coded(raw := np.frombuffer(data, dtype=np.uint8), np.array([0, len(raw)]))[0])
-                out += [(p["anchor"], p["segment"], p["kinds"], p["at"], data[p["start"] : p["start"] + p["windows"] - 1 + length].to_pybytes()) for p in parts]
+                out += [
+                    (
+                        p["anchor"], p["segment"], p["kinds"], p["at"],
+                        data[p["start"] : p["start"] + p["windows"] - 1 + length].to_pybytes()
+                    ) for p in parts
+                ]
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "segment", "kinds", "at", "data"])
+            yield pa.record_batch(
+                [
+                    pa.array(c, t) for c,
+                    t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))
+                ],
+                names=["anchor", "segment", "kinds", "at", "data"]
+            )
 
     texts = texts.select("text", "parts").mapInArrow(cut, "anchor long, segment long, kinds long, at int, data binary")
     texts = materialize(texts, "texts")
     found = _compare(texts.filter(F.col("kinds") <= crowd), length)
     if texts.filter(F.col("kinds") > crowd).limit(1).count():
-        found = found.unionByName(_count_windows(texts.filter(F.col("kinds") > crowd).dropDuplicates(["anchor", "segment"]), length))
+        found = found.unionByName(
+            _count_windows(texts.filter(F.col("kinds") > crowd).dropDuplicates(["anchor", "segment"]), length)
+        )
 
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high")))
     told = kinds.filter("n > 1").select("anchor", "segment", whole.alias("runs"))
-    told = told.unionByName(found.join(kinds.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_anti"))
-    hits = open_.join(materialize(told, "told"), ["anchor", "segment"]).select("doc_id", "text_hash", "start", F.explode("runs").alias("run"))
-    hits = hits.select("doc_id", "text_hash", (F.col("start") + F.col("run.low")).alias("low"), (F.col("start") + F.col("run.high") - 1 + length).alias("high"))
-    own = segments.filter("done = 1").select("doc_id", "text_hash", F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1 + length).alias("high"))
+    told = told.unionByName(
+        found.join(kinds.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_anti")
+    )
+    hits = open_.join(materialize(told, "told"), ["anchor", "segment"]).select(
+        "doc_id", "text_hash", "start", F.explode("runs").alias("run")
+    )
+    hits = hits.select(
+        "doc_id", "text_hash", (F.col("start") + F.col("run.low")).alias("low"),
+        (F.col("start") + F.col("run.high") - 1 + length).alias("high")
+    )
+    own = segments.filter("done = 1").select(
+        "doc_id", "text_hash", F.col("start").alias("low"),
+        (F.col("start") + F.col("windows") - 1 + length).alias("high")
+    )
     spans = F.array_sort(F.collect_set(F.struct("low", "high")))
     return materialize(hits.unionByName(own).groupBy("doc_id", "text_hash").agg(spans.alias("spans")), "spans")
 
@@ -312,7 +381,9 @@ def _word_runs(data: bytes, spans: list[list[int]]) -> list[list[int]]:
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     small_batches(docs)
     text_ = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_.alias("text"), F.xxhash64(text_).alias("text_hash"))
+    return docs.select(
+        docs[doc_id].cast("long").alias("doc_id"), text_.alias("text"), F.xxhash64(text_).alias("text_hash")
+    )
 
 
 def _merged(spans: list[dict] | None) -> list[list[int]]:
@@ -336,7 +407,10 @@ def _kept(data: bytes, spans: list[list[int]]) -> bytes:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bytes(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, doc_id: str = "doc_id",
+    text: str = "text"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
 
     Texts are UTF-8 bytes, a null is empty; matches never cross texts. Rows that repeat an id with the same text are
@@ -352,15 +426,24 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
             for t, found in zip(batch.column(1), batch.column(2).to_pylist()):
                 data = t.as_buffer().to_pybytes()
                 spans = _merged(found)
-                out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
+                out.append(
+                    (
+                        len(data), sum(b - a for a, b in spans), len(spans),
+                        hashlib.sha256(_kept(data, spans)).hexdigest()
+                    )
+                )
             columns = list(zip(*out)) or [[]] * 4
-            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            )
 
     return joined.mapInArrow(run, RESULT)
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, words: int | None = None, gram: int = GRAM, crowd: int = CROWD, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars"
+    docs: DataFrame, length: int = LENGTH, words: int | None = None, gram: int = GRAM, crowd: int = CROWD,
+    doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars"
 ) -> DataFrame:
     """The rows of ``docs`` with their columns, ``text`` without its repeated passages and ``n_chars`` (where there is such
     a column) counted anew.
@@ -372,8 +455,13 @@ def remove_repeats(
     empty table stays empty, and columns may have any names.
     """
     keyed = _keyed(docs, doc_id, text)
-    spans = _intervals(keyed, length, gram, crowd) if words is None else _intervals(keyed, CODE * words, gram, crowd, True)
-    hashed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_hash"))
+    spans = _intervals(keyed, length, gram, crowd) if words is None else _intervals(
+        keyed, CODE * words, gram, crowd, True
+    )
+    hashed = docs.select(
+        *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[doc_id].cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_hash")
+    )
     joined = _join_docs(hashed, spans, "left")
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = joined.select(*names).schema
@@ -395,5 +483,10 @@ def remove_repeats(
     out = joined.select(*names, "spans").mapInArrow(run, schema)
     out = out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
+        out = out.withColumn(
+            n_chars,
+            F.when(
+                F.col(text).isNotNull(), F.length(text)
+            ).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)
+        )
     return out

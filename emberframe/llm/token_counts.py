@@ -38,14 +38,18 @@ def _encoder(vocabulary: str, pattern: str):
         lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
-        _encoders[vocabulary] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths)
+        _encoders[vocabulary] = (
+            tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
+        )
     return _encoders[vocabulary]
 
 
 def _attribute(ids: pa.Array, column: pa.Array, encoder, rule: str) -> pa.RecordBatch:
     encoding, lengths = encoder
     raw, offsets = text_bytes(column)
-    encoded = [np.asarray(encoding.encode_to_numpy(t or "", disallowed_special=()), dtype=np.int64) for t in column.to_pylist()]
+    encoded = [
+        np.asarray(encoding.encode_to_numpy(t or "", disallowed_special=()), dtype=np.int64) for t in column.to_pylist()
+    ]
     doc_tokens = np.array([len(e) for e in encoded], dtype=np.int64)
     size = lengths[np.concatenate([*encoded, np.empty(0, dtype=np.int64)])]
     token_end = np.cumsum(size)
@@ -66,12 +70,16 @@ def _attribute(ids: pa.Array, column: pa.Array, encoder, rule: str) -> pa.Record
     first_char = chars[offsets[row]]
     number = np.arange(len(starts)) - np.searchsorted(row, row)
     return pa.record_batch([
-        ids.take(pa.array(row)), pa.array(number), pa.array(chars[starts] - first_char), pa.array(chars[ends] - first_char),
+        ids.take(pa.array(row)), pa.array(number), pa.array(chars[starts] - first_char),
+        pa.array(chars[ends] - first_char),
         pa.array(n), pa.array(crossing), pa.array(doc_tokens[row]),
-    ], names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"])
+    ], names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"])
 
 
-def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first", text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = 1 << 20) -> DataFrame:
+def attribute_tokens(
+    docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first", text: str = "text", doc_id: str = "doc_id",
+    chunk_bytes: int = 1 << 20
+) -> DataFrame:
     """One row per section (line) of each document: its characters [start_char, end_char), the tokens allocated to it,
     those of them that reach into another section, and the whole document's tokens.
 
@@ -89,4 +97,6 @@ def attribute_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str =
             for i, j in slices(offsets, chunk_bytes):
                 yield _attribute(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), encoder, rule)
 
-    return small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(
+        docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")
+    ).mapInArrow(run, SCHEMA)

@@ -16,7 +16,9 @@ from emberframe.llm import chat, components, embeddings, language_model, media,
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 rng = random.Random(5)
-VOCABULARY = ["".join(rng.choice("abcdeéÈß") for _ in range(rng.randint(1, 7))) for _ in range(150)] + ["The", "the", "don't", "x1!", "<|endoftext|>"]
+VOCABULARY = [
+    "".join(rng.choice("abcdeéÈß") for _ in range(rng.randint(1, 7))) for _ in range(150)
+] + ["The", "the", "don't", "x1!", "<|endoftext|>"]
 
 
 def prose(n):
@@ -31,7 +33,10 @@ def near_copy(text, every):
 
 
 BASE = [prose(rng.randint(30, 120)) for _ in range(25)]
-TEXTS = ["", None, " \t\n", "one", "two words", "ONE", prose(3000), "a" * 900, "ab" * 600, "line\nline\n\nline", " x y\x0bz", *BASE, *BASE[:5], *[near_copy(t, 40) for t in BASE[:10]], *[near_copy(t, 6) for t in BASE[10:15]]]
+TEXTS = [
+    "", None, " \t\n", "one", "two words", "ONE", prose(3000), "a" * 900, "ab" * 600, "line\nline\n\nline", " x y\x0bz",
+    *BASE, *BASE[:5], *[near_copy(t, 40) for t in BASE[:10]], *[near_copy(t, 6) for t in BASE[10:15]]
+]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -44,8 +49,15 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Null ids, repeated rows and columns named like the operators' own."""
-    rows = [(None, BASE[0], 1, "c"), (7, BASE[0], 2, "d"), (7, BASE[0], 2, "d"), (8, None, 3, None), (None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, size long, source string").withColumn("row", F.lit(1)).withColumn("spans", F.lit("x")).withColumn("text_hash", F.lit("y")).withColumn("role", F.lit(0)).withColumn("rep", F.lit(2)).withColumn("key", F.lit(0))
+    rows = [
+        (None, BASE[0], 1, "c"), (7, BASE[0], 2, "d"), (7, BASE[0], 2, "d"), (8, None, 3, None),
+        (None, None, None, None)
+    ]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, size long, source string"
+    ).withColumn("row", F.lit(1)).withColumn("spans", F.lit("x")).withColumn(
+        "text_hash", F.lit("y")
+    ).withColumn("role", F.lit(0)).withColumn("rep", F.lit(2)).withColumn("key", F.lit(0))
 
 
 def empty(spark, schema=SCHEMA):
@@ -126,8 +138,13 @@ def test_mixing(docs, odd, spark):
 
 
 def test_mixing_takes_heavier_documents_more_often(spark):
-    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("source"))
-    got = mixing.mix_sources(many, weight=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(0.3)).filter("source = 'a'").collect()
+    many = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.lit("a b").alias("text"),
+        F.when(F.col("id") < 1000, "a").otherwise("b").alias("source")
+    )
+    got = mixing.mix_sources(
+        many, weight=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(0.3)
+    ).filter("source = 'a'").collect()
     taken = [sum(r["taken"] for r in got if r["doc_id"] % 2 == k) for k in (0, 1)]
     assert taken[0] > 2 * taken[1] > 0
 
@@ -136,7 +153,9 @@ def brute_links(texts, size, percent):
     sets = []
     for t in texts:
         w = split(t)
-        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+        sets.append(
+            {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+        )
     top = list(range(len(texts)))
 
     def find(x):
@@ -156,10 +175,14 @@ def test_near_duplicates(docs, odd, spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, size=4).collect()}
     assert [got[k] for k in range(len(TEXTS))] == brute_links(TEXTS, 4, 80)
     rows = minhash.near_duplicates(odd).collect()
-    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (-1, -1, True), (7, 7, True), (7, 7, True), (8, 8, True)]
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [
+        (-1, -1, True), (-1, -1, True), (7, 7, True), (7, 7, True), (8, 8, True)
+    ]
     assert minhash.near_duplicates(empty(spark)).count() == 0
     kept = minhash.drop_near_duplicates(docs, size=4)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in got.items() if v[1] == k}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {
+        k for k, v in got.items() if v[1] == k
+    }
 
 
 def test_crowded_buckets_are_linked_in_rounds(spark):
@@ -167,7 +190,9 @@ def test_crowded_buckets_are_linked_in_rounds(spark):
     misses a pair of similarity 0.8 with probability 0.2, 16 bands all of them with 6e-12."""
     base = [prose(100) for _ in range(3)]
     texts = [near_copy(base[k % 3], 50) for k in range(60)]
-    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=16, rows=1).collect()
+    got = minhash.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=16, rows=1
+    ).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: v[1] for k, v in enumerate(brute_links(texts, 5, 80))}
 
 
@@ -182,7 +207,9 @@ def test_minmax_signatures_estimate_similarity():
 
 def test_components(spark):
     r = random.Random(3)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(1, 1)]
+    edges = [
+        (r.randrange(300), r.randrange(300)) for _ in range(220)
+    ] + [(k, k + 1) for k in range(400, 460)] + [(1, 1)]
     top = {v: v for e in edges for v in e}
 
     def find(x):
@@ -193,7 +220,11 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         top[b] = a
-    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {
+        x["node"]: x["component"] for x in components.components(
+            spark.createDataFrame(edges, "a long, b long")
+        ).collect()
+    }
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -255,9 +286,16 @@ def test_media_copies(spark):
         24: originals[4],  # equal
     }
     rows += [(k, media.encode(np.clip(x, 0, 255))) for k, x in edits.items()]
-    rows += [(40, None), (41, b"junk"), (42, media.encode(np.zeros((4, 4)))), (43, media.encode(np.full((64, 64), 7))), (None, rows[5][1]), (44, None)]
+    rows += [
+        (40, None), (41, b"junk"), (42, media.encode(np.zeros((4, 4)))), (43, media.encode(np.full((64, 64), 7))),
+        (None, rows[5][1]), (44, None)
+    ]
     frame = spark.createDataFrame(rows, "image_id long, image binary").withColumn("print", F.lit(1))
-    got = {x["image_id"]: (x["component_id"], x["kept"]) for x in media.near_images(frame, points=48).collect() if x["image_id"] is not None}
+    got = {
+        x["image_id"]: (
+            x["component_id"], x["kept"]
+        ) for x in media.near_images(frame, points=48).collect() if x["image_id"] is not None
+    }
     assert {k: got[k][0] for k in edits} == {20: 0, 21: 1, 22: 2, 23: 3, 24: 4}
     assert all(got[k] == (k, True) for k in [*range(12), 40, 41, 42, 43, 44])
     assert media.near_images(empty(spark, "image_id long, image binary")).count() == 0
@@ -267,8 +305,14 @@ def test_media_small_crops_with_the_defaults(spark):
     """A crop of a third has few of the strongest corners; all of them find it. Different images stay apart."""
     r = np.random.default_rng(11)
     originals = [image(r) for _ in range(12)]
-    rows = [(k, media.encode(x)) for k, x in enumerate(originals)] + [(20 + k, media.encode(x[:48, :70])) for k, x in enumerate(originals)]
-    got = {x["image_id"]: x["component_id"] for x in media.near_images(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    rows = [(k, media.encode(x)) for k, x in enumerate(originals)] + [
+        (20 + k, media.encode(x[:48, :70])) for k, x in enumerate(originals)
+    ]
+    got = {
+        x["image_id"]: x["component_id"] for x in media.near_images(
+            spark.createDataFrame(rows, "image_id long, image binary")
+        ).collect()
+    }
     assert all(got[k] == k for k in range(12)) and all(got[20 + k] in (k, 20 + k) for k in range(12))
     assert sum(got[20 + k] == k for k in range(12)) >= 11
 
@@ -276,7 +320,9 @@ def test_media_small_crops_with_the_defaults(spark):
 def test_consensus_in_blocks_and_with_an_early_end(monkeypatch):
     r = np.random.default_rng(5)
     a, bits = r.uniform(0, 100, (90, 2)), r.integers(0, 256, (90, 16), dtype=np.uint8)
-    b, other = np.vstack([a[:40] * 2 + 3, r.uniform(0, 100, (30, 2))]), np.vstack([bits[:40], r.integers(0, 256, (30, 16), dtype=np.uint8)])
+    b, other = np.vstack([a[:40] * 2 + 3, r.uniform(0, 100, (30, 2))]), np.vstack(
+        [bits[:40], r.integers(0, 256, (30, 16), dtype=np.uint8)]
+    )
     assert media.consensus(a, bits, b, other) == 40
     assert media.consensus(a, bits, b, other, 6) >= 6 and media.consensus(a, bits, b, other, 41) == 40
     monkeypatch.setattr(media, "BLOCK", 100)
@@ -302,7 +348,10 @@ def brute_mixture(tokens, held, tuning):
             pair.update(zip([None, *tokens[k]], tokens[k]))
             before.update([None, *tokens[k][:-1]])
         n, v = sum(word.values()), len(word)
-        return lambda h, w: (pair[h, w] / max(before[h], 1), word[w] / max(n, 1), 1 / (v + 1), min(before[h].bit_length(), language_model.LEVELS - 1))
+        return lambda h, w: (
+            pair[h, w] / max(before[h], 1), word[w] / max(n, 1), 1 / (v + 1),
+            min(before[h].bit_length(), language_model.LEVELS - 1)
+        )
 
     estimate = counted([k for k in tokens if not held(k) and not tuning(k)])
     steps = Counter()
@@ -323,20 +372,28 @@ def brute_mixture(tokens, held, tuning):
 
 def test_language_model(docs, odd, spark):
     held, tuning = F.col("doc_id") % 5 == 2, F.col("doc_id") % 5 == 3
-    got = {r["doc_id"]: r for r in language_model.score_texts(docs, held, tuning, batch_bytes=2000, range_bytes=1000).collect()}
+    got = {
+        r["doc_id"]: r for r in language_model.score_texts(
+            docs, held, tuning, batch_bytes=2000, range_bytes=1000
+        ).collect()
+    }
     one = {r["doc_id"]: r for r in language_model.score_texts(docs, held, tuning).collect()}
     tokens = {k: [*split(t), 0] for k, t in enumerate(TEXTS)}
     count = Counter(w for k, t in tokens.items() if k % 5 != 2 for w in t)
     n, v = sum(count.values()), len(count)
     for k, t in tokens.items():
         r = got[k]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (k % 5 == 2, len(t), sum(count[w] > 0 for w in t), n)
+        assert (
+            r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]
+        ) == (k % 5 == 2, len(t), sum(count[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t))
         assert r["score"] == pytest.approx(one[k]["score"]) and r["score"] <= 0
     want = brute_mixture(tokens, lambda k: k % 5 == 2, lambda k: k % 5 == 3)
     assert [got[k]["score"] for k in tokens] == pytest.approx([want[k] for k in tokens])
     assert language_model.score_texts(odd, F.lit(False), F.lit(True)).count() == 5
-    assert language_model.score_texts(odd, F.lit(True), F.lit(False)).filter("train_tokens = 0 and score < 0").count() == 5
+    assert language_model.score_texts(odd, F.lit(True), F.lit(False)).filter(
+        "train_tokens = 0 and score < 0"
+    ).count() == 5
     assert language_model.score_texts(empty(spark), held, tuning).count() == 0
 
 
@@ -348,7 +405,9 @@ def test_language_model_estimates_and_mixture():
     assert weights.sum(1) == pytest.approx(1)
 
     def likelihood(x):
-        return float(counts @ np.log(np.column_stack([language_model._value(p), language_model._value(w), np.ones(3)]) @ x))
+        return float(
+            counts @ np.log(np.column_stack([language_model._value(p), language_model._value(w), np.ones(3)]) @ x)
+        )
 
     grid = (np.array(x) / sum(x) for x in itertools.product(np.linspace(0.01, 0.98, 25), repeat=3))
     assert all(likelihood(weights[3]) >= likelihood(x) - 1e-3 for x in grid)
@@ -359,7 +418,9 @@ def test_packing(docs, odd, spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    for frame, texts, window, grain in ((docs, dict(enumerate(TEXTS)), 2048, 32), (docs, dict(enumerate(TEXTS)), 64, 8)):
+    for frame, texts, window, grain in (
+        (docs, dict(enumerate(TEXTS)), 2048, 32), (docs, dict(enumerate(TEXTS)), 64, 8)
+    ):
         rows = packing.pack_documents(frame, path, window=window, grain=grain).collect()
         by_doc, by_sequence = defaultdict(list), defaultdict(list)
         for r in rows:
@@ -398,9 +459,14 @@ def test_least_squares_never_takes_more_than_there_is():
 def test_near_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
-    x = np.concatenate([base, base[:20] + r.normal(size=(20, 16)) * 0.12, base[:5], base[0] + r.normal(size=(60, 16)) * 0.1])
+    x = np.concatenate(
+        [base, base[:20] + r.normal(size=(20, 16)) * 0.12, base[:5], base[0] + r.normal(size=(60, 16)) * 0.1]
+    )
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    bad = [(500, None), (501, [0.0] * 16), (502, [float("nan"), *[1.0] * 15]), (503, [None, *[1.0] * 15]), (None, x[0].tolist()), (0, x[0].tolist())]
+    bad = [
+        (500, None), (501, [0.0] * 16), (502, [float("nan"), *[1.0] * 15]), (503, [None, *[1.0] * 15]),
+        (None, x[0].tolist()), (0, x[0].tolist())
+    ]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("id", F.lit("x"))
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.95
@@ -411,8 +477,12 @@ def test_near_vectors(spark):
         top = [a if t == b else t for t in top]
     for options in ({}, {"block": 7, "chunk": 11, "pivots": 6}):
         got = {q["vec_id"]: q for q in embeddings.near_vectors(frame, **options).collect() if q["vec_id"] is not None}
-        assert [(got[k]["n_links"], got[k]["component_id"]) for k in range(len(x))] == list(zip(near.sum(1).tolist(), top))
-        assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in (500, 501, 502, 503))
+        assert [
+            (got[k]["n_links"], got[k]["component_id"]) for k in range(len(x))
+        ] == list(zip(near.sum(1).tolist(), top))
+        assert all(
+            (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in (500, 501, 502, 503)
+        )
     assert embeddings.near_vectors(empty(spark, "vec_id long, embedding array<double>")).count() == 0
 
 
@@ -442,7 +512,9 @@ def test_chat_repair(spark):
     conversations[101] = ["system"]
     rows = [(k, t, role, f"t{t}" if t % 5 else None) for k, c in conversations.items() for t, role in enumerate(c)]
     rows += [(None, 0, "user", "a"), (None, None, "user", "b"), (None, None, "user", "b")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(3)).withColumn("pos", F.lit("x"))
+    frame = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string"
+    ).withColumn("part", F.lit(3)).withColumn("pos", F.lit("x"))
     got = defaultdict(list)
     for q in chat.repair_roles(frame, partitions=5).collect():
         got[q["conv_id"]].append(q)
@@ -455,7 +527,9 @@ def test_chat_repair(spark):
         turns = [line[2:-2] for line in out.split("\n") if line.startswith("<|")]
         states = [chat.START, *[chat.ROLES.index(t) + 1 for t in turns]]
         assert all(b in chat.LEGAL[a] for a, b in itertools.pairwise(states)) and states[-1] in chat.ENDS
-        assert [line for line in out.split("\n") if line.startswith("t")] == [f"t{t}" for t in range(len(roles)) if t % 5]
+        assert [
+            line for line in out.split("\n") if line.startswith("t")
+        ] == [f"t{t}" for t in range(len(roles)) if t % 5]
     assert "".join(x["rendered"] for x in sorted(got[None], key=lambda x: x["seq"])) == "<|user|>\nb\nb\na"
     # pieces and blocks: the cost is that of one piece, however rows are dealt, and the repair does not depend on the dealing
     one = {k: sum(x["cost"] for x in q) for k, q in got.items()}
@@ -467,7 +541,10 @@ def test_chat_repair(spark):
             cost[q["conv_id"]] += q["cost"]
             states[q["conv_id"]] += [line[2:-2] for line in q["rendered"].split("\n") if line.startswith("<|")]
         assert cost == one
-        assert all(chat.ROLES.index(b) + 1 in chat.LEGAL[chat.ROLES.index(a) + 1] for v in states.values() for a, b in itertools.pairwise(v))
+        assert all(
+            chat.ROLES.index(b) + 1 in chat.LEGAL[chat.ROLES.index(a) + 1] for v in states.values() for a,
+            b in itertools.pairwise(v)
+        )
     assert chat.repair_roles(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -536,4 +613,6 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert total(mixed) == pytest.approx(total(unique), rel=0.1)
     pieces = corpus_pipeline.pack(spark, mixed, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in mixed.collect()}
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "mixing", "packing"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality", "near_duplicates", "repeats", "mixing", "packing"
+    ]

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 r = random.Random(11)
 WORDS = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(1, 6))) for _ in range(300)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("times", "_id", "_size", "_source", "size", "key", "bin", "taken", "target", "rated", "of", "part", "copy", "n", "rep", "component", "spans", "anchor", "score", "c0", "own_text")
+CLASHES = (
+    "times", "_id", "_size", "_source", "size", "key", "bin", "taken", "target", "rated", "of", "part", "copy", "n",
+    "rep", "component", "spans", "anchor", "score", "c0", "own_text"
+)
 
 
 def prose(n):
@@ -23,7 +26,9 @@ def folder(spark, tmp_path_factory):
     rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)]
     rows += [(60 + k, prose(60) + " vile vilely " + prose(10), "en", "s1", 0) for k in range(40)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{there}/documents.parquet")
-    spark.createDataFrame([(k, int(k < 60), int(k >= 60)) for k in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{there}/labels.parquet")
+    spark.createDataFrame(
+        [(k, int(k < 60), int(k >= 60)) for k in range(100)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{there}/labels.parquet")
     return str(there)
 
 
@@ -34,7 +39,10 @@ def test_passages_of_just_over_fifty_words_go(spark, n):
 
     passage, short = prose(n), prose(50)
     clean = [prose(120) for _ in range(20)]
-    texts = [*clean, passage + " " + prose(30), prose(30) + "\n" + passage.replace(" ", "  "), prose(20) + " " + passage.upper() + " " + prose(20), short + " " + prose(40), prose(40) + " " + short]
+    texts = [
+        *clean, passage + " " + prose(30), prose(30) + "\n" + passage.replace(" ", "  "),
+        prose(20) + " " + passage.upper() + " " + prose(20), short + " " + prose(40), prose(40) + " " + short
+    ]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
     out = corpus_pipeline.remove_repeats(spark, docs, "")
     assert out.columns == docs.columns
@@ -63,7 +71,9 @@ def brute_word_repeats(texts, n):
 
 def test_word_passages_against_brute_force(spark):
     few = WORDS[:6]
-    texts = [" ".join(r.choice(few) for _ in range(r.randint(0, 60))) for _ in range(40)] + ["la " * 50, "la la", "", "x " * 7 + "y " * 9]
+    texts = [
+        " ".join(r.choice(few) for _ in range(r.randint(0, 60))) for _ in range(40)
+    ] + ["la " * 50, "la la", "", "x " * 7 + "y " * 9]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for n in (3, 7):
         left = {q["doc_id"]: q["text"].lower().split() for q in repeats.remove_repeats(docs, words=n, gram=4).collect()}
@@ -72,7 +82,10 @@ def test_word_passages_against_brute_force(spark):
 
 def odd_rows(spark):
     text = prose(90)
-    rows = [(None, text, None, None, 1), (7, text, "en", "a", 2), (7, text, "en", "a", 2), (8, None, "en", None, None), (None, None, None, None, None), (9, "", "en", "a", 0), (10, prose(20_000), "en", "b", 3)]
+    rows = [
+        (None, text, None, None, 1), (7, text, "en", "a", 2), (7, text, "en", "a", 2), (8, None, "en", None, None),
+        (None, None, None, None, None), (9, "", "en", "a", 0), (10, prose(20_000), "en", "b", 3)
+    ]
     frame = spark.createDataFrame(rows, SCHEMA)
     return frame.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
 
