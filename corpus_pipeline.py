@@ -46,13 +46,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty, and further columns may have any names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    own = [docs["doc_id"].alias("own_id"), docs["source"].alias("own_source"), size.alias("own_size"), F.monotonically_increasing_id().alias("own_row")]
+    own = [
+        docs["doc_id"].alias("own_id"), docs["source"].alias("own_source"), size.alias("own_size"),
+        F.monotonically_increasing_id().alias("own_row")
+    ]
     rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, docs.columns)], *own)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("rated"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(
+        F.col("doc_id").alias("labelled")
+    ).agg(F.min("quality").alias("rated"))
     # labels grow with the documents: both sides are shuffled at every size
     rated = rows.join(labels.hint("merge"), F.col("own_id") == F.col("labelled"), "left")
     weight = F.when(F.col("rated") == 1, 2.0).when(F.col("rated") == 0, 0.5).otherwise(1.0)
-    taken = mixing.repeat_rows(rated, size="own_size", row="own_row", weight=weight, doc_id="own_id", source="own_source")
+    taken = mixing.repeat_rows(
+        rated, size="own_size", row="own_row", weight=weight, doc_id="own_id", source="own_source"
+    )
     return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
