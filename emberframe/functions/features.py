@@ -9,7 +9,10 @@ from emberframe.functions.geo import _col, great_circle_km
 
 # Longitude below the satellite, and boxes (min lon, max lon, min lat, max lat) of cities with industry.
 SATELLITE_LON = 140.7
-URBAN_BOXES = [(114.0, 120.5, 36.0, 41.5), (118.0, 122.5, 29.5, 33.0), (112.5, 115.5, 22.0, 24.5), (103.5, 107.5, 28.5, 32.0), (112.0, 115.0, 27.5, 31.0)]
+URBAN_BOXES = [
+    (114.0, 120.5, 36.0, 41.5), (118.0, 122.5, 29.5, 33.0), (112.5, 115.5, 22.0, 24.5), (103.5, 107.5, 28.5, 32.0),
+    (112.0, 115.0, 27.5, 31.0)
+]
 # Boxes of deserts; their bounds do not belong to them.
 DESERT_BOXES = [(76.8, 88.5, 36.0, 42.5), (99.0, 105.0, 37.0, 42.0)]
 TURN = 6.283185307179586
@@ -39,8 +42,12 @@ def solar_hour(ts: Column, lon) -> Column:
 def day_phase(code, ts: Column, lon) -> Column:
     """day, twilight or night: by its code, else by the local solar hour; without a time, night."""
     c, h = F.upper(F.trim(F.coalesce(_col(code), F.lit("")))), solar_hour(ts, lon)
-    by_hour = F.when((h >= 6) & (h < 18), "day").when(((h >= 5) & (h < 6)) | ((h >= 18) & (h < 19)), "twilight").otherwise("night")
-    return F.when(c.isin("N", "NIGHT"), "night").when(c.isin("D", "DAY"), "day").when(c.isin("T", "TWILIGHT"), "twilight").otherwise(by_hour)
+    by_hour = F.when((h >= 6) & (h < 18), "day").when(
+        ((h >= 5) & (h < 6)) | ((h >= 18) & (h < 19)), "twilight"
+    ).otherwise("night")
+    return F.when(c.isin("N", "NIGHT"), "night").when(c.isin("D", "DAY"), "day").when(
+        c.isin("T", "TWILIGHT"), "twilight"
+    ).otherwise(by_hour)
 
 
 def slot_text(ts: Column) -> Column:
@@ -62,30 +69,40 @@ def candidate_frame(fires: DataFrame) -> DataFrame:
     scene = have("scene_id", F.lit(None).cast("string"))
     area = have("area_pixels", F.lit(1.0))
     return fires.select(
-        "*", F.coalesce(slot_text(ts), F.when(F.length(scene) >= 12, F.substring(scene, -12, 12)).otherwise(scene), F.lit("")).alias("scene_slot"),
+        "*",
+        F.coalesce(
+            slot_text(ts), F.when(F.length(scene) >= 12, F.substring(scene, -12, 12)).otherwise(scene), F.lit("")
+        ).alias("scene_slot"),
         lon.alias("center_lon"), lat.alias("center_lat"), lon.alias("peak_lon"), lat.alias("peak_lat"),
         lon.alias("bbox_lon_min"), lon.alias("bbox_lon_max"), lat.alias("bbox_lat_min"), lat.alias("bbox_lat_max"),
-        F.greatest(F.when(area == 0, 1.0).otherwise(F.coalesce(area.cast("double"), F.lit(1.0))), F.lit(1.0)).alias("cand_area"),
+        F.greatest(
+            F.when(area == 0, 1.0).otherwise(F.coalesce(area.cast("double"), F.lit(1.0))), F.lit(1.0)
+        ).alias("cand_area"),
         zero(F.col("bt_tir")).alias("max_bt07_k"), zero(F.col("bt_dif")).alias("max_t713_k"),
-        day_phase(have("daynight", F.lit(None).cast("string")), ts, lon).alias("day_phase"), region(lon).alias("region"), zero(F.col("score")).alias("physics_score"),
-    )
+        day_phase(have("daynight", F.lit(None).cast("string")), ts, lon).alias("day_phase"),
+        region(lon).alias("region"), zero(F.col("score")).alias("physics_score"),
+    )
 
 
 def base_features(frame: DataFrame) -> DataFrame:
     """The 26 features that need nothing but the candidate itself."""
     c = F.col
     ts = c("acq_ts")
-    month, hour = F.coalesce(F.month(ts), F.lit(1)), F.pmod(F.coalesce(F.hour(ts), F.lit(0)) + F.coalesce(F.minute(ts), F.lit(0)) / 60 + c("center_lon") / 15, F.lit(24.0))
+    month, hour = F.coalesce(F.month(ts), F.lit(1)), F.pmod(
+        F.coalesce(F.hour(ts), F.lit(0)) + F.coalesce(F.minute(ts), F.lit(0)) / 60 + c("center_lon") / 15, F.lit(24.0)
+    )
     out = frame.withColumns({
-        "month_sin": F.sin(TURN * month / 12), "month_cos": F.cos(TURN * month / 12), "hour_sin": F.sin(TURN * hour / 24), "hour_cos": F.cos(TURN * hour / 24),
+        "month_sin": F.sin(TURN * month / 12), "month_cos": F.cos(TURN * month / 12),
+        "hour_sin": F.sin(TURN * hour / 24), "hour_cos": F.cos(TURN * hour / 24),
         "distance_star_km": great_circle_km("center_lon", "center_lat", SATELLITE_LON, 0.0),
         "lon_span_deg": c("bbox_lon_max") - c("bbox_lon_min"), "lat_span_deg": c("bbox_lat_max") - c("bbox_lat_min"),
         "peak_offset_km": great_circle_km("center_lon", "center_lat", "peak_lon", "peak_lat"),
-        "bt07_level": c("max_bt07_k"), "bt07_sq": c("max_bt07_k") * c("max_bt07_k"), "t713_strength": F.greatest(c("max_t713_k"), F.lit(0.0)), "bt07_x_t713": c("max_bt07_k") * c("max_t713_k"),
+        "bt07_level": c("max_bt07_k"), "bt07_sq": c("max_bt07_k") * c("max_bt07_k"),
+        "t713_strength": F.greatest(c("max_t713_k"), F.lit(0.0)), "bt07_x_t713": c("max_bt07_k") * c("max_t713_k"),
         "area_sq": c("cand_area") * c("cand_area"),
         **{f"dn_{v}": (c("day_phase") == v).cast("float") for v in ("day", "twilight", "night")},
         **{f"region_{v}": (c("region") == v).cast("float") for v in ("east", "central", "west")},
-    })
+    })
     return out.withColumns({
         "aspect_ratio": c("lon_span_deg") / F.greatest(c("lat_span_deg"), F.lit(1e-6)),
         "peak_offset_ratio": c("peak_offset_km") / (F.greatest(c("cand_area"), F.lit(1.0)) * 2),

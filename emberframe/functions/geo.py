@@ -16,7 +16,9 @@ def _col(x: Column | str | float) -> Column:
 
 def haversine_km(lon1, lat1, lon2, lat2) -> Column:
     lon1, lat1, lon2, lat2 = map(_col, (lon1, lat1, lon2, lat2))
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    a = F.pow(
+        F.sin(F.radians(lat2 - lat1) / 2), 2
+    ) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.sqrt(F.greatest(a, F.lit(0.0))))
 
 
@@ -36,7 +38,9 @@ def in_box(lon, lat, min_lon: float, min_lat: float, max_lon: float, max_lat: fl
 def normalize_longitude(lon) -> Column:
     """Into [-180, 180] by whole turns; both ends stay as they are."""
     lon = _col(lon)
-    return F.when(lon > 180, lon - 360 * F.ceil((lon - 180) / 360)).when(lon < -180, lon + 360 * F.ceil((-180 - lon) / 360)).otherwise(lon)
+    return F.when(lon > 180, lon - 360 * F.ceil((lon - 180) / 360)).when(
+        lon < -180, lon + 360 * F.ceil((-180 - lon) / 360)
+    ).otherwise(lon)
 
 
 def grid_cell(coordinate, degrees: float) -> Column:
@@ -52,7 +56,13 @@ def ring_crossings(ring: Column, lon: Column, lat: Column) -> Column:
             ring,
             before,
             lambda a, b: F.when(
-                ((a["y"] > lat) != (b["y"] > lat)) & (lon < (b["x"] - a["x"]) * (lat - a["y"]) / F.when(b["y"] == a["y"], F.lit(1e-12)).otherwise(b["y"] - a["y"]) + a["x"]),
+                ((a["y"] > lat) != (b["y"] > lat))
+                & (
+                    lon < (b["x"] - a["x"]) * (lat - a["y"]) / F.when(
+                        b["y"] == a["y"], F.lit(1e-12)
+                    ).otherwise(b["y"] - a["y"])
+                    + a["x"]
+                ),
                 1,
             ).otherwise(0),
         ),
@@ -102,14 +112,21 @@ def _point(x: Column, y: Column) -> Column:
 
 def axis_step(before: Column, here: Column, after: Column) -> Column:
     """Step of a coordinate along an axis: the central difference, or one-sided at an edge, or 0."""
-    return F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - here).when(before.isNotNull(), here - before).otherwise(0.0)
+    return F.when(
+        before.isNotNull() & after.isNotNull(), (after - before) / 2
+    ).when(after.isNotNull(), after - here).when(before.isNotNull(), here - before).otherwise(0.0)
 
 
 def pixel_ring(lon, lat, lon_row, lon_col, lat_row, lat_col) -> Column:
     """Closed ring of a pixel from its centre and the steps of both coordinates along rows and columns."""
     lon, lat, lr, lc, ar, ac = map(_col, (lon, lat, lon_row, lon_col, lat_row, lat_col))
     corners = ((-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))
-    return F.array(*[_point(F.round(lon + 0.5 * r * lr + 0.5 * c * lc, 7), F.round(lat + 0.5 * r * ar + 0.5 * c * ac, 7)) for r, c in corners])
+    return F.array(
+        *[
+            _point(F.round(lon + 0.5 * r * lr + 0.5 * c * lc, 7), F.round(lat + 0.5 * r * ar + 0.5 * c * ac, 7)) for r,
+            c in corners
+        ]
+    )
 
 
 def metre_box(lon, lat, width_m, height_m) -> Column:

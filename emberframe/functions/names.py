@@ -16,14 +16,20 @@ def segment_name(name) -> Column:
     part = lambda k: F.regexp_extract(_col(name), SEGMENT, k)
     return F.when(
         F.coalesce(_col(name).rlike(SEGMENT), F.lit(False)),
-        F.struct(part(1).alias("satellite"), F.concat(part(2), part(3)).alias("scene_id"), part(4).alias("band"), part(6).cast("int").alias("segment"), part(7).cast("int").alias("total")),
+        F.struct(
+            part(1).alias("satellite"), F.concat(part(2), part(3)).alias("scene_id"), part(4).alias("band"),
+            part(6).cast("int").alias("segment"), part(7).cast("int").alias("total")
+        ),
     )
 
 
 def expected_name(satellite, scene_id, band, segment) -> Column:
     """The archive's name of a segment; band 03 has the finest resolution."""
     satellite, scene_id, band, segment = map(_col, (satellite, scene_id, band, segment))
-    return F.format_string("HS_%s_%s_%s_B%s_FLDK_R%s_S%02d10.DAT.bz2", satellite, F.substring(scene_id, 1, 8), F.substring(scene_id, 9, 4), band, F.when(band == "03", "05").otherwise("20"), segment.cast("int"))
+    return F.format_string(
+        "HS_%s_%s_%s_B%s_FLDK_R%s_S%02d10.DAT.bz2", satellite, F.substring(scene_id, 1, 8), F.substring(scene_id, 9, 4),
+        band, F.when(band == "03", "05").otherwise("20"), segment.cast("int")
+    )
 
 
 def band_of(key) -> Column:
@@ -55,13 +61,18 @@ def slot_floor(ts: Column, minutes: int = 10) -> Column:
 def slots(spark: SparkSession, now: Column, lookback: int, minutes: int = 10, lag_minutes: int = 20) -> DataFrame:
     """(slot): the last ``lookback`` + 1 slots that can be complete, the latest first."""
     latest = slot_floor(now - F.make_interval(mins=F.lit(lag_minutes)), minutes)
-    return spark.range(lookback + 1).select(F.timestamp_seconds(F.unix_timestamp(latest) - F.col("id") * 60 * minutes).alias("slot"))
+    return spark.range(lookback + 1).select(
+        F.timestamp_seconds(F.unix_timestamp(latest) - F.col("id") * 60 * minutes).alias("slot")
+    )
 
 
 def render(template, variables: Column) -> Column:
     """``{NAME}`` replaced by its value; an unknown name by nothing. ``variables`` is a map column."""
     names = F.array_distinct(F.regexp_extract_all(_col(template), F.lit(r"\{([A-Za-z0-9_]+)\}"), F.lit(1)))
-    return F.aggregate(names, _col(template), lambda text, n: F.replace(text, F.concat(F.lit("{"), n, F.lit("}")), F.coalesce(variables[n], F.lit(""))))
+    return F.aggregate(
+        names, _col(template), lambda text,
+        n: F.replace(text, F.concat(F.lit("{"), n, F.lit("}")), F.coalesce(variables[n], F.lit("")))
+    )
 
 
 def time_variables(ts: Column, lon: float = 116.39, lat: float = 39.9) -> Column:
@@ -69,7 +80,11 @@ def time_variables(ts: Column, lon: float = 116.39, lat: float = 39.9) -> Column
     from emberframe.functions.geo import elevation_tile, land_cover_tile
 
     f = lambda p: F.date_format(ts, p)
-    pairs = {"YYYY": f("yyyy"), "MM": f("MM"), "DD": f("dd"), "HH": f("HH"), "mm": f("mm"), "YYYYMM": f("yyyyMM"), "YYYYMMDD": f("yyyyMMdd"), "AOI_LON": F.lit(str(lon)), "AOI_LAT": F.lit(str(lat)), "DEM_TILE": elevation_tile(lon, lat), "WORLDCOVER_TILE": land_cover_tile(lon, lat)}
+    pairs = {
+        "YYYY": f("yyyy"), "MM": f("MM"), "DD": f("dd"), "HH": f("HH"), "mm": f("mm"), "YYYYMM": f("yyyyMM"),
+        "YYYYMMDD": f("yyyyMMdd"), "AOI_LON": F.lit(str(lon)), "AOI_LAT": F.lit(str(lat)),
+        "DEM_TILE": elevation_tile(lon, lat), "WORLDCOVER_TILE": land_cover_tile(lon, lat)
+    }
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
 
 
@@ -80,12 +95,17 @@ def safe_name(name) -> Column:
 def sensor_of(file_name) -> Column:
     """Sensor of an official active-fire file, by its name."""
     n = F.upper(_col(file_name))
-    return F.when(n.contains("MODIS"), "MODIS").when(n.contains("SUOMI") | n.contains("SNPP"), "VIIRS_SNPP").when(n.contains("NOAA21") | n.contains("J2_VIIRS"), "VIIRS_NOAA21").otherwise("VIIRS_NOAA20")
+    return F.when(n.contains("MODIS"), "MODIS").when(n.contains("SUOMI") | n.contains("SNPP"), "VIIRS_SNPP").when(
+        n.contains("NOAA21") | n.contains("J2_VIIRS"), "VIIRS_NOAA21"
+    ).otherwise("VIIRS_NOAA20")
 
 
 def report_time(date, time) -> Column:
     """Time of a report with a date yyyy-MM-dd and a time HHmm that may lack leading zeros; null if it is none."""
-    return F.try_to_timestamp(F.concat(F.trim(_col(date)), F.lit(" "), F.lpad(F.trim(_col(time).cast("string")), 4, "0")), F.lit("yyyy-MM-dd HHmm"))
+    return F.try_to_timestamp(
+        F.concat(F.trim(_col(date)), F.lit(" "), F.lpad(F.trim(_col(time).cast("string")), 4, "0")),
+        F.lit("yyyy-MM-dd HHmm")
+    )
 
 
 def listing_next(xml) -> Column:
@@ -105,4 +125,10 @@ def listing_entries(xml) -> Column:
         return text
 
     tag = lambda e, name: F.regexp_extract(e, rf"(?s)<{name}>(.*?)</{name}>", 1)
-    return F.transform(entry, lambda e: F.struct(decoded(tag(e, "Key")).alias("key"), tag(e, "Size").try_cast("long").alias("size"), F.try_to_timestamp(tag(e, "LastModified")).alias("modified")))
+    return F.transform(
+        entry,
+        lambda e: F.struct(
+            decoded(tag(e, "Key")).alias("key"), tag(e, "Size").try_cast("long").alias("size"),
+            F.try_to_timestamp(tag(e, "LastModified")).alias("modified")
+        )
+    )

@@ -69,7 +69,10 @@ class Rescue:
     most: int = 400
 
     def normal(self) -> Rescue:
-        return Rescue(bool(self.enabled), min(max(float(self.scale), 0.4), 1.0), max(float(self.edge_threshold_c), 0.0), max(int(self.most), 0))
+        return Rescue(
+            bool(self.enabled), min(max(float(self.scale), 0.4), 1.0), max(float(self.edge_threshold_c), 0.0),
+            max(int(self.most), 0)
+        )
 
 
 def true(condition: Column) -> Column:
@@ -155,7 +158,9 @@ def affine_lon_lat(row, col, lon0: float, lat0: float, lon_step: float, lat_step
     return F.round(lon0 + _col(col) * lon_step, 6), F.round(lat0 + _col(row) * lat_step, 6)
 
 
-def crop_bounds(p: Projection, columns: int, lines: int, box: tuple[float, float, float, float], margin: int) -> dict[str, int]:
+def crop_bounds(
+    p: Projection, columns: int, lines: int, box: tuple[float, float, float, float], margin: int
+) -> dict[str, int]:
     """Pixel bounds of a box (min lon, min lat, max lon, max lat): its corners and centre, a margin, clamped to the disk."""
     import math
 
@@ -164,14 +169,19 @@ def crop_bounds(p: Projection, columns: int, lines: int, box: tuple[float, float
         dl, phi = math.radians(lon - p.sub_lon), math.atan(flat * math.tan(math.radians(lat)))
         re = p.polar_km / math.sqrt(1 - (1 - flat) * math.cos(phi) ** 2)
         a, b, c = p.height_km - re * math.cos(phi) * math.cos(dl), re * math.cos(phi) * math.sin(dl), re * math.sin(phi)
-        return p.coff + math.degrees(math.atan2(b, a)) * p.cfac / 65536, p.loff + math.degrees(math.asin(-c / math.sqrt(a * a + b * b + c * c))) * p.lfac / 65536
+        return p.coff + math.degrees(math.atan2(b, a)) * p.cfac / 65536, p.loff + math.degrees(
+            math.asin(-c / math.sqrt(a * a + b * b + c * c))
+        ) * p.lfac / 65536
 
     x0, y0, x1, y1 = box
     at = [place(x, y) for x, y in ((x0, y0), (x0, y1), (x1, y0), (x1, y1), ((x0 + x1) / 2, (y0 + y1) / 2))]
     c, r = [a for a, _ in at], [b for _, b in at]
     low_c, high_c = max(math.floor(min(c)) - margin, 1), min(math.ceil(max(c)) + margin, columns)
     low_r, high_r = max(math.floor(min(r)) - margin, 1), min(math.ceil(max(r)) + margin, lines)
-    return {"lineStart": low_r, "lineEnd": high_r, "colStart": low_c, "colEnd": high_c, "height": high_r - low_r + 1, "width": high_c - low_c + 1}
+    return {
+        "lineStart": low_r, "lineEnd": high_r, "colStart": low_c, "colEnd": high_c, "height": high_r - low_r + 1,
+        "width": high_c - low_c + 1
+    }
 
 
 def solar_altitude(ts, lon, lat) -> Column:
@@ -198,7 +208,9 @@ def cloudy(b07, b13, b14, rvis, zenith, night: Column, t: Thresholds) -> Column:
     d = b07 - b13
     cold = (b13 < 270) & ((b13 - b14 < 4) | (b13 - b14 > 60))
     bright = (rvis > t.cloud_visible_reflectance) & (zenith < t.cloud_zenith_limit_deg)
-    return true(~night & (d < 4)) | true((d > 20) & ((b07 < 275) | (b13 < 270))) | true(bright) | true(b14 < 265) | true(cold)
+    return true(~night & (d < 4)) | true(
+        (d > 20) & ((b07 < 275) | (b13 < 270))
+    ) | true(bright) | true(b14 < 265) | true(cold)
 
 
 def cloudy_simple(b07, b13, b14, rvis, zenith) -> Column:
@@ -206,17 +218,25 @@ def cloudy_simple(b07, b13, b14, rvis, zenith) -> Column:
     b07, b13, b14, zenith = map(_col, (b07, b13, b14, zenith))
     d = b07 - b13
     v = F.coalesce(_col(rvis), F.lit(0.0))
-    return true(d < 4) | true((d > 20) & ((b07 < 275) | (b13 < 270))) | true((v > 0.28) & (zenith < 70)) | true(b14 < 265) | true((b13 < 270) & ((b13 - b14 < 4) | (b13 - b14 > 60)))
+    return true(d < 4) | true(
+        (d > 20) & ((b07 < 275) | (b13 < 270))
+    ) | true((v > 0.28) & (zenith < 70)) | true(b14 < 265) | true(
+        (b13 < 270) & ((b13 - b14 < 4) | (b13 - b14 > 60))
+    )
 
 
 def day_seed(b07, b13, rvis, clear: Column, t: Thresholds) -> Column:
     """Two independent conditions: on the difference, and on the 3.9 um temperature against the reflectance."""
     b07, b13, rvis = map(_col, (b07, b13, rvis))
-    return clear & true((b07 - b13 > t.suspicious_offset_k) & (b07 > rvis * t.suspicious_visible_factor + t.suspicious_offset_k))
+    return clear & true(
+        (b07 - b13 > t.suspicious_offset_k) & (b07 > rvis * t.suspicious_visible_factor + t.suspicious_offset_k)
+    )
 
 
 def night_seed(b07, rvis, clear: Column, night: Column, t: Thresholds) -> Column:
-    return clear & night & true(_col(b07) > t.night_absolute_t7_k) & (_col(rvis).isNull() | true(_col(rvis) < t.night_visible_max))
+    return clear & night & true(_col(b07) > t.night_absolute_t7_k) & (
+        _col(rvis).isNull() | true(_col(rvis) < t.night_visible_max)
+    )
 
 
 def permissive_candidate(b07, b13, rvis, clear: Column, night: Column, t: Thresholds) -> Column:
@@ -238,8 +258,14 @@ def evidence(t7, t713, t7_bg, std_t7, t713_bg, std_t713, factor, night_hot, t: T
     s7, s713 = F.greatest(_col(std_t7), F.lit(0.1)), F.greatest(_col(std_t713), F.lit(0.1))
     a, b = (t7 - (t7_bg + factor * s7)) / s7, (t713 - (t713_bg + factor * s713)) / s713
     relative = F.greatest(F.least(a, b), F.lit(0.0)) + 0.25 * F.greatest((a + b) / 2, F.lit(0.0))
-    absolute = F.when(true(_col(night_hot)), 2.0 + F.greatest((t7 - t.night_absolute_t7_k) / max(t.absolute_score_scale_k, 0.1), F.lit(0.0))).otherwise(0.0)
-    return F.struct(F.round(F.least(F.greatest(relative, absolute), F.lit(10.0)), 3).alias("score"), F.round(a, 3).alias("t7_excess"), F.round(b, 3).alias("t713_excess"))
+    absolute = F.when(
+        true(_col(night_hot)),
+        2.0 + F.greatest((t7 - t.night_absolute_t7_k) / max(t.absolute_score_scale_k, 0.1), F.lit(0.0))
+    ).otherwise(0.0)
+    return F.struct(
+        F.round(F.least(F.greatest(relative, absolute), F.lit(10.0)), 3).alias("score"),
+        F.round(a, 3).alias("t7_excess"), F.round(b, 3).alias("t713_excess")
+    )
 
 
 def confidence(score, high: float = 3.5, medium: float = 2.0) -> Column:

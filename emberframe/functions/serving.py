@@ -41,8 +41,18 @@ def value_at(points: DataFrame, grid: DataFrame, step_lon: float, step_lat: floa
     """Points with the values of the grid point (lon, lat, ...) nearest to them, of those in the cells around. An equi join
     on cells of the grid's own steps."""
     at = lambda c, s: F.floor(_col(c) / s).cast("int")
-    around = F.explode(F.array(*[F.struct((at("lon", step_lon) + x).alias("_x"), (at("lat", step_lat) + y).alias("_y")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
-    g = grid.select(*[F.col(c).alias(f"grid_{c}") for c in grid.columns]).withColumns({"_x": at("grid_lon", step_lon), "_y": at("grid_lat", step_lat)})
+    around = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    (at("lon", step_lon) + x).alias("_x"), (at("lat", step_lat) + y).alias("_y")
+                ) for x in (-1, 0, 1) for y in (-1, 0, 1)
+            ]
+        )
+    )
+    g = grid.select(*[F.col(c).alias(f"grid_{c}") for c in grid.columns]).withColumns(
+        {"_x": at("grid_lon", step_lon), "_y": at("grid_lat", step_lat)}
+    )
     near = points.withColumn("_c", around).select("*", "_c.*").drop("_c").join(g, ["_x", "_y"]).drop("_x", "_y")
     w = Window.partitionBy(key).orderBy(haversine_km("lon", "lat", "grid_lon", "grid_lat"), "grid_lon", "grid_lat")
     best = near.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -27,14 +27,20 @@ def grid_bounds(grid: dict | None = None, lat: float = 39.9, lon: float = 116.39
 
     a, b = (min(max(number(k, d), -90.0), 90.0) for k, d in (("minLat", lat - 8), ("maxLat", lat + 8)))
     c, d = (min(max(number(k, d), -180.0), 180.0) for k, d in (("minLon", lon - 8), ("maxLon", lon + 8)))
-    return {"min_lat": min(a, b), "max_lat": max(a, b), "min_lon": min(c, d), "max_lon": max(c, d), "step_lat": max(number("stepLat", 2.0), 0.25), "step_lon": max(number("stepLon", 2.0), 0.25)}
+    return {
+        "min_lat": min(a, b), "max_lat": max(a, b), "min_lon": min(c, d), "max_lon": max(c, d),
+        "step_lat": max(number("stepLat", 2.0), 0.25), "step_lon": max(number("stepLon", 2.0), 0.25)
+    }
 
 
 def grid_points(spark: SparkSession, g: dict[str, float]) -> DataFrame:
     """(lat, lon) of every grid point, both ends included, made by the executors."""
     n = [int((g[f"max_{k}"] - g[f"min_{k}"] + 1e-4) // g[f"step_{k}"]) + 1 for k in ("lat", "lon")]
     k = spark.range(n[0] * n[1])
-    return k.select(F.round(g["min_lat"] + F.floor(F.col("id") / n[1]) * g["step_lat"], 4).alias("lat"), F.round(g["min_lon"] + F.pmod("id", F.lit(n[1])) * g["step_lon"], 4).alias("lon"))
+    return k.select(
+        F.round(g["min_lat"] + F.floor(F.col("id") / n[1]) * g["step_lat"], 4).alias("lat"),
+        F.round(g["min_lon"] + F.pmod("id", F.lit(n[1])) * g["step_lon"], 4).alias("lon")
+    )
 
 
 def celsius(value, unit) -> Column:
@@ -63,7 +69,9 @@ def fire_risk(humidity, celsius_, wind, rain=None, convective_rain=None, cape=No
     heat = F.coalesce(clamp((_col(celsius_) - 18) / 20, 0, 1), F.lit(0.3))
     air = F.coalesce(clamp(_col(wind) / 18, 0, 1), F.lit(0.25))
     lift = zero if cape is None else F.coalesce(clamp(_col(cape) / 2500, 0, 1) * 0.2, zero)
-    rain_ = (zero if rain is None else F.coalesce(_col(rain), zero)) + (zero if convective_rain is None else F.coalesce(_col(convective_rain), zero))
+    rain_ = (zero if rain is None else F.coalesce(_col(rain), zero)) + (
+        zero if convective_rain is None else F.coalesce(_col(convective_rain), zero)
+    )
     risk = clamp(0.38 * dry + 0.32 * heat + 0.22 * air + lift - 0.35 * clamp(rain_ / 6, 0, 1), 0, 1)
     return F.floor(risk * 100 + 0.5).cast("int")
 
@@ -72,7 +80,12 @@ def forecast_index(times: Column, target: Column) -> Column:
     """0-based place of the first valid time at or after ``target``, else of the last valid one, else -1."""
     places = F.sequence(F.lit(0), F.greatest(F.size(times) - 1, F.lit(0)))
     valid = F.filter(places, lambda i: F.get(times, i).isNotNull())
-    return F.when(F.size(times) <= 0, -1).otherwise(F.coalesce(F.get(F.filter(valid, lambda i: F.get(times, i) >= target), F.lit(0)), F.element_at(F.when(F.size(valid) > 0, valid), -1), F.lit(-1)))
+    return F.when(F.size(times) <= 0, -1).otherwise(
+        F.coalesce(
+            F.get(F.filter(valid, lambda i: F.get(times, i) >= target), F.lit(0)),
+            F.element_at(F.when(F.size(valid) > 0, valid), -1), F.lit(-1)
+        )
+    )
 
 
 def forecast_cells(points: DataFrame, target_ms: Column, step_lon: float, step_lat: float) -> DataFrame:
@@ -83,7 +96,10 @@ def forecast_cells(points: DataFrame, target_ms: Column, step_lon: float, step_l
     p = points.withColumn("_at", forecast_index(F.col("ts"), target_ms)).filter("_at >= 0")
     values = forecast_values(F.col("ts"), F.col("series"), F.col("units"), target_ms)
     at = F.timestamp_millis(F.get("ts", F.col("_at")))
-    return p.select("lat", "lon", cell_ring("lon", "lat", step_lon, step_lat).alias("ring"), at.alias("forecast_ts"), values.alias("v")).select("lat", "lon", "ring", "forecast_ts", "v.*")
+    return p.select(
+        "lat", "lon", cell_ring("lon", "lat", step_lon, step_lat).alias("ring"), at.alias("forecast_ts"),
+        values.alias("v")
+    ).select("lat", "lon", "ring", "forecast_ts", "v.*")
 
 
 def forecast_values(times: Column, series: Column, units: Column, target: Column) -> Column:
@@ -94,10 +110,16 @@ def forecast_values(times: Column, series: Column, units: Column, target: Column
     unit = lambda name: units[f"{name}-surface"]
     u, v = F.round(raw("wind_u"), 2), F.round(raw("wind_v"), 2)
     out = {
-        "temp_c": F.round(celsius(raw("temp"), unit("temp")), 1), "dewpoint_c": F.round(celsius(raw("dewpoint"), unit("dewpoint")), 1), "rh_pct": F.round(raw("rh"), 1),
-        "pressure_hpa": F.round(hectopascal(raw("pressure"), unit("pressure")), 1), "wind_ms": wind_speed(u, v), "u_ms": u, "v_ms": v, "gust_ms": F.round(raw("gust"), 1),
-        "precip_3h_mm": F.round(millimetres(raw("past3hprecip"), unit("past3hprecip")), 2), "conv_precip_3h_mm": F.round(millimetres(raw("past3hconvprecip"), unit("past3hconvprecip")), 2),
-        "cape_jkg": F.round(raw("cape"), 1), "lcloud_pct": F.round(raw("lclouds"), 1), "mcloud_pct": F.round(raw("mclouds"), 1), "hcloud_pct": F.round(raw("hclouds"), 1),
-    }
-    risk = fire_risk(out["rh_pct"], out["temp_c"], out["wind_ms"], out["precip_3h_mm"], out["conv_precip_3h_mm"], out["cape_jkg"])
+        "temp_c": F.round(celsius(raw("temp"), unit("temp")), 1),
+        "dewpoint_c": F.round(celsius(raw("dewpoint"), unit("dewpoint")), 1), "rh_pct": F.round(raw("rh"), 1),
+        "pressure_hpa": F.round(hectopascal(raw("pressure"), unit("pressure")), 1), "wind_ms": wind_speed(u, v),
+        "u_ms": u, "v_ms": v, "gust_ms": F.round(raw("gust"), 1),
+        "precip_3h_mm": F.round(millimetres(raw("past3hprecip"), unit("past3hprecip")), 2),
+        "conv_precip_3h_mm": F.round(millimetres(raw("past3hconvprecip"), unit("past3hconvprecip")), 2),
+        "cape_jkg": F.round(raw("cape"), 1), "lcloud_pct": F.round(raw("lclouds"), 1),
+        "mcloud_pct": F.round(raw("mclouds"), 1), "hcloud_pct": F.round(raw("hclouds"), 1),
+    }
+    risk = fire_risk(
+        out["rh_pct"], out["temp_c"], out["wind_ms"], out["precip_3h_mm"], out["conv_precip_3h_mm"], out["cape_jkg"]
+    )
     return F.struct(*[c.alias(k) for k, c in out.items()], risk.alias("fire_risk"))

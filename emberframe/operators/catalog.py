@@ -10,14 +10,21 @@ def complete_scenes(files: DataFrame, bands: list[str], segments: list[int], lea
     """(scene_id, files) of scenes (files: scene_id, band, segment, path) that have every wanted segment of every wanted
     band, and ``least`` segments a band; relational division by counting what matches."""
     wanted = files.filter(F.col("band").isin(bands))
-    per = wanted.groupBy("scene_id", "band").agg(F.count_distinct("segment").alias("n"), F.count_distinct(F.when(F.col("segment").isin(segments), F.col("segment"))).alias("have"))
-    good = per.filter((F.col("have") == len(set(segments))) & (F.col("n") >= (least or len(set(segments))))).groupBy("scene_id").agg(F.count("*").alias("bands"))
+    per = wanted.groupBy("scene_id", "band").agg(
+        F.count_distinct("segment").alias("n"),
+        F.count_distinct(F.when(F.col("segment").isin(segments), F.col("segment"))).alias("have")
+    )
+    good = per.filter(
+        (F.col("have") == len(set(segments))) & (F.col("n") >= (least or len(set(segments))))
+    ).groupBy("scene_id").agg(F.count("*").alias("bands"))
     good = good.filter(F.col("bands") == len(set(bands))).select("scene_id")
     listed = F.sort_array(F.collect_list(F.struct("band", "segment", "path"))).alias("files")
     return wanted.join(good, "scene_id", "left_semi").groupBy("scene_id").agg(listed)
 
 
-def latest_scenes(files: DataFrame, bands: list[str], segments: list[int], n: int | None = 1, oldest_first: bool = False) -> DataFrame:
+def latest_scenes(
+    files: DataFrame, bands: list[str], segments: list[int], n: int | None = 1, oldest_first: bool = False
+) -> DataFrame:
     """The ``n`` latest scenes (None: all) that are complete by their files' names, or for a replay the oldest; partial
     downloads do not count. ``hsd.latest_scenes`` reads the files too."""
     whole = files.filter(~F.coalesce(F.col("path").contains(".partial-"), F.lit(False)))
@@ -30,7 +37,9 @@ def completeness(files: DataFrame, expected: DataFrame, keys: tuple[str, ...] =
     """Per expected key (with ``wanted``): found, missing and whether it is complete."""
     have = files.groupBy(*keys).agg(F.count_distinct("segment").alias("found"))
     out = expected.join(have, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return out.withColumn("missing", F.greatest(F.col("wanted") - F.col("found"), F.lit(0))).withColumn("complete", F.col("missing") == 0)
+    return out.withColumn(
+        "missing", F.greatest(F.col("wanted") - F.col("found"), F.lit(0))
+    ).withColumn("complete", F.col("missing") == 0)
 
 
 def by_priority(df: DataFrame, keys: list[str], priority: str, order: list[str] | None = None) -> DataFrame:
@@ -50,7 +59,10 @@ def distinct_references(references: DataFrame, order: str = "ingest_order") -> D
     return first_rows(references, ["sensor", "acq_ts", F.round("lon", 6), F.round("lat", 6)], [order])
 
 
-def accepted_references(references: DataFrame, box: tuple[float, float, float, float], at: Column, hours: float, viirs: tuple[str, ...] = ("nominal", "high", "n", "h"), modis_least: float = 30.0) -> DataFrame:
+def accepted_references(
+    references: DataFrame, box: tuple[float, float, float, float], at: Column, hours: float,
+    viirs: tuple[str, ...] = ("nominal", "high", "n", "h"), modis_least: float = 30.0
+) -> DataFrame:
     """Detections inside the box and time, of a vegetation fire type, with enough confidence (a word for one sensor
     family, a number for the other)."""
     from emberframe.functions.geo import in_box
@@ -73,7 +85,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str, keep: tuple[str
     return first_rows(both, [key], [F.desc("_s")]).drop("_s")
 
 
-def replace_scenes(old: DataFrame, new: DataFrame, scenes: DataFrame, keys: tuple[str, ...] = ("source_sat", "acq_ts")) -> DataFrame:
+def replace_scenes(
+    old: DataFrame, new: DataFrame, scenes: DataFrame, keys: tuple[str, ...] = ("source_sat", "acq_ts")
+) -> DataFrame:
     """``old`` without the rows of ``scenes`` (keys), plus ``new``: a scene that has no fires any more is cleared too."""
     return old.join(scenes.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
@@ -89,7 +103,9 @@ def collected_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
     the first output that has it. A required output without a file fails the job; others may have none."""
     found = outputs.join(files, "output", "left")
     missing = F.col("path").isNull() & F.coalesce("required", F.lit(True))
-    checked = F.when(missing, F.raise_error(F.concat(F.lit("no file of the output "), "output"))).otherwise(F.col("path"))
+    checked = F.when(
+        missing, F.raise_error(F.concat(F.lit("no file of the output "), "output"))
+    ).otherwise(F.col("path"))
     present = found.select("output", checked.alias("path"), "order").filter("path is not null")
     return first_rows(present, ["path"], ["order", "output"])
 
@@ -97,10 +113,13 @@ def collected_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
 def resolved_overlays(overlays: DataFrame, files: DataFrame) -> DataFrame:
     """Overlays (source_id, type, local_path, web_path, description) with the names of the latest files (local_path,
     file_name, web_path, place) at their paths, the first of several; without one, the path's own last part."""
-    one = first_rows(files, ["local_path"], ["place"]).select("local_path", F.col("file_name").alias("_name"), F.col("web_path").alias("_web"))
+    one = first_rows(files, ["local_path"], ["place"]).select(
+        "local_path", F.col("file_name").alias("_name"), F.col("web_path").alias("_web")
+    )
     own = F.element_at(F.split("local_path", r"[/\\]"), -1)
     return overlays.join(one, "local_path", "left").select(
-        "source_id", "type", F.coalesce("_name", own).alias("file_name"), F.coalesce("_web", "web_path").alias("web_path"), F.coalesce("description", F.lit("")).alias("description")
+        "source_id", "type", F.coalesce("_name", own).alias("file_name"),
+        F.coalesce("_web", "web_path").alias("web_path"), F.coalesce("description", F.lit("")).alias("description")
     )
 
 
@@ -109,9 +128,13 @@ def manifest_changes(old: DataFrame, new: DataFrame, present: DataFrame | None =
     o = old.select("path", F.col("size").alias("o_size"), F.col("sha256").alias("o_sha"), F.lit(True).alias("_o"))
     n = new.select("path", F.col("size").alias("n_size"), F.col("sha256").alias("n_sha"), F.lit(True).alias("_n"))
     both = o.join(n, "path", "full_outer")
-    here = both.withColumn("_h", F.lit(True)) if present is None else both.join(present.select("path").distinct().withColumn("_h", F.lit(True)), "path", "left")
+    here = both.withColumn("_h", F.lit(True)) if present is None else both.join(
+        present.select("path").distinct().withColumn("_h", F.lit(True)), "path", "left"
+    )
     changed = (F.col("o_size") != F.col("n_size")) | (F.col("o_sha") != F.col("n_sha"))
-    change = F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull(), "new").when(changed, "changed").when(F.col("_h").isNull(), "missing").otherwise("same")
+    change = F.when(
+        F.col("_n").isNull(), "removed"
+    ).when(F.col("_o").isNull(), "new").when(changed, "changed").when(F.col("_h").isNull(), "missing").otherwise("same")
     return here.select("path", change.alias("change"))
 
 
@@ -119,7 +142,9 @@ def retained(rows: DataFrame, ts: str = "acq_ts", minutes: float = 60.0) -> Data
     """Rows not older than ``minutes`` before the latest event; a row without a time stays."""
     latest = rows.agg(F.max(ts).alias("_latest"))
     out = rows.crossJoin(F.broadcast(latest))  # one row
-    return out.filter(F.col(ts).isNull() | (F.unix_micros(ts) >= F.unix_micros("_latest") - minutes * 6e7)).drop("_latest")
+    return out.filter(
+        F.col(ts).isNull() | (F.unix_micros(ts) >= F.unix_micros("_latest") - minutes * 6e7)
+    ).drop("_latest")
 
 
 def latest_snapshots(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -132,7 +157,10 @@ def staleness(scenes: DataFrame, now: Column, limit_minutes: float = 20.0, ts: s
     return scenes.withColumn("age_minutes", F.round(age, 1)).withColumn("stale", age > limit_minutes)
 
 
-def recent(scenes: DataFrame, now: Column, max_age_minutes: float, slot_minutes: float = 10.0, lookback: int = 0, ts: str = "acq_ts") -> DataFrame:
+def recent(
+    scenes: DataFrame, now: Column, max_age_minutes: float, slot_minutes: float = 10.0, lookback: int = 0,
+    ts: str = "acq_ts"
+) -> DataFrame:
     """Scenes not older than the greater of the maximal age and the slots looked back on."""
     most = max(max_age_minutes, slot_minutes * (lookback + 1))
     return scenes.filter(F.unix_micros(ts) >= F.unix_micros(now) - most * 6e7)
@@ -144,7 +172,10 @@ def last_good(current: DataFrame, previous: DataFrame, key: str = "source_id") -
     failed = F.coalesce(F.col("status") != "ok", F.lit(True))
     use = failed & F.col("_p").isNotNull()
     out = current.join(p, key, "left")
-    return out.select(key, *[F.when(use, F.col(f"_p.{c}")).otherwise(F.col(c)).alias(c) for c in current.columns if c != key], use.alias("recovered"))
+    return out.select(
+        key, *[F.when(use, F.col(f"_p.{c}")).otherwise(F.col(c)).alias(c) for c in current.columns if c != key],
+        use.alias("recovered")
+    )
 
 
 def transfer_lanes(files: DataFrame, lanes: int, chunk: int, order: tuple[str, ...] = ("name",)) -> DataFrame:
@@ -159,7 +190,9 @@ def transfer_lanes(files: DataFrame, lanes: int, chunk: int, order: tuple[str, .
 
 def unmatched_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     """Rows whose key is not in ``parent``: what a foreign key would refuse."""
-    return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(parent_key or key).alias(key)).distinct(), key, "left_anti")
+    return child.filter(F.col(key).isNotNull()).join(
+        parent.select(F.col(parent_key or key).alias(key)).distinct(), key, "left_anti"
+    )
 
 
 def repeated_keys(df: DataFrame, keys: list[str], partial: bool = False) -> DataFrame:
@@ -183,7 +216,10 @@ def latest_available(wanted: DataFrame, listing: DataFrame, order: str, key: str
     return wanted.join(listing.select(key).distinct(), key, "left_semi").orderBy(F.desc(order)).limit(1)
 
 
-def expired(rows: DataFrame, before: Column, ts: str = "acq_ts", fallback: str = "download_time", prefix: tuple[str, str] | None = None) -> DataFrame:
+def expired(
+    rows: DataFrame, before: Column, ts: str = "acq_ts", fallback: str = "download_time",
+    prefix: tuple[str, str] | None = None
+) -> DataFrame:
     """Rows older than ``before`` by their time, or by ``fallback`` where they have none; with a prefix, only those whose
     column begins with it."""
     old = F.coalesce(F.col(ts), F.col(fallback)) < before

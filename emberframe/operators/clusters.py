@@ -14,50 +14,91 @@ from emberframe.operators.spatial import distance_join
 
 def footprints(fires: DataFrame, pixels: DataFrame, key: str = "fire_id") -> DataFrame:
     """``fires`` with ring and area_km2 from the four neighbouring pixels' centres (``pixels`` must be on the same grid)."""
-    near = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), (F.col("row") + r).alias("_r"), (F.col("col") + c).alias("_c")) for n, r, c in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1))]))
-    grid = pixels.select("scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), F.struct("lon", "lat").alias("at"))
-    sides = fires.select("scene_id", key, "row", "col").withColumn("_n", near).select("scene_id", key, "_n.*").join(grid, ["scene_id", "_r", "_c"])
+    near = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("side"), (F.col("row") + r).alias("_r"), (F.col("col") + c).alias("_c")) for n,
+                r, c in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1))
+            ]
+        )
+    )
+    grid = pixels.select(
+        "scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), F.struct("lon", "lat").alias("at")
+    )
+    sides = fires.select("scene_id", key, "row", "col").withColumn("_n", near).select("scene_id", key, "_n.*").join(
+        grid, ["scene_id", "_r", "_c"]
+    )
     side = lambda n: F.first(F.when(F.col("side") == n, F.col("at")), ignorenulls=True).alias(n)
     found = fires.join(sides.groupBy(key).agg(*[side(n) for n in ("up", "down", "left", "right")]), key, "left")
     step = lambda c, a, b: axis_step(F.col(f"{a}.{c}"), F.col(c), F.col(f"{b}.{c}"))
-    ring = pixel_ring(F.col("lon"), F.col("lat"), step("lon", "up", "down"), step("lon", "left", "right"), step("lat", "up", "down"), step("lat", "left", "right"))
+    ring = pixel_ring(
+        F.col("lon"), F.col("lat"), step("lon", "up", "down"), step("lon", "left", "right"), step("lat", "up", "down"),
+        step("lat", "left", "right")
+    )
     found = found.withColumn("ring", ring).withColumn("area_km2", F.round(ring_area_km2(F.col("ring")), 4))
     return found.drop("up", "down", "left", "right")
 
 
 def adjacent(fires: DataFrame, key: str = "fire_id") -> DataFrame:
     """(a, b): fires of one scene on neighbouring pixels, diagonals included."""
-    offsets = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    a = fires.select("scene_id", F.col(key).alias("a"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(offsets).alias("o"))
-    a = a.select("scene_id", "a", (F.col("_r") + F.col("o.dr")).alias("row"), (F.col("_c") + F.col("o.dc")).alias("col"))
-    return a.join(fires.select("scene_id", "row", "col", F.col(key).alias("b")), ["scene_id", "row", "col"]).select("a", "b")
+    offsets = F.array(
+        *[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    )
+    a = fires.select(
+        "scene_id", F.col(key).alias("a"), F.col("row").alias("_r"), F.col("col").alias("_c"),
+        F.explode(offsets).alias("o")
+    )
+    a = a.select(
+        "scene_id", "a", (F.col("_r") + F.col("o.dr")).alias("row"), (F.col("_c") + F.col("o.dc")).alias("col")
+    )
+    return a.join(
+        fires.select("scene_id", "row", "col", F.col(key).alias("b")), ["scene_id", "row", "col"]
+    ).select("a", "b")
 
 
 def fire_clusters(fires: DataFrame, least: int = 2, key: str = "fire_id") -> DataFrame:
     """Areas of ``least`` or more connected fires: score-weighted centre, counts, extremes, whether any is confirmed. A
     cluster is named by its scene and the least (row, col) of its pixels. Optional columns area_km2, model_prob,
     official_confirmed and ring are used where they are."""
-    label = connected_components(fires.select(F.col(key).alias("id")), adjacent(fires, key)).withColumnRenamed("id", key)
+    label = connected_components(
+        fires.select(F.col(key).alias("id")), adjacent(fires, key)
+    ).withColumnRenamed("id", key)
     w = F.greatest(F.col("score"), F.lit(0.0)) + 1
     have = lambda c, agg: [agg] if c in fires.columns else []
     return fires.join(label, key).groupBy("scene_id", "component").agg(
-        F.min(F.struct("row", "col")).alias("first"), F.count("*").alias("pixel_count"), F.round(F.sum(F.col("lon") * w) / F.sum(w), 6).alias("centroid_lon"), F.round(F.sum(F.col("lat") * w) / F.sum(w), 6).alias("centroid_lat"),
-        F.max("score").alias("max_score"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.max("bt_tir"), 2).alias("max_bt_tir"), F.round(F.max("bt_dif"), 2).alias("max_bt_dif"),
+        F.min(F.struct("row", "col")).alias("first"), F.count("*").alias("pixel_count"),
+        F.round(F.sum(F.col("lon") * w) / F.sum(w), 6).alias("centroid_lon"),
+        F.round(F.sum(F.col("lat") * w) / F.sum(w), 6).alias("centroid_lat"),
+        F.max("score").alias("max_score"), F.round(F.avg("score"), 4).alias("mean_score"),
+        F.round(F.max("bt_tir"), 2).alias("max_bt_tir"), F.round(F.max("bt_dif"), 2).alias("max_bt_dif"),
         *have("area_km2", F.round(F.sum("area_km2"), 4).alias("area_km2")),
-        *have("model_prob", F.round(F.max("model_prob"), 6).alias("max_model_prob")), *have("model_prob", F.round(F.avg("model_prob"), 6).alias("mean_model_prob")),
-        *have("official_confirmed", F.bool_or(F.coalesce("official_confirmed", F.lit(False))).alias("official_confirmed")), *have("ring", F.collect_list("ring").alias("rings")),
-    ).filter(F.col("pixel_count") >= least).select(
+        *have("model_prob", F.round(F.max("model_prob"), 6).alias("max_model_prob")),
+        *have("model_prob", F.round(F.avg("model_prob"), 6).alias("mean_model_prob")),
+        *have(
+            "official_confirmed", F.bool_or(F.coalesce("official_confirmed", F.lit(False))).alias("official_confirmed")
+        ),
+        *have("ring", F.collect_list("ring").alias("rings")),
+    ).filter(F.col("pixel_count") >= least).select(
         F.concat_ws("-", "scene_id", "first.row", "first.col").alias("cluster_id"), "*",
-        *([F.when(F.col("official_confirmed"), "confirmed").otherwise("suspected").alias("cluster_status")] if "official_confirmed" in fires.columns else []),
-    ).drop("first", "component")
+        *(
+            [F.when(F.col("official_confirmed"), "confirmed").otherwise("suspected").alias("cluster_status")]
+            if "official_confirmed" in fires.columns else []
+        ),
+    ).drop("first", "component")
 
 
 def reference_edges(references: DataFrame, km: float = 2.5, minutes: float = 30.0) -> DataFrame:
     """(a, b): detections within both a distance and a time of each other. Near in time are those of the same slot or of
     the next, so each looks at its own slot and forward, and every pair is met once."""
     slot = F.floor(F.unix_micros("acq_ts") / max(minutes * 6e7, 1.0)).cast("long")
-    r = references.select(F.col("id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"), slot.alias("_slot"))
-    left = references.select(F.col("id").alias("a"), "lon", "lat", "acq_ts", slot.alias("_own"), F.explode(F.sequence(slot, slot + 1)).alias("_slot"))
+    r = references.select(
+        F.col("id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"),
+        slot.alias("_slot")
+    )
+    left = references.select(
+        F.col("id").alias("a"), "lon", "lat", "acq_ts", slot.alias("_own"),
+        F.explode(F.sequence(slot, slot + 1)).alias("_slot")
+    )
     once = (F.col("_slot") > F.col("_own")) | (F.col("a") < F.col("b"))
     close = F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) <= minutes * 6e7
     return distance_join(left, r, km, on=("_slot",), extra=once & close).select("a", "b")
@@ -69,10 +110,12 @@ def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float =
     label = connected_components(references.select("id"), reference_edges(references, km, minutes))
     w = F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0)) + 1
     return references.join(label, "id").groupBy("component").agg(
-        F.array_join(F.sort_array(F.collect_set("sensor")), "+").alias("sensor"), (F.sum(F.col("lon") * w) / F.sum(w)).alias("lon"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("lat"),
-        F.timestamp_micros((F.sum(F.unix_micros("acq_ts") * w) / F.sum(w)).cast("long")).alias("acq_ts"), F.sum(F.coalesce("frp", F.lit(0.0))).alias("frp"), F.count("*").alias("member_count"),
+        F.array_join(F.sort_array(F.collect_set("sensor")), "+").alias("sensor"),
+        (F.sum(F.col("lon") * w) / F.sum(w)).alias("lon"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("lat"),
+        F.timestamp_micros((F.sum(F.unix_micros("acq_ts") * w) / F.sum(w)).cast("long")).alias("acq_ts"),
+        F.sum(F.coalesce("frp", F.lit(0.0))).alias("frp"), F.count("*").alias("member_count"),
         F.sort_array(F.collect_list(order)).alias("member_ids"),
-    ).withColumnRenamed("component", "id")
+    ).withColumnRenamed("component", "id")
 
 
 def persistent_edges(points: DataFrame, km: float = 1.5) -> DataFrame:
@@ -96,7 +139,9 @@ def persistent_edges(points: DataFrame, km: float = 1.5) -> DataFrame:
     named = p.join(reps, "cell")
     places = named.select("rep", "lon", "lat").distinct()
     other = places.select(F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    between = distance_join(places, other, km, extra=F.col("rep") < F.col("r_rep")).select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
+    between = distance_join(
+        places, other, km, extra=F.col("rep") < F.col("r_rep")
+    ).select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
     return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(between)
 
 
@@ -107,14 +152,25 @@ def persistent_sources(points: DataFrame, km: float = 1.5, days: int = 4, hits:
     w = F.greatest(frp, F.lit(0.0)) + 1
     night = F.upper(F.coalesce("daynight", F.lit("")))
     found = points.join(label, "id").groupBy("component").agg(
-        F.round(F.sum(F.col("lon") * w) / F.sum(w), 6).alias("lon"), F.round(F.sum(F.col("lat") * w) / F.sum(w), 6).alias("lat"), F.count("*").alias("detection_count"), F.count_distinct("acq_date").alias("day_count"),
-        F.min("acq_date").alias("first_date"), F.max("acq_date").alias("last_date"), F.round(F.avg(frp), 3).alias("mean_frp"), F.round(F.max(frp), 3).alias("max_frp"),
+        F.round(F.sum(F.col("lon") * w) / F.sum(w), 6).alias("lon"),
+        F.round(F.sum(F.col("lat") * w) / F.sum(w), 6).alias("lat"), F.count("*").alias("detection_count"),
+        F.count_distinct("acq_date").alias("day_count"),
+        F.min("acq_date").alias("first_date"), F.max("acq_date").alias("last_date"),
+        F.round(F.avg(frp), 3).alias("mean_frp"), F.round(F.max(frp), 3).alias("max_frp"),
         F.count_if(night == "D").alias("by_day"), F.count_if(night == "N").alias("by_night"),
-    )
-    return found.filter((F.col("detection_count") >= hits) & (F.col("day_count") >= days)).withColumn("radius_km", F.lit(round(km, 3))).drop("component").orderBy(F.desc("day_count"), F.desc("detection_count"), "lon", "lat")
+    )
+    return found.filter(
+        (F.col("detection_count") >= hits) & (F.col("day_count") >= days)
+    ).withColumn("radius_km", F.lit(round(km, 3))).drop("component").orderBy(
+        F.desc("day_count"), F.desc("detection_count"), "lon", "lat"
+    )
 
 
 def with_cluster_neighbours(fires: DataFrame, key: str = "fire_id") -> DataFrame:
     """``fires`` with the size of their cluster, singletons included."""
-    label = connected_components(fires.select(F.col(key).alias("id")), adjacent(fires, key)).withColumnRenamed("id", key)
-    return fires.join(label, key).withColumn("cluster_size", F.count("*").over(Window.partitionBy("component"))).drop("component")
+    label = connected_components(
+        fires.select(F.col(key).alias("id")), adjacent(fires, key)
+    ).withColumnRenamed("id", key)
+    return fires.join(label, key).withColumn(
+        "cluster_size", F.count("*").over(Window.partitionBy("component"))
+    ).drop("component")

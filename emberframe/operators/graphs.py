@@ -63,7 +63,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         seen = Observation()
         new = small.unionByName(least.withColumnRenamed("m", "b")).distinct()
-        new = kept(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")), "edges")
+        new = kept(
+            new.observe(
+                seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"),
+                F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")
+            ),
+            "edges"
+        )
         discard(e)
         e, now = new, seen.get
         if now == state or not now["n"]:
@@ -71,7 +77,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -82,14 +90,24 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -
         return _components_by_hash(nodes, edges.filter("a <> b").select("a", "b"), rounds)
     found = components(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), rounds)
     label = found.select(F.col("node").cast(kind).alias("id"), F.col("component").cast(kind).alias("component"))
-    return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.select("id").distinct().join(label, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component")
+    )
 
 
 def _components_by_hash(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """``connected_components`` of ids of any kind. Two ids share a hash with a probability of n^2 / 2^65, and then count as
     linked."""
-    named = kept(nodes.select("id").unionByName(edges.select(F.col("a").alias("id"))).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("h", F.xxhash64("id")), "names")
-    label = connected_components(named.select(F.col("h").alias("id")), edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), rounds)
+    named = kept(
+        nodes.select("id").unionByName(
+            edges.select(F.col("a").alias("id"))
+        ).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("h", F.xxhash64("id")),
+        "names"
+    )
+    label = connected_components(
+        named.select(F.col("h").alias("id")), edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")),
+        rounds
+    )
     of = named.join(label.withColumnRenamed("id", "h"), "h").select("id", F.col("component").alias("group"))
     first = of.groupBy("group").agg(F.min("id").alias("component"))
     return nodes.select("id").distinct().join(of.join(first, "group").select("id", "component"), "id")
@@ -107,19 +125,30 @@ def greedy_selection(items: DataFrame, conflicts: DataFrame, rounds: int = 12) -
     pairs = conflicts.filter("a <> b").select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     rank = items.select("id", "rank")
-    both = both.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    both = both.join(
+        rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a"
+    ).join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
     left = kept(both, "conflicts")
     taken = rank.select("id").join(left.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     for _ in range(rounds):
         if not left.limit(1).count():
             return taken
-        won = kept(left.groupBy("a").agg(F.max((F.col("rb") < F.col("ra")).cast("int")).alias("beaten")).filter("beaten = 0").select(F.col("a").alias("id")), "won")
+        won = kept(
+            left.groupBy("a").agg(
+                F.max((F.col("rb") < F.col("ra")).cast("int")).alias("beaten")
+            ).filter("beaten = 0").select(F.col("a").alias("id")),
+            "won"
+        )
         lost = left.join(won, left["a"] == won["id"]).select(F.col("b").alias("id")).distinct()
         gone = won.unionByName(lost)
-        after = left.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
+        after = left.join(
+            gone.select(F.col("id").alias("a")), "a", "left_anti"
+        ).join(gone.select(F.col("id").alias("b")), "b", "left_anti")
         after = kept(after, "conflicts")
         # items whose conflicts are all gone are free
-        free = left.select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti").join(after.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+        free = left.select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti").join(
+            after.select(F.col("a").alias("id")).distinct(), "id", "left_anti"
+        )
         taken = kept(taken.unionByName(won).unionByName(free), "taken")
         left = after
     return taken.unionByName(_select_chains(left))

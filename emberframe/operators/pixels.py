@@ -27,7 +27,7 @@ def observe(pixels: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     p = pixels.withColumns({
         "t713": F.col("b07") - F.col("b13"), "thermal": R.thermal_valid("roi", "b07", "b13", "b14"),
         "night": true(F.col("zenith") > t.night_zenith_deg), "visible": F.col("rvis").isNotNull(),
-    })
+    })
     p = p.withColumn("valid", F.col("thermal") & (F.col("night") | F.col("visible")))
     p = p.withColumn("cloud", F.col("valid") & R.cloudy("b07", "b13", "b14", "rvis", "zenith", F.col("night"), t))
     return p.withColumn("clear", F.col("valid") & ~F.col("cloud"))
@@ -35,9 +35,16 @@ def observe(pixels: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 def seed(observed: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """The columns ``day`` and ``night_hot``: the pixel is suspicious by day, or hot in absolute terms by night."""
-    s = observed.withColumns({"day": R.day_seed("b07", "b13", "rvis", F.col("clear") & F.col("visible"), t), "night_hot": R.night_seed("b07", "rvis", F.col("clear"), F.col("night"), t)})
+    s = observed.withColumns(
+        {
+            "day": R.day_seed("b07", "b13", "rvis", F.col("clear") & F.col("visible"), t),
+            "night_hot": R.night_seed("b07", "rvis", F.col("clear"), F.col("night"), t)
+        }
+    )
     if t.local_maximum_window > 1:
-        s = local_maximum(s, "t713", t.local_maximum_window).withColumn("day", F.col("day") & F.col("is_maximum")).drop("is_maximum")
+        s = local_maximum(s, "t713", t.local_maximum_window).withColumn(
+            "day", F.col("day") & F.col("is_maximum")
+        ).drop("is_maximum")
     return s
 
 
@@ -76,16 +83,25 @@ def background(seeds: DataFrame, observed: DataFrame, t: Thresholds = Thresholds
     reach = max(t.windows) // 2
     kinds = {c: seeds.schema[c].dataType.simpleString() for c in PIXEL}
     place = [F.floor(F.col(c) / tile).cast("int").alias(f"_t{c[0]}") for c in ("row", "col")]
-    s = seeds.select(*PIXEL).dropDuplicates().select(F.col("scene_id").cast("string").alias("scene_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *place)
+    s = seeds.select(*PIXEL).dropDuplicates().select(
+        F.col("scene_id").cast("string").alias("scene_id"), F.col("row").cast("int").alias("row"),
+        F.col("col").cast("int").alias("col"), *place
+    )
     tiles = s.select("scene_id", "_tr", "_tc").distinct()
     near = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     p = observed.filter("valid").select(
-        F.col("scene_id").cast("string").alias("scene_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(c).cast("double").alias(c) for c in ("b07", "b13", "rvis", "t713")],
+        F.col("scene_id").cast("string").alias("scene_id"), F.col("row").cast("int").alias("row"),
+        F.col("col").cast("int").alias("col"),
+        *[F.col(c).cast("double").alias(c) for c in ("b07", "b13", "rvis", "t713")],
         "cloud", "clear", true(F.col("non_vegetation")).alias("bare"), F.lit(False).alias("seed"),
-    )
-    p = p.withColumn("_tr", F.explode(near("row"))).withColumn("_tc", F.explode(near("col"))).withColumns({c: F.col(c).cast("int") for c in ("_tr", "_tc")})
+    )
+    p = p.withColumn("_tr", F.explode(near("row"))).withColumn("_tc", F.explode(near("col"))).withColumns(
+        {c: F.col(c).cast("int") for c in ("_tr", "_tc")}
+    )
     p = p.join(tiles, ["scene_id", "_tr", "_tc"], "left_semi")
-    none = {c: F.lit(None).cast("double") for c in ("b07", "b13", "rvis", "t713")} | {c: F.lit(False) for c in ("cloud", "clear", "bare")} | {"seed": F.lit(True)}
+    none = {
+        c: F.lit(None).cast("double") for c in ("b07", "b13", "rvis", "t713")
+    } | {c: F.lit(False) for c in ("cloud", "clear", "bare")} | {"seed": F.lit(True)}
     rows = p.unionByName(s.withColumns(none))
 
     def run(table: pa.Table) -> pa.Table:
@@ -143,7 +159,9 @@ def _window_statistics(x: dict[str, np.ndarray], t: Thresholds) -> tuple[list[np
     line, low, high = np.arange(len(ordered)), np.floor(at).astype(int), np.ceil(at).astype(int)
     with np.errstate(invalid="ignore"):
         p80 = ordered[line, low] + (at - low) * (ordered[line, high] - ordered[line, low])
-        hot = (x["b07"] >= p80[:, None]) & (x["b07"] >= x["b13"] + np.nan_to_num(x["rvis"]) * t.suspicious_visible_factor + t.suspicious_offset_k)
+        hot = (x["b07"] >= p80[:, None]) & (
+            x["b07"] >= x["b13"] + np.nan_to_num(x["rvis"]) * t.suspicious_visible_factor + t.suspicious_offset_k
+        )
     use = x["clear"] & ~hot
     n_used = use.sum(1)
     n = np.maximum(n_used, 1)
@@ -163,7 +181,10 @@ def _window_statistics(x: dict[str, np.ndarray], t: Thresholds) -> tuple[list[np
     valid = np.maximum(n_valid, 1)
     least = np.maximum(np.ceil(n_valid * t.min_valid_ratio), t.min_background_pixels)
     enough = (n_clear >= least) & (n_used >= least)
-    return [n_valid, n_clear, n_used, t7, t13, rvis, n_rvis, t713, std_t7, std_t713, x["bare"].sum(1) / valid, x["cloud"].sum(1) / valid], enough
+    return [
+        n_valid, n_clear, n_used, t7, t13, rvis, n_rvis, t713, std_t7, std_t713, x["bare"].sum(1) / valid,
+        x["cloud"].sum(1) / valid
+    ], enough
 
 
 STAGES = ("background", "dynamic", "cloud", "edge", "static")
@@ -179,19 +200,31 @@ def cascade(seeds: DataFrame, t: Thresholds = Thresholds(), rescue: Rescue = Res
     r = rescue.normal()
     c = F.col
     s = seeds.withColumn("factor", R.dynamic_factor("altitude", "pv", "pc"))
-    above = lambda f: true((c("b07") > c("t7_bg") + f * c("std_t7")) & (c("t713") > c("t713_bg") + f * c("std_t713")))
+    above = lambda f: true(
+        (c("b07") > c("t7_bg") + f * c("std_t7")) & (c("t713") > c("t713_bg") + f * c("std_t713"))
+    )
     s = s.withColumn("relative", above(c("factor"))).withColumn("rescue_factor", c("factor") * r.scale)
     s = s.withColumn("rescued", F.lit(r.enabled) & ~c("night_hot") & ~c("relative") & above(c("rescue_factor")))
-    cloud = true((c("n_rvis") > 0) & (c("rvis") >= c("rvis_bg") + t.cloud_visible_delta) & (c("b13") <= c("t13_bg") - t.cloud_t13_delta_k))
+    cloud = true(
+        (c("n_rvis") > 0) & (c("rvis") >= c("rvis_bg") + t.cloud_visible_delta)
+        & (c("b13") <= c("t13_bg") - t.cloud_t13_delta_k)
+    )
     edge = F.when(c("rescued"), F.lit(r.edge_threshold_c)).otherwise(F.lit(t.edge_threshold_c))
     at_edge = true((c("b07") <= c("t7_bg") + edge * c("std_t7")) & (c("t713") <= c("t713_bg") + edge * c("std_t713")))
     reject = (
-        F.when(c("window").isNull(), "background").when(~c("night_hot") & ~c("relative") & ~c("rescued"), "dynamic").when(cloud, "cloud").when(at_edge, "edge").when(true(c("static")), "static")
+        F.when(c("window").isNull(), "background").when(
+            ~c("night_hot") & ~c("relative") & ~c("rescued"), "dynamic"
+        ).when(cloud, "cloud").when(at_edge, "edge").when(true(c("static")), "static")
     )
     s = s.withColumn("reject", reject).withColumn("tier", F.when(c("rescued"), "model-rescue").otherwise("strict"))
-    e = R.evidence("b07", "t713", "t7_bg", "std_t7", "t713_bg", "std_t713", F.when(c("rescued"), c("rescue_factor")).otherwise(c("factor")), "night_hot", t)
+    e = R.evidence(
+        "b07", "t713", "t7_bg", "std_t7", "t713_bg", "std_t713",
+        F.when(c("rescued"), c("rescue_factor")).otherwise(c("factor")), "night_hot", t
+    )
     s = s.withColumn("_e", e).select("*", "_e.score", "_e.t7_excess", "_e.t713_excess").drop("_e")
-    return s.withColumn("confidence", R.confidence("score", t.confidence_high, t.confidence_medium)).withColumn("daynight", F.when(c("zenith") > t.night_zenith_deg, "N").otherwise("D"))
+    return s.withColumn(
+        "confidence", R.confidence("score", t.confidence_high, t.confidence_medium)
+    ).withColumn("daynight", F.when(c("zenith") > t.night_zenith_deg, "N").otherwise("D"))
 
 
 def limit_rescued(fires: DataFrame, rescue: Rescue, order: tuple[str, ...] = ("row", "col")) -> DataFrame:
@@ -200,10 +233,15 @@ def limit_rescued(fires: DataFrame, rescue: Rescue, order: tuple[str, ...] = ("r
     if most <= 0:
         return fires
     w = Window.partitionBy("scene_id", "tier").orderBy(F.desc("score"), *order)
-    return fires.withColumn("_n", F.row_number().over(w)).filter((F.col("tier") != "model-rescue") | (F.col("_n") <= most)).drop("_n")
+    return fires.withColumn("_n", F.row_number().over(w)).filter(
+        (F.col("tier") != "model-rescue") | (F.col("_n") <= most)
+    ).drop("_n")
 
 
-def judge(pixels: DataFrame, sources: DataFrame | None = None, polygons: DataFrame | None = None, t: Thresholds = Thresholds(), rescue: Rescue = Rescue()) -> DataFrame:
+def judge(
+    pixels: DataFrame, sources: DataFrame | None = None, polygons: DataFrame | None = None,
+    t: Thresholds = Thresholds(), rescue: Rescue = Rescue()
+) -> DataFrame:
     """All seeds of the pixels' scenes with their background, the stage that rejects them, and scores."""
     from emberframe.operators.spatial import near_sources, within_polygons
 
@@ -212,13 +250,17 @@ def judge(pixels: DataFrame, sources: DataFrame | None = None, polygons: DataFra
     seeds = seed(observed, t).filter(F.col("day") | F.col("night_hot"))
     found = seeds.drop("pv", "pc").join(background(seeds, observed, t), list(PIXEL), "left")
     found = found.withColumn("_key", F.struct(*PIXEL))
-    hits, places = None, seeds.select(F.struct(*PIXEL).alias("_key"), "lon", "lat")  # without the background, which is costly
+    hits, places = None, seeds.select(
+        F.struct(*PIXEL).alias("_key"), "lon", "lat"
+    )  # without the background, which is costly
     if sources is not None:
         hits = near_sources(places, sources, "_key", t.thermal_source_radius_km)
     if polygons is not None:
         inside = within_polygons(places, polygons, "_key").select("_key")
         hits = inside.distinct() if hits is None else hits.unionByName(inside).distinct()
-    found = found.withColumn("static", F.lit(False)) if hits is None else found.join(hits.withColumn("static", F.lit(True)), "_key", "left").withColumn("static", F.coalesce("static", F.lit(False)))
+    found = found.withColumn("static", F.lit(False)) if hits is None else found.join(
+        hits.withColumn("static", F.lit(True)), "_key", "left"
+    ).withColumn("static", F.coalesce("static", F.lit(False)))
     return cascade(found.drop("_key"), t, rescue)
 
 
@@ -226,35 +268,61 @@ def stage_counts(judged: DataFrame) -> DataFrame:
     """Per scene: seeds, rejections by stage, accepted and rescued."""
     count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
     return judged.groupBy("scene_id").agg(
-        F.count("*").alias("seeds"), count(F.col("day")).alias("day_seeds"), count(F.col("night_hot")).alias("night_seeds"), *[count(F.col("reject") == s).alias(f"rejected_{s}") for s in STAGES],
-        count(F.col("reject").isNull()).alias("accepted"), count(F.col("reject").isNull() & (F.col("tier") == "model-rescue")).alias("rescued"),
-    )
+        F.count("*").alias("seeds"), count(F.col("day")).alias("day_seeds"),
+        count(F.col("night_hot")).alias("night_seeds"),
+        *[count(F.col("reject") == s).alias(f"rejected_{s}") for s in STAGES],
+        count(F.col("reject").isNull()).alias("accepted"),
+        count(F.col("reject").isNull() & (F.col("tier") == "model-rescue")).alias("rescued"),
+    )
 
 
 def simple_detector(pixels: DataFrame, background_: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """The older single-window detector: no seeds, masks for land, known heat and reflectance, day and night split at 85
     degrees, a missing reflectance as 0. ``background_`` gives t7_bg, std_t7, t713_bg, std_t713, pv, pc by pixel."""
-    p = pixels.withColumn("altitude", R.solar_altitude("acq_ts", "lon", "lat")).withColumn("zenith", 90 - F.col("altitude"))
+    p = pixels.withColumn(
+        "altitude", R.solar_altitude("acq_ts", "lon", "lat")
+    ).withColumn("zenith", 90 - F.col("altitude"))
     p = p.withColumn("t713", F.col("b07") - F.col("b13")).withColumn("night", F.col("zenith") > 85)
-    ok = true(F.col("roi")) & true(F.col("land")) & ~true(F.col("static_hot")) & ~true(F.col("high_reflectance")) & ~R.cloudy_simple("b07", "b13", "b14", "rvis", "zenith")
+    ok = true(F.col("roi")) & true(F.col("land")) & ~true(F.col("static_hot")) & ~true(
+        F.col("high_reflectance")
+    ) & ~R.cloudy_simple(
+        "b07", "b13", "b14", "rvis", "zenith"
+    )
     p = p.filter(ok).join(background_, list(PIXEL)).withColumn("factor", R.dynamic_factor("altitude", "pv", "pc"))
-    hot = true((F.col("b07") >= F.col("t7_bg") + F.col("factor") * F.col("std_t7")) & (F.col("t713") >= F.col("t713_bg") + F.col("factor") * F.col("std_t713")))
-    night_hot = F.col("night") & true(F.col("b07") > t.night_absolute_t7_k) & true(F.coalesce("rvis", F.lit(0.0)) < t.night_visible_max)
+    hot = true(
+        (F.col("b07") >= F.col("t7_bg") + F.col("factor") * F.col("std_t7"))
+        & (F.col("t713") >= F.col("t713_bg") + F.col("factor") * F.col("std_t713"))
+    )
+    night_hot = F.col("night") & true(F.col("b07") > t.night_absolute_t7_k) & true(
+        F.coalesce("rvis", F.lit(0.0)) < t.night_visible_max
+    )
     p = p.filter(hot | night_hot).withColumn("night_hot", night_hot)
-    return p.withColumn("_e", R.evidence("b07", "t713", "t7_bg", "std_t7", "t713_bg", "std_t713", "factor", "night_hot", t)).select("*", "_e.score").drop("_e").withColumn("confidence", R.confidence("score", t.confidence_high, t.confidence_medium))
+    return p.withColumn(
+        "_e", R.evidence("b07", "t713", "t7_bg", "std_t7", "t713_bg", "std_t713", "factor", "night_hot", t)
+    ).select("*", "_e.score").drop("_e").withColumn(
+        "confidence", R.confidence("score", t.confidence_high, t.confidence_medium)
+    )
 
 
 def conflicts(fires: DataFrame, radius: int, key: str = "fire_id") -> DataFrame:
     """(a, b): fires of one scene within ``radius`` rows and columns, by cells of that size."""
     side = radius + 1
     a = fires.select("scene_id", F.col(key).alias("a"), F.col("row").alias("ra"), F.col("col").alias("ca"))
-    a = a.withColumn("_r", F.explode(F.array(*[F.floor(F.col("ra") / side) + d for d in (-1, 0, 1)]))).withColumn("_c", F.explode(F.array(*[F.floor(F.col("ca") / side) + d for d in (-1, 0, 1)])))
-    b = fires.select("scene_id", F.col(key).alias("b"), F.col("row").alias("rb"), F.col("col").alias("cb")).withColumn("_r", F.floor(F.col("rb") / side)).withColumn("_c", F.floor(F.col("cb") / side))
-    close = (F.abs(F.col("ra") - F.col("rb")) <= radius) & (F.abs(F.col("ca") - F.col("cb")) <= radius) & (F.col("a") < F.col("b"))
+    a = a.withColumn(
+        "_r", F.explode(F.array(*[F.floor(F.col("ra") / side) + d for d in (-1, 0, 1)]))
+    ).withColumn("_c", F.explode(F.array(*[F.floor(F.col("ca") / side) + d for d in (-1, 0, 1)])))
+    b = fires.select(
+        "scene_id", F.col(key).alias("b"), F.col("row").alias("rb"), F.col("col").alias("cb")
+    ).withColumn("_r", F.floor(F.col("rb") / side)).withColumn("_c", F.floor(F.col("cb") / side))
+    close = (
+        F.abs(F.col("ra") - F.col("rb")) <= radius
+    ) & (F.abs(F.col("ca") - F.col("cb")) <= radius) & (F.col("a") < F.col("b"))
     return a.join(b, ["scene_id", "_r", "_c"]).filter(close).select("a", "b")
 
 
-def suppress(fires: DataFrame, radius: int = 2, key: str = "fire_id", order: tuple[Column, ...] | None = None) -> DataFrame:
+def suppress(
+    fires: DataFrame, radius: int = 2, key: str = "fire_id", order: tuple[Column, ...] | None = None
+) -> DataFrame:
     """``fires`` that a greedy pass by falling score keeps: none within ``radius`` rows and columns of one kept before.
     Ties go to the lower row, column and key.
 

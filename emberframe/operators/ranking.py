@@ -15,7 +15,10 @@ from emberframe.functions.radiometry import model_confidence
 def rank_share(value: str, by: str = "scene_slot") -> Column:
     """Average rank of the value in its group as a share of the group; nulls have none."""
     at, same, whole = Window.partitionBy(by).orderBy(value), Window.partitionBy(by, value), Window.partitionBy(by)
-    return F.when(F.col(value).isNotNull(), (F.rank().over(at) - F.count_if(F.col(value).isNull()).over(whole) + (F.count("*").over(same) - 1) / 2) / F.count(value).over(whole))
+    return F.when(
+        F.col(value).isNotNull(),
+        (F.rank().over(at) - F.count_if(F.col(value).isNull()).over(whole) + (F.count("*").over(same) - 1) / 2) / F.count(value).over(whole)
+    )
 
 
 def scene_rank_features(frame: DataFrame, by: str = "scene_slot") -> DataFrame:
@@ -24,15 +27,23 @@ def scene_rank_features(frame: DataFrame, by: str = "scene_slot") -> DataFrame:
     c = F.col
     zero = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
     out = frame.withColumns({
-        "bt07_to_scene_max": zero(c("max_bt07_k") / F.greatest(F.max("max_bt07_k").over(w), F.lit(1e-3))), "bt07_minus_scene_mean": zero(c("max_bt07_k") - F.avg("max_bt07_k").over(w)),
-        "bt07_scene_rank_pct": zero(rank_share("max_bt07_k", by)), "t713_to_scene_max": zero(c("max_t713_k") / F.greatest(F.max("max_t713_k").over(w), F.lit(1e-3))),
-        "t713_scene_rank_pct": zero(rank_share("max_t713_k", by)), "area_scene_rank_pct": zero(rank_share("cand_area", by)), "scene_candidate_count_log": F.log1p(F.count("*").over(w)),
-        "desert_suppress": desert("center_lon", "center_lat").cast("int"), "urban_industrial_suppress": urban("center_lon", "center_lat").cast("int"),
-    })
+        "bt07_to_scene_max": zero(c("max_bt07_k") / F.greatest(F.max("max_bt07_k").over(w), F.lit(1e-3))),
+        "bt07_minus_scene_mean": zero(c("max_bt07_k") - F.avg("max_bt07_k").over(w)),
+        "bt07_scene_rank_pct": zero(rank_share("max_bt07_k", by)),
+        "t713_to_scene_max": zero(c("max_t713_k") / F.greatest(F.max("max_t713_k").over(w), F.lit(1e-3))),
+        "t713_scene_rank_pct": zero(rank_share("max_t713_k", by)),
+        "area_scene_rank_pct": zero(rank_share("cand_area", by)),
+        "scene_candidate_count_log": F.log1p(F.count("*").over(w)),
+        "desert_suppress": desert("center_lon", "center_lat").cast("int"),
+        "urban_industrial_suppress": urban("center_lon", "center_lat").cast("int"),
+    })
     return out.withColumns({
-        "scene_peak_x_t713": c("bt07_to_scene_max") * c("t713_to_scene_max"), "thermal_rank_fuse": 0.7 * c("bt07_scene_rank_pct") + 0.3 * c("t713_scene_rank_pct"),
-        "east_day_risk": ((c("center_lon") >= 115) & (c("day_phase") == "day") & (c("urban_industrial_suppress") == 1)).cast("int"),
-    })
+        "scene_peak_x_t713": c("bt07_to_scene_max") * c("t713_to_scene_max"),
+        "thermal_rank_fuse": 0.7 * c("bt07_scene_rank_pct") + 0.3 * c("t713_scene_rank_pct"),
+        "east_day_risk": (
+            (c("center_lon") >= 115) & (c("day_phase") == "day") & (c("urban_industrial_suppress") == 1)
+        ).cast("int"),
+    })
 
 
 @dataclass(frozen=True)
@@ -50,29 +61,46 @@ class Scorer:
     rescue_least: float = 0.35
 
 
-def route(frame: DataFrame, s: Scorer = Scorer(), west_prob: str = "west_prob", east_prob: str = "east_prob") -> DataFrame:
+def route(
+    frame: DataFrame, s: Scorer = Scorer(), west_prob: str = "west_prob", east_prob: str = "east_prob"
+) -> DataFrame:
     """Scores by region: the western model below ``west_lon_max``, else the eastern one if there is one, else the western
     one if it is to be used elsewhere, else the physical score stays. Adds region_for_scorer, model_prob, score_source,
     forced (an official confirmation is never dropped) and dropped (a rescued fire whose probability is too low)."""
     west = F.col("center_lon") < s.west_lon_max
     east = F.lit(s.east_model)
-    prob = F.when(west, F.col(west_prob)).when(east, F.col(east_prob)).when(F.lit(s.west_model_elsewhere), F.col(west_prob))
+    prob = F.when(west, F.col(west_prob)).when(east, F.col(east_prob)).when(
+        F.lit(s.west_model_elsewhere), F.col(west_prob)
+    )
     out = frame.withColumn("physics_score", F.col("score")).withColumn("_p", prob)
     out = out.withColumns({
-        "region_for_scorer": F.when(west, "west").when(east, "east").otherwise("elsewhere"), "score_source": F.when(west | (~east & F.lit(s.west_model_elsewhere)), "west-model").when(east, "east-model").otherwise("physics-rule"),
-        "model_prob": F.round("_p", 6), "score": F.when(F.col("_p").isNotNull(), F.round(F.col("_p") * s.scale, 4)).otherwise(F.col("score")),
-        "confidence": F.when(F.col("_p").isNotNull(), model_confidence("_p", s.high, s.medium)).otherwise(F.col("confidence")), "forced": F.coalesce("official_confirmed", F.lit(False)),
-    })
-    drop = (F.coalesce("tier", F.lit("strict")) == "model-rescue") & ~F.col("forced") & (F.coalesce("model_prob", F.lit(0.0)) < s.rescue_least)
+        "region_for_scorer": F.when(west, "west").when(east, "east").otherwise("elsewhere"),
+        "score_source": F.when(
+            west | (~east & F.lit(s.west_model_elsewhere)), "west-model"
+        ).when(east, "east-model").otherwise("physics-rule"),
+        "model_prob": F.round("_p", 6),
+        "score": F.when(F.col("_p").isNotNull(), F.round(F.col("_p") * s.scale, 4)).otherwise(F.col("score")),
+        "confidence": F.when(
+            F.col("_p").isNotNull(), model_confidence("_p", s.high, s.medium)
+        ).otherwise(F.col("confidence")),
+        "forced": F.coalesce("official_confirmed", F.lit(False)),
+    })
+    drop = (
+        F.coalesce("tier", F.lit("strict")) == "model-rescue"
+    ) & ~F.col("forced") & (F.coalesce("model_prob", F.lit(0.0)) < s.rescue_least)
     return out.withColumn("dropped", drop).drop("_p")
 
 
-def within_budget(routed: DataFrame, s: Scorer = Scorer(), by: tuple[str, ...] = ("scene_id",), order: tuple[str, ...] = ("fire_id",)) -> DataFrame:
+def within_budget(
+    routed: DataFrame, s: Scorer = Scorer(), by: tuple[str, ...] = ("scene_id",), order: tuple[str, ...] = ("fire_id",)
+) -> DataFrame:
     """Without dropped fires and, per group and region with a model, without those beyond the region's budget: forced ones
     first, then by score; every forced one stays, even beyond the budget. A budget not above 0 keeps all."""
     alive = routed.filter(~F.col("dropped"))
     w = Window.partitionBy(*by, "region_for_scorer").orderBy(F.desc("forced"), F.desc("score"), *order)
-    budget = F.when(F.col("region_for_scorer") == "west", s.west_budget).when(F.col("region_for_scorer") == "east", s.east_budget).otherwise(0)
+    budget = F.when(
+        F.col("region_for_scorer") == "west", s.west_budget
+    ).when(F.col("region_for_scorer") == "east", s.east_budget).otherwise(0)
     ranked = alive.withColumn("_n", F.row_number().over(w)).withColumn("_b", budget)
     return ranked.filter((F.col("_b") <= 0) | (F.col("_n") <= F.col("_b")) | F.col("forced")).drop("_n", "_b")
 
@@ -87,16 +115,28 @@ def sync_scores(pixels: DataFrame, scored: DataFrame, west_lon_max: float = 105.
     """Pixels take score and confidence of the scored fire at the same place (rounded to 6 digits) and pixel. Western
     pixels without one are dropped unless they are confirmed."""
     key = lambda d: d.withColumns({"_x": F.round("lon", 6), "_y": F.round("lat", 6)})
-    s = key(scored).select("scene_id", "_x", "_y", "row", "col", F.col("score").alias("_s"), F.col("confidence").alias("_c"))
+    s = key(scored).select(
+        "scene_id", "_x", "_y", "row", "col", F.col("score").alias("_s"), F.col("confidence").alias("_c")
+    )
     out = key(pixels).join(s, ["scene_id", "_x", "_y", "row", "col"], "left")
-    out = out.filter(F.col("_s").isNotNull() | (F.col("lon") >= west_lon_max) | F.coalesce("official_confirmed", F.lit(False)))
-    return out.withColumns({"score": F.coalesce("_s", "score"), "confidence": F.coalesce("_c", "confidence")}).drop("_x", "_y", "_s", "_c")
+    out = out.filter(
+        F.col("_s").isNotNull() | (F.col("lon") >= west_lon_max) | F.coalesce("official_confirmed", F.lit(False))
+    )
+    return out.withColumns(
+        {"score": F.coalesce("_s", "score"), "confidence": F.coalesce("_c", "confidence")}
+    ).drop("_x", "_y", "_s", "_c")
 
 
 def score_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: how many fires were scored, kept and dropped, by region."""
-    a = before.agg(F.count("*").alias("scored"), F.count_if(F.col("region_for_scorer") == "west").alias("west"), F.count_if(F.col("tier") == "model-rescue").alias("rescued"), F.count_if("dropped").alias("rescue_dropped"))
-    b = after.agg(F.count("*").alias("kept"), F.count_if(F.col("region_for_scorer") == "west").alias("kept_west"), F.count_if(F.col("region_for_scorer") != "west").alias("kept_elsewhere"))
+    a = before.agg(
+        F.count("*").alias("scored"), F.count_if(F.col("region_for_scorer") == "west").alias("west"),
+        F.count_if(F.col("tier") == "model-rescue").alias("rescued"), F.count_if("dropped").alias("rescue_dropped")
+    )
+    b = after.agg(
+        F.count("*").alias("kept"), F.count_if(F.col("region_for_scorer") == "west").alias("kept_west"),
+        F.count_if(F.col("region_for_scorer") != "west").alias("kept_elsewhere")
+    )
     return a.crossJoin(b)  # one row each
 
 

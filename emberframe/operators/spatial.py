@@ -25,7 +25,10 @@ def _place(lon: Column, count: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * count).cast("int"), count)
 
 
-def distance_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = (), extra: Column | None = None, lon: str = "lon", lat: str = "lat", r_lon: str = "r_lon", r_lat: str = "r_lat") -> DataFrame:
+def distance_join(
+    left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = (), extra: Column | None = None,
+    lon: str = "lon", lat: str = "lat", r_lon: str = "r_lon", r_lat: str = "r_lat"
+) -> DataFrame:
     """``left`` x ``right`` where the points lie within ``km``, with distance_km; ``on`` are equal columns besides.
 
     Both sides are bucketed into latitude bands and cells, the right side in its cell, the left in the up to nine around
@@ -54,7 +57,9 @@ def distance_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, .
     return (joined if extra is None else joined.filter(extra)).drop("_band", "_cell")
 
 
-def time_distance_join(left: DataFrame, right: DataFrame, km: float, hours: float, ts: str = "acq_ts", r_ts: str = "r_ts") -> DataFrame:
+def time_distance_join(
+    left: DataFrame, right: DataFrame, km: float, hours: float, ts: str = "acq_ts", r_ts: str = "r_ts"
+) -> DataFrame:
     """``distance_join`` of rows within ``hours`` of each other as well: times are bucketed by that width, and a left row
     looks at its own bucket and those beside it, so a place that burns for years never meets its whole history."""
     width = max(hours * 3.6e9, 1.0)
@@ -67,25 +72,40 @@ def time_distance_join(left: DataFrame, right: DataFrame, km: float, hours: floa
 def nearest_reference(fires: DataFrame, references: DataFrame, km: float = 4.0, hours: float = 3.0) -> DataFrame:
     """Fires (fire_id, lon, lat, acq_ts, ...) each with its nearest official detection (id, sensor, lon, lat, acq_ts,
     confidence, frp) by distance, then time difference, then id; official_* are null where there is none."""
-    r = references.select("id", "sensor", "lon", "lat", "acq_ts", "confidence", "frp").toDF("r_id", "r_sensor", "r_lon", "r_lat", "r_ts", "r_confidence", "r_frp")
+    r = references.select("id", "sensor", "lon", "lat", "acq_ts", "confidence", "frp").toDF(
+        "r_id", "r_sensor", "r_lon", "r_lat", "r_ts", "r_confidence", "r_frp"
+    )
     near = time_distance_join(fires.select("fire_id", "lon", "lat", "acq_ts"), r, km, hours)
     near = near.withColumn("dt", F.abs(F.unix_micros("r_ts") - F.unix_micros("acq_ts")) / 3.6e9)
-    best = near.groupBy("fire_id").agg(F.min(F.struct("distance_km", "dt", "r_id", "r_sensor", "r_confidence", "r_frp")).alias("o"))
+    best = near.groupBy("fire_id").agg(
+        F.min(F.struct("distance_km", "dt", "r_id", "r_sensor", "r_confidence", "r_frp")).alias("o")
+    )
     out = fires.join(best, "fire_id", "left")
     found = F.col("o").isNotNull()
     return out.select(
-        *fires.columns, found.alias("official_confirmed"), F.when(found, "official-confirmed").otherwise("self-detected-unconfirmed").alias("fusion_status"),
-        F.when(found, "confirmed").otherwise("suspected").alias("fused_status"), F.col("o.r_id").alias("official_id"), F.col("o.r_sensor").alias("official_sensor"),
-        F.round("o.distance_km", 3).alias("official_distance_km"), F.round(F.col("o.dt") * 60, 1).alias("official_minutes"), F.col("o.r_confidence").alias("official_confidence"), F.col("o.r_frp").alias("official_frp"),
-    )
+        *fires.columns, found.alias("official_confirmed"),
+        F.when(found, "official-confirmed").otherwise("self-detected-unconfirmed").alias("fusion_status"),
+        F.when(found, "confirmed").otherwise("suspected").alias("fused_status"), F.col("o.r_id").alias("official_id"),
+        F.col("o.r_sensor").alias("official_sensor"),
+        F.round("o.distance_km", 3).alias("official_distance_km"),
+        F.round(F.col("o.dt") * 60, 1).alias("official_minutes"), F.col("o.r_confidence").alias("official_confidence"),
+        F.col("o.r_frp").alias("official_frp"),
+    )
 
 
 def official_ranges(references: DataFrame, fused: DataFrame) -> DataFrame:
     """Official detections with their footprint's size and whether a fire matched them."""
-    matched = fused.filter("official_confirmed").select(F.col("official_id").alias("id")).distinct().withColumn("matched", F.lit(True))
+    matched = fused.filter("official_confirmed").select(
+        F.col("official_id").alias("id")
+    ).distinct().withColumn("matched", F.lit(True))
     size = lambda c: F.greatest(F.coalesce(F.when(F.col(c) != 0, F.col(c)), F.lit(0.375)), F.lit(0.1))
     out = references.join(matched, "id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
-    return out.withColumns({"width_km": size("scan_km"), "height_km": size("track_km"), "fusion_status": F.when(F.col("matched"), "official-confirmed").otherwise("official-only")})
+    return out.withColumns(
+        {
+            "width_km": size("scan_km"), "height_km": size("track_km"),
+            "fusion_status": F.when(F.col("matched"), "official-confirmed").otherwise("official-only")
+        }
+    )
 
 
 def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: float = 4.0) -> DataFrame:
@@ -94,11 +114,15 @@ def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: fl
     Sources are joined by classes of radius, each twice as wide as the one before, so a wide source does not widen the
     cells of the others. There are as many classes as the radii have magnitudes."""
     radius = F.when(F.col("radius_km") > 0, F.col("radius_km")).otherwise(default_km).cast("double")
-    s = sources.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), radius.alias("r_km")).withColumn("_class", F.ceil(F.log2("r_km")).cast("int"))
+    s = sources.select(
+        F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), radius.alias("r_km")
+    ).withColumn("_class", F.ceil(F.log2("r_km")).cast("int"))
     classes = [r["_class"] for r in s.select("_class").distinct().orderBy("_class").collect()]
     p, found = points.select(key, "lon", "lat"), points.select(key).limit(0)
     for c in classes:
-        hits = distance_join(p, s.filter(F.col("_class") == c).drop("_class"), 2.0**c, extra=F.col("distance_km") <= F.col("r_km")).select(key)
+        hits = distance_join(
+            p, s.filter(F.col("_class") == c).drop("_class"), 2.0**c, extra=F.col("distance_km") <= F.col("r_km")
+        ).select(key)
         found = hits if c == classes[0] else found.unionByName(hits)
     return found.distinct()
 
@@ -112,12 +136,18 @@ def within_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: floa
     """(key, polygon_id): points in polygons (polygon_id, rings). A polygon is listed under the cells of its bounding box,
     a point under its own, and the even-odd test decides. Cells of a polygon grow with its box, not with the points."""
     x0, y0, x1, y1 = ring_box(F.col("rings"))
-    p = polygons.filter(F.size("rings") > 0).select("polygon_id", "rings", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    p = polygons.filter(F.size("rings") > 0).select(
+        "polygon_id", "rings", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")
+    )
     at = lambda v: F.floor(v / cell).cast("int")
-    p = p.withColumn("_x", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("_y", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
+    p = p.withColumn(
+        "_x", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))
+    ).withColumn("_y", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
     q = points.select(key, "lon", "lat").withColumn("_x", at(F.col("lon"))).withColumn("_y", at(F.col("lat")))
     box = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    return q.join(p, ["_x", "_y"]).filter(box).filter(point_in_polygon(F.col("rings"), "lon", "lat")).select(key, "polygon_id")
+    return q.join(p, ["_x", "_y"]).filter(box).filter(
+        point_in_polygon(F.col("rings"), "lon", "lat")
+    ).select(key, "polygon_id")
 
 
 def clip(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
@@ -163,13 +193,25 @@ def _far_distance(points: DataFrame, r: DataFrame, key: str) -> DataFrame:
     wide, cell = (lambda c: F.floor(F.col(c) / 15).cast("int")), (lambda c: F.floor(c).cast("int"))
     r = r.withColumns({"_x": cell("r_lon"), "_y": cell("r_lat")})
     spread = lambda x, y: F.max(haversine_km(F.col("r_lon"), F.col("r_lat"), x, y)).alias("spread")
-    fine = r.groupBy("_x", "_y").agg(spread(F.col("_x") + 0.5, F.col("_y") + 0.5)).withColumns({"_wx": wide("_x"), "_wy": wide("_y")})
-    coarse = r.withColumns({"_wx": wide("_x"), "_wy": wide("_y")}).groupBy("_wx", "_wy").agg(spread((F.col("_wx") + 0.5) * 15, (F.col("_wy") + 0.5) * 15))
+    fine = r.groupBy("_x", "_y").agg(
+        spread(F.col("_x") + 0.5, F.col("_y") + 0.5)
+    ).withColumns({"_wx": wide("_x"), "_wy": wide("_y")})
+    coarse = r.withColumns({"_wx": wide("_x"), "_wy": wide("_y")}).groupBy("_wx", "_wy").agg(
+        spread((F.col("_wx") + 0.5) * 15, (F.col("_wy") + 0.5) * 15)
+    )
     one = coarse.agg(F.collect_list(F.struct("_wx", "_wy", "spread")).alias("_cells"))
-    away = lambda c: haversine_km(F.col("lon"), F.col("lat"), (c["_wx"] + 0.5) * 15, (c["_wy"] + 0.5) * 15)
-    p = points.crossJoin(F.broadcast(one)).withColumn("_most", F.array_min(F.transform("_cells", lambda c: away(c) + c["spread"])) + 1e-6)
-    p = p.withColumn("_c", F.explode(F.filter("_cells", lambda c: away(c) - c["spread"] <= F.col("_most")))).select(key, "lon", "lat", "_most", "_c._wx", "_c._wy")
-    p = p.join(fine, ["_wx", "_wy"]).withColumn("_away", haversine_km(F.col("lon"), F.col("lat"), F.col("_x") + 0.5, F.col("_y") + 0.5))
+    away = lambda c: haversine_km(
+        F.col("lon"), F.col("lat"), (c["_wx"] + 0.5) * 15, (c["_wy"] + 0.5) * 15
+    )
+    p = points.crossJoin(F.broadcast(one)).withColumn(
+        "_most", F.array_min(F.transform("_cells", lambda c: away(c) + c["spread"])) + 1e-6
+    )
+    p = p.withColumn(
+        "_c", F.explode(F.filter("_cells", lambda c: away(c) - c["spread"] <= F.col("_most")))
+    ).select(key, "lon", "lat", "_most", "_c._wx", "_c._wy")
+    p = p.join(fine, ["_wx", "_wy"]).withColumn(
+        "_away", haversine_km(F.col("lon"), F.col("lat"), F.col("_x") + 0.5, F.col("_y") + 0.5)
+    )
     p = p.filter(F.col("_away") - F.col("spread") <= F.col("_most"))
     best = p.groupBy(key).agg(F.min(F.col("_away") + F.col("spread")).alias("_near"))
     p = p.join(best, key).filter(F.col("_away") - F.col("spread") <= F.col("_near") + 1e-6)
@@ -191,5 +233,7 @@ def in_time_reach(references: DataFrame, candidates: DataFrame, hours: float) ->
 def rasterize(pixels: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = ("scene_id", "row", "col")) -> DataFrame:
     """``pixels`` with a boolean ``masked``: the pixel's centre lies in a polygon."""
     point = pixels.withColumn("_key", F.struct(*keys)).select("_key", "lon", "lat")
-    inside = within_polygons(point, polygons, "_key").select("_key").distinct().select("_key.*").withColumn("masked", F.lit(True))
+    inside = within_polygons(
+        point, polygons, "_key"
+    ).select("_key").distinct().select("_key.*").withColumn("masked", F.lit(True))
     return pixels.join(inside, list(keys), "left").withColumn("masked", F.coalesce("masked", F.lit(False)))

@@ -11,7 +11,10 @@ from emberframe.functions.radiometry import Rescue, Thresholds
 from emberframe.plans.scene import SceneConfig
 
 # Names in files that differ from the fields' names.
-OTHER = {"confidenceMediumScore": "confidence_medium", "confidenceHighScore": "confidence_high", "dynamicFactorScale": "scale", "maxCandidatesPerScene": "most"}
+OTHER = {
+    "confidenceMediumScore": "confidence_medium", "confidenceHighScore": "confidence_high",
+    "dynamicFactorScale": "scale", "maxCandidatesPerScene": "most"
+}
 
 
 def load(path: str) -> dict[str, Any]:
@@ -37,4 +40,6 @@ def settings(default: Any, given: dict[str, Any] | None) -> Any:
 def scene_config(given: dict[str, Any]) -> SceneConfig:
     """The settings of ``scene.detect`` from a file's ``thresholds`` and ``candidateRescue``, checked."""
     thresholds = settings(Thresholds(), given.get("thresholds"))
-    return SceneConfig(thresholds=thresholds.checked(), rescue=settings(Rescue(), given.get("candidateRescue")).normal())
+    return SceneConfig(
+        thresholds=thresholds.checked(), rescue=settings(Rescue(), given.get("candidateRescue")).normal()
+    )

@@ -66,7 +66,13 @@ def parse_forest(text: str) -> Forest:
         kind = ints("decision_type")
         if (kind & 1).any():
             raise ValueError("categorical splits are not supported")
-        forest.trees.append(Tree(ints("split_feature"), np.array(p.get("threshold", "").split(), dtype=float), ints("left_child"), ints("right_child"), np.array(p["leaf_value"].split(), dtype=float), (kind >> 1) & 1 == 1, (kind >> 2) & 3))
+        forest.trees.append(
+            Tree(
+                ints("split_feature"), np.array(p.get("threshold", "").split(), dtype=float), ints("left_child"),
+                ints("right_child"), np.array(p["leaf_value"].split(), dtype=float), (kind >> 1) & 1 == 1,
+                (kind >> 2) & 3
+            )
+        )
     return forest
 
 

@@ -51,10 +51,14 @@ def pix(spark: SparkSession, sf_dir: str) -> DataFrame:
     scene, row, col = F.floor(k / 2500), F.floor(F.pmod(k, F.lit(2500)) / 50), F.pmod(k, F.lit(50))
     b13 = 285 + F.pmod(k * 7919, F.lit(101)) / 20.0
     return e.select(
-        "event_id", "user_id", big(scene).alias("scene_id"), big(row).alias("row"), big(col).alias("col"), (104.5 + col * 0.02).alias("lon"), (30 + row * 0.02).alias("lat"),
-        F.timestamp_seconds(1767240000 + scene * 22200).alias("acq_ts"), b13.alias("b13"), F.when(F.col("event_type") == "error", 260.0).otherwise(b13 - 5).alias("b14"), (b13 + 8 + F.col("value") / 10).alias("b07"),
-        F.when(F.pmod(k, F.lit(17)) != 0, F.pmod(k * 31, F.lit(100)) / 500.0).alias("rvis"), F.lit(True).alias("roi"), (F.pmod(k, F.lit(7)) == 0).alias("non_vegetation"),
-    )
+        "event_id", "user_id", big(scene).alias("scene_id"), big(row).alias("row"), big(col).alias("col"),
+        (104.5 + col * 0.02).alias("lon"), (30 + row * 0.02).alias("lat"),
+        F.timestamp_seconds(1767240000 + scene * 22200).alias("acq_ts"), b13.alias("b13"),
+        F.when(F.col("event_type") == "error", 260.0).otherwise(b13 - 5).alias("b14"),
+        (b13 + 8 + F.col("value") / 10).alias("b07"),
+        F.when(F.pmod(k, F.lit(17)) != 0, F.pmod(k * 31, F.lit(100)) / 500.0).alias("rvis"), F.lit(True).alias("roi"),
+        (F.pmod(k, F.lit(7)) == 0).alias("non_vegetation"),
+    )
 
 
 PIX = """
@@ -161,9 +165,12 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     p = pix(spark, sf_dir).filter("b07 > 306")
     return p.select(
-        k.alias("fire_id"), "user_id", "scene_id", "row", "col", "lon", "lat", "acq_ts", F.round(F.col("b07") + 1e-7, 2).alias("bt_tir"), F.round(F.col("b07") - F.col("b13") + 1e-7, 2).alias("bt_dif"), (F.pmod(k * 131, F.lit(1009)) / 100.0).alias("score"),
-        (F.pmod(k, F.lit(11)) == 0).alias("official_confirmed"), F.when(F.pmod(k, F.lit(3)) == 0, "model-rescue").otherwise("strict").alias("tier"),
-    )
+        k.alias("fire_id"), "user_id", "scene_id", "row", "col", "lon", "lat", "acq_ts",
+        F.round(F.col("b07") + 1e-7, 2).alias("bt_tir"), F.round(F.col("b07") - F.col("b13") + 1e-7, 2).alias("bt_dif"),
+        (F.pmod(k * 131, F.lit(1009)) / 100.0).alias("score"),
+        (F.pmod(k, F.lit(11)) == 0).alias("official_confirmed"),
+        F.when(F.pmod(k, F.lit(3)) == 0, "model-rescue").otherwise("strict").alias("tier"),
+    )
 
 
 REFS = """refs AS (
@@ -177,9 +184,13 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     modis = F.pmod(k, F.lit(4)) == 0
     return table(spark, sf_dir, "orders").select(
-        k.alias("id"), F.when(modis, "MODIS").otherwise("VIIRS_NOAA20").alias("sensor"), (104.5 + F.pmod(k * 37, F.lit(9973)) / 9973.0).alias("lon"), (30 + F.pmod(k * 91, F.lit(9967)) / 9967.0).alias("lat"),
-        F.timestamp_seconds(1767240000 + 600 * F.pmod(k * 13, F.lit(1500))).alias("acq_ts"), F.when(modis, F.pmod(k, F.lit(100)).cast("string")).otherwise("nominal").alias("confidence"), (F.pmod(k, F.lit(50)) / 2.0).alias("frp"),
-    )
+        k.alias("id"), F.when(modis, "MODIS").otherwise("VIIRS_NOAA20").alias("sensor"),
+        (104.5 + F.pmod(k * 37, F.lit(9973)) / 9973.0).alias("lon"),
+        (30 + F.pmod(k * 91, F.lit(9967)) / 9967.0).alias("lat"),
+        F.timestamp_seconds(1767240000 + 600 * F.pmod(k * 13, F.lit(1500))).alias("acq_ts"),
+        F.when(modis, F.pmod(k, F.lit(100)).cast("string")).otherwise("nominal").alias("confidence"),
+        (F.pmod(k, F.lit(50)) / 2.0).alias("frp"),
+    )
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
@@ -191,18 +202,30 @@ def hav(a: str, b: str, c: str, d: str) -> str:
 
 @query(f'WITH {PIX} SELECT scene_id, "row", col, night, visible, valid, cloud, clear FROM obs')
 def observation_masks(spark, sf_dir):
-    return pixels.observe(pix(spark, sf_dir)).select("scene_id", "row", "col", "night", "visible", "valid", "cloud", "clear")
+    return pixels.observe(pix(spark, sf_dir)).select(
+        "scene_id", "row", "col", "night", "visible", "valid", "cloud", "clear"
+    )
 
 
-@query(f"WITH {PIX} SELECT scene_id, count(*) AS pixels, count(*) FILTER (valid) AS valid, count(*) FILTER (cloud) AS cloudy, count(*) FILTER (clear) AS clear FROM obs GROUP BY scene_id")
+@query(
+    f"WITH {PIX} SELECT scene_id, count(*) AS pixels, count(*) FILTER (valid) AS valid, count(*) FILTER (cloud) AS cloudy, count(*) FILTER (clear) AS clear FROM obs GROUP BY scene_id"
+)
 def cloud_stage_counts(spark, sf_dir):
-    return pixels.observe(pix(spark, sf_dir)).groupBy("scene_id").agg(F.count("*").alias("pixels"), F.count_if("valid").alias("valid"), F.count_if("cloud").alias("cloudy"), F.count_if("clear").alias("clear"))
+    return pixels.observe(pix(spark, sf_dir)).groupBy("scene_id").agg(
+        F.count("*").alias("pixels"), F.count_if("valid").alias("valid"), F.count_if("cloud").alias("cloudy"),
+        F.count_if("clear").alias("clear")
+    )
 
 
-@query(f"WITH {PIX} SELECT event_id, round(altitude + 1e-9, 4) AS altitude, round(90 - altitude + 1e-9, 4) AS zenith FROM sun")
+@query(
+    f"WITH {PIX} SELECT event_id, round(altitude + 1e-9, 4) AS altitude, round(90 - altitude + 1e-9, 4) AS zenith FROM sun"
+)
 def solar_geometry(spark, sf_dir):
     p = pix(spark, sf_dir)
-    return p.select("event_id", r4(R.solar_altitude("acq_ts", "lon", "lat")).alias("altitude"), r4(R.solar_zenith("acq_ts", "lon", "lat")).alias("zenith"))
+    return p.select(
+        "event_id", r4(R.solar_altitude("acq_ts", "lon", "lat")).alias("altitude"),
+        r4(R.solar_zenith("acq_ts", "lon", "lat")).alias("zenith")
+    )
 
 
 @query("""
@@ -212,7 +235,9 @@ SELECT event_id, round(-0.4793907798 + 1.000766568 * te - 1.860569e-07 * te * te
 def planck_brightness_temp(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.pmod(F.col("event_id") * 7, F.lit(2050)).alias("n"))
     bt = R.brightness_temperature("n", -0.0037, 7.5, 3.8853, -0.4793907798, 1.000766568, -1.860569e-07, 2047, 2046)
-    return e.select("event_id", r4(bt).alias("bt"), r4(R.reflectance("n", -0.0037, 7.5, 0.0019255, 2047, 2046)).alias("reflectance"))
+    return e.select(
+        "event_id", r4(bt).alias("bt"), r4(R.reflectance("n", -0.0037, 7.5, 0.0019255, 2047, 2046)).alias("reflectance")
+    )
 
 
 DISK = R.Projection(140.7, 20466275, 20466275, 2750.5, 2750.5)
@@ -232,11 +257,15 @@ SELECT event_id, round(2750.5 + degrees(atan2(y, 42164.0 - x)) * 20466275 / 6553
 def nav_lonlat_roundtrip(spark, sf_dir):
     """Places up to 133 degrees from the point below the satellite, and back again for those within 80 degrees."""
     k = F.col("event_id")
-    p = table(spark, sf_dir, "events").select(k, (30 + F.pmod(k, F.lit(977)) * 0.25).alias("lon"), (-55 + F.pmod(k, F.lit(991)) * 0.11).alias("lat"))
+    p = table(spark, sf_dir, "events").select(
+        k, (30 + F.pmod(k, F.lit(977)) * 0.25).alias("lon"), (-55 + F.pmod(k, F.lit(991)) * 0.11).alias("lat")
+    )
     c, ln, v = R.to_column_line("lon", "lat", DISK)
     p = p.withColumns({"c": c, "l": ln, "visible": v})
     x, y = R.to_lon_lat("c", "l", DISK)
-    inside = F.col("visible") & (F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lon") - 140.7)) > F.cos(F.radians(F.lit(80.0))))
+    inside = F.col("visible") & (
+        F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lon") - 140.7)) > F.cos(F.radians(F.lit(80.0)))
+    )
     back = [F.when(inside, F.round(b, 3)).alias(n) for b, n in ((F.pmod(x, F.lit(360.0)), "lon_back"), (y, "lat_back"))]
     return p.select("event_id", r4("c").alias("col"), r4("l").alias("line"), "visible", *back)
 
@@ -258,10 +287,14 @@ def local_maximum(spark, sf_dir):
     return pixels.local_maximum(p, "t713", 5).filter("is_maximum").select("scene_id", "row", "col")
 
 
-@query(f'WITH {PIX} SELECT scene_id, "row", col FROM obs WHERE clear AND ((NOT night AND visible AND t713 > 20 AND b07 > rvis * 100 + 20) OR (night AND t713 > 4))')
+@query(
+    f'WITH {PIX} SELECT scene_id, "row", col FROM obs WHERE clear AND ((NOT night AND visible AND t713 > 20 AND b07 > rvis * 100 + 20) OR (night AND t713 > 4))'
+)
 def permissive_candidates(spark, sf_dir):
     o = pixels.observe(pix(spark, sf_dir))
-    return o.filter(R.permissive_candidate("b07", "b13", "rvis", F.col("clear"), F.col("night"), R.Thresholds())).select("scene_id", "row", "col")
+    return o.filter(
+        R.permissive_candidate("b07", "b13", "rvis", F.col("clear"), F.col("night"), R.Thresholds())
+    ).select("scene_id", "row", "col")
 
 
 @query(f"""WITH {CONTEXT} SELECT scene_id, "row", col, CAST("window" AS BIGINT) AS "window", n_clear, n_used, round(t7_bg + 1e-9, 4) AS t7_bg, round(t713_bg + 1e-9, 4) AS t713_bg, round(rvis_bg + 1e-9, 4) AS rvis_bg,
@@ -270,12 +303,20 @@ def background_context(spark, sf_dir):
     o = pixels.observe(pix(spark, sf_dir))
     s = pixels.seed(o).filter(F.col("day") | F.col("night_hot"))
     b = pixels.background(s, o)
-    return b.select("scene_id", "row", "col", big("window").alias("window"), "n_clear", "n_used", *[r4(c).alias(c) for c in ("t7_bg", "t713_bg", "rvis_bg", "std_t7", "std_t713", "pv", "pc")])
+    return b.select(
+        "scene_id", "row", "col", big("window").alias("window"), "n_clear", "n_used",
+        *[r4(c).alias(c) for c in ("t7_bg", "t713_bg", "rvis_bg", "std_t7", "std_t713", "pv", "pc")]
+    )
 
 
-@query(f'WITH {CASCADE} SELECT scene_id, "row", col, reject, tier, round(factor + 1e-9, 4) AS factor, round(score + 1e-9, 2) AS score FROM scored')
+@query(
+    f'WITH {CASCADE} SELECT scene_id, "row", col, reject, tier, round(factor + 1e-9, 4) AS factor, round(score + 1e-9, 2) AS score FROM scored'
+)
 def detect_cascade(spark, sf_dir):
-    return judged(spark, sf_dir).select("scene_id", "row", "col", "reject", "tier", r4("factor").alias("factor"), F.round(F.col("score") + 1e-9, 2).alias("score"))
+    return judged(spark, sf_dir).select(
+        "scene_id", "row", "col", "reject", "tier", r4("factor").alias("factor"),
+        F.round(F.col("score") + 1e-9, 2).alias("score")
+    )
 
 
 @query(f"""WITH {CASCADE} SELECT scene_id, count(*) AS seeds, count(*) FILTER (day) AS day_seeds, count(*) FILTER (night_hot) AS night_seeds, count(*) FILTER (reject = 'background') AS rejected_background,
@@ -285,12 +326,16 @@ def stage_counts(spark, sf_dir):
     return pixels.stage_counts(judged(spark, sf_dir))
 
 
-@query(f"WITH {CASCADE} SELECT scene_id, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM fires GROUP BY scene_id")
+@query(
+    f"WITH {CASCADE} SELECT scene_id, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM fires GROUP BY scene_id"
+)
 def fire_confidence_hist(spark, sf_dir):
     return ranking.confidence_counts(judged(spark, sf_dir).filter(F.col("reject").isNull()))
 
 
-@query(f"""WITH {SPOTS} SELECT fire_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, tier ORDER BY score DESC, "row", col) AS n FROM spots) WHERE tier <> 'model-rescue' OR n <= 10""")
+@query(
+    f"""WITH {SPOTS} SELECT fire_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, tier ORDER BY score DESC, "row", col) AS n FROM spots) WHERE tier <> 'model-rescue' OR n <= 10"""
+)
 def rescue_topn(spark, sf_dir):
     return pixels.limit_rescued(spots(spark, sf_dir), R.Rescue(enabled=True, most=10)).select("fire_id", "tier")
 
@@ -316,13 +361,18 @@ def zone(spark: SparkSession) -> DataFrame:
 
 def crossings(ring: list[tuple[float, float]], x: str = "lon", y: str = "lat") -> str:
     edges = zip(ring, [ring[-1], *ring[:-1]])
-    return " + ".join(f"CASE WHEN ({ay} > {y}) <> ({by} > {y}) AND {x} < ({bx} - {ax}) * ({y} - {ay}) / {(by - ay) or 1e-12} + {ax} THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in edges)
+    return " + ".join(
+        f"CASE WHEN ({ay} > {y}) <> ({by} > {y}) AND {x} < ({bx} - {ax}) * ({y} - {ay}) / {(by - ay) or 1e-12} + {ax} THEN 1 ELSE 0 END" for (ax, ay),
+        (bx, by) in edges
+    )
 
 
 INSIDE = f"(({crossings(BOX)}) % 2 = 1 AND NOT ({crossings(HOLE)}) % 2 = 1)"
 
 
-@query(f"WITH {SPOTS}, heat AS ({HEAT}) SELECT fire_id FROM spots s WHERE NOT EXISTS (SELECT 1 FROM heat h WHERE {hav('s.lon', 's.lat', 'h.lon', 'h.lat')} <= h.radius_km)")
+@query(
+    f"WITH {SPOTS}, heat AS ({HEAT}) SELECT fire_id FROM spots s WHERE NOT EXISTS (SELECT 1 FROM heat h WHERE {hav('s.lon', 's.lat', 'h.lon', 'h.lat')} <= h.radius_km)"
+)
 def static_source_anti(spark, sf_dir):
     """Spots that none of all suppliers' places covers."""
     return spatial.without_sources(spots(spark, sf_dir), heat(spark, sf_dir), "fire_id").select("fire_id")
@@ -348,25 +398,37 @@ FUSED = f"""WITH {SPOTS}, {REFS}, near AS (
 ), best AS (SELECT * FROM near WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY fire_id ORDER BY d, dt, id) = 1)"""
 
 
-@query(f"{FUSED} SELECT f.fire_id, CAST(b.id AS VARCHAR) AS official_id, b.id IS NOT NULL AS official_confirmed, round(round(b.d, 3) + 1e-9, 2) AS km, round(round(b.dt * 60, 1) + 1e-9, 1) AS minutes FROM spots f LEFT JOIN best b USING (fire_id)")
+@query(
+    f"{FUSED} SELECT f.fire_id, CAST(b.id AS VARCHAR) AS official_id, b.id IS NOT NULL AS official_confirmed, round(round(b.d, 3) + 1e-9, 2) AS km, round(round(b.dt * 60, 1) + 1e-9, 1) AS minutes FROM spots f LEFT JOIN best b USING (fire_id)"
+)
 def fuse_nearest_reference(spark, sf_dir):
     f = spatial.nearest_reference(spots(spark, sf_dir).drop("official_confirmed"), refs(spark, sf_dir))
-    return f.select("fire_id", F.col("official_id").cast("string").alias("official_id"), "official_confirmed", F.round(F.col("official_distance_km") + 1e-9, 2).alias("km"), F.round(F.col("official_minutes") + 1e-9, 1).alias("minutes"))
+    return f.select(
+        "fire_id", F.col("official_id").cast("string").alias("official_id"), "official_confirmed",
+        F.round(F.col("official_distance_km") + 1e-9, 2).alias("km"),
+        F.round(F.col("official_minutes") + 1e-9, 1).alias("minutes")
+    )
 
 
-@query(f"{FUSED} SELECT id, id IN (SELECT id FROM best) AS matched, CASE WHEN id IN (SELECT id FROM best) THEN 'official-confirmed' ELSE 'official-only' END AS fusion_status FROM refs")
+@query(
+    f"{FUSED} SELECT id, id IN (SELECT id FROM best) AS matched, CASE WHEN id IN (SELECT id FROM best) THEN 'official-confirmed' ELSE 'official-only' END AS fusion_status FROM refs"
+)
 def official_only_refs(spark, sf_dir):
     f = spatial.nearest_reference(spots(spark, sf_dir).drop("official_confirmed"), refs(spark, sf_dir))
     r = refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(None).cast("double")})
     return spatial.official_ranges(r, f).select("id", "matched", "fusion_status")
 
 
-@query(f"WITH {SPOTS}, {REFS} SELECT id FROM refs r WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT acq_ts FROM spots) s WHERE abs(epoch_us(s.acq_ts) - epoch_us(r.acq_ts)) <= 3.6e9)")
+@query(
+    f"WITH {SPOTS}, {REFS} SELECT id FROM refs r WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT acq_ts FROM spots) s WHERE abs(epoch_us(s.acq_ts) - epoch_us(r.acq_ts)) <= 3.6e9)"
+)
 def references_in_time(spark, sf_dir):
     return spatial.in_time_reach(refs(spark, sf_dir), spots(spark, sf_dir), 1.0).select("id")
 
 
-@query(f"WITH {SPOTS}, {REFS} SELECT fire_id, round(min({hav('f.lon', 'f.lat', 'r.lon', 'r.lat')}) + 1e-9, 3) AS km FROM spots f, refs r GROUP BY fire_id")
+@query(
+    f"WITH {SPOTS}, {REFS} SELECT fire_id, round(min({hav('f.lon', 'f.lat', 'r.lon', 'r.lat')}) + 1e-9, 3) AS km FROM spots f, refs r GROUP BY fire_id"
+)
 def nearest_distance(spark, sf_dir):
     """The distance to the nearest of all references, which lie close: the first ring is small."""
     near = spatial.nearest_distance(spots(spark, sf_dir), refs(spark, sf_dir), "fire_id", start_km=1)
@@ -377,7 +439,11 @@ def nearest_distance(spark, sf_dir):
  round(0.4 * 0.3 + 1e-9, 3) AS area FROM s""")
 def metre_boxes(spark, sf_dir):
     s = spots(spark, sf_dir).withColumn("ring", geo.metre_box("lon", "lat", 400.0, 300.0))
-    return s.select("fire_id", F.round(F.col("ring")[0]["x"] + 1e-9, 5).alias("west"), F.round(F.col("ring")[0]["y"] + 1e-9, 5).alias("north"), F.round(geo.ring_area_km2(F.col("ring")) + 1e-9, 3).alias("area"))
+    return s.select(
+        "fire_id", F.round(F.col("ring")[0]["x"] + 1e-9, 5).alias("west"),
+        F.round(F.col("ring")[0]["y"] + 1e-9, 5).alias("north"),
+        F.round(geo.ring_area_km2(F.col("ring")) + 1e-9, 3).alias("area")
+    )
 
 
 @query(f"""WITH {SPOTS} SELECT fire_id, round(lon - 0.01 + 1e-9, 5) AS west, round(lat - 0.01 + 1e-9, 5) AS south,
@@ -385,8 +451,14 @@ def metre_boxes(spark, sf_dir):
 def pixel_footprints(spark, sf_dir):
     f = clusters.footprints(spots(spark, sf_dir), pix(spark, sf_dir))
     p = lambda k, c: F.col("ring")[k][c]
-    width = (geo.haversine_km(p(0, "x"), p(0, "y"), p(1, "x"), p(1, "y")) + geo.haversine_km(p(3, "x"), p(3, "y"), p(2, "x"), p(2, "y"))) / 2
-    return f.select("fire_id", F.round(p(0, "x") + 1e-9, 5).alias("west"), F.round(p(0, "y") + 1e-9, 5).alias("south"), F.round(width + 1e-9, 1).alias("width"))
+    width = (
+        geo.haversine_km(p(0, "x"), p(0, "y"), p(1, "x"), p(1, "y"))
+        + geo.haversine_km(p(3, "x"), p(3, "y"), p(2, "x"), p(2, "y"))
+    ) / 2
+    return f.select(
+        "fire_id", F.round(p(0, "x") + 1e-9, 5).alias("west"), F.round(p(0, "y") + 1e-9, 5).alias("south"),
+        F.round(width + 1e-9, 1).alias("width")
+    )
 
 
 @query(f"""WITH RECURSIVE {SPOTS}, near AS (SELECT a.fire_id AS a, b.fire_id AS b FROM spots a JOIN spots b ON a.scene_id = b.scene_id AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1),
@@ -399,7 +471,10 @@ def cluster_components(spark, sf_dir):
     # a cluster is named by its first pixel, which is also its least fire
     first = F.split(F.col("cluster_id"), "-")
     fire = first[0].cast("long") * 2500 + first[1].cast("long") * 50 + first[2].cast("long")
-    return c.select("scene_id", fire.alias("first_fire"), "pixel_count", r4("centroid_lon").alias("lon"), r4("max_score").alias("max_score"), "official_confirmed")
+    return c.select(
+        "scene_id", fire.alias("first_fire"), "pixel_count", r4("centroid_lon").alias("lon"),
+        r4("max_score").alias("max_score"), "official_confirmed"
+    )
 
 
 # ------------------------------------------------------------------ time and ranks
@@ -412,12 +487,22 @@ CAND = SPOTS + """
 
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spots(spark, sf_dir)
-    return s.select("fire_id", "scene_id", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), F.col("bt_tir").alias("max_bt07_k"), F.col("bt_dif").alias("max_t713_k"), (1 + F.pmod("fire_id", F.lit(4))).cast("double").alias("cand_area"), F.col("scene_id").cast("int").alias("slot_ord"))
+    return s.select(
+        "fire_id", "scene_id", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"),
+        F.col("bt_tir").alias("max_bt07_k"), F.col("bt_dif").alias("max_t713_k"),
+        (1 + F.pmod("fire_id", F.lit(4))).cast("double").alias("cand_area"),
+        F.col("scene_id").cast("int").alias("slot_ord")
+    )
 
 
-@query(f"WITH {CAND} SELECT CAST(glon AS BIGINT) AS glon, CAST(glat AS BIGINT) AS glat, CAST(slot_ord AS BIGINT) AS slot_ord, round(max_bt07_k + 1e-9, 4) AS max_bt07_k, n_cand, max_area FROM state")
+@query(
+    f"WITH {CAND} SELECT CAST(glon AS BIGINT) AS glon, CAST(glat AS BIGINT) AS glat, CAST(slot_ord AS BIGINT) AS slot_ord, round(max_bt07_k + 1e-9, 4) AS max_bt07_k, n_cand, max_area FROM state"
+)
 def grid_temporal_state(spark, sf_dir):
-    return temporal.grid_state(cand(spark, sf_dir)).select(big("glon").alias("glon"), big("glat").alias("glat"), big("slot_ord").alias("slot_ord"), r4("max_bt07_k").alias("max_bt07_k"), "n_cand", "max_area")
+    return temporal.grid_state(cand(spark, sf_dir)).select(
+        big("glon").alias("glon"), big("glat").alias("glat"), big("slot_ord").alias("slot_ord"),
+        r4("max_bt07_k").alias("max_bt07_k"), "n_cand", "max_area"
+    )
 
 
 @query(f"""WITH {CAND}, l AS (SELECT c.fire_id, c.max_bt07_k, {", ".join(f"coalesce(max(s.max_bt07_k) FILTER (s.slot_ord = c.slot_ord + ({k})), 0) AS b{k + 6}, count(*) FILTER (s.slot_ord = c.slot_ord + ({k}) AND s.n_cand > 0) AS h{k + 6}" for k in temporal.LAGS)}
@@ -428,22 +513,34 @@ def lag_features(spark, sf_dir):
     c = cand(spark, sf_dir)
     f = temporal.lag_features(c, temporal.grid_state(c), "fire_id")
     lags = [f"{'m' if k < 0 else 'p'}{abs(k)}" for k in temporal.LAGS]
-    return f.select("fire_id", *[r4(f"temp_bt07_{k}").alias(f"bt07_{k}") for k in lags], r4("temp_bt07_delta_m1").alias("delta_m1"), big("temp_persist_3").alias("persist"), big("temp_persist_all").alias("persist_all"), r4("temp_bt07_past_max").alias("past_max"))
+    return f.select(
+        "fire_id", *[r4(f"temp_bt07_{k}").alias(f"bt07_{k}") for k in lags], r4("temp_bt07_delta_m1").alias("delta_m1"),
+        big("temp_persist_3").alias("persist"), big("temp_persist_all").alias("persist_all"),
+        r4("temp_bt07_past_max").alias("past_max")
+    )
 
 
-@query(f"""WITH {CAND} SELECT c.fire_id, round(coalesce(max(s.max_bt07_k), 0) + 1e-9, 4) AS nb_bt07, coalesce(max(s.n_cand), 0) AS nb_n FROM cand c LEFT JOIN state s ON s.slot_ord = c.slot_ord - 1 AND abs(s.glon - c.glon) <= 1 AND abs(s.glat - c.glat) <= 1 GROUP BY c.fire_id""")
+@query(
+    f"""WITH {CAND} SELECT c.fire_id, round(coalesce(max(s.max_bt07_k), 0) + 1e-9, 4) AS nb_bt07, coalesce(max(s.n_cand), 0) AS nb_n FROM cand c LEFT JOIN state s ON s.slot_ord = c.slot_ord - 1 AND abs(s.glon - c.glon) <= 1 AND abs(s.glat - c.glat) <= 1 GROUP BY c.fire_id"""
+)
 def neighbor_prev_slot(spark, sf_dir):
     c = cand(spark, sf_dir)
-    return temporal.neighbour_features(c, temporal.grid_state(c), "fire_id").select("fire_id", r4("temp_nb_bt07_m1").alias("nb_bt07"), big("temp_nb_n_m1").alias("nb_n"))
+    return temporal.neighbour_features(c, temporal.grid_state(c), "fire_id").select(
+        "fire_id", r4("temp_nb_bt07_m1").alias("nb_bt07"), big("temp_nb_n_m1").alias("nb_n")
+    )
 
 
-@query(f"WITH {CAND} SELECT CAST(slot_ord AS BIGINT) AS slot_ord, count(*) AS cells FROM state WHERE slot_ord IN (SELECT DISTINCT slot_ord FROM state ORDER BY slot_ord DESC LIMIT 3) GROUP BY slot_ord")
+@query(
+    f"WITH {CAND} SELECT CAST(slot_ord AS BIGINT) AS slot_ord, count(*) AS cells FROM state WHERE slot_ord IN (SELECT DISTINCT slot_ord FROM state ORDER BY slot_ord DESC LIMIT 3) GROUP BY slot_ord"
+)
 def keep_latest_slots(spark, sf_dir):
     s = temporal.latest_slots(temporal.grid_state(cand(spark, sf_dir)), 3)
     return s.groupBy(big("slot_ord").alias("slot_ord")).agg(F.count("*").alias("cells"))
 
 
-@query(f"WITH {CAND} SELECT CAST(slot_ord AS BIGINT) AS slot_ord, CAST(sum(n_cand) AS BIGINT) AS n FROM state GROUP BY slot_ord")
+@query(
+    f"WITH {CAND} SELECT CAST(slot_ord AS BIGINT) AS slot_ord, CAST(sum(n_cand) AS BIGINT) AS n FROM state GROUP BY slot_ord"
+)
 def merge_state(spark, sf_dir):
     s = kept(temporal.grid_state(cand(spark, sf_dir)), "state")
     again = temporal.merge_state(s, s.filter("slot_ord >= 1"))  # replayed slots change nothing
@@ -456,12 +553,19 @@ def merge_state(spark, sf_dir):
 def scene_rank_features(spark, sf_dir):
     c = cand(spark, sf_dir).withColumns({"scene_slot": F.col("scene_id"), "day_phase": F.lit("day")})
     f = ranking.scene_rank_features(c)
-    return f.select("fire_id", r4("bt07_to_scene_max").alias("to_max"), r4("bt07_minus_scene_mean").alias("minus_mean"), r4("bt07_scene_rank_pct").alias("rank_pct"), r4("scene_candidate_count_log").alias("count_log"))
+    return f.select(
+        "fire_id", r4("bt07_to_scene_max").alias("to_max"), r4("bt07_minus_scene_mean").alias("minus_mean"),
+        r4("bt07_scene_rank_pct").alias("rank_pct"), r4("scene_candidate_count_log").alias("count_log")
+    )
 
 
-@query(f"WITH {SPOTS} SELECT fire_id, scene_id FROM spots QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY official_confirmed DESC, score DESC, fire_id) <= 20 OR official_confirmed")
+@query(
+    f"WITH {SPOTS} SELECT fire_id, scene_id FROM spots QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY official_confirmed DESC, score DESC, fire_id) <= 20 OR official_confirmed"
+)
 def budget_topk_forced(spark, sf_dir):
-    return ranking.top_budget(spots(spark, sf_dir).withColumn("forced", F.col("official_confirmed")), 20, ("scene_id",), ("fire_id",)).select("fire_id", "scene_id")
+    return ranking.top_budget(
+        spots(spark, sf_dir).withColumn("forced", F.col("official_confirmed")), 20, ("scene_id",), ("fire_id",)
+    ).select("fire_id", "scene_id")
 
 
 @query(f"""WITH {SPOTS}, p AS (SELECT *, ((fire_id * 17) % 997) / 997.0 AS prob FROM spots), r AS (
@@ -469,9 +573,16 @@ def budget_topk_forced(spark, sf_dir):
 a AS (SELECT * FROM r WHERE NOT (tier = 'model-rescue' AND NOT official_confirmed AND coalesce(q, 0) < 0.35))
 SELECT fire_id, region, round(s + 1e-9, 3) AS score FROM a QUALIFY region <> 'west' OR official_confirmed OR row_number() OVER (PARTITION BY scene_id, region ORDER BY official_confirmed DESC, s DESC, fire_id) <= 15""")
 def regional_budget(spark, sf_dir):
-    s = spots(spark, sf_dir).withColumns({"center_lon": F.col("lon"), "west_prob": F.pmod(F.col("fire_id") * 17, F.lit(997)) / 997.0, "east_prob": F.lit(None).cast("double"), "confidence": F.lit("low")})
+    s = spots(spark, sf_dir).withColumns(
+        {
+            "center_lon": F.col("lon"), "west_prob": F.pmod(F.col("fire_id") * 17, F.lit(997)) / 997.0,
+            "east_prob": F.lit(None).cast("double"), "confidence": F.lit("low")
+        }
+    )
     c = ranking.Scorer(west_budget=15)
-    return ranking.within_budget(ranking.route(s, c), c).select("fire_id", F.col("region_for_scorer").alias("region"), F.round(F.col("score") + 1e-9, 3).alias("score"))
+    return ranking.within_budget(ranking.route(s, c), c).select(
+        "fire_id", F.col("region_for_scorer").alias("region"), F.round(F.col("score") + 1e-9, 3).alias("score")
+    )
 
 
 @query(f"""WITH {SPOTS}, h AS (SELECT *, (hour(acq_ts) + minute(acq_ts) / 60.0 + lon / 15) % 24 AS hl FROM spots)
@@ -481,27 +592,50 @@ SELECT fire_id, round(sin(6.283185307179586 * month(acq_ts) / 12) + 1e-9, 4) AS
  CASE WHEN hl >= 6 AND hl < 18 THEN 1e0 ELSE 0e0 END AS day, CASE WHEN (hl >= 5 AND hl < 6) OR (hl >= 18 AND hl < 19) THEN 1e0 ELSE 0e0 END AS twilight, CASE WHEN hl < 5 OR hl >= 19 THEN 1e0 ELSE 0e0 END AS night, CASE WHEN hl >= 6 AND hl < 18 THEN 'day' WHEN (hl >= 5 AND hl < 6) OR (hl >= 18 AND hl < 19) THEN 'twilight' ELSE 'night' END AS phase FROM h""")
 def base_features(spark, sf_dir):
     f = features.base_features(features.candidate_frame(spots(spark, sf_dir)))
-    same = {"level": "bt07_level", "strength": "t713_strength", "area_sq": "area_sq", "lon_span": "lon_span_deg", "lat_span": "lat_span_deg", "aspect": "aspect_ratio", "west": "region_west", "central": "region_central", "east": "region_east", "day": "dn_day", "twilight": "dn_twilight", "night": "dn_night"}
-    rest = [F.col(c).cast("double").alias(n) for n, c in same.items()] + [F.round(c, 2).alias(n) for n, c in (("offset_km", "peak_offset_km"), ("offset_ratio", "peak_offset_ratio"))]
-    rest += [r4("month_cos").alias("month_cos"), r4("hour_sin").alias("hour_sin"), F.round(F.col("bt07_x_t713") + 1e-9, 3).alias("product")]
-    return f.select("fire_id", *rest, r4("month_sin").alias("month_sin"), r4("hour_cos").alias("hour_cos"), F.round(F.col("distance_star_km") + 1e-9, 2).alias("star_km"), F.round(F.col("bt07_sq") + 1e-9, 3).alias("bt07_sq"), F.col("day_phase").alias("phase"))
+    same = {
+        "level": "bt07_level", "strength": "t713_strength", "area_sq": "area_sq", "lon_span": "lon_span_deg",
+        "lat_span": "lat_span_deg", "aspect": "aspect_ratio", "west": "region_west", "central": "region_central",
+        "east": "region_east", "day": "dn_day", "twilight": "dn_twilight", "night": "dn_night"
+    }
+    rest = [F.col(c).cast("double").alias(n) for n, c in same.items()] + [
+        F.round(c, 2).alias(n) for n, c in (("offset_km", "peak_offset_km"), ("offset_ratio", "peak_offset_ratio"))
+    ]
+    rest += [
+        r4("month_cos").alias("month_cos"), r4("hour_sin").alias("hour_sin"),
+        F.round(F.col("bt07_x_t713") + 1e-9, 3).alias("product")
+    ]
+    return f.select(
+        "fire_id", *rest, r4("month_sin").alias("month_sin"), r4("hour_cos").alias("hour_cos"),
+        F.round(F.col("distance_star_km") + 1e-9, 2).alias("star_km"),
+        F.round(F.col("bt07_sq") + 1e-9, 3).alias("bt07_sq"), F.col("day_phase").alias("phase")
+    )
 
 
 FLAGS = " OR ".join(f"(x BETWEEN {a} AND {b} AND y BETWEEN {c} AND {d})" for a, b, c, d in features.URBAN_BOXES)
 SANDS = " OR ".join(f"(x > {a} AND x < {b} AND y > {c} AND y < {d})" for a, b, c, d in features.DESERT_BOXES)
 
 
-@query(f"WITH p AS (SELECT event_id, 73 + (event_id % 6007) / 100.0 AS x, 18 + (event_id % 3571) / 100.0 AS y FROM events) SELECT event_id, {FLAGS} AS urban, {SANDS} AS desert, CASE WHEN x < 105 THEN 'west' WHEN x < 115 THEN 'central' ELSE 'east' END AS region FROM p")
+@query(
+    f"WITH p AS (SELECT event_id, 73 + (event_id % 6007) / 100.0 AS x, 18 + (event_id % 3571) / 100.0 AS y FROM events) SELECT event_id, {FLAGS} AS urban, {SANDS} AS desert, CASE WHEN x < 105 THEN 'west' WHEN x < 115 THEN 'central' ELSE 'east' END AS region FROM p"
+)
 def region_flags(spark, sf_dir):
     k = F.col("event_id")
-    p = table(spark, sf_dir, "events").select(k, (73 + F.pmod(k, F.lit(6007)) / 100.0).alias("x"), (18 + F.pmod(k, F.lit(3571)) / 100.0).alias("y"))
-    return p.select("event_id", features.urban("x", "y").alias("urban"), features.desert("x", "y").alias("desert"), features.region("x").alias("region"))
+    p = table(spark, sf_dir, "events").select(
+        k, (73 + F.pmod(k, F.lit(6007)) / 100.0).alias("x"), (18 + F.pmod(k, F.lit(3571)) / 100.0).alias("y")
+    )
+    return p.select(
+        "event_id", features.urban("x", "y").alias("urban"), features.desert("x", "y").alias("desert"),
+        features.region("x").alias("region")
+    )
 
 
 @query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 29 = 0 THEN 'none' ELSE strftime(date_trunc('minute', ts), '%Y%m%d%H%M') END AS slot FROM events)
 SELECT event_id, slot, CASE WHEN slot = 'none' THEN -1 ELSE CAST(floor((epoch(strptime(slot, '%Y%m%d%H%M')) - 946684800) / 600) AS BIGINT) END AS slot_ord FROM s""")
 def slot_ordinals(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.pmod("event_id", F.lit(29)) == 0, "none").otherwise(features.slot_text(F.col("ts"))).alias("slot"))
+    e = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.pmod("event_id", F.lit(29)) == 0, "none").otherwise(features.slot_text(F.col("ts"))).alias("slot")
+    )
     return e.select("event_id", "slot", big(features.slot_ordinal("slot")).alias("slot_ord"))
 
 
@@ -514,7 +648,9 @@ def eval_match_metrics(spark, sf_dir):
     return evaluation.evaluate(c, refs(spark, sf_dir))
 
 
-@query(f"WITH {SPOTS} SELECT count(*) AS candidate_count, CAST(0 AS BIGINT) AS reference_count, 'no_reference_detections' AS status, CAST(NULL AS DOUBLE) AS precision FROM spots")
+@query(
+    f"WITH {SPOTS} SELECT count(*) AS candidate_count, CAST(0 AS BIGINT) AS reference_count, 'no_reference_detections' AS status, CAST(NULL AS DOUBLE) AS precision FROM spots"
+)
 def eval_no_reference(spark, sf_dir):
     c = spots(spark, sf_dir).select(F.col("fire_id").alias("id"), "lon", "lat", "acq_ts")
     none = refs(spark, sf_dir).filter(F.lit(False))
@@ -526,16 +662,22 @@ def eval_no_reference(spark, sf_dir):
 WHERE {hav('f.lon', 'f.lat', 'r.lon', 'r.lat')} <= 5""")
 def possible_matches(spark, sf_dir):
     c = spots(spark, sf_dir).select(F.col("fire_id").alias("id"), "lon", "lat", "acq_ts")
-    return evaluation.possible_matches(c, refs(spark, sf_dir)).select("id", "r_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km"))
+    return evaluation.possible_matches(c, refs(spark, sf_dir)).select(
+        "id", "r_id", F.round(F.col("distance_km") + 1e-9, 3).alias("km")
+    )
 
 
 LINKS = f"""WITH RECURSIVE {REFS}, near AS (SELECT a.id AS a, b.id AS b FROM refs a JOIN refs b ON abs(epoch_us(a.acq_ts) - epoch_us(b.acq_ts)) <= 30 * 6e7 AND b.lat BETWEEN a.lat - 0.05 AND a.lat + 0.05 WHERE {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2.5),
 reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), label AS (SELECT a, min(b) AS component FROM reach GROUP BY a)"""
 
 
-@query(f"{LINKS} SELECT component AS id, count(*) AS member_count, round(sum(frp) + 1e-9, 4) AS frp, round(sum(lon * (frp + 1)) / sum(frp + 1) + 1e-9, 4) AS lon, array_to_string(list_sort(list_distinct(list(sensor))), '+') AS sensor FROM refs JOIN label ON a = id GROUP BY component")
+@query(
+    f"{LINKS} SELECT component AS id, count(*) AS member_count, round(sum(frp) + 1e-9, 4) AS frp, round(sum(lon * (frp + 1)) / sum(frp + 1) + 1e-9, 4) AS lon, array_to_string(list_sort(list_distinct(list(sensor))), '+') AS sensor FROM refs JOIN label ON a = id GROUP BY component"
+)
 def reference_clusters(spark, sf_dir):
-    return clusters.reference_clusters(refs(spark, sf_dir)).select("id", "member_count", r4("frp").alias("frp"), r4("lon").alias("lon"), "sensor")
+    return clusters.reference_clusters(refs(spark, sf_dir)).select(
+        "id", "member_count", r4("frp").alias("frp"), r4("lon").alias("lon"), "sensor"
+    )
 
 
 HITS = """hits AS (SELECT event_id AS id, 104 + (user_id % 83) * 0.05 + (event_id % 3) * 0.002 AS lon, 30 + (user_id % 79) * 0.05 + (event_id % 5) * 0.002 AS lat, strftime(ts, '%Y-%m-%d') AS acq_date, value / 10 AS frp,
@@ -548,23 +690,40 @@ FROM g GROUP BY px, py HAVING count(*) >= 4 AND count(DISTINCT acq_date) >= 4"""
 def persistent_sources(spark, sf_dir):
     k = F.col("event_id")
     e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    p = e.select(k.alias("id"), (104 + F.pmod("user_id", F.lit(83)) * 0.05 + F.pmod(k, F.lit(3)) * 0.002).alias("lon"), (30 + F.pmod("user_id", F.lit(79)) * 0.05 + F.pmod(k, F.lit(5)) * 0.002).alias("lat"), F.date_format("ts", "yyyy-MM-dd").alias("acq_date"), (F.col("value") / 10).alias("frp"), F.when(F.pmod(k, F.lit(2)) == 0, "D").otherwise("N").alias("daynight"))
+    p = e.select(
+        k.alias("id"), (104 + F.pmod("user_id", F.lit(83)) * 0.05 + F.pmod(k, F.lit(3)) * 0.002).alias("lon"),
+        (30 + F.pmod("user_id", F.lit(79)) * 0.05 + F.pmod(k, F.lit(5)) * 0.002).alias("lat"),
+        F.date_format("ts", "yyyy-MM-dd").alias("acq_date"), (F.col("value") / 10).alias("frp"),
+        F.when(F.pmod(k, F.lit(2)) == 0, "D").otherwise("N").alias("daynight")
+    )
     s = clusters.persistent_sources(p)
-    return s.select(r4("lon").alias("lon"), r4("lat").alias("lat"), "detection_count", "day_count", "first_date", "last_date", "by_day")
+    return s.select(
+        r4("lon").alias("lon"), r4("lat").alias("lat"), "detection_count", "day_count", "first_date", "last_date",
+        "by_day"
+    )
 
 
-@query("SELECT p_partkey, round(least(greatest(CASE WHEN p_retailprice - 1000 > 0 THEN sqrt((p_retailprice - 1000) / (35 * pi())) ELSE 0.25 END, 0.25), 2.5) + 1e-9, 2) AS radius FROM part")
+@query(
+    "SELECT p_partkey, round(least(greatest(CASE WHEN p_retailprice - 1000 > 0 THEN sqrt((p_retailprice - 1000) / (35 * pi())) ELSE 0.25 END, 0.25), 2.5) + 1e-9, 2) AS radius FROM part"
+)
 def pv_radius(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(features.plant_radius_km(F.col("p_retailprice").cast("double") - 1000) + 1e-9, 2).alias("radius"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.round(features.plant_radius_km(F.col("p_retailprice").cast("double") - 1000) + 1e-9, 2).alias("radius")
+    )
 
 
 # ------------------------------------------------------------------ weather
 
 
-@query("""WITH s AS (SELECT event_id, event_id % 9 AS target FROM events) SELECT event_id, CAST(CASE WHEN target <= 1 THEN 0 WHEN target <= 3 THEN 1 WHEN target <= 5 THEN 3 ELSE 3 END AS BIGINT) AS at FROM s""")
+@query(
+    """WITH s AS (SELECT event_id, event_id % 9 AS target FROM events) SELECT event_id, CAST(CASE WHEN target <= 1 THEN 0 WHEN target <= 3 THEN 1 WHEN target <= 5 THEN 3 ELSE 3 END AS BIGINT) AS at FROM s"""
+)
 def forecast_asof(spark, sf_dir):
     times = F.array(F.lit(1), F.lit(3), F.lit(None).cast("int"), F.lit(5), F.lit(None).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", big(weather.forecast_index(times, F.pmod("event_id", F.lit(9)))).alias("at"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", big(weather.forecast_index(times, F.pmod("event_id", F.lit(9)))).alias("at")
+    )
 
 
 @query("""WITH w AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN (event_id * 3) % 101 END AS rh, CASE WHEN event_id % 13 <> 0 THEN (event_id * 7) % 45 - 5 END AS t, CASE WHEN event_id % 17 <> 0 THEN (event_id * 5) % 25 END AS wind, (event_id % 8) / 2.0 AS rain, event_id % 3000 AS cape FROM events)
@@ -573,11 +732,16 @@ SELECT event_id, CAST(floor(least(greatest(0.38 * CASE WHEN rh IS NULL THEN 0.4
 def fire_risk_index(spark, sf_dir):
     k = F.col("event_id")
     some = lambda m, x: F.when(F.pmod(k, F.lit(m)) != 0, x.cast("double"))
-    risk = weather.fire_risk(some(11, F.pmod(k * 3, F.lit(101))), some(13, F.pmod(k * 7, F.lit(45)) - 5), some(17, F.pmod(k * 5, F.lit(25))), F.pmod(k, F.lit(8)) / 2.0, None, F.pmod(k, F.lit(3000)).cast("double"))
+    risk = weather.fire_risk(
+        some(11, F.pmod(k * 3, F.lit(101))), some(13, F.pmod(k * 7, F.lit(45)) - 5), some(17, F.pmod(k * 5, F.lit(25))),
+        F.pmod(k, F.lit(8)) / 2.0, None, F.pmod(k, F.lit(3000)).cast("double")
+    )
     return table(spark, sf_dir, "events").select("event_id", big(risk).alias("risk"))
 
 
-@query("SELECT round(31.9 + a.k * 2.0, 4) AS lat, round(108.39 + b.k * 2.0, 4) AS lon FROM range(9) a(k), range(9) b(k)")
+@query(
+    "SELECT round(31.9 + a.k * 2.0, 4) AS lat, round(108.39 + b.k * 2.0, 4) AS lon FROM range(9) a(k), range(9) b(k)"
+)
 def weather_grid(spark, sf_dir):
     return weather.grid_points(spark, weather.grid_bounds())
 
@@ -588,9 +752,16 @@ def unit_convert(spark, sf_dir):
     k, v = F.col("event_id"), F.col("value")
     unit3 = F.when(F.pmod(k, F.lit(3)) == 0, "Pa").when(F.pmod(k, F.lit(3)) == 1, "kPa").otherwise("hPa")
     return table(spark, sf_dir, "events").select(
-        "event_id", r4(weather.celsius(F.when(F.pmod(k, F.lit(2)) == 0, v + 250).otherwise(v), F.when(F.pmod(k, F.lit(2)) == 0, "K").otherwise("C"))).alias("c"),
-        r4(weather.hectopascal(F.when(F.pmod(k, F.lit(3)) == 0, v * 1000).otherwise(v), unit3)).alias("hpa"), r4(weather.millimetres(v, F.when(F.pmod(k, F.lit(5)) == 0, "m").otherwise("mm"))).alias("mm"),
-    )
+        "event_id",
+        r4(
+            weather.celsius(
+                F.when(F.pmod(k, F.lit(2)) == 0, v + 250).otherwise(v),
+                F.when(F.pmod(k, F.lit(2)) == 0, "K").otherwise("C")
+            )
+        ).alias("c"),
+        r4(weather.hectopascal(F.when(F.pmod(k, F.lit(3)) == 0, v * 1000).otherwise(v), unit3)).alias("hpa"),
+        r4(weather.millimetres(v, F.when(F.pmod(k, F.lit(5)) == 0, "m").otherwise("mm"))).alias("mm"),
+    )
 
 
 # ------------------------------------------------------------------ catalog
@@ -600,16 +771,24 @@ def unit_convert(spark, sf_dir):
 old AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq) = 1), new AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1)
 SELECT coalesce(new.k, old.k) AS k, coalesce(old.seq, new.seq) AS created, coalesce(new.seq, old.seq) AS updated FROM old FULL JOIN new ON old.k = new.k""")
 def upsert_latest(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("created"), F.col("o_orderkey").alias("updated"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("created"), F.col("o_orderkey").alias("updated")
+    )
     old = catalog.first_rows(o.filter(F.pmod("created", F.lit(2)) == 0), ["k"], ["created"])
-    return catalog.upsert(old, o.filter(F.pmod("created", F.lit(2)) == 1), "k", "updated", keep=("created",)).select("k", "created", "updated")
+    return catalog.upsert(
+        old, o.filter(F.pmod("created", F.lit(2)) == 1), "k", "updated", keep=("created",)
+    ).select("k", "created", "updated")
 
 
 @query("""WITH o AS (SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS path, p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS size FROM part WHERE p_partkey % 7 <> 0)
 SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'new' WHEN o.size <> n.size THEN 'changed' WHEN n.path % 11 = 0 THEN 'missing' ELSE 'same' END AS change FROM o FULL JOIN n ON o.path = n.path""")
 def manifest_diff(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.lit("x").alias("sha256"))
-    old, new = p.filter(F.pmod("path", F.lit(5)) != 0), p.filter(F.pmod("path", F.lit(7)) != 0).withColumn("size", F.col("size") + F.when(F.pmod("path", F.lit(3)) == 0, 1).otherwise(0))
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.lit("x").alias("sha256")
+    )
+    old, new = p.filter(F.pmod("path", F.lit(5)) != 0), p.filter(F.pmod("path", F.lit(7)) != 0).withColumn(
+        "size", F.col("size") + F.when(F.pmod("path", F.lit(3)) == 0, 1).otherwise(0)
+    )
     return catalog.manifest_changes(old, new, p.filter(F.pmod("path", F.lit(11)) != 0))
 
 
@@ -617,7 +796,10 @@ def manifest_diff(spark, sf_dir):
 SELECT scene_id FROM p WHERE have = 3 AND n >= 3 GROUP BY scene_id HAVING count(*) = 2""")
 def scene_completeness(spark, sf_dir):
     k = F.col("l_orderkey")
-    f = table(spark, sf_dir, "lineitem").select(big(F.floor(k / 10)).alias("scene_id"), F.col("l_linenumber").cast("string").alias("band"), F.pmod(k, F.lit(10)).alias("segment"), F.lit("p").alias("path"))
+    f = table(spark, sf_dir, "lineitem").select(
+        big(F.floor(k / 10)).alias("scene_id"), F.col("l_linenumber").cast("string").alias("band"),
+        F.pmod(k, F.lit(10)).alias("segment"), F.lit("p").alias("path")
+    )
     return catalog.complete_scenes(f, ["1", "2"], [1, 2, 3]).select("scene_id")
 
 
@@ -626,9 +808,14 @@ SELECT (SELECT count(*) FROM p) AS plant_count, round((SELECT sum(mw) FROM p) +
   (SELECT count(*) FROM nation) AS persistent_count, (SELECT count(*) FROM supplier) AS static_count, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM p) AS automatic_count FROM h""")
 def interference_summary(spark, sf_dir):
     plants = table(spark, sf_dir, "part").select((F.col("p_retailprice").cast("double") / 10).alias("capacity_mw"))
-    hits = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd").alias("acq_date"))
+    hits = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("acq_date")
+    )
     s = summaries.interference_summary(plants, hits, table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"))
-    return s.select("plant_count", F.round(F.col("total_capacity_mw") + 1e-9, 1).alias("mw"), "hit_count", "first_date", "last_date", "persistent_count", "static_count", "automatic_count")
+    return s.select(
+        "plant_count", F.round(F.col("total_capacity_mw") + 1e-9, 1).alias("mw"), "hit_count", "first_date",
+        "last_date", "persistent_count", "static_count", "automatic_count"
+    )
 
 
 @query(f"""WITH {CASCADE}, {REFS}, beside AS (
@@ -644,8 +831,13 @@ def run_summary(spark, sf_dir):
 
     found = kept(judged(spark, sf_dir), "judged")
     fires = kept(spatial.nearest_reference(scene.fire_rows(found), refs(spark, sf_dir)), "fires")
-    ranges = spatial.official_ranges(refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)}), fires)
-    return summaries.run_summary(found, fires, None, ranges).select("scene_id", "seeds", "fire_pixel_count", "official_confirmed_pixel_count", "high", "low", "official_reference_count", "official_matched_count")
+    ranges = spatial.official_ranges(
+        refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)}), fires
+    )
+    return summaries.run_summary(found, fires, None, ranges).select(
+        "scene_id", "seeds", "fire_pixel_count", "official_confirmed_pixel_count", "high", "low",
+        "official_reference_count", "official_matched_count"
+    )
 
 
 @query("""SELECT event_id, CAST(1700000000000 + (event_id % 7) * 3600000 + CASE WHEN event_id % 5 <= 1 THEN 3600000 ELSE 10800000 END AS BIGINT) AS forecast_ms,
@@ -657,23 +849,42 @@ def forecast_payloads(spark, sf_dir):
     k = F.col("event_id")
     first = F.lit(1700000000000) + F.pmod(k, F.lit(7)) * 3600000
     warm = F.pmod(k, F.lit(40)) + 273.15
-    payload = F.format_string('{"ts":[%d,%d],"units":{"temp-surface":"K","rh-surface":"%%"},"temp-surface":[%f,%f],"rh-surface":[40,60],"warning":"x"}', first + 3600000, first + 10800000, warm, warm + 2)
-    answers = table(spark, sf_dir, "events").select(k.cast("double").alias("lat"), (1 + F.pmod(k, F.lit(5))).cast("double").alias("lon"), F.when(F.pmod(k, F.lit(11)) != 0, payload).otherwise('{"ts":[]}').alias("payload"))
-    at = F.lit(1700000000000) + F.pmod(F.col("lat").cast("long"), F.lit(7)) * 3600000 + F.col("lon").cast("long") * 1800000
+    payload = F.format_string(
+        '{"ts":[%d,%d],"units":{"temp-surface":"K","rh-surface":"%%"},"temp-surface":[%f,%f],"rh-surface":[40,60],"warning":"x"}',
+        first + 3600000, first + 10800000, warm, warm + 2
+    )
+    answers = table(spark, sf_dir, "events").select(
+        k.cast("double").alias("lat"), (1 + F.pmod(k, F.lit(5))).cast("double").alias("lon"),
+        F.when(F.pmod(k, F.lit(11)) != 0, payload).otherwise('{"ts":[]}').alias("payload")
+    )
+    at = F.lit(1700000000000) + F.pmod(
+        F.col("lat").cast("long"), F.lit(7)
+    ) * 3600000 + F.col("lon").cast("long") * 1800000
     cells = weather.forecast_cells(readers.forecast_series(answers), at, 2.0, 2.0)
-    return cells.select(big("lat").alias("event_id"), F.unix_millis("forecast_ts").alias("forecast_ms"), F.round(F.col("temp_c") + 1e-9, 1).alias("temp_c"), F.round(F.col("rh_pct") + 1e-9, 1).alias("rh_pct"))
+    return cells.select(
+        big("lat").alias("event_id"), F.unix_millis("forecast_ts").alias("forecast_ms"),
+        F.round(F.col("temp_c") + 1e-9, 1).alias("temp_c"), F.round(F.col("rh_pct") + 1e-9, 1).alias("rh_pct")
+    )
 
 
 @query("""WITH o AS (SELECT c_custkey AS source_id, 'd/' || c_custkey AS local_path, CASE WHEN c_custkey % 2 = 0 THEN 'w' || c_custkey END AS web_path FROM customer), f AS (SELECT 'd/' || s_suppkey AS local_path, 's' || s_suppkey AS file_name, 'web/' || s_suppkey AS web_path FROM supplier)
 SELECT source_id, coalesce(f.file_name, CAST(source_id AS VARCHAR)) AS file_name, coalesce(f.web_path, o.web_path) AS web_path FROM o LEFT JOIN f USING (local_path)""")
 def overlay_files(spark, sf_dir):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    overlays = table(spark, sf_dir, "customer").select(c.alias("source_id"), F.lit("raster").alias("type"), F.concat(F.lit("d/"), c).alias("local_path"), F.when(c % 2 == 0, F.concat(F.lit("w"), c)).alias("web_path"), F.lit(None).cast("string").alias("description"))
-    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("d/"), s).alias("local_path"), F.concat(F.lit("s"), s).alias("file_name"), F.concat(F.lit("web/"), s).alias("web_path"), F.lit(0).alias("place"))
+    overlays = table(spark, sf_dir, "customer").select(
+        c.alias("source_id"), F.lit("raster").alias("type"), F.concat(F.lit("d/"), c).alias("local_path"),
+        F.when(c % 2 == 0, F.concat(F.lit("w"), c)).alias("web_path"), F.lit(None).cast("string").alias("description")
+    )
+    files = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("d/"), s).alias("local_path"), F.concat(F.lit("s"), s).alias("file_name"),
+        F.concat(F.lit("web/"), s).alias("web_path"), F.lit(0).alias("place")
+    )
     return catalog.resolved_overlays(overlays, files).select("source_id", "file_name", "web_path")
 
 
-@query("SELECT event_id, round(73 + (event_id % 2500 % 50) * 0.02e0, 6) AS lon, round(54 - (event_id % 2500 // 50) * 0.02e0, 6) AS lat FROM events")
+@query(
+    "SELECT event_id, round(73 + (event_id % 2500 % 50) * 0.02e0, 6) AS lon, round(54 - (event_id % 2500 // 50) * 0.02e0, 6) AS lat FROM events"
+)
 def affine_grid(spark, sf_dir):
     p = pix(spark, sf_dir)
     lon, lat = R.affine_lon_lat("row", "col", 73.0, 54.0, 0.02, -0.02)
@@ -682,23 +893,36 @@ def affine_grid(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE")
 def slot_retention(spark, sf_dir):
-    return catalog.retained(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts", 60).select("event_id")
+    return catalog.retained(
+        table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "ts", 60
+    ).select("event_id")
 
 
-@query(f"WITH {REFS}, d AS (SELECT id // 2 AS id, sensor, acq_ts, round(lon, 1) AS lon, round(lat, 1) AS lat FROM refs) SELECT sensor, lon, lat, min(id) AS id FROM d GROUP BY sensor, lon, lat")
+@query(
+    f"WITH {REFS}, d AS (SELECT id // 2 AS id, sensor, acq_ts, round(lon, 1) AS lon, round(lat, 1) AS lat FROM refs) SELECT sensor, lon, lat, min(id) AS id FROM d GROUP BY sensor, lon, lat"
+)
 def dedupe_first(spark, sf_dir):
-    d = refs(spark, sf_dir).select(big(F.floor(F.col("id") / 2)).alias("id"), "sensor", F.round("lon", 1).alias("lon"), F.round("lat", 1).alias("lat"), F.lit(0).alias("acq_ts"))
-    return catalog.first_rows(d, ["sensor", "acq_ts", F.round("lon", 6), F.round("lat", 6)], ["id"]).select("sensor", "lon", "lat", "id")
+    d = refs(spark, sf_dir).select(
+        big(F.floor(F.col("id") / 2)).alias("id"), "sensor", F.round("lon", 1).alias("lon"),
+        F.round("lat", 1).alias("lat"), F.lit(0).alias("acq_ts")
+    )
+    return catalog.first_rows(
+        d, ["sensor", "acq_ts", F.round("lon", 6), F.round("lat", 6)], ["id"]
+    ).select("sensor", "lon", "lat", "id")
 
 
 @query(f"""WITH {REFS} SELECT id FROM refs WHERE lon BETWEEN 104.6 AND 105.2 AND lat BETWEEN 30.1 AND 30.9 AND abs(epoch_us(acq_ts) - epoch_us(TIMESTAMP '2026-01-04 00:00:00')) <= 48 * 3.6e9
  AND CASE WHEN sensor = 'MODIS' THEN TRY_CAST(confidence AS DOUBLE) >= 30 ELSE confidence IN ('nominal', 'high', 'n', 'h') END""")
 def accepted_references(spark, sf_dir):
     r = refs(spark, sf_dir).withColumn("fire_type", F.lit("0"))
-    return catalog.accepted_references(r, (104.6, 30.1, 105.2, 30.9), F.timestamp_seconds(F.lit(1767484800)), 48).select("id")
+    return catalog.accepted_references(
+        r, (104.6, 30.1, 105.2, 30.9), F.timestamp_seconds(F.lit(1767484800)), 48
+    ).select("id")
 
 
-@query("SELECT event_id, round(epoch(TIMESTAMP '2024-02-01 00:00:00' - ts) / 60 + 1e-9, 1) AS age, epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts) > 20 * 6e7 AS stale FROM events")
+@query(
+    "SELECT event_id, round(epoch(TIMESTAMP '2024-02-01 00:00:00' - ts) / 60 + 1e-9, 1) AS age, epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts) > 20 * 6e7 AS stale FROM events"
+)
 def staleness(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("acq_ts"))
     s = catalog.staleness(e, F.timestamp_seconds(F.lit(1706745600)))
@@ -713,10 +937,15 @@ def transfer_lanes(spark, sf_dir):
     return catalog.transfer_lanes(f, 4, 25, ("k",)).select("k", big("lane").alias("lane"), big("batch").alias("batch"))
 
 
-@query("SELECT o_orderkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@query(
+    "SELECT o_orderkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)"
+)
 def unmatched_keys(spark, sf_dir):
     parent = table(spark, sf_dir, "customer").filter(F.pmod("c_custkey", F.lit(3)) != 0)
-    return catalog.unmatched_keys(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("ck")), parent, "ck", "c_custkey").select("k")
+    return catalog.unmatched_keys(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("ck")), parent,
+        "ck", "c_custkey"
+    ).select("k")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -729,29 +958,51 @@ def repeated_keys(spark, sf_dir):
  FROM (SELECT s_suppkey, (s_suppkey % 357) - 178.5 AS x, (s_suppkey % 171) - 85.5 AS y FROM supplier)""")
 def archive_names(spark, sf_dir):
     k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select(k, (F.pmod(k, F.lit(357)) - 178.5).alias("x"), (F.pmod(k, F.lit(171)) - 85.5).alias("y"), F.when(F.pmod(k, F.lit(2)) == 0, "03").otherwise("07").alias("band"))
-    s = s.withColumn("name", names.expected_name(F.lit("H09"), F.concat(F.lit("202601010"), F.pmod(k, F.lit(10)).cast("string"), F.lit("10")), "band", 1 + F.pmod(k, F.lit(10))))
-    return s.select("s_suppkey", geo.elevation_tile("x", "y").alias("dem"), "name", big(names.segment_name("name")["segment"]).alias("segment"))
-
-
-@query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS slot, count(*) AS n, round(max(value) + 1e-9, 4) AS max_value FROM events GROUP BY 1")
+    s = table(spark, sf_dir, "supplier").select(
+        k, (F.pmod(k, F.lit(357)) - 178.5).alias("x"), (F.pmod(k, F.lit(171)) - 85.5).alias("y"),
+        F.when(F.pmod(k, F.lit(2)) == 0, "03").otherwise("07").alias("band")
+    )
+    s = s.withColumn(
+        "name",
+        names.expected_name(
+            F.lit("H09"), F.concat(F.lit("202601010"), F.pmod(k, F.lit(10)).cast("string"), F.lit("10")), "band",
+            1 + F.pmod(k, F.lit(10))
+        )
+    )
+    return s.select(
+        "s_suppkey", geo.elevation_tile("x", "y").alias("dem"), "name",
+        big(names.segment_name("name")["segment"]).alias("segment")
+    )
+
+
+@query(
+    "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS slot, count(*) AS n, round(max(value) + 1e-9, 4) AS max_value FROM events GROUP BY 1"
+)
 def stream_slot_counts(spark, sf_dir):
     """The events as a stream: tumbling slots under a watermark; each micro-batch tells the slots that it changed."""
     from emberframe.streaming import scenes
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn(
+        "ts", F.col("ts").cast("timestamp")
+    )
     found = []
     slots = scenes.slot_counts(source, 10, 60)
-    run = slots.writeStream.outputMode("update").foreachBatch(lambda batch, k: found.append(kept(batch.withColumn("batch", F.lit(k)), "slots"))).trigger(availableNow=True).start()
+    run = slots.writeStream.outputMode("update").foreachBatch(
+        lambda batch, k: found.append(kept(batch.withColumn("batch", F.lit(k)), "slots"))
+    ).trigger(availableNow=True).start()
     run.awaitTermination()
     told = found[0]
     for batch in found[1:]:
         told = told.unionByName(batch)
-    return catalog.first_rows(told, ["slot"], [F.desc("batch")]).select(F.col("slot").cast("timestamp_ntz").alias("slot"), "n", r4("max_value").alias("max_value"))
+    return catalog.first_rows(told, ["slot"], [F.desc("batch")]).select(
+        F.col("slot").cast("timestamp_ntz").alias("slot"), "n", r4("max_value").alias("max_value")
+    )
 
 
-@query("SELECT n_nationkey AS id, n_regionkey AS component FROM (SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS n_regionkey FROM nation)")
+@query(
+    "SELECT n_nationkey AS id, n_regionkey AS component FROM (SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS n_regionkey FROM nation)"
+)
 def connected_components(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     first = n.groupBy("n_regionkey").agg(F.max("n_nationkey").alias("b"))
@@ -759,9 +1010,13 @@ def connected_components(spark, sf_dir):
     return graphs.connected_components(n.select(F.col("n_nationkey").alias("id")), e)
 
 
-@query(f"""WITH {SPOTS} SELECT fire_id, round(CASE WHEN score <= 0.5 THEN 7 WHEN score <= 2 THEN 7 + (score - 0.5) / 1.5 * 3 WHEN score <= 4 THEN 10 + (score - 2) / 2 * 4 ELSE 14 END + 1e-9, 4) AS size FROM spots WHERE lon BETWEEN 104.6 AND 105.2 AND lat BETWEEN 30.1 AND 30.8""")
+@query(
+    f"""WITH {SPOTS} SELECT fire_id, round(CASE WHEN score <= 0.5 THEN 7 WHEN score <= 2 THEN 7 + (score - 0.5) / 1.5 * 3 WHEN score <= 4 THEN 10 + (score - 2) / 2 * 4 ELSE 14 END + 1e-9, 4) AS size FROM spots WHERE lon BETWEEN 104.6 AND 105.2 AND lat BETWEEN 30.1 AND 30.8"""
+)
 def symbols_in_extent(spark, sf_dir):
-    return serving.in_extent(spots(spark, sf_dir), (104.6, 30.1, 105.2, 30.8)).select("fire_id", r4(serving.symbol_size("score")).alias("size"))
+    return serving.in_extent(spots(spark, sf_dir), (104.6, 30.1, 105.2, 30.8)).select(
+        "fire_id", r4(serving.symbol_size("score")).alias("size")
+    )
 
 
 @query(f"""WITH {SPOTS}, g AS (SELECT 104.5 + a.k * 0.25 AS gx, 30 + b.k * 0.25 AS gy, a.k * 10 + b.k AS t FROM range(6) a(k), range(6) b(k))
@@ -769,46 +1024,84 @@ SELECT fire_id, arg_min(t, {hav('lon', 'lat', 'gx', 'gy')}) AS t FROM (SELECT fi
 def weather_at_fires(spark, sf_dir):
     p = spots(spark, sf_dir).select("fire_id", (F.col("lon") + 0.003).alias("lon"), (F.col("lat") + 0.007).alias("lat"))
     k = spark.range(36).select(F.floor(F.col("id") / 6).alias("a"), F.pmod("id", F.lit(6)).alias("b"))
-    g = k.select((104.5 + F.col("a") * 0.25).alias("lon"), (30 + F.col("b") * 0.25).alias("lat"), (F.col("a") * 10 + F.col("b")).alias("t"))
+    g = k.select(
+        (104.5 + F.col("a") * 0.25).alias("lon"), (30 + F.col("b") * 0.25).alias("lat"),
+        (F.col("a") * 10 + F.col("b")).alias("t")
+    )
     return serving.value_at(p, g, 0.25, 0.25, "fire_id").select("fire_id", big("grid_t").alias("t"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 80 >= 72 THEN 0 ELSE event_id % 80 + 3 END AS next_hour, least(1704326400, greatest(1704110400, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + (event_id % 80) * 3600)) AS frame FROM events")
+@query(
+    "SELECT event_id, CASE WHEN event_id % 80 >= 72 THEN 0 ELSE event_id % 80 + 3 END AS next_hour, least(1704326400, greatest(1704110400, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + (event_id % 80) * 3600)) AS frame FROM events"
+)
 def forecast_frames(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.pmod("event_id", F.lit(80)).alias("h"))
-    return e.select("event_id", big(serving.next_forecast_hour("h")).alias("next_hour"), serving.frame_time(F.col("ts"), "h", F.lit(1704110400), F.lit(1704326400)).alias("frame"))
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.pmod("event_id", F.lit(80)).alias("h")
+    )
+    return e.select(
+        "event_id", big(serving.next_forecast_hour("h")).alias("next_hour"),
+        serving.frame_time(F.col("ts"), "h", F.lit(1704110400), F.lit(1704326400)).alias("frame")
+    )
 
 
-@query("WITH w AS (SELECT o_orderkey AS cycle, o_custkey AS name FROM orders) SELECT max(cycle) AS cycle FROM w WHERE name IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)")
+@query(
+    "WITH w AS (SELECT o_orderkey AS cycle, o_custkey AS name FROM orders) SELECT max(cycle) AS cycle FROM w WHERE name IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)"
+)
 def latest_available_cycle(spark, sf_dir):
     w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cycle"), F.col("o_custkey").alias("name"))
-    have = table(spark, sf_dir, "customer").filter(F.pmod("c_custkey", F.lit(5)) == 0).select(F.col("c_custkey").alias("name"))
+    have = table(spark, sf_dir, "customer").filter(
+        F.pmod("c_custkey", F.lit(5)) == 0
+    ).select(F.col("c_custkey").alias("name"))
     return catalog.latest_available(w, have, "cycle").select("cycle")
 
 
-@query(f"""WITH {SPOTS}, ids AS (SELECT scene_id AS s, TIMESTAMP '2026-01-01 04:00:00' + to_seconds(22200 * scene_id) AS t FROM (SELECT DISTINCT scene_id FROM pix WHERE scene_id % 2 = 0)) SELECT fire_id, CAST(s AS VARCHAR) AS catalog_scene FROM spots LEFT JOIN ids ON acq_ts = t""")
+@query(
+    f"""WITH {SPOTS}, ids AS (SELECT scene_id AS s, TIMESTAMP '2026-01-01 04:00:00' + to_seconds(22200 * scene_id) AS t FROM (SELECT DISTINCT scene_id FROM pix WHERE scene_id % 2 = 0)) SELECT fire_id, CAST(s AS VARCHAR) AS catalog_scene FROM spots LEFT JOIN ids ON acq_ts = t"""
+)
 def catalog_scene_ids(spark, sf_dir):
     p = pix(spark, sf_dir).filter("scene_id % 2 = 0").select("scene_id", "acq_ts").distinct()
-    return catalog.scene_ids(spots(spark, sf_dir), p).select("fire_id", F.col("scene_id").cast("string").alias("catalog_scene"))
+    return catalog.scene_ids(spots(spark, sf_dir), p).select(
+        "fire_id", F.col("scene_id").cast("string").alias("catalog_scene")
+    )
 
 
-@query("WITH n AS (SELECT c_nationkey AS k, 2 AS p, count(*) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY ALL UNION ALL SELECT s_nationkey, 1, count(*) FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY ALL) SELECT k, p, n FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY p) = 1")
+@query(
+    "WITH n AS (SELECT c_nationkey AS k, 2 AS p, count(*) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY ALL UNION ALL SELECT s_nationkey, 1, count(*) FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY ALL) SELECT k, p, n FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY p) = 1"
+)
 def source_fallback(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")).withColumn("p", F.lit(2))
-    s = table(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n")).withColumn("p", F.lit(1))
+    c = table(spark, sf_dir, "customer").filter("c_nationkey % 3 <> 0").groupBy(
+        F.col("c_nationkey").alias("k")
+    ).agg(F.count("*").alias("n")).withColumn("p", F.lit(2))
+    s = table(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0").groupBy(
+        F.col("s_nationkey").alias("k")
+    ).agg(F.count("*").alias("n")).withColumn("p", F.lit(1))
     return catalog.by_priority(c.unionByName(s), ["k"], "p").select("k", "p", "n")
 
 
-@query("WITH h AS (SELECT o_custkey AS band, count(DISTINCT o_orderkey % 10) AS found FROM orders WHERE o_orderkey % 10 > 3 GROUP BY o_custkey) SELECT c_custkey AS band, coalesce(found, 0) AS found, greatest(4 - coalesce(found, 0), 0) AS missing, greatest(4 - coalesce(found, 0), 0) = 0 AS complete FROM customer LEFT JOIN h ON band = c_custkey")
+@query(
+    "WITH h AS (SELECT o_custkey AS band, count(DISTINCT o_orderkey % 10) AS found FROM orders WHERE o_orderkey % 10 > 3 GROUP BY o_custkey) SELECT c_custkey AS band, coalesce(found, 0) AS found, greatest(4 - coalesce(found, 0), 0) AS missing, greatest(4 - coalesce(found, 0), 0) = 0 AS complete FROM customer LEFT JOIN h ON band = c_custkey"
+)
 def slot_completeness(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("band"), F.pmod("o_orderkey", F.lit(10)).alias("segment")).filter("segment > 3")
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("band"), F.pmod("o_orderkey", F.lit(10)).alias("segment")
+    ).filter("segment > 3")
     e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("band"), F.lit(4).alias("wanted"))
     return catalog.completeness(o, e, ("band",)).select("band", "found", "missing", "complete")
 
 
-@query(f"WITH {SPOTS} SELECT count(*) AS scored, count(*) FILTER (lon < 105) AS west, count(*) FILTER (tier = 'model-rescue') AS rescued FROM spots")
+@query(
+    f"WITH {SPOTS} SELECT count(*) AS scored, count(*) FILTER (lon < 105) AS west, count(*) FILTER (tier = 'model-rescue') AS rescued FROM spots"
+)
 def score_summary(spark, sf_dir):
-    s = kept(spots(spark, sf_dir).withColumns({"center_lon": F.col("lon"), "west_prob": F.lit(0.5), "east_prob": F.lit(None).cast("double"), "confidence": F.lit("low")}), "spots")
+    s = kept(
+        spots(spark, sf_dir).withColumns(
+            {
+                "center_lon": F.col("lon"), "west_prob": F.lit(0.5), "east_prob": F.lit(None).cast("double"),
+                "confidence": F.lit("low")
+            }
+        ),
+        "spots"
+    )
     routed = ranking.route(s)
     return ranking.score_summary(routed, ranking.within_budget(routed)).select("scored", "west", "rescued")
 

@@ -41,11 +41,16 @@ class SceneResult:
 def fire_rows(judged: DataFrame) -> DataFrame:
     """Accepted seeds as fires, with an id from scene, row and column."""
     f = judged.filter(F.col("reject").isNull())
-    key = F.concat_ws("-", "scene_id", F.lpad(F.col("row").cast("string"), 6, "0"), F.lpad(F.col("col").cast("string"), 6, "0"))
+    key = F.concat_ws(
+        "-", "scene_id", F.lpad(F.col("row").cast("string"), 6, "0"), F.lpad(F.col("col").cast("string"), 6, "0")
+    )
     return f.withColumns({"fire_id": key, "bt_tir": F.round("b07", 2), "bt_dif": F.round("t713", 2)})
 
 
-def detect(frame: DataFrame, sources: DataFrame | None = None, boundary: DataFrame | None = None, references: DataFrame | None = None, state: DataFrame | None = None, c: SceneConfig = SceneConfig()) -> SceneResult:
+def detect(
+    frame: DataFrame, sources: DataFrame | None = None, boundary: DataFrame | None = None,
+    references: DataFrame | None = None, state: DataFrame | None = None, c: SceneConfig = SceneConfig()
+) -> SceneResult:
     """Pixels to fires: cascade, rescue limit, boundary, official detections, suppression, model scores and budget, areas."""
     judged = kept(pixels.judge(frame, sources, None, c.thresholds, c.rescue), "judged")
     fires = pixels.limit_rescued(fire_rows(judged), c.rescue)
@@ -53,7 +58,9 @@ def detect(frame: DataFrame, sources: DataFrame | None = None, boundary: DataFra
         fires = spatial.clip(fires, boundary, "fire_id").filter("accepted").drop("accepted")
     if references is not None:
         fires = spatial.nearest_reference(fires, references, c.match_km, c.match_hours)
-        fires = fires.withColumn("confidence", F.when(F.col("official_confirmed"), "official").otherwise(F.col("confidence")))
+        fires = fires.withColumn(
+            "confidence", F.when(F.col("official_confirmed"), "official").otherwise(F.col("confidence"))
+        )
     else:
         fires = fires.withColumn("official_confirmed", F.lit(False))
     fires = kept(fires, "fires")
@@ -73,7 +80,9 @@ def score(fires: DataFrame, state: DataFrame | None, c: SceneConfig) -> tuple[Da
     new = temporal.grid_state(f, c.grid_degrees)
     state = temporal.latest_slots(new if state is None else temporal.merge_state(state, new), c.keep_slots)
     state = kept(state, "state")
-    f = temporal.neighbour_features(temporal.lag_features(f, state, "fire_id", degrees=c.grid_degrees), state, "fire_id", c.grid_degrees)
+    f = temporal.neighbour_features(
+        temporal.lag_features(f, state, "fire_id", degrees=c.grid_degrees), state, "fire_id", c.grid_degrees
+    )
     s = c.scorer or ranking.Scorer()
     f = f.withColumn("west_prob", probability(c.west_model, f.columns))
     f = f.withColumn("east_prob", probability(c.east_model, f.columns) if c.east_model else F.lit(None).cast("double"))

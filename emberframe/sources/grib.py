@@ -46,18 +46,29 @@ def read_messages(data: bytes) -> list[dict]:
             if number == 3:
                 if struct.unpack_from(">H", data, s + 7)[0] != 0:
                     raise ValueError("only grid template 0 is supported")
-                nx, ny, basic, parts = *struct.unpack_from(">II", data, s + 25), *struct.unpack_from(">II", data, s + 33)
+                nx, ny, basic, parts = *struct.unpack_from(
+                    ">II", data, s + 25
+                ), *struct.unpack_from(">II", data, s + 33)
                 unit = _angle(basic, parts)
-                m |= {"nx": nx, "ny": ny, "lat": _signed(data, s + 41) * unit, "lon": _signed(data, s + 45) * unit, "dx": _signed(data, s + 58) * unit, "dy": _signed(data, s + 62) * unit}
+                m |= {
+                    "nx": nx, "ny": ny, "lat": _signed(data, s + 41) * unit, "lon": _signed(data, s + 45) * unit,
+                    "dx": _signed(data, s + 58) * unit, "dy": _signed(data, s + 62) * unit
+                }
             elif number == 4:
                 scale, value = data[s + 18], struct.unpack_from(">I", data, s + 19)[0]
-                m |= {"category": data[s + 4], "parameter": data[s + 5], "surface_type": data[s + 17], "surface_value": value / 10**scale if scale else float(value)}
+                m |= {
+                    "category": data[s + 4], "parameter": data[s + 5], "surface_type": data[s + 17],
+                    "surface_value": value / 10**scale if scale else float(value)
+                }
             elif number == 5:
                 n, template = struct.unpack_from(">IH", data, s)
                 if template != 0:
                     raise ValueError("only data template 0 is supported")
                 # sign and magnitude, as the format has it
-                m |= {"n": n, "reference": struct.unpack_from(">f", data, s + 6)[0], "binary": _signed(data, s + 10, 2), "decimal": _signed(data, s + 12, 2), "width": data[s + 14]}
+                m |= {
+                    "n": n, "reference": struct.unpack_from(">f", data, s + 6)[0], "binary": _signed(data, s + 10, 2),
+                    "decimal": _signed(data, s + 12, 2), "width": data[s + 14]
+                }
             elif number == 6 and data[s] != 255:
                 raise ValueError("bitmaps are not supported")
             elif number == 7:
@@ -66,13 +77,18 @@ def read_messages(data: bytes) -> list[dict]:
         if {"nx", "n", "packed"} <= m.keys():
             raw = unpack_bits(m.pop("packed"), m["width"], m["n"])
             # a field of width 0 is the reference itself, as readers of this format have it
-            m["values"] = np.full(m["n"], m["reference"]) if m["width"] == 0 else (m["reference"] + raw * 2.0 ** m["binary"]) / 10.0 ** m["decimal"]
+            m["values"] = np.full(m["n"], m["reference"]) if m["width"] == 0 else (
+                m["reference"] + raw * 2.0 ** m["binary"]
+            ) / 10.0 ** m["decimal"]
             out.append(m)
         at = max(end, at + 4)
     return out
 
 
-def write_message(values: np.ndarray, lat: float, lon: float, dx: float, dy: float, category: int = 0, parameter: int = 0, surface: tuple[int, int, int] = (103, 0, 2), decimal: int = 2, width: int = 16) -> bytes:
+def write_message(
+    values: np.ndarray, lat: float, lon: float, dx: float, dy: float, category: int = 0, parameter: int = 0,
+    surface: tuple[int, int, int] = (103, 0, 2), decimal: int = 2, width: int = 16
+) -> bytes:
     """A message of a grid[j, i] from its first point; the inverse of ``read_messages`` up to the packing's precision."""
     ny, nx = values.shape
     flat = values.ravel() * 10.0**decimal
@@ -111,8 +127,13 @@ def grid_values(spark: SparkSession, path: str) -> DataFrame:
                         i, j = (at % m["nx"]).astype(np.int32), (at // m["nx"]).astype(np.int32)
                         same = lambda v, t: pa.array([v] * len(at), t)  # noqa: B023, E731
                         yield pa.record_batch([
-                            same(name, pa.string()), same(k, pa.int32()), same(m.get("category"), pa.int32()), same(m.get("parameter"), pa.int32()), same(m.get("surface_type"), pa.int32()), same(m.get("surface_value"), pa.float64()),
-                            pa.array(i), pa.array(j), pa.array(m["lat"] - j * m["dy"]), pa.array(m["lon"] + i * m["dx"]), pa.array(m["values"][at]),
-                        ], names=[c.split()[0] for c in VALUES.split(", ")])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, VALUES)
+                            same(name, pa.string()), same(k, pa.int32()), same(m.get("category"), pa.int32()),
+                            same(m.get("parameter"), pa.int32()), same(m.get("surface_type"), pa.int32()),
+                            same(m.get("surface_value"), pa.float64()),
+                            pa.array(i), pa.array(j), pa.array(m["lat"] - j * m["dy"]),
+                            pa.array(m["lon"] + i * m["dx"]), pa.array(m["values"][at]),
+                        ], names=[c.split()[0] for c in VALUES.split(", ")])
+
+    return spark.read.format("binaryFile").option(
+        "recursiveFileLookup", "true"
+    ).load(path).select("path", "content").mapInArrow(run, VALUES)

@@ -16,10 +16,13 @@ from emberframe.functions.names import segment_name
 # Fixed values: (block index, offset in the block, format, field) of the header fields that are used.
 FIELDS = [
     (1, 5, "<H", "columns"), (1, 7, "<H", "lines"),
-    (2, 3, "<d", "sub_lon"), (2, 11, "<i", "cfac"), (2, 15, "<i", "lfac"), (2, 19, "<f", "coff"), (2, 23, "<f", "loff"), (2, 27, "<d", "height_km"), (2, 35, "<d", "equatorial_km"), (2, 43, "<d", "polar_km"),
-    (4, 3, "<H", "band_number"), (4, 5, "<d", "wavelength_um"), (4, 15, "<H", "error_count"), (4, 17, "<H", "outside_count"), (4, 19, "<d", "slope"), (4, 27, "<d", "intercept"), (4, 35, "<d", "c0"), (4, 43, "<d", "c1"), (4, 51, "<d", "c2"),
+    (2, 3, "<d", "sub_lon"), (2, 11, "<i", "cfac"), (2, 15, "<i", "lfac"), (2, 19, "<f", "coff"), (2, 23, "<f", "loff"),
+    (2, 27, "<d", "height_km"), (2, 35, "<d", "equatorial_km"), (2, 43, "<d", "polar_km"),
+    (4, 3, "<H", "band_number"), (4, 5, "<d", "wavelength_um"), (4, 15, "<H", "error_count"),
+    (4, 17, "<H", "outside_count"), (4, 19, "<d", "slope"), (4, 27, "<d", "intercept"), (4, 35, "<d", "c0"),
+    (4, 43, "<d", "c1"), (4, 51, "<d", "c2"),
     (6, 3, "<B", "total_segments"), (6, 4, "<B", "segment_number"), (6, 5, "<H", "first_line"),
-]
+]
 KINDS = {"<H": "int", "<B": "int", "<i": "int", "<f": "double", "<d": "double"}
 BLOCKS = 11
 HEADER = ", ".join(f"{name} {KINDS[kind]}" for *_, kind, name in FIELDS)
@@ -56,8 +59,13 @@ def write_segment(head: dict, counts: np.ndarray) -> bytes:
 
 def segment_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified, satellite, scene_id, band, segment, total) of the segment files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.DAT.bz2").load(folder)
-    named = files.select("path", "length", F.col("modificationTime").alias("modified"), segment_name(F.element_at(F.split("path", "/"), -1)).alias("n"))
+    files = spark.read.format("binaryFile").option(
+        "recursiveFileLookup", "true"
+    ).option("pathGlobFilter", "*.DAT.bz2").load(folder)
+    named = files.select(
+        "path", "length", F.col("modificationTime").alias("modified"),
+        segment_name(F.element_at(F.split("path", "/"), -1)).alias("n")
+    )
     return named.filter("n is not null").select("path", "length", "modified", "n.*")
 
 
@@ -79,7 +87,9 @@ def readable_segments(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, readable boolean")
 
 
-def latest_scenes(spark: SparkSession, folder: str, bands: list[str], segments: list[int], n: int = 1, oldest_first: bool = False) -> DataFrame:
+def latest_scenes(
+    spark: SparkSession, folder: str, bands: list[str], segments: list[int], n: int = 1, oldest_first: bool = False
+) -> DataFrame:
     """``catalog.latest_scenes`` of the segment files below a folder, without scenes that have an unreadable segment.
 
     Scenes are read ``n`` at a time, in the order wanted, until ``n`` are readable; only names come to the driver.
@@ -101,13 +111,17 @@ def latest_scenes(spark: SparkSession, folder: str, bands: list[str], segments:
     return catalog.latest_scenes(files.filter(F.col("scene_id").isin(good[:n])), bands, segments, n, oldest_first)
 
 
-def segment_lines(spark: SparkSession, folder: str, bands: list[str] | None = None, crop: dict[str, int] | None = None) -> DataFrame:
+def segment_lines(
+    spark: SparkSession, folder: str, bands: list[str] | None = None, crop: dict[str, int] | None = None
+) -> DataFrame:
     """One row per line of each segment: header fields, line number (from 1) and counts.
 
     Files of other bands are pruned by name before anything is read; with a crop only its lines and columns come out. A
     segment is decoded by one task and sent on in batches of lines.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_B{{{','.join(bands)}}}_*.DAT.bz2" if bands else "*.DAT.bz2").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", f"*_B{{{','.join(bands)}}}_*.DAT.bz2" if bands else "*.DAT.bz2"
+    ).load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +129,27 @@ def segment_lines(spark: SparkSession, folder: str, bands: list[str] | None = No
                 head, counts = read_segment(content.as_buffer().to_pybytes())
                 low, high, left, right = head["first_line"], head["first_line"] + head["lines"] - 1, 1, head["columns"]
                 if crop:
-                    low, high, left, right = max(low, crop["lineStart"]), min(high, crop["lineEnd"]), crop["colStart"], min(crop["colEnd"], right)
+                    low, high, left, right = max(
+                        low, crop["lineStart"]
+                    ), min(high, crop["lineEnd"]), crop["colStart"], min(crop["colEnd"], right)
                 for first in range(low, high + 1, 128):
                     lines = np.arange(first, min(first + 128, high + 1))
                     part = counts[lines - head["first_line"], left - 1 : right].astype(np.int32)
                     ends = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * part.shape[1])
-                    fields = [pa.array([head[name]] * len(lines), pa.int32() if KINDS[kind] == "int" else pa.float64()) for *_, kind, name in FIELDS]
-                    yield pa.record_batch([pa.array([path] * len(lines)), *fields, pa.array(lines.astype(np.int32)), pa.array(np.full(len(lines), left, dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], names=["path", *(f[3] for f in FIELDS), "line", "first_column", "counts"])
+                    fields = [
+                        pa.array(
+                            [head[name]] * len(lines), pa.int32() if KINDS[kind] == "int" else pa.float64()
+                        ) for *_,
+                        kind, name in FIELDS
+                    ]
+                    yield pa.record_batch(
+                        [
+                            pa.array([path] * len(lines)), *fields, pa.array(lines.astype(np.int32)),
+                            pa.array(np.full(len(lines), left, dtype=np.int32)),
+                            pa.ListArray.from_arrays(ends, pa.array(part.ravel()))
+                        ],
+                        names=["path", *(f[3] for f in FIELDS), "line", "first_column", "counts"]
+                    )
 
     return files.select("path", "content").mapInArrow(run, COUNTS)
 
@@ -131,14 +159,21 @@ def segment_pixels(lines: DataFrame, kind: str) -> DataFrame:
     from emberframe.functions import radiometry as R
 
     named = lines.withColumn("_n", segment_name(F.element_at(F.split("path", "/"), -1)))
-    p = named.select("_n.scene_id", "_n.band", "slope", "intercept", "wavelength_um", "c0", "c1", "c2", "error_count", "outside_count", "line", "first_column", F.posexplode("counts").alias("k", "count"))
+    p = named.select(
+        "_n.scene_id", "_n.band", "slope", "intercept", "wavelength_um", "c0", "c1", "c2", "error_count",
+        "outside_count", "line", "first_column", F.posexplode("counts").alias("k", "count")
+    )
     if kind == "bt":
-        value = R.brightness_temperature("count", "slope", "intercept", "wavelength_um", "c0", "c1", "c2", "error_count", "outside_count")
+        value = R.brightness_temperature(
+            "count", "slope", "intercept", "wavelength_um", "c0", "c1", "c2", "error_count", "outside_count"
+        )
     elif kind == "reflectance":
         value = R.reflectance("count", "slope", "intercept", "c0", "error_count", "outside_count")
     else:
         raise ValueError(f"unknown kind of value: {kind}")
-    return p.select("scene_id", "band", "line", (F.col("first_column") + F.col("k")).alias("column"), value.alias("value"))
+    return p.select(
+        "scene_id", "band", "line", (F.col("first_column") + F.col("k")).alias("column"), value.alias("value")
+    )
 
 
 def resample(source: DataFrame, targets: DataFrame, projection, crop: dict[str, int], shift: int = 0) -> DataFrame:
@@ -147,7 +182,11 @@ def resample(source: DataFrame, targets: DataFrame, projection, crop: dict[str,
     from emberframe.functions.radiometry import to_column_line
 
     column, line, visible = to_column_line("lon", "lat", projection)
-    t = targets.withColumns({"column": (F.rint(column) + shift).cast("int"), "line": F.rint(line).cast("int"), "_v": visible})
-    inside = F.col("_v") & F.col("line").between(crop["lineStart"], crop["lineEnd"]) & F.col("column").between(crop["colStart"], crop["colEnd"])
+    t = targets.withColumns(
+        {"column": (F.rint(column) + shift).cast("int"), "line": F.rint(line).cast("int"), "_v": visible}
+    )
+    inside = F.col("_v") & F.col("line").between(
+        crop["lineStart"], crop["lineEnd"]
+    ) & F.col("column").between(crop["colStart"], crop["colEnd"])
     t = t.withColumn("line", F.when(inside, F.col("line"))).drop("_v")
     return t.join(source.select("line", "column", "value"), ["line", "column"], "left").drop("line", "column")

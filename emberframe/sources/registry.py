@@ -13,9 +13,11 @@ from emberframe.sources import grib, hsd, readers
 
 #: Readers (spark, path) by kind of source.
 READERS: dict[str, Callable[..., DataFrame]] = {
-    "segments": hsd.segment_files, "grib": grib.grid_values, "points": readers.points, "polygons": readers.polygons, "candidates": readers.candidates, "active-fires": readers.active_fires,
-    "solar-plants": readers.solar_plants, "object-listing": readers.object_listing, "forecast": readers.forecast_points, "csv": readers.csv, "files": readers.published_files,
-}
+    "segments": hsd.segment_files, "grib": grib.grid_values, "points": readers.points, "polygons": readers.polygons,
+    "candidates": readers.candidates, "active-fires": readers.active_fires,
+    "solar-plants": readers.solar_plants, "object-listing": readers.object_listing, "forecast": readers.forecast_points,
+    "csv": readers.csv, "files": readers.published_files,
+}
 ENTRY = "source_id string, kind string, status string, message string, path string, rows long"
 
 
@@ -25,7 +27,10 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     return READERS[kind](spark, path, **options)
 
 
-def sync(spark: SparkSession, sources: list[dict], previous: DataFrame | None = None, at_once: int = 4, tries: int = 2, timeout: float = 900.0) -> tuple[dict[str, DataFrame], DataFrame]:
+def sync(
+    spark: SparkSession, sources: list[dict], previous: DataFrame | None = None, at_once: int = 4, tries: int = 2,
+    timeout: float = 900.0
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables by source id, catalog entries) of the sources (id, kind, path, options, enabled) of a configuration.
 
     Sources are read ``at_once`` at a time and tried ``tries`` times; one that fails or takes more than ``timeout`` seconds
@@ -59,7 +64,9 @@ def sync(spark: SparkSession, sources: list[dict], previous: DataFrame | None =
     current = spark.createDataFrame(entries, ENTRY)
     if previous is None:
         return tables, current
-    before = previous.select(F.col("source_id").alias("_of"), F.col("path").alias("_path"), F.col("rows").alias("_rows"))
+    before = previous.select(
+        F.col("source_id").alias("_of"), F.col("path").alias("_path"), F.col("rows").alias("_rows")
+    )
     joined = current.join(before, F.col("source_id") == F.col("_of"), "left")
     recovered = (F.col("status") != "ok") & F.col("_path").isNotNull()
     message = F.when(recovered, F.concat("message", F.lit(" (the last good files stay)"))).otherwise(F.col("message"))

@@ -14,11 +14,17 @@ def point_geometry(lon="lon", lat="lat") -> Column:
 
 
 def polygon_geometry(ring: str) -> Column:
-    return F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
+    return F.struct(
+        F.lit("Polygon").alias("type"),
+        F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates")
+    )
 
 
 def multipolygon_geometry(rings: str) -> Column:
-    return F.struct(F.lit("MultiPolygon").alias("type"), F.transform(rings, lambda r: F.array(F.transform(r, lambda p: F.array(p["x"], p["y"])))).alias("coordinates"))
+    return F.struct(
+        F.lit("MultiPolygon").alias("type"),
+        F.transform(rings, lambda r: F.array(F.transform(r, lambda p: F.array(p["x"], p["y"])))).alias("coordinates")
+    )
 
 
 def feature_rows(df: DataFrame, geometry: Column, properties: list[str] | None = None) -> DataFrame:
@@ -28,7 +34,12 @@ def feature_rows(df: DataFrame, geometry: Column, properties: list[str] | None =
     for n in names:
         kind = df.schema[n].dataType
         spread += [F.col(f"{n}.{f}").alias(f) for f in kind.names] if kind.typeName() == "struct" else [F.col(n)]
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*spread).alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))
+    return df.select(
+        F.to_json(
+            F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*spread).alias("properties")),
+            {"ignoreNullFields": "false"}
+        ).alias("feature")
+    )
 
 
 def write_features(df: DataFrame, geometry: Column, path: str, properties: list[str] | None = None) -> None:
@@ -36,10 +47,17 @@ def write_features(df: DataFrame, geometry: Column, path: str, properties: list[
     feature_rows(df, geometry, properties).write.mode("overwrite").text(path)
 
 
-def feature_collection(df: DataFrame, geometry: Column, properties: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
+def feature_collection(
+    df: DataFrame, geometry: Column, properties: list[str] | None = None, order: list[Column] | None = None
+) -> DataFrame:
     """One row: a whole FeatureCollection. For results of a scene, which are small; large tables have ``write_features``."""
     rows = feature_rows(df if order is None else df.orderBy(*order), geometry, properties)
-    parts = rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.coalesce(F.array_join(F.collect_list("feature"), ","), F.lit("")), F.lit("]}")).alias("json"))
+    parts = rows.agg(
+        F.concat(
+            F.lit('{"type":"FeatureCollection","features":['),
+            F.coalesce(F.array_join(F.collect_list("feature"), ","), F.lit("")), F.lit("]}")
+        ).alias("json")
+    )
     return parts
 
 
@@ -63,16 +81,24 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def grid_file(pixels: DataFrame, fires: DataFrame, height: int, width: int, line_start: int, col_start: int, acquisition_time: str) -> bytes:
+def grid_file(
+    pixels: DataFrame, fires: DataFrame, height: int, width: int, line_start: int, col_start: int, acquisition_time: str
+) -> bytes:
     """A compressed numpy archive of one scene (fire_mask, fire_score, observation_valid, cloud_mask, offsets): an export
     of a grid whose size is known, made on the driver."""
-    out = {"fire_mask": np.zeros((height, width), np.uint8), "fire_score": np.zeros((height, width), np.float16), "observation_valid": np.zeros((height, width), np.uint8), "cloud_mask": np.zeros((height, width), np.uint8)}
+    out = {
+        "fire_mask": np.zeros((height, width), np.uint8), "fire_score": np.zeros((height, width), np.float16),
+        "observation_valid": np.zeros((height, width), np.uint8), "cloud_mask": np.zeros((height, width), np.uint8)
+    }
     p = pixels.filter("clear or cloud").select("row", "col", "clear", "cloud").toPandas()
     out["observation_valid"][p["row"], p["col"]], out["cloud_mask"][p["row"], p["col"]] = p["clear"], p["cloud"]
     f = fires.select("row", "col", "score").toPandas()
     out["fire_mask"][f["row"], f["col"]], out["fire_score"][f["row"], f["col"]] = 1, f["score"]
     data = io.BytesIO()
-    np.savez_compressed(data, **out, line_start=np.int32(line_start), col_start=np.int32(col_start), acquisition_time=np.array(acquisition_time))
+    np.savez_compressed(
+        data, **out, line_start=np.int32(line_start), col_start=np.int32(col_start),
+        acquisition_time=np.array(acquisition_time)
+    )
     return data.getvalue()
 
 
@@ -92,6 +118,8 @@ def publish(df: DataFrame, path: str, tries: int = 3) -> None:
     # stores that do not rename: copied, which readers may see half done
     if fs.exists(target):
         fs.delete(target, True)
-    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, staging, fs, target, True, spark.sparkContext._jsc.hadoopConfiguration()):
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(
+        fs, staging, fs, target, True, spark.sparkContext._jsc.hadoopConfiguration()
+    ):
         raise RuntimeError(f"{path} could not be replaced")
     fs.delete(old, True)

@@ -12,9 +12,13 @@ from emberframe.operators import temporal
 from emberframe.sources.sinks import write_scene
 
 
-def slot_counts(stream: DataFrame, minutes: int = 10, late_minutes: int = 60, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
+def slot_counts(
+    stream: DataFrame, minutes: int = 10, late_minutes: int = 60, ts: str = "ts", by: tuple[str, ...] = ()
+) -> DataFrame:
     """Events per tumbling slot; events later than the watermark are dropped and state older than it is freed."""
-    return stream.withWatermark(ts, f"{late_minutes} minutes").groupBy(F.window(ts, f"{minutes} minutes"), *by).agg(F.count("*").alias("n"), F.max("value").alias("max_value")).select(F.col("window.start").alias("slot"), *by, "n", "max_value")
+    return stream.withWatermark(ts, f"{late_minutes} minutes").groupBy(F.window(ts, f"{minutes} minutes"), *by).agg(
+        F.count("*").alias("n"), F.max("value").alias("max_value")
+    ).select(F.col("window.start").alias("slot"), *by, "n", "max_value")
 
 
 def distinct_events(stream: DataFrame, keys: list[str], late_minutes: int = 60, ts: str = "ts") -> DataFrame:
@@ -31,14 +35,21 @@ def interval_join(fires: DataFrame, references: DataFrame, hours: int = 3, late_
     return f.join(r, (F.col("cell") == F.col("r_cell")) & near)
 
 
-def run_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, fail_open: bool = True, available_now: bool = True) -> StreamingQuery:
+def run_scenes(
+    stream: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, fail_open: bool = True,
+    available_now: bool = True
+) -> StreamingQuery:
     """Process each micro-batch's scenes as a table and replace their partitions, so a batch that is replayed changes
     nothing. With ``fail_open`` a failing batch leaves the last good partitions in place and the stream goes on."""
 
     def step(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            scenes = [r["scene_id"] for r in batch.select(F.col("scene_id").cast("string").alias("scene_id")).distinct().collect()]
+            scenes = [
+                r["scene_id"] for r in batch.select(
+                    F.col("scene_id").cast("string").alias("scene_id")
+                ).distinct().collect()
+            ]
             if scenes:
                 write_scene(process(batch), target, scenes)
         except Exception as error:  # noqa: BLE001  the policy of the caller
@@ -52,7 +63,9 @@ def run_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame], tar
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 minutes")).start()
 
 
-def roll_state(stream: DataFrame, target: str, checkpoint: str, degrees: float = 0.05, keep: int = 400) -> StreamingQuery:
+def roll_state(
+    stream: DataFrame, target: str, checkpoint: str, degrees: float = 0.05, keep: int = 400
+) -> StreamingQuery:
     """Keep the grid state of the latest slots as a table per batch; a slot that comes again is replaced."""
     spark = stream.sparkSession
 
@@ -61,14 +74,18 @@ def roll_state(stream: DataFrame, target: str, checkpoint: str, degrees: float =
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(target)
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        versions = sorted(
+            int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)
+        ) if fs.exists(folder) else []
         before = [v for v in versions if v < number]
         state = new if not before else temporal.merge_state(spark.read.parquet(f"{target}/batch={before[-1]}"), new)
         temporal.latest_slots(state, keep).write.mode("overwrite").parquet(f"{target}/batch={number}")
         for v in before[:-1]:  # the one before stays for readers
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{target}/batch={v}"), True)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(step).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def latest_state(spark, target: str) -> DataFrame:

@@ -11,7 +11,9 @@ SAY = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert s
 
 def names(folder):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    said = subprocess.run([sys.executable, "-B", "-c", SAY], cwd=folder, env=env, capture_output=True, text=True, timeout=120)
+    said = subprocess.run(
+        [sys.executable, "-B", "-c", SAY], cwd=folder, env=env, capture_output=True, text=True, timeout=120
+    )
     assert said.returncode == 0, said.stderr[-2000:]
     return set(said.stdout.split())
 
@@ -33,7 +35,9 @@ def test_queries_are_read_without_the_subpackage(tmp_path):
     """Also where the pipeline's file is still there, and where the folder is there but empty."""
     there = copied(tmp_path, "llm")
     found = names(there)
-    assert len(found) >= 55 and not any(x.startswith("op") and x[2:3].isdigit() for x in found) and "pipeline" not in found
+    assert len(found) >= 55 and not any(
+        x.startswith("op") and x[2:3].isdigit() for x in found
+    ) and "pipeline" not in found
     (there / "emberframe" / "llm").mkdir()
     assert names(there) == found
     (there / "corpus_pipeline.py").unlink(missing_ok=True)

@@ -12,7 +12,15 @@ def tables(folder, events=400, orders=300, suppliers=30):
     import pyarrow.parquet as pq
 
     at = dt.datetime(2026, 1, 1)
-    pq.write_table(pa.table({"event_id": list(range(events)), "ts": [at] * events, "user_id": [1] * events, "event_type": ["view"] * events, "value": [float(k * 37 % 400) for k in range(events)]}), folder / "events.parquet")
+    pq.write_table(
+        pa.table(
+            {
+                "event_id": list(range(events)), "ts": [at] * events, "user_id": [1] * events,
+                "event_type": ["view"] * events, "value": [float(k * 37 % 400) for k in range(events)]
+            }
+        ),
+        folder / "events.parquet"
+    )
     pq.write_table(pa.table({"o_orderkey": list(range(1, orders + 1))}), folder / "orders.parquet")
     pq.write_table(pa.table({"s_suppkey": list(range(1, suppliers + 1))}), folder / "supplier.parquet")
     return str(folder)
@@ -20,7 +28,9 @@ def tables(folder, events=400, orders=300, suppliers=30):
 
 def km(a, b):
     (x, y), (u, v) = [[math.radians(q) for q in p] for p in (a, b)]
-    return 2 * 6371.0 * math.asin(math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2))
+    return 2 * 6371.0 * math.asin(
+        math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)
+    )
 
 
 def test_nearest_of_all_references(spark, tmp_path):
@@ -38,7 +48,9 @@ def test_every_supplier_is_a_source(spark, tmp_path):
     assert queries.heat(spark, d).count() == 30
     spots = {s["fire_id"]: (s["lon"], s["lat"]) for s in queries.spots(spark, d).collect()}
     want = {k for k, p in spots.items() if all(km(p, q) > r for q, r in sources)}
-    assert {q["fire_id"] for q in queries.QUERIES["static_source_anti"](spark, d).collect()} == want and 0 < len(want) < len(spots)
+    assert {
+        q["fire_id"] for q in queries.QUERIES["static_source_anti"](spark, d).collect()
+    } == want and 0 < len(want) < len(spots)
 
 
 def test_all_windows_and_lags(spark, tmp_path):
@@ -53,7 +65,9 @@ def test_all_windows_and_lags(spark, tmp_path):
 
 def test_metrics_of_all_windows(spark, tmp_path):
     d = tables(tmp_path, events=200, orders=40)
-    assert [q["time_window_hours"] for q in queries.QUERIES["eval_match_metrics"](spark, d).collect()] == [1.0, 3.0, 6.0]
+    assert [
+        q["time_window_hours"] for q in queries.QUERIES["eval_match_metrics"](spark, d).collect()
+    ] == [1.0, 3.0, 6.0]
 
 
 def test_wide_sources_are_searched_to_their_radius(spark):
