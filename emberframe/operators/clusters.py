@@ -101,7 +101,8 @@ def reference_edges(references: DataFrame, km: float = 2.5, minutes: float = 30.
     )
     once = (F.col("_slot") > F.col("_own")) | (F.col("a") < F.col("b"))
     close = F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) <= minutes * 6e7
-    return distance_join(left, r, km, on=("_slot",), extra=once & close).select("a", "b")
+    # both sides grow with the detections, one of them by its copies: never broadcast
+    return distance_join(left, r.hint("merge"), km, on=("_slot",), extra=once & close).select("a", "b")
 
 
 def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float = 30.0, order: str = "id") -> DataFrame:
@@ -140,7 +141,7 @@ def persistent_edges(points: DataFrame, km: float = 1.5) -> DataFrame:
     places = named.select("rep", "lon", "lat").distinct()
     other = places.select(F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
     between = distance_join(
-        places, other, km, extra=F.col("rep") < F.col("r_rep")
+        places, other.hint("merge"), km, extra=F.col("rep") < F.col("r_rep")
     ).select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
     return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(between)
 

@@ -31,12 +31,14 @@ def distance_join(
 ) -> DataFrame:
     """``left`` x ``right`` where the points lie within ``km``, with distance_km; ``on`` are equal columns besides.
 
-    Both sides are bucketed into latitude bands and cells, the right side in its cell, the left in the up to nine around
-    it, so it is an equi join with the distance as a residual. Cells narrow with the latitude and wrap at the date line:
+    Both sides are bucketed into latitude bands and cells of twice the distance, the right side in its cell, the left in
+    those that the distance reaches (four on average), so it is an equi join with the distance as a residual, after any
+    cheaper condition. Cells narrow with the latitude and wrap at the date line:
     no pair is lost anywhere. The right side's columns must have other names than the left's. A null coordinate joins
     nothing. ``extra`` is one more condition on both sides' columns.
     """
-    step = max(math.degrees(km / EARTH_KM) * 1.0001, 1e-4)
+    away = math.degrees(km / EARTH_KM) * 1.0001 + 1e-9
+    step = max(2 * away, 1e-4)
     r = right.filter(F.col(r_lon).isNotNull() & F.col(r_lat).isNotNull()).withColumn("_band", _band(F.col(r_lat), step))
     r = r.withColumn("_cell", _place(F.col(r_lon), _columns(F.col("_band"), step)))
     # within the distance, longitudes differ by asin(sin(d) / cos(lat)) at most: near a pole the whole band is searched
@@ -44,17 +46,18 @@ def distance_join(
     ratio = reach / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9))
     span = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.0001 + 1e-9)
     m = left.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    bands = F.sequence(_band(F.col(lat), step) - 1, _band(F.col(lat), step) + 1)
+    bands = F.sequence(_band(F.col(lat) - away, step), _band(F.col(lat) + away, step))
     m = m.withColumn("_span", span).withColumn("_band", F.explode(bands))
-    n = _columns(F.col("_band"), step)
-    first = F.floor((F.col(lon) - F.col("_span") + 180) / 360 * n).cast("int")
-    last = F.floor((F.col(lon) + F.col("_span") + 180) / 360 * n).cast("int")
-    cells = F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.pmod(c, n)))
-    m = m.withColumn("_cell", F.explode(cells)).drop("_span")
+    m = m.withColumn("_n", _columns(F.col("_band"), step))
+    at = lambda x: F.floor((x + 180) / 360 * F.col("_n")).cast("int")
+    m = m.withColumn("_first", at(F.col(lon) - F.col("_span"))).withColumn("_last", at(F.col(lon) + F.col("_span")))
+    m = m.withColumn("_last", F.least("_last", F.col("_first") + F.col("_n") - 1))  # around the globe at most once
+    m = m.withColumn("_cell", F.explode(F.sequence("_first", "_last"))).withColumn("_cell", F.pmod("_cell", "_n"))
+    m = m.drop("_span", "_n", "_first", "_last")
     d = haversine_km(lon, lat, r_lon, r_lat)
     keys = [*on, "_band", "_cell"]
-    joined = m.join(r, keys).withColumn("distance_km", d).filter(F.col("distance_km") <= km)
-    return (joined if extra is None else joined.filter(extra)).drop("_band", "_cell")
+    joined = m.join(r, keys) if extra is None else m.join(r, keys).filter(extra)
+    return joined.withColumn("distance_km", d).filter(F.col("distance_km") <= km).drop("_band", "_cell")
 
 
 def time_distance_join(
@@ -121,8 +124,8 @@ def near_sources(points: DataFrame, sources: DataFrame, key: str, default_km: fl
     p, found = points.select(key, "lon", "lat"), points.select(key).limit(0)
     for c in classes:
         hits = distance_join(
-            p, s.filter(F.col("_class") == c).drop("_class"), 2.0**c, extra=F.col("distance_km") <= F.col("r_km")
-        ).select(key)
+            p, s.filter(F.col("_class") == c).drop("_class"), 2.0**c
+        ).filter("distance_km <= r_km").select(key)
         found = hits if c == classes[0] else found.unionByName(hits)
     return found.distinct()
 
