@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.operators.tables import discard, kept
@@ -43,38 +43,38 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every component of the distinct edges (a > b) is a star around its least node: no node has two lesser
+    neighbours, or a lesser and a greater one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    return not per.filter("ups > 0 and n > 1").limit(1).count()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long); component is the least node that it reaches.
 
     Self-loops, repeated edges and edges with a null are ignored. Each task first shortens the edges that it has, in
     place, to one per node: edges that come from a join by cells lie with their neighbours, so most components are whole
     then. Rounds of large stars and small stars (Kiveris et al., 2014) join what is left: each joins on nodes,
-    pre-aggregated by minimum, and is written to the shared folder; nothing is collected but a checksum, summed while the
-    round is written. The number of rounds grows with the logarithm of the longest path.
+    pre-aggregated by minimum, and is written to the shared folder; nothing is collected but whether a node is left that
+    is no star's centre or leaf. The number of rounds grows with the logarithm of the longest path; where tasks settled all
+    by themselves there is none.
     """
     e = edges.filter("a <> b").select("a", "b").mapInArrow(_shortened, "a long, b long")
     e = kept(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
+    for _ in range(rounds + 1):
+        if _are_stars(e):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        seen = Observation()
-        new = small.unionByName(least.withColumnRenamed("m", "b")).distinct()
-        new = kept(
-            new.observe(
-                seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"),
-                F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")
-            ),
-            "edges"
-        )
+        new = kept(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
         discard(e)
-        e, now = new, seen.get
-        if now == state or not now["n"]:
-            break
-        state = now
+        e = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
