@@ -22,46 +22,53 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.components import components
 from emberframe.llm.shared import materialize
+from emberframe.llm.vectors import finite_rows, packed
 
 #: Vectors of a cell's own in a task, and vectors that they are compared with.
 BLOCK, CHUNK = 2048, 16384
 
 
-def unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors of length 1 in double precision, which rows have one). Null, zero, non-finite vectors, vectors with a
-    null component and vectors of another dimension than the first valid one have none."""
-    rows = batch.to_pylist()
-    good = np.array([r is not None and len(r) > 0 and None not in r for r in rows], dtype=bool)
-    width = next((len(r) for r, g in zip(rows, good) if g), 0)
-    good &= np.array([r is not None and len(r) == width for r in rows], dtype=bool)
-    x = np.zeros((len(rows), width))
-    if good.any():
-        x[good] = np.array([r for r, g in zip(rows, good) if g], dtype=float)
-    top = np.abs(x).max(1, initial=0)
-    good &= np.isfinite(x).all(1) & (top > 0)
-    x[~good] = 0
-    x[good] /= top[good, None]  # else squares may overflow or vanish
-    x[good] /= np.sqrt((x[good] ** 2).sum(1))[:, None]
-    return x, good
+def unit(column: pa.Array) -> list[bytes | None]:
+    """The vectors brought to length 1, as bytes in double precision; None for those that are null, empty or zero, or hold null
+    or non-finite components."""
+    out: list[bytes | None] = [None] * len(column)
+    for rows, x in finite_rows(column):
+        top = np.abs(x).max(1, initial=0)
+        rows, x = rows[top > 0], x[top > 0] / top[top > 0, None]  # else squares may overflow or vanish
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        for r, b in zip(rows.tolist(), packed(x)):
+            out[r] = b
+    return out
 
 
-def _packed(x: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+def _stack(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, their widths); shorter ones are filled up with zeros, which changes no distance between equal widths."""
+    rows = [np.frombuffer(b.as_buffer(), dtype=float) for b in column]
+    width = np.array([len(r) for r in rows], dtype=np.int64)
+    if len(rows) and (width == width[0]).all():
+        return np.array(rows), width
+    x = np.zeros((len(rows), width.max(initial=0)))
+    for k, r in enumerate(rows):
+        x[k, : len(r)] = r
+    return x, width
 
 
-def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(b.as_buffer(), dtype=float) for b in column])
+def _to(x: np.ndarray, width: int) -> np.ndarray:
+    """``x`` with zeros up to ``width`` components."""
+    return np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))
 
 
 def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """``n`` vectors whose hashes are lowest. There are at most twice the square root of all vectors, so the driver and every
     task hold 16 * dimension * sqrt(vectors) bytes: 8 MB for 60 million vectors of 64 components."""
     rows = vectors.orderBy(F.xxhash64("vector"), "id").limit(n).select("vector").collect()
-    return np.array([np.frombuffer(r["vector"], dtype=float) for r in rows])
+    return _stack(pa.array([r["vector"] for r in rows], pa.binary()))[0]
 
 
 def copies(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home cell of each vector, rows, cells): the lower cells to which the rows are copied."""
+    width = max(x.shape[1], pivots.shape[1])
+    x, pivots = _to(x, width), _to(pivots, width)
     square = np.maximum(0, 2 - 2 * (x @ pivots.T))
     home = square.argmin(1)
     between = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))[home]
@@ -120,17 +127,15 @@ def near_vectors(
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing. So do rows with a null id:
     their component_id is null and they are kept. Rows that repeat an id are one vector, that of the least bytes if they
-    differ. All valid vectors must have one dimension; others fail the job. Other columns are not returned.
+    differ. Vectors of different widths have no cosine and are not linked; each width links within itself. Other columns are
+    not returned.
     """
     reach = float(np.sqrt(2 - 2 * threshold))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = unit(batch.column(1))
-            packed = _packed(x).to_pylist()
             yield pa.record_batch(
-                [batch.column(0), pa.array([p if g else None for p, g in zip(packed, good)], pa.binary())],
-                names=["id", "vector"]
+                [batch.column(0), pa.array(unit(batch.column(1)), pa.binary())], names=["id", "vector"]
             )
 
     rows = vectors.select(
@@ -153,7 +158,7 @@ def near_vectors(
         for batch in batches:
             for first in range(0, len(batch), 2048):
                 part = batch.slice(first, 2048)
-                home, r, cells = copies(_stack(part.column(2)), centres, reach)
+                home, r, cells = copies(_stack(part.column(2))[0], centres, reach)
                 every = np.concatenate([np.arange(len(part)), r])
                 cell = np.concatenate([home, cells]).astype(np.int32)
                 at_home = np.arange(len(every)) < len(part)
@@ -184,11 +189,13 @@ def near_vectors(
     def join(table: pa.Table) -> pa.Table:
         mine = np.asarray(table["own"])
         ids, n, home = np.asarray(table["id"]), np.asarray(table["n"]), np.asarray(table["home"])
-        x = _stack(table["vector"].combine_chunks()) if len(table) else np.zeros((0, 1))
+        x, width = _stack(table["vector"].combine_chunks())
         own, other = np.flatnonzero(mine), np.flatnonzero(~mine)
         a = b = np.empty(0, dtype=np.int64)
         if len(own) and len(other):
             a, b = compare(x[own], ids[own], x[other], ids[other], home[other], threshold)
+            alike = width[own[a]] == width[other[b]]
+            a, b = a[alike], b[alike]
         counts = np.bincount(
             own[a], weights=n[other[b]], minlength=len(ids)
         ) + np.bincount(other[b], weights=n[own[a]], minlength=len(ids))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, embeddings, language_model, media, minhash, mixing, packing, quality, repeats, token_counts
+from emberframe.llm import (
+    centroids, chat, edit_fingerprints, embeddings, language_model, media, minhash, mixing, packing, quality, repeats,
+    token_counts, whitening
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +91,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op11_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, and of the text whose second half is the next document's beginning. A null text is empty."""
+    return edit_fingerprints.compare_edits(_read(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 finite components in 40 clusters, after 5 rounds; others are left out."""
+    return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of finite components on their first 16 principal components, each with a variance of 1."""
+    return whitening.whiten_vectors(_read(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
@@ -99,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_chat": op9_chat,
     "op10_repeats": op10_repeats,
+    "op11_edit_fingerprints": op11_edit_fingerprints,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
