@@ -66,7 +66,7 @@ def candidate_frame(fires: DataFrame) -> DataFrame:
     have = lambda name, default: F.col(name) if name in fires.columns else default
     zero = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
     lon, lat, ts = zero(F.col("lon")), zero(F.col("lat")), F.col("acq_ts")
-    scene = have("scene_id", F.lit(None).cast("string"))
+    scene = have("scene_id", F.lit(None)).cast("string")
     area = have("area_pixels", F.lit(1.0))
     return fires.select(
         "*",

@@ -111,20 +111,25 @@ def top_budget(fires: DataFrame, budget: int, by: tuple[str, ...], order: tuple[
     return fires.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= budget) | F.col("forced")).drop("_n")
 
 
+#: What the scorer adds to a fire besides its score and confidence.
+CARRIED = ("model_prob", "physics_score", "score_source", "region_for_scorer")
+
+
 def sync_scores(pixels: DataFrame, scored: DataFrame, west_lon_max: float = 105.0) -> DataFrame:
-    """Pixels take score and confidence of the scored fire at the same place (rounded to 6 digits) and pixel. Western
-    pixels without one are dropped unless they are confirmed."""
+    """Pixels take score, confidence and what the scorer says about it (``CARRIED``) of the scored fire at the same place
+    (rounded to 6 digits) and pixel; others keep theirs. Western pixels without one are dropped unless they are confirmed."""
     key = lambda d: d.withColumns({"_x": F.round("lon", 6), "_y": F.round("lat", 6)})
+    carried = [c for c in CARRIED if c in scored.columns]
     s = key(scored).select(
-        "scene_id", "_x", "_y", "row", "col", F.col("score").alias("_s"), F.col("confidence").alias("_c")
+        "scene_id", "_x", "_y", "row", "col", F.struct("score", "confidence", *carried).alias("_s")
     )
-    out = key(pixels).join(s, ["scene_id", "_x", "_y", "row", "col"], "left")
+    out = key(pixels.drop(*carried)).join(s, ["scene_id", "_x", "_y", "row", "col"], "left")
     out = out.filter(
         F.col("_s").isNotNull() | (F.col("lon") >= west_lon_max) | F.coalesce("official_confirmed", F.lit(False))
     )
     return out.withColumns(
-        {"score": F.coalesce("_s", "score"), "confidence": F.coalesce("_c", "confidence")}
-    ).drop("_x", "_y", "_s", "_c")
+        {c: F.coalesce(f"_s.{c}", c) for c in ("score", "confidence")} | {c: F.col(f"_s.{c}") for c in carried}
+    ).drop("_x", "_y", "_s")
 
 
 def score_summary(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -141,6 +146,7 @@ def score_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def in_order(fires: DataFrame) -> DataFrame:
+    """Fires as they are published: by falling score, then from north to south and from east to west."""
     return fires.orderBy(F.desc("score"), F.desc("lat"), F.desc("lon"))
 
 

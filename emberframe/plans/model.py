@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,21 +77,28 @@ def parse_forest(text: str) -> Forest:
     return forest
 
 
+@lru_cache(maxsize=4)
+def _read(text: str) -> Forest:
+    """The forest of a text; a worker that is used again reads a model once."""
+    return parse_forest(text)
+
+
 def probability(model: str, columns: list[str]) -> Column:
     """Probability of each row by the model's text. Features without a column, and values that are missing or not finite,
-    count as 0; numbers are in single precision. The model is read once per worker."""
-
-    forest = parse_forest(model)
+    count as 0; numbers are in single precision. The text travels with the function (as a broadcast, if it is large) and is
+    parsed once per worker; it is parsed here too, so that a text that is no model fails at once."""
+    forest = _read(model)
     names = [c for c in forest.features if c in columns]
+    if not names:
+        return F.lit(float(forest.probability(np.zeros((1, len(forest.features))))[0]))
 
     @F.pandas_udf("double")
-    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        own = _read(model)
+        at = [own.features.index(n) for n in names]
         for batch in batches:
-            x = np.zeros((len(batch[0]), len(forest.features)))
-            for name, values in zip(names, batch):
-                x[:, forest.features.index(name)] = values.to_numpy(dtype=np.float32, na_value=np.nan)
-            yield pd.Series(forest.probability(np.where(np.isfinite(x), x, 0.0)))
+            x = np.zeros((len(batch), len(own.features)))
+            x[:, at] = batch[names].to_numpy(dtype=np.float32, na_value=np.nan)
+            yield pd.Series(own.probability(np.where(np.isfinite(x), x, 0.0)))
 
-    if not names:
-        return F.lit(float(forest.probability(np.zeros((1, len(forest.features))))[0]))
-    return predict(*[F.col(n).cast("float") for n in names])
+    return predict(F.struct(*[F.col(n).cast("float").alias(n) for n in names]))

@@ -27,15 +27,25 @@ class SceneConfig:
     keep_slots: int = 400
     #: Drop eastern fires when the eastern model is wanted but absent, as some deployments do; by default they stay.
     drop_unscored_east: bool = False
+    #: Keep the physical scores where the scorer fails, instead of failing with it.
+    fail_open: bool = False
+    #: Use official detections where there are any.
+    fuse: bool = True
 
 
 @dataclass
 class SceneResult:
+    """All seeds with what became of them; the fires among them, with scores as published; those that stay after suppression
+    and budgets; areas of connected fires; the grid state; the official detections with what matched them; and why the
+    scorer failed, if it did."""
+
     judged: DataFrame
     fires: DataFrame
     selected: DataFrame
     areas: DataFrame
     state: DataFrame | None = None
+    ranges: DataFrame | None = None
+    scorer_error: str | None = None
 
 
 def fire_rows(judged: DataFrame) -> DataFrame:
@@ -51,12 +61,16 @@ def detect(
     frame: DataFrame, sources: DataFrame | None = None, boundary: DataFrame | None = None,
     references: DataFrame | None = None, state: DataFrame | None = None, c: SceneConfig = SceneConfig()
 ) -> SceneResult:
-    """Pixels to fires: cascade, rescue limit, boundary, official detections, suppression, model scores and budget, areas."""
+    """Pixels to fires: cascade, rescue limit, boundary, official detections, suppression, model scores and budget, areas.
+
+    Scores go back to the fires that suppression left out: those at a scored place take its score, western ones without
+    one are dropped unless confirmed. Areas are formed of what is left, with the rings of their pixels. A scorer that fails
+    ends the run unless ``fail_open``; then fires keep their physical scores, and the result says why."""
     judged = kept(pixels.judge(frame, sources, None, c.thresholds, c.rescue), "judged")
     fires = pixels.limit_rescued(fire_rows(judged), c.rescue)
     if boundary is not None:
         fires = spatial.clip(fires, boundary, "fire_id").filter("accepted").drop("accepted")
-    if references is not None:
+    if references is not None and c.fuse:
         fires = spatial.nearest_reference(fires, references, c.match_km, c.match_hours)
         fires = fires.withColumn(
             "confidence", F.when(F.col("official_confirmed"), "official").otherwise(F.col("confidence"))
@@ -64,11 +78,19 @@ def detect(
     else:
         fires = fires.withColumn("official_confirmed", F.lit(False))
     fires = kept(fires, "fires")
-    selected = pixels.suppress(fires, c.suppress_radius)
+    selected, error = pixels.suppress(fires, c.suppress_radius), None
     if c.west_model is not None:
-        selected, state = score(selected, state, c)
-    areas = clusters.fire_clusters(fires)
-    return SceneResult(judged, fires, selected, areas, state)
+        try:
+            selected, state = score(selected, state, c)
+            selected = kept(selected, "selected")
+        except Exception as failure:  # noqa: BLE001  the policy of the caller
+            if not c.fail_open:
+                raise
+            error = str(failure).split("\n")[0]
+        fires = ranking.sync_scores(fires, selected, (c.scorer or ranking.Scorer()).west_lon_max)
+    fires = kept(clusters.footprints(fires, frame), "footprints")
+    ranges = spatial.official_ranges(references, fires) if references is not None and c.fuse else None
+    return SceneResult(judged, fires, selected, clusters.fire_clusters(fires), state, ranges, error)
 
 
 def score(fires: DataFrame, state: DataFrame | None, c: SceneConfig) -> tuple[DataFrame, DataFrame]:
