@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions.names import segment_name
+from emberframe.operators.tables import kept
 
 # Fixed values: (block index, offset in the block, format, field) of the header fields that are used.
 FIELDS = [
@@ -29,16 +30,23 @@ HEADER = ", ".join(f"{name} {KINDS[kind]}" for *_, kind, name in FIELDS)
 COUNTS = f"path string, {HEADER}, line int, first_column int, counts array<int>"
 
 
-def read_segment(data: bytes) -> tuple[dict, np.ndarray]:
-    """(header fields, counts[line, column]) of a compressed segment. The albedo coefficient of visible bands is where
-    infrared ones have c0."""
-    raw = bz2.decompress(data)
+def read_header(raw: bytes) -> tuple[dict, int]:
+    """(header fields, where the counts begin) of a decompressed segment, or of its beginning; an IndexError or struct.error
+    where the beginning is too short."""
     places, at = [], 0
     for _ in range(BLOCKS):
         _, length = struct.unpack_from("<BH", raw, at)
         places.append(at)
         at += length
     head = {name: struct.unpack_from(kind, raw, places[block] + offset)[0] for block, offset, kind, name in FIELDS}
+    return head, at
+
+
+def read_segment(data: bytes) -> tuple[dict, np.ndarray]:
+    """(header fields, counts[line, column]) of a compressed segment. The albedo coefficient of visible bands is where
+    infrared ones have c0."""
+    raw = bz2.decompress(data)
+    head, at = read_header(raw)
     n = head["lines"] * head["columns"]
     if len(raw) - at < 2 * n:
         raise ValueError(f"the segment holds {(len(raw) - at) // 2} counts, its header says {n}")
@@ -92,25 +100,52 @@ def latest_scenes(
 ) -> DataFrame:
     """``catalog.latest_scenes`` of the segment files below a folder, without scenes that have an unreadable segment.
 
-    Scenes are read ``n`` at a time, in the order wanted, until ``n`` are readable; only names come to the driver.
+    Scenes are read ``n`` at a time, in the order wanted, until ``n`` are readable; the driver holds the names of ``n`` scenes.
     """
     from emberframe.operators import catalog
 
     files = segment_files(spark, folder)
     order = F.asc("scene_id") if oldest_first else F.desc("scene_id")
     whole = catalog.latest_scenes(files, bands, segments, None).select("scene_id", F.col("files.path").alias("paths"))
-    named = [(r["scene_id"], r["paths"]) for r in whole.orderBy(order).collect()]
+    whole = kept(whole, "scenes")  # listed once
     good: list[str] = []
-    for k in range(0, len(named), n):
-        some = named[k : k + n]
-        read = spark.read.format("binaryFile").load([path for _, paths in some for path in paths])
-        bad = {r["path"] for r in readable_segments(read).filter("not readable").collect()}
-        good += [scene for scene, paths in some if not bad.intersection(paths)]
-        if len(good) >= n:
+    last = None
+    while len(good) < n:
+        rest = whole if last is None else whole.filter(
+            F.col("scene_id") > last if oldest_first else F.col("scene_id") < last
+        )
+        some = rest.orderBy(order).limit(n).collect()
+        if not some:
             break
+        last = some[-1]["scene_id"]
+        read = spark.read.format("binaryFile").load([path for r in some for path in r["paths"]])
+        bad = {r["path"] for r in readable_segments(read).filter("not readable").collect()}
+        good += [r["scene_id"] for r in some if not bad.intersection(r["paths"])]
     return catalog.latest_scenes(files.filter(F.col("scene_id").isin(good[:n])), bands, segments, n, oldest_first)
 
 
+def line_batches(
+    head: dict, counts: np.ndarray, low: int, high: int, left: int, right: int
+) -> Iterator[pa.RecordBatch]:
+    """A segment's lines from ``low`` to ``high`` and columns from ``left`` to ``right``: header fields, line, first_column and
+    counts, 128 lines at a time."""
+    for first in range(max(low, head["first_line"]), min(high, head["first_line"] + head["lines"] - 1) + 1, 128):
+        lines = np.arange(first, min(first + 128, high + 1, head["first_line"] + head["lines"]))
+        part = counts[lines - head["first_line"], left - 1 : right].astype(np.int32)
+        ends = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * part.shape[1])
+        fields = [
+            pa.array([head[name]] * len(lines), pa.int32() if KINDS[kind] == "int" else pa.float64())
+            for *_, kind, name in FIELDS
+        ]
+        yield pa.record_batch(
+            [
+                *fields, pa.array(lines.astype(np.int32)), pa.array(np.full(len(lines), left, dtype=np.int32)),
+                pa.ListArray.from_arrays(ends, pa.array(part.ravel()))
+            ],
+            names=[*(f[3] for f in FIELDS), "line", "first_column", "counts"]
+        )
+
+
 def segment_lines(
     spark: SparkSession, folder: str, bands: list[str] | None = None, crop: dict[str, int] | None = None
 ) -> DataFrame:
@@ -127,29 +162,12 @@ def segment_lines(
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 head, counts = read_segment(content.as_buffer().to_pybytes())
-                low, high, left, right = head["first_line"], head["first_line"] + head["lines"] - 1, 1, head["columns"]
+                low, high, left, right = 1, head["first_line"] + head["lines"] - 1, 1, head["columns"]
                 if crop:
-                    low, high, left, right = max(
-                        low, crop["lineStart"]
-                    ), min(high, crop["lineEnd"]), crop["colStart"], min(crop["colEnd"], right)
-                for first in range(low, high + 1, 128):
-                    lines = np.arange(first, min(first + 128, high + 1))
-                    part = counts[lines - head["first_line"], left - 1 : right].astype(np.int32)
-                    ends = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * part.shape[1])
-                    fields = [
-                        pa.array(
-                            [head[name]] * len(lines), pa.int32() if KINDS[kind] == "int" else pa.float64()
-                        ) for *_,
-                        kind, name in FIELDS
-                    ]
-                    yield pa.record_batch(
-                        [
-                            pa.array([path] * len(lines)), *fields, pa.array(lines.astype(np.int32)),
-                            pa.array(np.full(len(lines), left, dtype=np.int32)),
-                            pa.ListArray.from_arrays(ends, pa.array(part.ravel()))
-                        ],
-                        names=["path", *(f[3] for f in FIELDS), "line", "first_column", "counts"]
-                    )
+                    low, high = crop["lineStart"], min(high, crop["lineEnd"])
+                    left, right = crop["colStart"], min(crop["colEnd"], right)
+                for part in line_batches(head, counts, low, high, left, right):
+                    yield part.add_column(0, pa.field("path", pa.string()), pa.array([path] * len(part)))
 
     return files.select("path", "content").mapInArrow(run, COUNTS)
 
