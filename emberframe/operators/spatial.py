@@ -25,6 +25,41 @@ def _place(lon: Column, count: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * count).cast("int"), count)
 
 
+def _steps(km: float) -> tuple[float, float]:
+    """(degrees of latitude that the distance reaches, height of a cell)."""
+    away = math.degrees(km / EARTH_KM) * 1.0001 + 1e-9
+    return away, max(2 * away, 1e-4)
+
+
+def in_cells(points: DataFrame, km: float, lon: str = "r_lon", lat: str = "r_lat") -> DataFrame:
+    """``points`` with the cell (_band, _cell) that holds them, for distances of ``km``; those without a place are left out."""
+    _, step = _steps(km)
+    p = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_band", _band(F.col(lat), step))
+    return p.withColumn("_cell", _place(F.col(lon), _columns(F.col("_band"), step)))
+
+
+def around_cells(
+    points: DataFrame, km: float, lon: str = "lon", lat: str = "lat", keep_unplaced: bool = False
+) -> DataFrame:
+    """``points`` once for each cell (see ``in_cells``) within ``km``. Those without a place are left out, or kept once with a
+    null cell."""
+    away, step = _steps(km)
+    # within the distance, longitudes differ by asin(sin(d) / cos(lat)) at most: near a pole the whole band is searched
+    reach = math.sin(min(km / EARTH_KM, math.pi / 2))
+    ratio = reach / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9))
+    span = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.0001 + 1e-9)
+    spread = F.explode_outer if keep_unplaced else F.explode
+    m = points if keep_unplaced else points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    bands = F.sequence(_band(F.col(lat) - away, step), _band(F.col(lat) + away, step))
+    m = m.withColumn("_span", span).withColumn("_band", spread(bands))
+    m = m.withColumn("_n", _columns(F.col("_band"), step))
+    at = lambda x: F.floor((x + 180) / 360 * F.col("_n")).cast("int")
+    m = m.withColumn("_first", at(F.col(lon) - F.col("_span"))).withColumn("_last", at(F.col(lon) + F.col("_span")))
+    m = m.withColumn("_last", F.least("_last", F.col("_first") + F.col("_n") - 1))  # around the globe at most once
+    m = m.withColumn("_cell", spread(F.sequence("_first", "_last"))).withColumn("_cell", F.pmod("_cell", "_n"))
+    return m.drop("_span", "_n", "_first", "_last")
+
+
 def distance_join(
     left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = (), extra: Column | None = None,
     lon: str = "lon", lat: str = "lat", r_lon: str = "r_lon", r_lat: str = "r_lat"
@@ -37,23 +72,8 @@ def distance_join(
     no pair is lost anywhere. The right side's columns must have other names than the left's. A null coordinate joins
     nothing. ``extra`` is one more condition on both sides' columns.
     """
-    away = math.degrees(km / EARTH_KM) * 1.0001 + 1e-9
-    step = max(2 * away, 1e-4)
-    r = right.filter(F.col(r_lon).isNotNull() & F.col(r_lat).isNotNull()).withColumn("_band", _band(F.col(r_lat), step))
-    r = r.withColumn("_cell", _place(F.col(r_lon), _columns(F.col("_band"), step)))
-    # within the distance, longitudes differ by asin(sin(d) / cos(lat)) at most: near a pole the whole band is searched
-    reach = math.sin(min(km / EARTH_KM, math.pi / 2))
-    ratio = reach / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9))
-    span = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.0001 + 1e-9)
-    m = left.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    bands = F.sequence(_band(F.col(lat) - away, step), _band(F.col(lat) + away, step))
-    m = m.withColumn("_span", span).withColumn("_band", F.explode(bands))
-    m = m.withColumn("_n", _columns(F.col("_band"), step))
-    at = lambda x: F.floor((x + 180) / 360 * F.col("_n")).cast("int")
-    m = m.withColumn("_first", at(F.col(lon) - F.col("_span"))).withColumn("_last", at(F.col(lon) + F.col("_span")))
-    m = m.withColumn("_last", F.least("_last", F.col("_first") + F.col("_n") - 1))  # around the globe at most once
-    m = m.withColumn("_cell", F.explode(F.sequence("_first", "_last"))).withColumn("_cell", F.pmod("_cell", "_n"))
-    m = m.drop("_span", "_n", "_first", "_last")
+    r = in_cells(right, km, r_lon, r_lat)
+    m = around_cells(left, km, lon, lat)
     d = haversine_km(lon, lat, r_lon, r_lat)
     keys = [*on, "_band", "_cell"]
     joined = m.join(r, keys) if extra is None else m.join(r, keys).filter(extra)
@@ -84,9 +104,14 @@ def nearest_reference(fires: DataFrame, references: DataFrame, km: float = 4.0,
         F.min(F.struct("distance_km", "dt", "r_id", "r_sensor", "r_confidence", "r_frp")).alias("o")
     )
     out = fires.join(best, "fire_id", "left")
+    return fused(out, fires.columns)
+
+
+def fused(best: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and what the nearest detection ``o`` (null: none) says of a fire."""
     found = F.col("o").isNotNull()
-    return out.select(
-        *fires.columns, found.alias("official_confirmed"),
+    return best.select(
+        *columns, found.alias("official_confirmed"),
         F.when(found, "official-confirmed").otherwise("self-detected-unconfirmed").alias("fusion_status"),
         F.when(found, "confirmed").otherwise("suspected").alias("fused_status"), F.col("o.r_id").alias("official_id"),
         F.col("o.r_sensor").alias("official_sensor"),
