@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.geo import EARTH_KM, axis_step, pixel_ring, ring_area_km2
@@ -87,28 +87,58 @@ def fire_clusters(fires: DataFrame, least: int = 2, key: str = "fire_id") -> Dat
     ).drop("first", "component")
 
 
-def reference_edges(references: DataFrame, km: float = 2.5, minutes: float = 30.0) -> DataFrame:
-    """(a, b): detections within both a distance and a time of each other. Near in time are those of the same slot or of
-    the next, so each looks at its own slot and forward, and every pair is met once."""
-    slot = F.floor(F.unix_micros("acq_ts") / max(minutes * 6e7, 1.0)).cast("long")
-    r = references.select(
-        F.col("id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("acq_ts").alias("r_ts"),
+def _own_cell(km: float) -> Column:
+    """A cell whose diagonal is below ``km``, at any latitude: any two points of it are that near."""
+    if km > 600:  # the sphere's curvature counts: points of one place only
+        return F.struct("lon", "lat")
+    step = math.degrees(km / EARTH_KM) / math.sqrt(2) * 0.999
+    band = F.floor((F.col("lat") + 90) / step)
+    low, high = band * step - 90, (band + 1) * step - 90
+    nearest = F.when(low * high <= 0, 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
+    columns = F.ceil(360 * F.cos(F.radians(nearest)) / step)
+    return F.struct(band.alias("band"), F.floor((F.col("lon") + 180) / 360 * columns).alias("column"))
+
+
+def chain_edges(points: DataFrame, km: float, minutes: float | None = None) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of points (id, lon, lat, acq_ts) within ``km`` and, unless it is
+    None, ``minutes``.
+
+    Cells of space and time whose points are all linked with each other link each with the cell's least id. Only places of
+    different cells are compared, each distinct place and time once, and give a link between the cells, so a flare that is
+    seen for years at one place, or by many passes at once, does not meet itself. Points without a place (or time) have no
+    links."""
+    timed = minutes is not None
+    width = max((minutes or 0) * 6e7, 1.0)
+    slot = F.floor(F.unix_micros("acq_ts") / width).cast("long") if timed else F.lit(0).cast("long")
+    at = F.unix_micros("acq_ts") if timed else F.lit(0).cast("long")
+    p = points.select(
+        "id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), at.alias("at"),
         slot.alias("_slot")
+    ).dropna(subset=["lon", "lat", "at"])
+    p = p.withColumn("cell", F.struct(_own_cell(km).alias("place"), "_slot"))
+    reps = p.groupBy("cell").agg(F.min("id").alias("rep"))
+    named = p.join(reps, "cell")
+    places = named.select("rep", "lon", "lat", "at", "_slot").distinct()
+    other = places.select(
+        F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("at").alias("r_at"),
+        "_slot"
     )
-    left = references.select(
-        F.col("id").alias("a"), "lon", "lat", "acq_ts", slot.alias("_own"),
-        F.explode(F.sequence(slot, slot + 1)).alias("_slot")
+    # near in time are points of the same slot or of the next, so each looks at its own and forward
+    ahead = F.array(*[F.col("_slot") + k for k in ((0, 1) if timed else (0,))])
+    left = places.withColumn("_own", F.col("_slot")).withColumn("_slot", F.explode(ahead))
+    once = (F.col("_slot") > F.col("_own")) | (F.col("rep") < F.col("r_rep"))
+    near = once & (F.abs(F.col("at") - F.col("r_at")) <= width) if timed else once
+    # both sides grow with the points, one of them by its copies: never broadcast
+    between = distance_join(left, other.hint("merge"), km, on=("_slot",), extra=near)
+    return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(
+        between.select(F.col("rep").alias("a"), F.col("r_rep").alias("b")).distinct()
     )
-    once = (F.col("_slot") > F.col("_own")) | (F.col("a") < F.col("b"))
-    close = F.abs(F.unix_micros("acq_ts") - F.unix_micros("r_ts")) <= minutes * 6e7
-    # both sides grow with the detections, one of them by its copies: never broadcast
-    return distance_join(left, r.hint("merge"), km, on=("_slot",), extra=once & close).select("a", "b")
 
 
 def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float = 30.0, order: str = "id") -> DataFrame:
     """Detections (id, sensor, lon, lat, acq_ts, frp) that chain together, weighted by radiative power: place, time, sum,
     sensors and members."""
-    label = connected_components(references.select("id"), reference_edges(references, km, minutes))
+    label = connected_components(references.select("id"), chain_edges(references, km, minutes))
     w = F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0)) + 1
     return references.join(label, "id").groupBy("component").agg(
         F.array_join(F.sort_array(F.collect_set("sensor")), "+").alias("sensor"),
@@ -119,36 +149,9 @@ def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float =
     ).withColumnRenamed("component", "id")
 
 
-def persistent_edges(points: DataFrame, km: float = 1.5) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of points (id, lon, lat) within ``km``, at any latitude.
-
-    Cells whose diagonal is below the distance hold points that are all linked: each is linked with the cell's least id.
-    Only places of different cells are compared, each distinct place once, so a flare that is seen for years at one
-    place does not meet itself. Cells are left out for distances at which the sphere's curvature counts."""
-    p = points.select("id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).dropna()
-    if km <= 600:
-        step = math.degrees(km / EARTH_KM) / math.sqrt(2) * 0.999
-        band = F.floor((F.col("lat") + 90) / step)
-        low, high = band * step - 90, (band + 1) * step - 90
-        nearest = F.when(low * high <= 0, 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
-        columns = F.ceil(360 * F.cos(F.radians(nearest)) / step)
-        cell = F.struct(band.alias("band"), F.floor((F.col("lon") + 180) / 360 * columns).alias("column"))
-    else:
-        cell = F.struct("lon", "lat")
-    p = p.withColumn("cell", cell)
-    reps = p.groupBy("cell").agg(F.min("id").alias("rep"))
-    named = p.join(reps, "cell")
-    places = named.select("rep", "lon", "lat").distinct()
-    other = places.select(F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    between = distance_join(
-        places, other.hint("merge"), km, extra=F.col("rep") < F.col("r_rep")
-    ).select(F.col("rep").alias("a"), F.col("r_rep").alias("b"))
-    return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(between)
-
-
 def persistent_sources(points: DataFrame, km: float = 1.5, days: int = 4, hits: int = 4) -> DataFrame:
     """Places (points: id, lon, lat, acq_date, frp, daynight) seen at least ``hits`` times on ``days`` different days."""
-    label = connected_components(points.select("id"), persistent_edges(points, km))
+    label = connected_components(points.select("id"), chain_edges(points, km))
     frp = F.coalesce("frp", F.lit(0.0))
     w = F.greatest(frp, F.lit(0.0)) + 1
     night = F.upper(F.coalesce("daynight", F.lit("")))
@@ -165,13 +168,3 @@ def persistent_sources(points: DataFrame, km: float = 1.5, days: int = 4, hits:
     ).withColumn("radius_km", F.lit(round(km, 3))).drop("component").orderBy(
         F.desc("day_count"), F.desc("detection_count"), "lon", "lat"
     )
-
-
-def with_cluster_neighbours(fires: DataFrame, key: str = "fire_id") -> DataFrame:
-    """``fires`` with the size of their cluster, singletons included."""
-    label = connected_components(
-        fires.select(F.col(key).alias("id")), adjacent(fires, key)
-    ).withColumnRenamed("id", key)
-    return fires.join(label, key).withColumn(
-        "cluster_size", F.count("*").over(Window.partitionBy("component"))
-    ).drop("component")

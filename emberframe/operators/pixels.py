@@ -304,22 +304,6 @@ def simple_detector(pixels: DataFrame, background_: DataFrame, t: Thresholds = T
     )
 
 
-def conflicts(fires: DataFrame, radius: int, key: str = "fire_id") -> DataFrame:
-    """(a, b): fires of one scene within ``radius`` rows and columns, by cells of that size."""
-    side = radius + 1
-    a = fires.select("scene_id", F.col(key).alias("a"), F.col("row").alias("ra"), F.col("col").alias("ca"))
-    a = a.withColumn(
-        "_r", F.explode(F.array(*[F.floor(F.col("ra") / side) + d for d in (-1, 0, 1)]))
-    ).withColumn("_c", F.explode(F.array(*[F.floor(F.col("ca") / side) + d for d in (-1, 0, 1)])))
-    b = fires.select(
-        "scene_id", F.col(key).alias("b"), F.col("row").alias("rb"), F.col("col").alias("cb")
-    ).withColumn("_r", F.floor(F.col("rb") / side)).withColumn("_c", F.floor(F.col("cb") / side))
-    close = (
-        F.abs(F.col("ra") - F.col("rb")) <= radius
-    ) & (F.abs(F.col("ca") - F.col("cb")) <= radius) & (F.col("a") < F.col("b"))
-    return a.join(b, ["scene_id", "_r", "_c"]).filter(close).select("a", "b")
-
-
 def suppress(
     fires: DataFrame, radius: int = 2, key: str = "fire_id", order: tuple[Column, ...] | None = None
 ) -> DataFrame:
