@@ -177,7 +177,7 @@ def test_near_texts_against_all_pairs(spark):
     assert wanted >= 25 and missed <= 1, (wanted, missed)  # a band is missed with a probability of about 0.01 at 0.8
     reach = {(i, c) for i, c in want}
     assert all((i, c) in reach or c == i or any(i == j and c >= d for j, d in reach) for i, c in have)  # no link is made up
-    both = ef.compare_edits(df)
+    both = ef.compare_edits(df, 0.8)
     assert Counter((r["doc_id"], r["component_id"]) for r in both.collect()) == have
     assert ef.near_texts(df.limit(0)).count() == 0
 
