@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.functions.geo import EARTH_KM, haversine_km, point_in_polygon, ring_box
+from emberframe.functions.geo import EARTH_KM, haversine_km
+from emberframe.operators.cover import cover, covered
 from emberframe.operators.tables import kept
 
 
@@ -160,22 +161,16 @@ def without_sources(points: DataFrame, sources: DataFrame, key: str, default_km:
     return points.join(near_sources(points, sources, key, default_km), key, "left_anti")
 
 
-def within_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
-    """(key, polygon_id): points in polygons (polygon_id, rings). A polygon is listed under the cells of its bounding box,
-    a point under its own, and the even-odd test decides. Cells of a polygon grow with its box, not with the points."""
-    x0, y0, x1, y1 = ring_box(F.col("rings"))
-    p = polygons.filter(F.size("rings") > 0).select(
-        "polygon_id", "rings", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")
-    )
-    at = lambda v: F.floor(v / cell).cast("int")
-    p = p.withColumn(
-        "_x", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))
-    ).withColumn("_y", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
-    q = points.select(key, "lon", "lat").withColumn("_x", at(F.col("lon"))).withColumn("_y", at(F.col("lat")))
-    box = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    return q.join(p, ["_x", "_y"]).filter(box).filter(
-        point_in_polygon(F.col("rings"), "lon", "lat")
-    ).select(key, "polygon_id")
+def within_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: float | None = None) -> DataFrame:
+    """(key, polygon_id): points in polygons (polygon_id, rings), by the even-odd rule: in the first ring and in none of the
+    others. Polygons are cut into quadtree cells, and points are looked up in theirs: in cells inside a polygon no edge is
+    tested, in those on its boundary the edges of the cell's row. ``cell`` bounds the width of boundary cells in degrees.
+    Rows that repeat a polygon_id are polygons of their own."""
+    numbered = kept(polygons.filter(F.size("rings") > 0).select(
+        "polygon_id", "rings", F.monotonically_increasing_id().alias("polygon")
+    ), "polygons")
+    hit = covered(points, kept(cover(numbered, cell), "cover"), key)
+    return hit.join(numbered.select("polygon", "polygon_id"), "polygon").select(key, "polygon_id")
 
 
 def clip(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
