@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,34 +36,59 @@ def sync(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables by source id, catalog entries) of the sources (id, kind, path, options, enabled) of a configuration.
 
-    Sources are read ``at_once`` at a time and tried ``tries`` times; one that fails or takes more than ``timeout`` seconds
-    does not stop the others: its entry says why, and names the files of the catalog before (``previous``) if it had any.
+    Sources are read ``at_once`` at a time, in the scheduler's pool ``sources``, and tried ``tries`` times; one that fails or
+    takes more than ``timeout`` seconds from its begin does not stop the others: its entry says why, and names the files of
+    the catalog before (``previous``) if it had any. The jobs of a source that is given up are cancelled, with all that it would
+    still start.
     """
     wanted = [s for s in sources if s.get("enabled", True)]
     if not wanted:
         return {}, spark.createDataFrame([], ENTRY)
+    sc, run = spark.sparkContext, uuid.uuid4().hex
+    begun: dict[int, float] = {}
+    given_up: set[int] = set()
 
-    def fetch(s: dict) -> DataFrame:
-        for k in range(tries):
+    def fetch(k: int, s: dict) -> tuple[DataFrame, int]:
+        begun[k] = time.monotonic()
+        sc.setLocalProperty("spark.scheduler.pool", "sources")
+        sc.setJobGroup(f"source-{run}-{k}", f"source {s['id']}", interruptOnCancel=True)
+        for attempt in range(max(1, tries)):
             try:
-                return kept(read(spark, s["kind"], s["path"], **s.get("options", {})), f"source-{s['id']}")
+                table = kept(read(spark, s["kind"], s["path"], **s.get("options", {})), f"source-{s['id']}")
+                return table, table.count()
             except Exception:  # noqa: BLE001  any failure of a source is its own
-                if k + 1 == tries:
+                if attempt + 1 >= tries or k in given_up:
                     raise
-        raise ValueError("tries must be at least 1")
+        raise AssertionError
 
-    tables, entries = {}, []
+    tables, entries = {}, {}
     pool = ThreadPoolExecutor(max(1, at_once))
+    open_ = {pool.submit(inheritable_thread_target(spark)(fetch), k, s): k for k, s in enumerate(wanted)}
     try:
-        for s, job in [(s, pool.submit(fetch, s)) for s in wanted]:
-            try:
-                tables[s["id"]] = job.result(timeout)
-                entries.append((s["id"], s["kind"], "ok", "sync completed", s["path"], tables[s["id"]].count()))
-            except Exception as error:  # noqa: BLE001
-                said = f"timed out after {timeout} s" if isinstance(error, TimeoutError) else str(error).split("\n")[0]
-                entries.append((s["id"], s["kind"], "error", said, None, None))
+        while open_:
+            late = [begun[k] + timeout for k in open_.values() if k in begun]
+            # those that wait for a place have no clock yet
+            left = max(0.0, min(late, default=time.monotonic() + 1) - time.monotonic())
+            done, _ = wait(open_, timeout=min(left, 1.0), return_when=FIRST_COMPLETED)
+            for job in done:
+                k = open_.pop(job)
+                s = wanted[k]
+                try:
+                    tables[s["id"]], rows = job.result()
+                    entries[k] = (s["id"], s["kind"], "ok", "sync completed", s["path"], rows)
+                except Exception as error:  # noqa: BLE001
+                    entries[k] = (s["id"], s["kind"], "error", str(error).split("\n")[0], None, None)
+            for job, k in list(open_.items()):
+                if k in begun and time.monotonic() - begun[k] > timeout:
+                    del open_[job]
+                    given_up.add(k)
+                    sc.cancelJobGroup(f"source-{run}-{k}")
+                    sc._jsc.sc().cancelJobGroupAndFutureJobs(f"source-{run}-{k}")
+                    s = wanted[k]
+                    entries[k] = (s["id"], s["kind"], "error", f"timed out after {timeout} s", None, None)
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
+    entries = [entries[k] for k in sorted(entries)]
     current = spark.createDataFrame(entries, ENTRY)
     if previous is None:
         return tables, current
