@@ -6,8 +6,10 @@ Floats are compared after ROUND(x + 1e-9, 4).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1114,3 +1116,75 @@ def scene_flow(spark, sf_dir):
     r = refs(spark, sf_dir).withColumns({"scan_km": F.lit(0.4), "track_km": F.lit(0.4)})
     out = scene.detect(pix(spark, sf_dir), heat(spark, sf_dir), zone(spark), r, c=scene.SceneConfig(rescue=RESCUE))
     return out.selected.select("fire_id", "scene_id", "row", "col", "score", "confidence", "official_confirmed", "tier")
+
+
+# ------------------------------------------------------------------ encoded grids, rounding
+
+#: Scenes of 2,500 events as grids of 50 columns, or of one row where the last scene's events make no whole rows. The stand-in
+#: for files: a scene's values, in order, as one array.
+GRIDS = """grids AS (SELECT event_id // 2500 AS scene_id, CASE WHEN count(*) % 50 = 0 THEN 50 ELSE count(*) END AS nx FROM events GROUP BY ALL),
+placed AS (SELECT event_id // 2500 AS scene_id, CAST(row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) - 1 AS INTEGER) AS k, value FROM events)"""
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scene_id, nx, numbers): the events of a scene, at most 2,500, in the order of their ids."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2500).alias("scene_id"), "event_id", "value")
+    g = e.groupBy(big("scene_id").alias("scene_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("v"))
+    return g.select("scene_id", F.when(F.size("v") % 50 == 0, 50).otherwise(F.size("v")).alias("nx"), F.col("v.value").alias("numbers"))
+
+
+@query(
+    f"""WITH {GRIDS} SELECT scene_id, CAST(k % nx AS INTEGER) AS i, CAST(k // nx AS INTEGER) AS j, round(30 - 0.02 * (k // nx) + 1e-9, 4) AS lat, round(104.5 + 0.02 * (k % nx) + 1e-9, 4) AS lon, round(round(value * 100) / 100 + 1e-9, 2) AS value FROM placed JOIN grids USING (scene_id)"""
+)
+def sql_grib_values(spark, sf_dir):
+    """Every event's value, packed into weather messages scene by scene and read again by SQL."""
+    from emberframe.sources import grib, table_functions
+
+    table_functions.register(spark)
+    g = grids(spark, sf_dir).withColumn("numbers", F.transform("numbers", lambda v: F.round(v * 100) / 100))
+    files = g.select(
+        "scene_id", grib.encode_grid("numbers", "nx", F.lit(30.0), F.lit(104.5), 0.02, 0.02, width=24).alias("content")
+    )
+    v = spark.sql("SELECT f.scene_id, v.* FROM {files} f, LATERAL grib_values(f.content) v", files=files)
+    return v.select("scene_id", "i", "j", r4("lat").alias("lat"), r4("lon").alias("lon"), F.round(F.col("value") + 1e-9, 2).alias("value"))
+
+
+@query(
+    f"""WITH {GRIDS} SELECT scene_id, CAST(k // nx AS INTEGER) AS "row", CAST(k % nx AS INTEGER) AS col, round(CAST(CAST(value AS FLOAT) AS DOUBLE) + 1e-9, 4) AS value, kind FROM placed JOIN grids USING (scene_id), (VALUES ('float32'), ('json')) kinds(kind)"""
+)
+def sql_raster_values(spark, sf_dir):
+    """Every event's value as rasters of floats and of JSON, read again by SQL."""
+    from emberframe.sources import table_functions
+
+    table_functions.register(spark)
+
+    @F.pandas_udf("binary")
+    def floats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.asarray(v, dtype="<f4").tobytes() for v in batch])
+
+    g = grids(spark, sf_dir).withColumn("height", (F.size("numbers") / F.col("nx")).cast("int"))
+    single = F.transform("numbers", lambda v: v.cast("float").cast("double"))
+    raw = g.select("scene_id", "nx", "height", floats("numbers").alias("content"), F.to_json(single).cast("binary").alias("text"))
+    both = spark.sql(
+        "SELECT f.scene_id, v.row, v.col, CAST(v.value AS DOUBLE) AS value, 'float32' AS kind FROM {raw} f, LATERAL raster_values(f.content, 'float32', f.height, f.nx) v "
+        "UNION ALL SELECT f.scene_id, v.row, v.col, v.value, 'json' AS kind FROM {raw} f, LATERAL raster_values(f.text, 'json', f.height, f.nx) v",
+        raw=raw
+    )
+    return both.select("scene_id", "row", "col", r4("value").alias("value"), "kind")
+
+
+@query(
+    """WITH given AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * ((event_id * 7919) % 100003) AS k FROM events),
+parts AS (SELECT event_id, k, d, p, abs(k) * p // 8 AS q, abs(k) * p % 8 AS r FROM given, (VALUES (0, 1), (1, 10), (2, 100)) digits(d, p))
+SELECT event_id, CAST(d AS INTEGER) AS digits, CAST(sign(k) * (q + CASE WHEN r > 4 OR (r = 4 AND q % 2 = 1) THEN 1 ELSE 0 END) / p AS DOUBLE) AS rounded FROM parts"""
+)
+def round_half_even(spark, sf_dir):
+    """Eighths, which have ties at every number of decimals below three, rounded with ties to even."""
+    from emberframe.functions.rounding import half_even
+
+    e = table(spark, sf_dir, "events").select(
+        "event_id", (F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1) * F.pmod(F.col("event_id") * 7919, F.lit(100003)) / 8).alias("x")
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("digits"), half_even("x", d).alias("rounded")) for d in (0, 1, 2)]))
+    return e.select("event_id", each.alias("v")).select("event_id", "v.digits", (F.col("v.rounded") + 0.0).alias("rounded"))

@@ -6,8 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VALUES = "path string, message int, category int, parameter int, surface_type int, surface_value double, i int, j int, lat double, lon double, value double"
 
@@ -115,6 +117,20 @@ def write_message(
     return b"GRIB\0\0\0\2" + (len(body) + 16).to_bytes(8, "big") + body
 
 
+def encode_grid(values, nx, lat, lon, dx: float, dy: float, **options) -> Column:
+    """A message of an array of values in row order, ``nx`` a row, from its first point (lat, lon) on; null for no values. See
+    ``write_message`` for the options."""
+
+    @F.pandas_udf("binary")
+    def encode(v: pd.Series, n: pd.Series, y: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if a is None or not len(a) else write_message(np.asarray(a, dtype=float).reshape(-1, int(w)), p, q, dx, dy, **options)
+            for a, w, p, q in zip(v, n, y, x)
+        ])
+
+    return encode(values, nx, lat, lon)
+
+
 def grid_values(spark: SparkSession, path: str) -> DataFrame:
     """One row per grid point of every message below ``path``."""
 
