@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions import radiometry as R
 from emberframe.functions.radiometry import Rescue, Thresholds, true
+from emberframe.operators.tables import kept
 
 PIXEL = ("scene_id", "row", "col")
 
@@ -247,7 +248,8 @@ def judge(
 
     t.checked()
     observed = observe(pixels, t)
-    seeds = seed(observed, t).filter(F.col("day") | F.col("night_hot"))
+    # few of the pixels; read by the background, the sources, the polygons and the result
+    seeds = kept(seed(observed, t).filter(F.col("day") | F.col("night_hot")), "seeds")
     found = seeds.drop("pv", "pc").join(background(seeds, observed, t), list(PIXEL), "left")
     found = found.withColumn("_key", F.struct(*PIXEL))
     hits, places = None, seeds.select(

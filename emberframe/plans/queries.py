@@ -541,12 +541,15 @@ def keep_latest_slots(spark, sf_dir):
 
 
 @query(
-    f"WITH {CAND} SELECT CAST(slot_ord AS BIGINT) AS slot_ord, CAST(sum(n_cand) AS BIGINT) AS n FROM state GROUP BY slot_ord"
+    f"WITH {CAND} SELECT CAST(slot_ord AS BIGINT) AS slot_ord, CAST(sum(n_cand) AS BIGINT) AS n, count(*) AS cells, round(sum(max_bt07_k) + 1e-9, 2) AS bt07, round(sum(max_t713_k) + 1e-9, 2) AS t713, sum(max_area) AS area FROM state GROUP BY slot_ord"
 )
 def merge_state(spark, sf_dir):
     s = kept(temporal.grid_state(cand(spark, sf_dir)), "state")
     again = temporal.merge_state(s, s.filter("slot_ord >= 1"))  # replayed slots change nothing
-    return again.groupBy(big("slot_ord").alias("slot_ord")).agg(F.sum("n_cand").alias("n"))
+    return again.groupBy(big("slot_ord").alias("slot_ord")).agg(
+        F.sum("n_cand").alias("n"), F.count("*").alias("cells"), F.round(F.sum("max_bt07_k") + 1e-9, 2).alias("bt07"),
+        F.round(F.sum("max_t713_k") + 1e-9, 2).alias("t713"), F.sum("max_area").alias("area")
+    )
 
 
 @query(f"""WITH {CAND} SELECT fire_id, round(max_bt07_k / greatest(max(max_bt07_k) OVER s, 1e-3) + 1e-9, 4) AS to_max, round(max_bt07_k - avg(max_bt07_k) OVER s + 1e-9, 4) AS minus_mean,
@@ -782,27 +785,32 @@ def upsert_latest(spark, sf_dir):
     ).select("k", "created", "updated")
 
 
-@query("""WITH o AS (SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS path, p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS size FROM part WHERE p_partkey % 7 <> 0)
-SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'new' WHEN o.size <> n.size THEN 'changed' WHEN n.path % 11 = 0 THEN 'missing' ELSE 'same' END AS change FROM o FULL JOIN n ON o.path = n.path""")
+@query("""WITH o AS (SELECT p_partkey AS path, p_size AS size, sha256(p_name) AS sha FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS path, p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS size, sha256(CASE WHEN p_partkey % 13 = 0 THEN p_name || '!' ELSE p_name END) AS sha FROM part WHERE p_partkey % 7 <> 0)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'new' WHEN o.size <> n.size OR o.sha <> n.sha THEN 'changed' WHEN n.path % 11 = 0 THEN 'missing' ELSE 'same' END AS change FROM o FULL JOIN n ON o.path = n.path""")
 def manifest_diff(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.lit("x").alias("sha256")
+        F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.sha2("p_name", 256).alias("sha256"), "p_name"
     )
     old, new = p.filter(F.pmod("path", F.lit(5)) != 0), p.filter(F.pmod("path", F.lit(7)) != 0).withColumn(
         "size", F.col("size") + F.when(F.pmod("path", F.lit(3)) == 0, 1).otherwise(0)
+    ).withColumn(
+        "sha256", F.when(F.pmod("path", F.lit(13)) == 0, F.sha2(F.concat("p_name", F.lit("!")), 256)).otherwise(F.col("sha256"))
     )
     return catalog.manifest_changes(old, new, p.filter(F.pmod("path", F.lit(11)) != 0))
 
 
-@query("""WITH f AS (SELECT l_orderkey // 10 AS scene_id, CAST(l_linenumber AS VARCHAR) AS band, l_orderkey % 10 AS segment FROM lineitem), p AS (SELECT scene_id, band, count(DISTINCT segment) AS n, count(DISTINCT segment) FILTER (segment IN (1, 2, 3)) AS have FROM f WHERE band IN ('1', '2') GROUP BY ALL)
-SELECT scene_id FROM p WHERE have = 3 AND n >= 3 GROUP BY scene_id HAVING count(*) = 2""")
+@query("""WITH f AS (SELECT l_orderkey // 10 AS scene_id, CAST(l_linenumber AS VARCHAR) AS band, l_orderkey % 10 AS segment FROM lineitem), p AS (SELECT scene_id, band, count(DISTINCT segment) AS n, count(DISTINCT segment) FILTER (segment IN (1, 2, 3)) AS have FROM f WHERE band IN ('1', '2') GROUP BY ALL),
+good AS (SELECT scene_id FROM p WHERE have = 3 AND n >= 3 GROUP BY scene_id HAVING count(*) = 2)
+SELECT scene_id, count(*) AS n_files, md5(string_agg(path, ',' ORDER BY band, segment, path)) AS paths FROM (SELECT *, band || '/' || segment AS path FROM f WHERE band IN ('1', '2')) JOIN good USING (scene_id) GROUP BY scene_id""")
 def scene_completeness(spark, sf_dir):
     k = F.col("l_orderkey")
     f = table(spark, sf_dir, "lineitem").select(
         big(F.floor(k / 10)).alias("scene_id"), F.col("l_linenumber").cast("string").alias("band"),
-        F.pmod(k, F.lit(10)).alias("segment"), F.lit("p").alias("path")
+        F.pmod(k, F.lit(10)).alias("segment")
+    ).withColumn("path", F.concat_ws("/", "band", F.col("segment").cast("string")))
+    return catalog.complete_scenes(f, ["1", "2"], [1, 2, 3]).select(
+        "scene_id", F.size("files").cast("long").alias("n_files"), F.md5(F.array_join("files.path", ",").cast("binary")).alias("paths")
     )
-    return catalog.complete_scenes(f, ["1", "2"], [1, 2, 3]).select("scene_id")
 
 
 @query("""WITH p AS (SELECT CAST(p_retailprice AS DOUBLE) / 10 AS mw FROM part), h AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_type = 'purchase')
@@ -901,16 +909,14 @@ def slot_retention(spark, sf_dir):
 
 
 @query(
-    f"WITH {REFS}, d AS (SELECT id // 2 AS id, sensor, acq_ts, round(lon, 1) AS lon, round(lat, 1) AS lat FROM refs) SELECT sensor, lon, lat, min(id) AS id FROM d GROUP BY sensor, lon, lat"
+    f"WITH {REFS}, d AS (SELECT id // 2 AS id, sensor, strftime(acq_ts, '%Y-%m-%d') AS acq_date, round(lon, 1) AS lon, round(lat, 1) AS lat FROM refs) SELECT sensor, lon, lat, acq_date, min(id) AS id FROM d GROUP BY ALL"
 )
 def dedupe_first(spark, sf_dir):
     d = refs(spark, sf_dir).select(
         big(F.floor(F.col("id") / 2)).alias("id"), "sensor", F.round("lon", 1).alias("lon"),
-        F.round("lat", 1).alias("lat"), F.lit(0).alias("acq_ts")
+        F.round("lat", 1).alias("lat"), F.date_trunc("day", "acq_ts").alias("acq_ts")
     )
-    return catalog.first_rows(
-        d, ["sensor", "acq_ts", F.round("lon", 6), F.round("lat", 6)], ["id"]
-    ).select("sensor", "lon", "lat", "id")
+    return catalog.distinct_references(d, "id").select("sensor", "lon", "lat", F.date_format("acq_ts", "yyyy-MM-dd").alias("acq_date"), "id")
 
 
 @query(f"""WITH {REFS} SELECT id FROM refs WHERE lon BETWEEN 104.6 AND 105.2 AND lat BETWEEN 30.1 AND 30.9 AND abs(epoch_us(acq_ts) - epoch_us(TIMESTAMP '2026-01-04 00:00:00')) <= 48 * 3.6e9
@@ -928,8 +934,7 @@ def accepted_references(spark, sf_dir):
 def staleness(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("acq_ts"))
     s = catalog.staleness(e, F.timestamp_seconds(F.lit(1706745600)))
-    age = (F.lit(1706745600 * 10**6) - F.unix_micros("acq_ts")) / 6e7
-    return s.select("event_id", F.round(age + 1e-9, 1).alias("age"), "stale")
+    return s.select("event_id", F.col("age_minutes").alias("age"), "stale")
 
 
 @query("""WITH f AS (SELECT o_orderkey AS k, o_orderpriority AS band, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM orders),
@@ -1092,20 +1097,22 @@ def slot_completeness(spark, sf_dir):
 
 
 @query(
-    f"WITH {SPOTS} SELECT count(*) AS scored, count(*) FILTER (lon < 105) AS west, count(*) FILTER (tier = 'model-rescue') AS rescued FROM spots"
+    f"""WITH {SPOTS}, routed AS (SELECT *, (fire_id % 10) / 10.0 AS p, lon < 105 AS west, tier = 'model-rescue' AND NOT official_confirmed AND CASE WHEN lon < 105 THEN (fire_id % 10) / 10.0 ELSE 0 END < 0.35 AS dropped FROM spots),
+kept AS (SELECT * FROM routed WHERE NOT dropped QUALIFY NOT west OR official_confirmed OR row_number() OVER (PARTITION BY scene_id, west ORDER BY official_confirmed DESC, p DESC, fire_id) <= 50)
+SELECT count(*) AS scored, count(*) FILTER (west) AS west, count(*) FILTER (tier = 'model-rescue') AS rescued, count(*) FILTER (dropped) AS rescue_dropped, (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FILTER (west) FROM kept) AS kept_west, (SELECT count(*) FILTER (NOT west) FROM kept) AS kept_elsewhere FROM routed"""
 )
 def score_summary(spark, sf_dir):
     s = kept(
         spots(spark, sf_dir).withColumns(
             {
-                "center_lon": F.col("lon"), "west_prob": F.lit(0.5), "east_prob": F.lit(None).cast("double"),
-                "confidence": F.lit("low")
+                "center_lon": F.col("lon"), "west_prob": F.pmod("fire_id", F.lit(10)) / 10,
+                "east_prob": F.lit(None).cast("double"), "confidence": F.lit("low")
             }
         ),
         "spots"
     )
     routed = ranking.route(s)
-    return ranking.score_summary(routed, ranking.within_budget(routed)).select("scored", "west", "rescued")
+    return ranking.score_summary(routed, ranking.within_budget(routed))
 
 
 @query()
@@ -1188,3 +1195,37 @@ def round_half_even(spark, sf_dir):
     )
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("digits"), half_even("x", d).alias("rounded")) for d in (0, 1, 2)]))
     return e.select("event_id", each.alias("v")).select("event_id", "v.digits", (F.col("v.rounded") + 0.0).alias("rounded"))
+
+
+@query(
+    f"""WITH {SPOTS}, picked AS (SELECT fire_id, scene_id, "row", col, round(score * 2 + 1e-9, 4) AS score, 'high' AS confidence, round(score / 20 + 1e-9, 6) AS model_prob FROM spots WHERE fire_id % 3 = 0)
+SELECT s.fire_id, round(coalesce(p.score, s.score) + 1e-9, 4) AS score, coalesce(p.confidence, 'low') AS confidence, p.model_prob, p.fire_id IS NOT NULL AS scored FROM spots s LEFT JOIN picked p ON s.fire_id = p.fire_id
+WHERE p.fire_id IS NOT NULL OR s.lon >= 105 OR s.official_confirmed"""
+)
+def sync_scores(spark, sf_dir):
+    """Scores of every third fire carried back to all fires; western ones without one go unless confirmed."""
+    s = spots(spark, sf_dir).withColumn("confidence", F.lit("low"))
+    scored = s.filter(F.pmod("fire_id", F.lit(3)) == 0).withColumns({
+        "score": F.round(F.col("score") * 2 + 1e-9, 4), "confidence": F.lit("high"),
+        "model_prob": F.round(F.col("score") / 20 + 1e-9, 6)
+    })
+    out = ranking.sync_scores(s, scored)
+    return out.select("fire_id", r4("score").alias("score"), "confidence", "model_prob", F.col("model_prob").isNotNull().alias("scored"))
+
+
+@query(
+    f"""WITH RECURSIVE {SPOTS}, near AS (SELECT a.fire_id AS a, b.fire_id AS b FROM spots a JOIN spots b ON a.scene_id = b.scene_id AND a.user_id % 5 = b.user_id % 5 AND abs(a.lat - b.lat) <= 0.03 WHERE {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2.5),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), label AS (SELECT a, min(b) AS event_id FROM reach GROUP BY a)
+SELECT event_id, min(acq_ts + to_seconds(60 * 3600 * (user_id % 5))) AS first_seen, count(DISTINCT acq_ts) AS persistence_count, count(*) AS fire_count, round(avg(lon) + 1e-9, 4) AS lon, round(avg(lat) + 1e-9, 4) AS lat, max(score) AS max_score FROM spots JOIN label ON a = fire_id GROUP BY event_id"""
+)
+def fire_events(spark, sf_dir):
+    """All fires as events: those of a scene and fifth of its users that chain together within 2.5 km at one time."""
+    from emberframe.operators import events
+
+    fifth = F.pmod("user_id", F.lit(5)) * 60 * 3600
+    f = spots(spark, sf_dir).withColumn("acq_ts", F.timestamp_micros(F.unix_micros("acq_ts") + fifth * 1_000_000))
+    e = events.fire_events(f, 2.5, 30.0)
+    return e.select(
+        "event_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "persistence_count", "fire_count",
+        r4("lon").alias("lon"), r4("lat").alias("lat"), "max_score"
+    )
