@@ -43,6 +43,28 @@ def grid_points(spark: SparkSession, g: dict[str, float]) -> DataFrame:
     )
 
 
+def grids_of(boxes: DataFrame, key: str, lat: float = 39.9, lon: float = 116.39) -> DataFrame:
+    """(key, lat, lon) of every grid point of every row of ``boxes`` (key, min_lat, max_lat, min_lon, max_lon, step_lat, step_lon:
+    doubles), by the rules of ``grid_bounds``: a bound or step that is null or not finite has its default."""
+    given = lambda c, default: F.when(
+        F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)
+    ).otherwise(F.lit(float(default)))
+    inside = lambda x, most: F.least(F.greatest(x, F.lit(-most)), F.lit(most))
+    ends = {
+        n: [inside(given(f"{side}_{n}", at + d), most) for side, d in (("min", -8), ("max", 8))]
+        for n, at, most in (("lat", lat, 90.0), ("lon", lon, 180.0))
+    }
+
+    def axis(n: str) -> Column:
+        (a, b), step = ends[n], F.greatest(given(f"step_{n}", 2.0), F.lit(0.25))
+        low, high = F.least(a, b), F.greatest(a, b)
+        places = F.sequence(F.lit(0).cast("long"), F.floor((high - low + 1e-4) / step))
+        return F.transform(places, lambda k: F.round(low + k * step, 4))
+
+    rows = boxes.select(key, axis("lat").alias("_lat"), axis("lon").alias("_lon"))
+    return rows.withColumn("lat", F.explode("_lat")).withColumn("lon", F.explode("_lon")).select(key, "lat", "lon")
+
+
 def celsius(value, unit) -> Column:
     value = _col(value)
     return F.when(F.lower(F.coalesce(_col(unit), F.lit(""))).contains("k"), value - 273.15).otherwise(value)

@@ -92,10 +92,19 @@ def replace_scenes(
     return old.join(scenes.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """(path, size, sha256) of files (path, content, order); of several with one path the first stays."""
+def digests(files: DataFrame) -> DataFrame:
+    """(path, size, md5, sha256) of files (path, content, order); of several with one path the first stays."""
     one = first_rows(files, ["path"], ["order"])
-    return one.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    content = F.col("content").cast("binary")
+    return one.select(
+        "path", F.length(content).cast("long").alias("size"), F.md5(content).alias("md5"),
+        F.sha2(content, 256).alias("sha256")
+    )
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """(path, size, sha256) of files; see ``digests``."""
+    return digests(files).drop("md5")
 
 
 def collected_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:

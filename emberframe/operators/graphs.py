@@ -1,4 +1,4 @@
-"""Iterative operators on conflict and link graphs: connected components and exact greedy selections."""
+"""Connected components of link graphs."""
 
 from __future__ import annotations
 
@@ -111,64 +111,3 @@ def _components_by_hash(nodes: DataFrame, edges: DataFrame, rounds: int) -> Data
     of = named.join(label.withColumnRenamed("id", "h"), "h").select("id", F.col("component").alias("group"))
     first = of.groupBy("group").agg(F.min("id").alias("component"))
     return nodes.select("id").distinct().join(of.join(first, "group").select("id", "component"), "id")
-
-
-def greedy_selection(items: DataFrame, conflicts: DataFrame, rounds: int = 12) -> DataFrame:
-    """The ids that a sequential greedy pass keeps: items (id, rank: unique, the least first) are taken unless they conflict
-    (a, b, either way) with one taken before.
-
-    Each round takes every item that ranks before all its remaining conflicts and drops those conflicts; with unique
-    ranks this is the sequential result, and most items are decided in a few rounds. What ``rounds`` leave open are chains
-    of falling ranks: each component of the open conflicts is gone through by one task, in order, so that a chain of any
-    length takes no more rounds. Only ids travel; each round is written to the shared folder.
-    """
-    pairs = conflicts.filter("a <> b").select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    rank = items.select("id", "rank")
-    both = both.join(
-        rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a"
-    ).join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    left = kept(both, "conflicts")
-    taken = rank.select("id").join(left.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    for _ in range(rounds):
-        if not left.limit(1).count():
-            return taken
-        won = kept(
-            left.groupBy("a").agg(
-                F.max((F.col("rb") < F.col("ra")).cast("int")).alias("beaten")
-            ).filter("beaten = 0").select(F.col("a").alias("id")),
-            "won"
-        )
-        lost = left.join(won, left["a"] == won["id"]).select(F.col("b").alias("id")).distinct()
-        gone = won.unionByName(lost)
-        after = left.join(
-            gone.select(F.col("id").alias("a")), "a", "left_anti"
-        ).join(gone.select(F.col("id").alias("b")), "b", "left_anti")
-        after = kept(after, "conflicts")
-        # items whose conflicts are all gone are free
-        free = left.select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti").join(
-            after.select(F.col("a").alias("id")).distinct(), "id", "left_anti"
-        )
-        taken = kept(taken.unionByName(won).unionByName(free), "taken")
-        left = after
-    return taken.unionByName(_select_chains(left))
-
-
-def _select_chains(conflicts: DataFrame) -> DataFrame:
-    """The greedy pass over each component of the conflicts (a, b, ra, rb; both ways)."""
-    label = connected_components(conflicts.select(F.col("a").alias("id")), conflicts.select("a", "b"))
-    kind = conflicts.schema["a"].dataType
-
-    def run(table: pa.Table) -> pa.Table:
-        a, b, rank = (table[c].to_pylist() for c in ("a", "b", "ra"))
-        against: dict = {}
-        for u, v in zip(a, b):
-            against.setdefault(u, []).append(v)
-        keep: set = set()
-        for _, u in sorted(set(zip(rank, a))):
-            if not keep.intersection(against[u]):
-                keep.add(u)
-        return pa.table([pa.array(list(keep), table.schema.field("a").type)], names=["id"])
-
-    rows = conflicts.join(label, conflicts["a"] == label["id"]).select("component", "a", "b", "ra")
-    return rows.groupBy("component").applyInArrow(run, f"id {kind.simpleString()}")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions import radiometry as R
@@ -266,16 +266,27 @@ def judge(
     return cascade(found.drop("_key"), t, rescue)
 
 
-def stage_counts(judged: DataFrame) -> DataFrame:
-    """Per scene: seeds, rejections by stage, accepted and rescued."""
+def stage_aggregates() -> list[Column]:
+    """Aggregates over judged seeds: seeds, rejections by stage, accepted and rescued."""
     count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
-    return judged.groupBy("scene_id").agg(
+    return [
         F.count("*").alias("seeds"), count(F.col("day")).alias("day_seeds"),
         count(F.col("night_hot")).alias("night_seeds"),
         *[count(F.col("reject") == s).alias(f"rejected_{s}") for s in STAGES],
         count(F.col("reject").isNull()).alias("accepted"),
         count(F.col("reject").isNull() & (F.col("tier") == "model-rescue")).alias("rescued"),
-    )
+    ]
+
+
+def stage_counts(judged: DataFrame) -> DataFrame:
+    """Per scene: seeds, rejections by stage, accepted and rescued."""
+    return judged.groupBy("scene_id").agg(*stage_aggregates())
+
+
+def counted(judged: DataFrame, into: Observation | str) -> DataFrame:
+    """``judged``, whose stages are counted by the pass that reads it, all scenes together, with the newest time: no second
+    aggregation. A stream takes a name, and its progress has the counts (``streaming.metrics``)."""
+    return judged.observe(into, *stage_aggregates(), F.max(F.unix_micros("acq_ts")).alias("newest_micros"))
 
 
 def simple_detector(pixels: DataFrame, background_: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -722,13 +722,20 @@ def pv_radius(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT event_id, event_id % 9 AS target FROM events) SELECT event_id, CAST(CASE WHEN target <= 1 THEN 0 WHEN target <= 3 THEN 1 WHEN target <= 5 THEN 3 ELSE 3 END AS BIGINT) AS at FROM s"""
+    """WITH h AS (SELECT user_id, list_sort(list_distinct(list(hour(ts)))) AS hours FROM events WHERE event_id % 3 <> 0 GROUP BY user_id),
+f AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN list_concat([NULL], hours) ELSE hours END AS times FROM h), e AS (SELECT event_id, hour(ts) + 1 AS target, times FROM events LEFT JOIN f USING (user_id))
+SELECT event_id, CASE WHEN times IS NULL THEN -1 ELSE least(len([t for t in times if coalesce(t < target, true)]), len(times) - 1) END AS at FROM e"""
 )
 def forecast_asof(spark, sf_dir):
-    times = F.array(F.lit(1), F.lit(3), F.lit(None).cast("int"), F.lit(5), F.lit(None).cast("int"))
-    return table(spark, sf_dir, "events").select(
-        "event_id", big(weather.forecast_index(times, F.pmod("event_id", F.lit(9)))).alias("at")
-    )
+    """For every event the place of the first forecast after its hour, among those of its user: hours of some events of theirs,
+    with a missing time first for every second user."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.hour("ts").alias("hour"))
+    hours = e.filter(F.pmod("event_id", F.lit(3)) != 0).groupBy("user_id").agg(F.sort_array(F.collect_set("hour")).alias("h"))
+    none = F.array(F.lit(None).cast("int"))
+    times = F.when(F.pmod("user_id", F.lit(2)) == 0, F.concat(none, F.col("h"))).otherwise(F.col("h"))
+    f = hours.select("user_id", times.alias("times"))
+    at = F.when(F.col("times").isNull(), -1).otherwise(weather.forecast_index(F.col("times"), F.col("hour") + 1))
+    return e.join(f, "user_id", "left").select("event_id", big(at).alias("at"))
 
 
 @query("""WITH w AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN (event_id * 3) % 101 END AS rh, CASE WHEN event_id % 13 <> 0 THEN (event_id * 7) % 45 - 5 END AS t, CASE WHEN event_id % 17 <> 0 THEN (event_id * 5) % 25 END AS wind, (event_id % 8) / 2.0 AS rain, event_id % 3000 AS cape FROM events)
@@ -744,11 +751,33 @@ def fire_risk_index(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", big(risk).alias("risk"))
 
 
+#: A weather grid per supplier: bounds are swapped for every third, beyond the poles for every fifth, absent for every seventh;
+#: steps are too small for every fourth.
+BOXES = """boxes AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN CASE WHEN s_suppkey % 5 = 0 THEN 88.0 ELSE (s_suppkey % 60)::DOUBLE END END AS a,
+  CASE WHEN s_suppkey % 7 <> 0 THEN CASE WHEN s_suppkey % 5 = 0 THEN 95.0 ELSE s_suppkey % 60 + 3.5 END END AS b, CASE WHEN s_suppkey % 7 <> 0 THEN 100.0 + s_suppkey % 50 END AS c,
+  CASE WHEN s_suppkey % 7 <> 0 THEN 104.0 + s_suppkey % 50 END AS d, CASE WHEN s_suppkey % 7 <> 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN 0.1 ELSE 0.75 END END AS step FROM supplier),
+ends AS (SELECT k, greatest(least(coalesce(CASE WHEN k % 3 = 0 THEN b ELSE a END, 31.9), 90), -90) AS a, greatest(least(coalesce(CASE WHEN k % 3 = 0 THEN a ELSE b END, 47.9), 90), -90) AS b,
+  coalesce(c, 108.39) AS c, coalesce(d, 124.39) AS d, greatest(coalesce(step, 2.0), 0.25) AS step FROM boxes),
+axes AS (SELECT k, least(a, b) AS low, CAST(floor((greatest(a, b) - least(a, b) + 1e-4) / step) AS BIGINT) AS n, c, CAST(floor((d - c + 1e-4) / step) AS BIGINT) AS m, step FROM ends)"""
+
+
 @query(
-    "SELECT round(31.9 + a.k * 2.0, 4) AS lat, round(108.39 + b.k * 2.0, 4) AS lon FROM range(9) a(k), range(9) b(k)"
+    f"WITH {BOXES}, lats AS (SELECT k, c, m, step, low, unnest(range(n + 1)) AS i FROM axes), both_ AS (SELECT *, unnest(range(m + 1)) AS j FROM lats) SELECT k, round(low + i * step, 4) AS lat, round(c + j * step, 4) AS lon FROM both_"
 )
 def weather_grid(spark, sf_dir):
-    return weather.grid_points(spark, weather.grid_bounds())
+    """The points of a weather grid for every supplier, some by the default bounds."""
+    k = F.col("s_suppkey")
+    some = lambda x: F.when(F.pmod(k, F.lit(7)) != 0, x.cast("double"))
+    low = F.when(F.pmod(k, F.lit(5)) == 0, 88.0).otherwise(F.pmod(k, F.lit(60)))
+    high = F.when(F.pmod(k, F.lit(5)) == 0, 95.0).otherwise(F.pmod(k, F.lit(60)) + 3.5)
+    swapped, west = F.pmod(k, F.lit(3)) == 0, F.pmod(k, F.lit(50)) + 100
+    step = some(F.when(F.pmod(k, F.lit(4)) == 0, 0.1).otherwise(0.75))
+    boxes = table(spark, sf_dir, "supplier").select(
+        k.alias("k"), some(F.when(swapped, high).otherwise(low)).alias("min_lat"),
+        some(F.when(swapped, low).otherwise(high)).alias("max_lat"), some(west).alias("min_lon"),
+        some(west + 4).alias("max_lon"), step.alias("step_lat"), step.alias("step_lon")
+    )
+    return weather.grids_of(boxes, "k")
 
 
 @query("""SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN value + 250 - 273.15 ELSE value END + 1e-9, 4) AS c, round(CASE event_id % 3 WHEN 0 THEN value * 1000 / 100 WHEN 1 THEN value * 10 ELSE value END + 1e-9, 4) AS hpa,
@@ -1229,3 +1258,42 @@ def fire_events(spark, sf_dir):
         "event_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "persistence_count", "fire_count",
         r4("lon").alias("lon"), r4("lat").alias("lat"), "max_score"
     )
+
+
+@query("SELECT p_partkey AS path, CAST(strlen(p_name) AS BIGINT) AS size, md5(p_name) AS md5, sha256(p_name) AS sha256 FROM part")
+def file_digests(spark, sf_dir):
+    """Digests of every part's name, each also listed a second time with other contents that do not count."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("path"), F.col("p_name").cast("binary").alias("content"), F.lit(0).alias("order")
+    )
+    again = p.withColumns({"content": F.encode(F.lit("other"), "utf-8"), "order": F.lit(1)})
+    return catalog.digests(p.unionByName(again))
+
+
+@query(
+    f"""WITH {SPOTS}, squares AS (SELECT s_suppkey AS id, s_name AS name, 104.507 + (s_suppkey % 31) * 0.03 AS x, 30.007 + (s_suppkey % 29) * 0.03 AS y FROM supplier)
+SELECT fire_id, (SELECT arg_min(name, id) FROM squares WHERE lon BETWEEN x AND x + 0.06 AND lat BETWEEN y AND y + 0.06) AS polygon_name FROM spots"""
+)
+def polygon_names(spark, sf_dir):
+    """The supplier on whose square every fire lies; squares overlap, and the least number is on top."""
+    x = 104.507 + F.pmod("s_suppkey", F.lit(31)) * 0.03
+    y = 30.007 + F.pmod("s_suppkey", F.lit(29)) * 0.03
+    corner = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    ring = F.array(corner(0, 0), corner(0.06, 0), corner(0.06, 0.06), corner(0, 0.06))
+    squares = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("polygon_id"), F.col("s_name").alias("name"), F.array(ring).alias("rings")
+    )
+    return serving.polygon_at(spots(spark, sf_dir).select("fire_id", "lon", "lat"), squares, "fire_id").select(
+        "fire_id", "polygon_name"
+    )
+
+
+@query(
+    f"""WITH {SPOTS} SELECT fire_id, '{{"scene_id":' || scene_id || ',"row":' || "row" || ',"col":' || col || ',"tier":"' || tier || '","user":' || CASE WHEN fire_id % 4 = 0 THEN 'null' ELSE CAST(user_id AS VARCHAR) END || '}}' AS detail FROM spots"""
+)
+def detail_payload(spark, sf_dir):
+    """Every fire with its details as one JSON text."""
+    from emberframe.sources import sinks
+
+    s = spots(spark, sf_dir).withColumn("user", F.when(F.pmod("fire_id", F.lit(4)) != 0, F.col("user_id")))
+    return sinks.with_detail(s, ["scene_id", "row", "col", "tier", "user"]).select("fire_id", "detail")

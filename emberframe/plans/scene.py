@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from emberframe.functions.features import base_features, candidate_frame, slot_ordinal
@@ -36,8 +36,8 @@ class SceneConfig:
 @dataclass
 class SceneResult:
     """All seeds with what became of them; the fires among them, with scores as published; those that stay after suppression
-    and budgets; areas of connected fires; the grid state; the official detections with what matched them; and why the
-    scorer failed, if it did."""
+    and budgets; areas of connected fires; the grid state; the official detections with what matched them; why the
+    scorer failed, if it did; and how many seeds each stage rejected."""
 
     judged: DataFrame
     fires: DataFrame
@@ -46,6 +46,8 @@ class SceneResult:
     state: DataFrame | None = None
     ranges: DataFrame | None = None
     scorer_error: str | None = None
+    #: ``pixels.counted`` over all scenes.
+    counts: dict | None = None
 
 
 def fire_rows(judged: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def detect(
     Scores go back to the fires that suppression left out: those at a scored place take its score, western ones without
     one are dropped unless confirmed. Areas are formed of what is left, with the rings of their pixels. A scorer that fails
     ends the run unless ``fail_open``; then fires keep their physical scores, and the result says why."""
-    judged = kept(pixels.judge(frame, sources, None, c.thresholds, c.rescue), "judged")
+    seen = Observation("stages")
+    judged = kept(pixels.counted(pixels.judge(frame, sources, None, c.thresholds, c.rescue), seen), "judged")
     fires = pixels.limit_rescued(fire_rows(judged), c.rescue)
     if boundary is not None:
         fires = spatial.clip(fires, boundary, "fire_id").filter("accepted").drop("accepted")
@@ -90,7 +93,7 @@ def detect(
         fires = ranking.sync_scores(fires, selected, (c.scorer or ranking.Scorer()).west_lon_max)
     fires = kept(clusters.footprints(fires, frame), "footprints")
     ranges = spatial.official_ranges(references, fires) if references is not None and c.fuse else None
-    return SceneResult(judged, fires, selected, clusters.fire_clusters(fires), state, ranges, error)
+    return SceneResult(judged, fires, selected, clusters.fire_clusters(fires), state, ranges, error, dict(seen.get))
 
 
 def score(fires: DataFrame, state: DataFrame | None, c: SceneConfig) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -100,3 +102,32 @@ def sync(
     message = F.when(recovered, F.concat("message", F.lit(" (the last good files stay)"))).otherwise(F.col("message"))
     last = [F.when(recovered, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("path", "rows")]
     return tables, joined.select("source_id", "kind", "status", message.alias("message"), *last)
+
+
+class SingleFlight:
+    """Runs of a job by name, one at a time: who asks while a run of that name is under way waits for it and gets its result,
+    or its error; who asks later starts another."""
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self._runs: dict[str, Future] = {}
+
+    def run(self, name: str, job: Callable[[], Any]) -> Any:
+        with self._lock:
+            under_way = self._runs.get(name)
+            own = under_way is None
+            if own:
+                under_way = self._runs[name] = Future()
+        if not own:
+            return under_way.result()
+        try:
+            result = job()
+        except BaseException as error:
+            self._end(name).set_exception(error)
+            raise
+        self._end(name).set_result(result)
+        return result
+
+    def _end(self, name: str) -> Future:
+        with self._lock:
+            return self._runs.pop(name)

@@ -61,6 +61,12 @@ def feature_collection(
     return parts
 
 
+def with_detail(df: DataFrame, columns: list[str], name: str = "detail") -> DataFrame:
+    """``df`` with ``columns`` packed as one JSON text, nulls kept, in place of them."""
+    packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias(name)
+    return df.select(*[c for c in df.columns if c not in columns], packed)
+
+
 def write_scene(df: DataFrame, path: str, scenes: list[str] | None = None) -> None:
     """Replace the scenes' partitions. A scene without rows any more loses its partition too, so a replay is idempotent."""
     spark, seen = df.sparkSession, Observation()

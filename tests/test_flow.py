@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.functions.radiometry import Thresholds
+from emberframe.operators import pixels, ranking
 from emberframe.operators.ranking import Scorer
 from emberframe.plans import config, scene
 
@@ -175,3 +176,68 @@ def test_scorer_fusion_and_models_from_a_file(spark, tmp_path):
     with pytest.raises(Exception):
         config.with_models(spark, scene.SceneConfig(), {"v15Scorer": {"modelPath": str(tmp_path / "none.txt")}})
     assert config.with_models(spark, c, {"v15Scorer": {"enabled": False}}).west_model is None
+
+
+def test_stages_are_counted_in_the_pass(spark):
+    out = scene.detect(frame(spark), c=scene.SceneConfig(thresholds=T))
+    per = pixels.stage_counts(out.judged).drop("scene_id")
+    want = {c: sum(r[c] for r in per.collect()) for c in per.columns}
+    assert {c: out.counts[c] for c in per.columns} == want and want["seeds"] == 2 * len(HOT)
+    assert out.counts["newest_micros"] == AT.timestamp() * 1e6
+
+
+def test_progress_of_a_stream_has_the_counts(spark, tmp_path):
+    import os
+    import time
+
+    from emberframe.streaming import metrics
+
+    schema = "scene_id string, acq_ts timestamp, day boolean, night_hot boolean, reject string, tier string"
+    late = dt.datetime.now(dt.timezone.utc) - dt.timedelta(minutes=90)
+    fresh = dt.datetime.now(dt.timezone.utc)
+    parts = [
+        [("a", late, True, False, None, "strict"), ("a", late, True, False, "cloud", "strict")],
+        [("b", fresh, False, True, None, "model-rescue"), ("c", late, True, None, "edge", "strict")]
+    ]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        (file,) = (tmp_path / f"p{k}").glob("*.parquet")
+        os.utime(file.rename(tmp_path / "in" / f"{k}.parquet"), (1e9 + k, 1e9 + k))
+    listener = metrics.StageListener(limit_minutes=45)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        pixels.counted(stream, "stages").writeStream.foreachBatch(lambda b, _: b.count() and None).option(
+            "checkpointLocation", str(tmp_path / "c")
+        ).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if len(listener.batches) == 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    first, second = listener.batches
+    assert (first["seeds"], first["rejected_cloud"], first["accepted"], first["stale"]) == (2, 1, 1, True)
+    assert 89 < first["age_minutes"] < 100 and (second["night_seeds"], second["rescued"], second["stale"]) == (1, 1, False)
+    whole = spark.createDataFrame([r for p in parts for r in p], schema)
+    per = pixels.stage_counts(whole).drop("scene_id")
+    assert {c: sum(r[c] for r in per.collect()) for c in per.columns} == {c: first[c] + second[c] for c in per.columns}
+
+
+def test_order_of_publication_and_steps_of_ones_own(spark):
+    rows = [(1, 5.0, 10.0, 3.0), (2, 7.0, 10.0, 3.0), (3, 5.0, 11.0, 3.0), (4, 5.0, 10.0, 4.0)]
+    df = spark.createDataFrame(rows, "id int, score double, lat double, lon double")
+    assert [r["id"] for r in ranking.in_order(df).collect()] == [2, 3, 4, 1]
+    assert ranking.custom_step(df, lambda d: d.filter("id > 2")).count() == 2
+    with pytest.raises(TypeError):
+        ranking.custom_step(df, lambda d: d.collect())
+
+
+def test_summary_is_written_as_lines(spark, tmp_path):
+    from emberframe.sources import sinks
+
+    out = scene.detect(frame(spark), c=scene.SceneConfig(thresholds=T))
+    per = pixels.stage_counts(out.judged)
+    sinks.write_summary(per, str(tmp_path / "s"))
+    assert sorted(map(str, spark.read.schema(per.schema).json(str(tmp_path / "s")).collect())) == sorted(map(str, per.collect()))

@@ -105,3 +105,43 @@ def test_the_clock_of_a_source_starts_with_it(spark, monkeypatch):
     sources = [{"id": str(k), "kind": "sleeping", "path": "", "options": {"seconds": 3.0}} for k in range(3)]
     _, entries = registry.sync(spark, sources, at_once=1, timeout=8.0)
     assert [r["status"] for r in entries.collect()] == ["ok"] * 3
+
+
+def test_one_run_at_a_time():
+    import threading
+
+    flight, started, go, calls, got = registry.SingleFlight(), threading.Event(), threading.Event(), [], []
+
+    def job():
+        calls.append(1)
+        started.set()
+        go.wait(10)
+        return len(calls)
+
+    def fails():
+        calls.append(1)
+        started.set()
+        go.wait(10)
+        raise ValueError("no")
+
+    def ask(work):
+        try:
+            got.append(flight.run("sync", work))
+        except ValueError as error:
+            got.append(str(error))
+
+    for work, want in ((job, 1), (fails, "no")):
+        calls.clear(), got.clear(), started.clear(), go.clear()
+        first = threading.Thread(target=ask, args=(work,))
+        first.start()
+        started.wait(10)
+        others = [threading.Thread(target=ask, args=(work,)) for _ in range(3)]
+        for t in others:
+            t.start()
+        assert flight.run("other", lambda: 5) == 5
+        time.sleep(0.2)
+        go.set()
+        for t in (first, *others):
+            t.join(10)
+        assert got == [want] * 4 and len(calls) == 1
+    assert flight.run("sync", lambda: 7) == 7
