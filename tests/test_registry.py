@@ -28,7 +28,7 @@ def test_queries_are_read_without_a_session():
     found = names(ROOT)
     assert len(found) >= 55
     if os.path.isdir(os.path.join(ROOT, "emberframe", "llm")):
-        assert {f"op{n}" for n in range(1, 11)} <= {x.partition("_")[0] for x in found} and "pipeline" in found
+        assert {f"op{n}" for n in range(1, 14)} <= {x.partition("_")[0] for x in found} and "pipeline" in found
 
 
 def test_queries_are_read_without_the_subpackage(tmp_path):
