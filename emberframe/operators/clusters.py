@@ -99,29 +99,30 @@ def _own_cell(km: float) -> Column:
     return F.struct(band.alias("band"), F.floor((F.col("lon") + 180) / 360 * columns).alias("column"))
 
 
-def chain_edges(points: DataFrame, km: float, minutes: float | None = None) -> DataFrame:
+def chain_edges(points: DataFrame, km: float, minutes: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b): links whose components are those of all pairs of points (id, lon, lat, acq_ts) within ``km`` and, unless it is
-    None, ``minutes``.
+    None, ``minutes``; with equal values of the columns ``by``, if there are any.
 
     Cells of space and time whose points are all linked with each other link each with the cell's least id. Only places of
     different cells are compared, each distinct place and time once, and give a link between the cells, so a flare that is
-    seen for years at one place, or by many passes at once, does not meet itself. Points without a place (or time) have no
-    links."""
+    seen for years at one place, or by many passes at once, does not meet itself. Points without a place (or time, or a value
+    of ``by``) have no links."""
     timed = minutes is not None
     width = max((minutes or 0) * 6e7, 1.0)
     slot = F.floor(F.unix_micros("acq_ts") / width).cast("long") if timed else F.lit(0).cast("long")
     at = F.unix_micros("acq_ts") if timed else F.lit(0).cast("long")
+    same = [f"_by_{c}" for c in by]
     p = points.select(
         "id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), at.alias("at"),
-        slot.alias("_slot")
-    ).dropna(subset=["lon", "lat", "at"])
-    p = p.withColumn("cell", F.struct(_own_cell(km).alias("place"), "_slot"))
+        slot.alias("_slot"), *[F.col(c).alias(f"_by_{c}") for c in by]
+    ).dropna(subset=["lon", "lat", "at", *same])
+    p = p.withColumn("cell", F.struct(_own_cell(km).alias("place"), "_slot", *same))
     reps = p.groupBy("cell").agg(F.min("id").alias("rep"))
     named = p.join(reps, "cell")
-    places = named.select("rep", "lon", "lat", "at", "_slot").distinct()
+    places = named.select("rep", "lon", "lat", "at", "_slot", *same).distinct()
     other = places.select(
         F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("at").alias("r_at"),
-        "_slot"
+        "_slot", *same
     )
     # near in time are points of the same slot or of the next, so each looks at its own and forward
     ahead = F.array(*[F.col("_slot") + k for k in ((0, 1) if timed else (0,))])
@@ -129,7 +130,7 @@ def chain_edges(points: DataFrame, km: float, minutes: float | None = None) -> D
     once = (F.col("_slot") > F.col("_own")) | (F.col("rep") < F.col("r_rep"))
     near = once & (F.abs(F.col("at") - F.col("r_at")) <= width) if timed else once
     # both sides grow with the points, one of them by its copies: never broadcast
-    between = distance_join(left, other.hint("merge"), km, on=("_slot",), extra=near)
+    between = distance_join(left, other.hint("merge"), km, on=("_slot", *same), extra=near)
     return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(
         between.select(F.col("rep").alias("a"), F.col("r_rep").alias("b")).distinct()
     )

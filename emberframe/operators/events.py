@@ -42,30 +42,35 @@ def _summed(marks: DataFrame) -> DataFrame:
     )
 
 
-def event_rows(marks: DataFrame) -> DataFrame:
+def event_rows(marks: DataFrame, digits: int | None = 6) -> DataFrame:
     """(event_id, first_seen, last_seen, persistence_count, fire_count, lon, lat, max_score) of marks. The persistence is the
-    number of different times."""
+    number of different times. Places are rounded to ``digits``, or not at all."""
+    mean = lambda c: F.sum(f"{c}_sum") / F.sum("n")
+    place = lambda c: (mean(c) if digits is None else F.round(mean(c), digits)).alias(c)
     return marks.groupBy("event_id").agg(
         F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count("*").alias("persistence_count"),
-        F.sum("n").alias("fire_count"), F.round(F.sum("lon_sum") / F.sum("n"), 6).alias("lon"),
-        F.round(F.sum("lat_sum") / F.sum("n"), 6).alias("lat"), F.max("top").alias("max_score")
+        F.sum("n").alias("fire_count"), place("lon"), place("lat"), F.max("top").alias("max_score")
     )
 
 
-def _placed(fires: DataFrame) -> DataFrame:
-    return fires.select("fire_id", "lon", "lat", "acq_ts", F.col("score").cast("double").alias("score")).dropna(
-        subset=["fire_id", "lon", "lat", "acq_ts"]
+def _placed(fires: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return fires.select("fire_id", "lon", "lat", "acq_ts", F.col("score").cast("double").alias("score"), *by).dropna(
+        subset=["fire_id", "lon", "lat", "acq_ts", *by]
     ).dropDuplicates(["fire_id"])
 
 
-def fire_events(fires: DataFrame, km: float = 4.0, minutes: float = 60.0) -> DataFrame:
-    """``event_rows`` of fires (fire_id, lon, lat, acq_ts, score) that chain together within ``km`` and ``minutes``; an event is
-    named by its least fire_id. Fires without an id, place or time belong to none; one that comes twice counts once."""
-    f = _placed(fires)
+def fire_events(
+    fires: DataFrame, km: float = 4.0, minutes: float = 60.0, by: tuple[str, ...] = (), digits: int | None = 6
+) -> DataFrame:
+    """``event_rows`` of fires (fire_id, lon, lat, acq_ts, score) that chain together within ``km`` and ``minutes``, and with
+    equal values of the columns ``by``; an event is named by its least fire_id. Fires without an id, place, time or value of
+    ``by`` belong to none; one that comes twice counts once."""
+    f = _placed(fires, by)
     label = connected_components(
-        f.select(F.col("fire_id").alias("id")), chain_edges(f.withColumnRenamed("fire_id", "id"), km, minutes)
+        f.select(F.col("fire_id").alias("id")), chain_edges(f.withColumnRenamed("fire_id", "id"), km, minutes, by)
     )
-    return event_rows(_marks(f.join(label, F.col("fire_id") == F.col("id")).withColumnRenamed("component", "event_id")))
+    named = f.join(label, F.col("fire_id") == F.col("id")).withColumnRenamed("component", "event_id")
+    return event_rows(_marks(named), digits)
 
 
 def start(fires: DataFrame) -> EventState:

@@ -1251,9 +1251,11 @@ def fire_events(spark, sf_dir):
     """All fires as events: those of a scene and fifth of its users that chain together within 2.5 km at one time."""
     from emberframe.operators import events
 
-    fifth = F.pmod("user_id", F.lit(5)) * 60 * 3600
-    f = spots(spark, sf_dir).withColumn("acq_ts", F.timestamp_micros(F.unix_micros("acq_ts") + fifth * 1_000_000))
-    e = events.fire_events(f, 2.5, 30.0)
+    f = spots(spark, sf_dir).withColumn("fifth", F.pmod("user_id", F.lit(5)))
+    late = F.col("fifth") * 60 * 3600 * 1_000_000
+    f = f.withColumn("acq_ts", F.timestamp_micros(F.unix_micros("acq_ts") + late))
+    # scenes and fifths come within 30 minutes of each other: 39 scenes are 4 fifths and half an hour
+    e = events.fire_events(f, 2.5, 30.0, by=("scene_id", "fifth"), digits=None)
     return e.select(
         "event_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "persistence_count", "fire_count",
         r4("lon").alias("lon"), r4("lat").alias("lat"), "max_score"

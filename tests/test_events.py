@@ -128,3 +128,25 @@ def test_chains_are_those_of_all_pairs(spark, minutes):
                     x, y = find(a[0]), find(b[0])
                     top[max(x, y)] = min(x, y)
     assert got == {r[0]: find(r[0]) for r in rows}
+
+
+def test_events_of_scenes_that_follow_each_other_by_half_an_hour(spark, tmp_path):
+    """Scene 39 of the first fifth of users is 30 minutes from scene 0 of the last: they stay apart, as in the SQL."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from emberframe.plans import queries
+
+    ids, users = [0, 1, 97500, 97501, 97502], [4, 4, 5, 5, None]
+    pq.write_table(
+        pa.table({
+            "event_id": ids, "user_id": pa.array(users, pa.int64()), "event_type": ["view"] * 5, "value": [400.0] * 5
+        }),
+        tmp_path / "events.parquet"
+    )
+    got = sorted(tuple(r) for r in queries.QUERIES["fire_events"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert got == sorted(con.execute(queries.ORACLE_SQL["fire_events"]).fetchall())
+    assert [r[0] for r in got] == [0, 97500]
