@@ -185,28 +185,47 @@ def rejected_sample(clipped: DataFrame, order: list[str], n: int = 5) -> DataFra
     return clipped.filter(~F.col("accepted")).orderBy(*order).limit(n)
 
 
+#: References in a cell of the first ring, on average over the references.
+IN_A_CELL = 32
+
+
+def _first_ring(r: DataFrame, km: float) -> float:
+    """The distance, ``km`` at most, at which a reference's cell holds about ``IN_A_CELL`` of them."""
+    for _ in range(12):
+        n = in_cells(r, km).groupBy("_band", "_cell").agg(F.count("*").cast("double").alias("n"))
+        held = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if held <= 2 * IN_A_CELL or km <= 0.005:
+            break
+        km = max(km * max(math.sqrt(IN_A_CELL / held), 1 / 1024), 0.005)
+    return km
+
+
 def nearest_distance(points: DataFrame, references: DataFrame, key: str, start_km: float = 50.0) -> DataFrame:
     """(key, distance_km) to the nearest reference at any distance, by rings that grow until every point has one.
 
-    Each ring's result is written, so no ring is computed again. Points without a reference within some hundred kilometres
-    are few or far from all: they go through cells instead (``_far_distance``), for a wider ring would meet all references.
+    Each distinct place is looked up once. The first ring is ``start_km`` or, where references lie close, so narrow that a
+    place meets some tens of them, however many there are. Each ring's result is written, so no ring is computed again. Points
+    without a reference within some hundred kilometres are few or far from all: they go through cells instead
+    (``_far_distance``), for a wider ring would meet all references.
     """
-    r = references.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat")).dropna().distinct()
+    r = kept(references.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat")).dropna().distinct(), "places")
     every = points.select(key, "lon", "lat")
     if not r.limit(1).count():
         return every.select(key, F.lit(None).cast("double").alias("distance_km"))
-    done, left, km = None, kept(every.dropna(), "open"), start_km
+    at = ["lon", "lat"]
+    done, left, km = None, kept(every.select(*at).dropna().distinct(), "open"), _first_ring(r, start_km)
     while left.limit(1).count():
         if km > 600:
-            done = _far_distance(left, r, key) if done is None else done.unionByName(_far_distance(left, r, key))
+            far = _far_distance(left.withColumn("_at", F.struct(*at)), r, "_at").select("_at.*", "distance_km")
+            done = far if done is None else done.unionByName(far)
             break
-        found = kept(distance_join(left, r, km).groupBy(key).agg(F.min("distance_km").alias("distance_km")), "ring")
+        found = kept(distance_join(left, r, km).groupBy(*at).agg(F.min("distance_km").alias("distance_km")), "ring")
         done = found if done is None else done.unionByName(found)
-        left = kept(left.join(found.select(key), key, "left_anti"), "open")
+        left = kept(left.join(found.select(*at), at, "left_anti"), "open")
         km *= 4
     if done is None:
         return every.select(key, F.lit(None).cast("double").alias("distance_km"))
-    return every.select(key).join(done, key, "left")
+    return every.join(done, at, "left").select(key, "distance_km")
 
 
 def _far_distance(points: DataFrame, r: DataFrame, key: str) -> DataFrame:
@@ -243,14 +262,16 @@ def _far_distance(points: DataFrame, r: DataFrame, key: str) -> DataFrame:
 
 
 def in_time_reach(references: DataFrame, candidates: DataFrame, hours: float) -> DataFrame:
-    """References with a candidate within ``hours``: distinct candidate times by hour, searched in the hours around."""
+    """References with a candidate within ``hours``: distinct times of both by hour, searched in the hours around."""
     width = max(hours, 1e-6) * 3600
     slot = lambda ts: F.floor(F.unix_micros(ts) / 1e6 / width).cast("long")
     times = candidates.select(F.col("acq_ts").alias("c_ts")).distinct().withColumn("_slot", slot(F.col("c_ts")))
-    probe = references.withColumn("_slot", F.explode(F.sequence(slot(F.col("acq_ts")) - 1, slot(F.col("acq_ts")) + 1)))
+    probe = references.select("acq_ts").distinct().withColumn(
+        "_slot", F.explode(F.sequence(slot(F.col("acq_ts")) - 1, slot(F.col("acq_ts")) + 1))
+    )
     near = F.abs(F.unix_micros("acq_ts") - F.unix_micros("c_ts")) <= F.lit(hours * 3.6e9)
-    hit = probe.join(times, "_slot").filter(near).select("id").distinct()
-    return references.join(hit, "id", "left_semi")
+    hit = probe.join(times, "_slot").filter(near).select("acq_ts").distinct()
+    return references.join(hit, "acq_ts", "left_semi")
 
 
 def rasterize(pixels: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = ("scene_id", "row", "col")) -> DataFrame:

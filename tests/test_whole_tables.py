@@ -74,3 +74,21 @@ def test_wide_sources_are_searched_to_their_radius(spark):
     points = spark.createDataFrame([(1, 110.8, 30.0), (2, 112.0, 30.0)], "key long, lon double, lat double")
     sources = spark.createDataFrame([(110.0, 30.0, 100.0)], "lon double, lat double, radius_km double")
     assert [q["key"] for q in spatial.near_sources(points, sources, "key").collect()] == [1]
+
+
+def test_a_place_is_looked_up_once_among_few_references(spark, monkeypatch):
+    rows = [(k, 100 + k % 5 * 0.02, 30.0) for k in range(500)] + [(500, None, 30.0)]
+    points = spark.createDataFrame(rows, "key long, lon double, lat double")
+    places = [(100 + k * 37 % 997 / 9970, 30 + k * 91 % 991 / 9910) for k in range(2000)]
+    refs = spark.createDataFrame(places, "lon double, lat double")
+    rings, join = [], spatial.distance_join
+
+    def counted(left, right, km_, *args, **named):
+        rings.append((left.count(), km_))
+        return join(left, right, km_, *args, **named)
+
+    monkeypatch.setattr(spatial, "distance_join", counted)
+    got = {q["key"]: q["distance_km"] for q in spatial.nearest_distance(points, refs, "key").collect()}
+    assert len(got) == 501 and got[500] is None
+    assert all(abs(got[k] - min(km((x, y), q) for q in places)) < 1e-9 for k, x, y in rows[:500])
+    assert rings[0][0] == 5 and rings[0][1] < 2
