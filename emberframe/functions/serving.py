@@ -62,12 +62,10 @@ def value_at(points: DataFrame, grid: DataFrame, step_lon: float, step_lat: floa
 def polygon_at(points: DataFrame, polygons: DataFrame, key: str = "key", order: str = "polygon_id") -> DataFrame:
     """``points`` with the name of the polygon (polygon_id, name, rings) under each, null where there is none; of several, the
     first by ``order``."""
-    from emberframe.operators.spatial import within_polygons
+    from emberframe.operators.spatial import top_polygon
 
-    named = polygons.select(F.col("polygon_id").alias("_of"), F.col(order).alias("_order"), F.col("name").alias("_name"))
-    hit = within_polygons(points, polygons, key).join(named, F.col("polygon_id") == F.col("_of"))
-    top = hit.groupBy(key).agg(F.min_by("_name", F.struct("_order", "_of")).alias("polygon_name"))
-    return points.join(top, key, "left")
+    top = top_polygon(points, polygons, order).withColumnRenamed("name", "polygon_name")
+    return points.join(top, ["lon", "lat"], "left").select(*points.columns, "polygon_name")
 
 
 def merged_config(template: dict, private: dict, parts: tuple[str, ...] = ("variables", "ftp")) -> dict:

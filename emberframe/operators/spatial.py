@@ -173,6 +173,27 @@ def within_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: floa
     return hit.join(numbered.select("polygon", "polygon_id"), "polygon").select(key, "polygon_id")
 
 
+def top_polygon(points: DataFrame, polygons: DataFrame, order: str = "polygon_id") -> DataFrame:
+    """(lon, lat, name) of the distinct places of ``points`` in polygons (polygon_id, name, rings): of several polygons, the
+    first by ``order``, then polygon_id.
+
+    Of polygons with the same rings only the first is cut into cells, and of the polygons of a cell only those that come
+    before the first one that holds all of it stay, so a place does not meet all that lies below the one on top."""
+    first = polygons.filter(F.size("rings") > 0).groupBy("rings").agg(
+        F.min(F.struct(F.col(order).alias("order"), "polygon_id", "name")).alias("first")
+    )
+    # numbers rise with the order
+    numbered = kept(first.orderBy("first").select(
+        "rings", "first.name", F.monotonically_increasing_id().alias("polygon")
+    ), "polygons")
+    cells = kept(cover(numbered), "cover")
+    whole = cells.filter("interior").groupBy("level", "x", "y").agg(F.min("polygon").alias("_whole"))
+    cells = cells.join(whole, ["level", "x", "y"], "left").filter("_whole is null or polygon <= _whole").drop("_whole")
+    places = points.select("lon", "lat").distinct().withColumn("_at", F.struct("lon", "lat"))
+    top = covered(places, cells, "_at").groupBy("_at").agg(F.min("polygon").alias("polygon"))
+    return top.join(numbered.select("polygon", "name"), "polygon").select("_at.*", "name")
+
+
 def clip(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     """``points`` with accepted: whether any polygon holds the point. Without polygons every point is accepted."""
     if not polygons.limit(1).count():

@@ -92,3 +92,23 @@ def test_a_place_is_looked_up_once_among_few_references(spark, monkeypatch):
     assert len(got) == 501 and got[500] is None
     assert all(abs(got[k] - min(km((x, y), q) for q in places)) < 1e-9 for k, x, y in rows[:500])
     assert rings[0][0] == 5 and rings[0][1] < 2
+
+
+def test_polygons_with_the_same_rings_are_cut_once(spark, tmp_path, monkeypatch):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    d = tables(tmp_path, events=2500)
+    n = 899 * 3
+    pq.write_table(
+        pa.table({"s_suppkey": list(range(n, 0, -1)), "s_name": [f"s{k}" for k in range(n)]}), tmp_path / "supplier.parquet"
+    )
+    cut, cover = [], spatial.cover
+    monkeypatch.setattr(spatial, "cover", lambda p, *a: cut.append(p.count()) or cover(p, *a))
+    got = sorted((tuple(r) for r in queries.QUERIES["polygon_names"](spark, d).collect()), key=str)
+    con = duckdb.connect()
+    for t in ("events", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert got == sorted(con.execute(queries.ORACLE_SQL["polygon_names"]).fetchall(), key=str)
+    assert cut == [899] and len({r[1] for r in got}) > 100
