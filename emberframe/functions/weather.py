@@ -115,19 +115,24 @@ def forecast_cells(points: DataFrame, target_ms: Column, step_lon: float, step_l
     their grid. Points without a valid time are left out."""
     from emberframe.functions.geo import cell_ring
 
-    p = points.withColumn("_at", forecast_index(F.col("ts"), target_ms)).filter("_at >= 0")
-    values = forecast_values(F.col("ts"), F.col("series"), F.col("units"), target_ms)
+    # the array of one keeps the index above what it is made of, so that no use of it computes it again
+    p = points.withColumn("_at", F.explode(F.array(forecast_index(F.col("ts"), target_ms)))).filter("_at >= 0")
+    values = _values_at(F.col("_at"), F.col("series"), F.col("units"))
     at = F.timestamp_millis(F.get("ts", F.col("_at")))
+    # columns of their own: those that nobody asks for are not computed
     return p.select(
         "lat", "lon", cell_ring("lon", "lat", step_lon, step_lat).alias("ring"), at.alias("forecast_ts"),
-        values.alias("v")
-    ).select("lat", "lon", "ring", "forecast_ts", "v.*")
+        *[c.alias(k) for k, c in values.items()]
+    )
 
 
 def forecast_values(times: Column, series: Column, units: Column, target: Column) -> Column:
     """struct of the converted and rounded weather at the forecast time. ``series`` maps a variable to its values,
     ``units`` to its unit."""
-    at = forecast_index(times, target)
+    return F.struct(*[c.alias(k) for k, c in _values_at(forecast_index(times, target), series, units).items()])
+
+
+def _values_at(at: Column, series: Column, units: Column) -> dict[str, Column]:
     raw = lambda name: F.when(at >= 0, F.get(series[f"{name}-surface"], at))
     unit = lambda name: units[f"{name}-surface"]
     u, v = F.round(raw("wind_u"), 2), F.round(raw("wind_v"), 2)
@@ -144,4 +149,4 @@ def forecast_values(times: Column, series: Column, units: Column, target: Column
     risk = fire_risk(
         out["rh_pct"], out["temp_c"], out["wind_ms"], out["precip_3h_mm"], out["conv_precip_3h_mm"], out["cape_jkg"]
     )
-    return F.struct(*[c.alias(k) for k, c in out.items()], risk.alias("fire_risk"))
+    return out | {"fire_risk": risk}

@@ -239,16 +239,17 @@ def forecast_points(spark: SparkSession, path: str) -> DataFrame:
 def forecast_series(answers: DataFrame) -> DataFrame:
     """(lat, lon, ts, series, units) of answers (lat, lon, payload: JSON text). ``series`` has the variables of the surface
     by name; a payload that is no JSON, or has no times, gives no row."""
-    p = answers.select("lat", "lon", F.from_json("payload", "map<string,string>").alias("p"))
+    # the arrays of one keep filters above what is parsed: pushed below, each would parse the payload again
+    once = lambda c: F.explode(F.array(c))
+    p = answers.select("lat", "lon", once(F.from_json("payload", "map<string,string>")).alias("p"))
     times = F.transform(F.from_json(F.col("p")["ts"], "array<double>"), lambda t: t.cast("long"))
     own = F.map_filter("p", lambda k, v: k.endswith("-surface") & v.startswith("["))
     series = F.transform_values(own, lambda k, v: F.from_json(v, "array<double>"))
     units = F.coalesce(
         F.from_json(F.col("p")["units"], "map<string,string>"), F.create_map().cast("map<string,string>")
     )
-    return p.select(
-        "lat", "lon", times.alias("ts"), series.alias("series"), units.alias("units")
-    ).filter("size(ts) > 0")
+    parts = F.struct(times.alias("ts"), series.alias("series"), units.alias("units"))
+    return p.select("lat", "lon", once(parts).alias("v")).select("lat", "lon", "v.*").filter("size(ts) > 0")
 
 
 def object_listing(spark: SparkSession, path: str) -> DataFrame:

@@ -112,3 +112,9 @@ def test_polygons_with_the_same_rings_are_cut_once(spark, tmp_path, monkeypatch)
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     assert got == sorted(con.execute(queries.ORACLE_SQL["polygon_names"]).fetchall(), key=str)
     assert cut == [899] and len({r[1] for r in got}) > 100
+
+
+def test_a_payload_is_parsed_once(spark, tmp_path):
+    d = tables(tmp_path)
+    plan = queries.QUERIES["forecast_payloads"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1 and plan.count("from_json") == 4  # payload, times, a series, units
