@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.functions.geo import EARTH_KM, axis_step, pixel_ring, ring_area_km2
+from emberframe.functions.geo import EARTH_KM, axis_step, haversine_km, pixel_ring, ring_area_km2
 from emberframe.operators.graphs import connected_components
 from emberframe.operators.spatial import distance_join
+from emberframe.operators.tables import kept
 
 
 def footprints(fires: DataFrame, pixels: DataFrame, key: str = "fire_id") -> DataFrame:
@@ -99,14 +100,14 @@ def _own_cell(km: float) -> Column:
     return F.struct(band.alias("band"), F.floor((F.col("lon") + 180) / 360 * columns).alias("column"))
 
 
-def chain_edges(points: DataFrame, km: float, minutes: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of points (id, lon, lat, acq_ts) within ``km`` and, unless it is
-    None, ``minutes``; with equal values of the columns ``by``, if there are any.
+def _linked_cells(
+    points: DataFrame, km: float, minutes: float | None, by: tuple[str, ...]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, rep, component) of the points that have a cell, links (a, b) of cells by their least ids that make these
+    components, and links of components; see ``chain_edges``.
 
-    Cells of space and time whose points are all linked with each other link each with the cell's least id. Only places of
-    different cells are compared, each distinct place and time once, and give a link between the cells, so a flare that is
-    seen for years at one place, or by many passes at once, does not meet itself. Points without a place (or time, or a value
-    of ``by``) have no links."""
+    First the cells' first points are compared, a number that stops growing where points lie close, and make components.
+    Then cells of different components that are near enough for a link compare all of their distinct places."""
     timed = minutes is not None
     width = max((minutes or 0) * 6e7, 1.0)
     slot = F.floor(F.unix_micros("acq_ts") / width).cast("long") if timed else F.lit(0).cast("long")
@@ -117,29 +118,79 @@ def chain_edges(points: DataFrame, km: float, minutes: float | None = None, by:
         slot.alias("_slot"), *[F.col(c).alias(f"_by_{c}") for c in by]
     ).dropna(subset=["lon", "lat", "at", *same])
     p = p.withColumn("cell", F.struct(_own_cell(km).alias("place"), "_slot", *same))
-    reps = p.groupBy("cell").agg(F.min("id").alias("rep"))
-    named = p.join(reps, "cell")
-    places = named.select("rep", "lon", "lat", "at", "_slot", *same).distinct()
-    other = places.select(
-        F.col("rep").alias("r_rep"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("at").alias("r_at"),
-        "_slot", *same
-    )
+    # one of the cell's points: which one does not matter
+    cells = kept(p.groupBy("cell").agg(
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("lon", "lat", "at", "_slot", *same)]
+    ), "cells")
     # near in time are points of the same slot or of the next, so each looks at its own and forward
     ahead = F.array(*[F.col("_slot") + k for k in ((0, 1) if timed else (0,))])
-    left = places.withColumn("_own", F.col("_slot")).withColumn("_slot", F.explode(ahead))
     once = (F.col("_slot") > F.col("_own")) | (F.col("rep") < F.col("r_rep"))
-    near = once & (F.abs(F.col("at") - F.col("r_at")) <= width) if timed else once
-    # both sides grow with the points, one of them by its copies: never broadcast
-    between = distance_join(left, other.hint("merge"), km, on=("_slot", *same), extra=near)
-    return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(
-        between.select(F.col("rep").alias("a"), F.col("r_rep").alias("b")).distinct()
+    near = F.abs(F.col("at") - F.col("r_at")) <= width
+
+    def met(d: DataFrame, reach: float, extra: Column) -> DataFrame:
+        other = d.select(*[F.col(c).alias(c if c in ("_slot", *same) else f"r_{c}") for c in d.columns])
+        left = d.withColumn("_own", F.col("_slot")).withColumn("_slot", F.explode(ahead))
+        # both sides grow with the points: never broadcast
+        return distance_join(left, other.hint("merge"), reach, on=("_slot", *same), extra=once & extra)
+
+    links = kept(
+        met(cells.drop("cell"), km, near).select(F.col("rep").alias("a"), F.col("r_rep").alias("b")), "links"
+    )
+    label = connected_components(cells.select(F.col("rep").alias("id")), links)
+    cells = kept(cells.join(label, F.col("rep") == F.col("id")).drop("id"), "labelled")
+    named = kept(p.join(cells.select("cell", "rep", "component"), "cell").drop("cell"), "named")
+    # a point is within km of its cell's first point
+    open_ = kept(met(cells.drop("cell"), 3.001 * km, F.col("component") != F.col("r_component")).select(
+        "rep", "component", "r_rep", "r_component", "r_lon", "r_lat"
+    ), "open-cells")
+    places = named.select("rep", "lon", "lat", "at").distinct()
+    left = open_.join(places, "rep").filter(haversine_km("lon", "lat", "r_lon", "r_lat") <= 2.001 * km)
+    right = places.select(
+        F.col("rep").alias("r_rep"), F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), F.col("at").alias("r_at")
+    )
+    pairs = left.join(right, "r_rep").filter(near).filter(haversine_km("lon", "lat", "q_lon", "q_lat") <= km)
+    pairs = pairs.select(F.col("component").alias("a"), F.col("r_component").alias("b")).distinct()
+    more = kept(pairs if open_.limit(1).count() else links.limit(0), "more-links")
+    return named.select("id", "rep", "component"), links, more
+
+
+def chain_edges(points: DataFrame, km: float, minutes: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of points (id, lon, lat, acq_ts) within ``km`` and, unless it is
+    None, ``minutes``; with equal values of the columns ``by``, if there are any.
+
+    Cells of space and time whose points are all linked with each other link each with the cell's least id. Only places of
+    different cells are compared, each distinct place and time once, and give a link between the cells, so a flare that is
+    seen for years at one place, or by many passes at once, does not meet itself; and only where the cells are not yet linked
+    by their first points. Points without a place (or time, or a value of ``by``) have no links."""
+    named, links, more = _linked_cells(points, km, minutes, by)
+    return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").unionByName(links).unionByName(more)
+
+
+def chain_components(
+    points: DataFrame, km: float, minutes: float | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, component) of the distinct ids of ``points``: the components of ``chain_edges``. The cells are the graph's nodes, not the
+    points, so where points lie close the graph does not grow with them. Points without a cell are their own component."""
+    named, _, more = _linked_cells(points, km, minutes, by)
+    per = kept(named.groupBy("id").agg(F.min("component").alias("first"), F.max("component").alias("last")), "reps")
+    # an id that comes at several places links their components
+    several = per.filter("first <> last").select("id", F.col("first").alias("a"))
+    again = named.join(several, "id").select("a", F.col("component").alias("b")).filter("a <> b").distinct()
+    more = kept(more.unionByName(again), "more-links")
+    label = per.select("id", F.col("first").alias("component"))
+    if more.limit(1).count():
+        ends = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id")))
+        top = connected_components(ends, more).select(F.col("id").alias("first"), F.col("component").alias("top"))
+        label = per.join(top, "first", "left").select("id", F.coalesce("top", "first").alias("component"))
+    return points.select("id").distinct().join(label, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component")
     )
 
 
 def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float = 30.0, order: str = "id") -> DataFrame:
     """Detections (id, sensor, lon, lat, acq_ts, frp) that chain together, weighted by radiative power: place, time, sum,
     sensors and members."""
-    label = connected_components(references.select("id"), chain_edges(references, km, minutes))
+    label = chain_components(references, km, minutes)
     w = F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0)) + 1
     return references.join(label, "id").groupBy("component").agg(
         F.array_join(F.sort_array(F.collect_set("sensor")), "+").alias("sensor"),
@@ -152,7 +203,7 @@ def reference_clusters(references: DataFrame, km: float = 2.5, minutes: float =
 
 def persistent_sources(points: DataFrame, km: float = 1.5, days: int = 4, hits: int = 4) -> DataFrame:
     """Places (points: id, lon, lat, acq_date, frp, daynight) seen at least ``hits`` times on ``days`` different days."""
-    label = connected_components(points.select("id"), chain_edges(points, km))
+    label = chain_components(points, km)
     frp = F.coalesce("frp", F.lit(0.0))
     w = F.greatest(frp, F.lit(0.0)) + 1
     night = F.upper(F.coalesce("daynight", F.lit("")))

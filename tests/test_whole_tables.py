@@ -118,3 +118,35 @@ def test_a_payload_is_parsed_once(spark, tmp_path):
     d = tables(tmp_path)
     plan = queries.QUERIES["forecast_payloads"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("format_string") == 1 and plan.count("from_json") == 4  # payload, times, a series, units
+
+
+def test_chains_of_close_and_scattered_points(spark, monkeypatch):
+    """Components as by comparing all pairs; where points lie close, few rows are compared: the cells' first points."""
+    import random
+
+    from emberframe.operators import clusters
+
+    draw, t0 = random.Random(5), dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [
+        (k, 100 + draw.random() * w, 30 + draw.random() * w, t0 + dt.timedelta(minutes=draw.randrange(0, m, 10)), k % 2)
+        for k, (w, m) in enumerate([(0.5, 600)] * 350 + [(0.05, 30)] * 250)
+    ]
+    rows += [(0, 99.0, 29.0, t0, 0), (1000, None, 30.0, t0, 0)]
+    top = {r[0]: r[0] for r in rows}
+
+    def find(v):
+        while top[v] != v:
+            v = top[v]
+        return v
+
+    for a in rows[:-1]:
+        for b in rows[:-1]:
+            if a[4] == b[4] and abs((a[3] - b[3]).total_seconds()) <= 1800 and km(a[1:3], b[1:3]) <= 2.5:
+                p, q = find(a[0]), find(b[0])
+                top[max(p, q)] = min(p, q)
+    points = spark.createDataFrame(rows, "id long, lon double, lat double, acq_ts timestamp, kind int")
+    met, join = [], clusters.distance_join
+    monkeypatch.setattr(clusters, "distance_join", lambda a, b, *r, **n: met.append(b.count()) or join(a, b, *r, **n))
+    got = {q["id"]: q["component"] for q in clusters.chain_components(points, 2.5, 30.0, ("kind",)).collect()}
+    assert got == {k: find(k) for k in top} and 20 < len(set(got.values())) < 500
+    assert max(met) < 450
