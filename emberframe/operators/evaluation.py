@@ -136,7 +136,8 @@ def evaluate(
     out = None
     for h in windows:
         near = in_time_reach(references, candidates, h)
-        clusters = kept(reference_clusters(near, cluster_km, cluster_minutes), "clusters")
+        # without the list of members: close references may all be one cluster
+        clusters = kept(reference_clusters(near, cluster_km, cluster_minutes).drop("member_ids"), "clusters")
         row = metrics(candidates, clusters, match(candidates, clusters, km, h), h, km)
         out = row if out is None else out.unionByName(row)
     return out
