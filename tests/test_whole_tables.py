@@ -150,3 +150,14 @@ def test_chains_of_close_and_scattered_points(spark, monkeypatch):
     got = {q["id"]: q["component"] for q in clusters.chain_components(points, 2.5, 30.0, ("kind",)).collect()}
     assert got == {k: find(k) for k in top} and 20 < len(set(got.values())) < 500
     assert max(met) < 450
+
+
+def test_evaluation_keeps_no_lists_of_members(spark, tmp_path, monkeypatch):
+    from emberframe.operators import evaluation
+
+    d = tables(tmp_path, orders=50)
+    seen, kept = {}, evaluation.kept
+    monkeypatch.setattr(evaluation, "kept", lambda df, name: seen.setdefault(name, df.columns) and kept(df, name))
+    c = queries.spots(spark, d).selectExpr("fire_id as id", "lon", "lat", "acq_ts")
+    evaluation.evaluate(c, queries.refs(spark, d), windows=(1,))
+    assert "lon" in seen["clusters"] and "member_ids" not in seen["clusters"]
