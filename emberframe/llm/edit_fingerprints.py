@@ -23,13 +23,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.linking import link_groups, spanning_edges
-from emberframe.llm.shared import materialize, shuffle_partitions
+from emberframe.llm.linking import link_members
+from emberframe.llm.shared import discard, materialize, shuffle_partitions
 
-#: Sampled steps of a doubling; bands, and steps sampled for a band.
-SAMPLES, BANDS, STEPS = 64, 24, 8
+#: Sampled steps of a doubling; bands, steps that a band shows, and steps drawn for it.
+SAMPLES, BANDS, STEPS, DRAWS = 64, 24, 8, 48
 #: Steps after which the walk's random bits repeat.
 PERIOD = 1 << 14
+#: Texts that are walked at once, for so many characters at a time, and how few are left when each goes on by itself.
+LANES, STRETCH, FEW = 1024, 512, 24
+#: Characters after which no further text joins those that are walked at once.
+CHARACTERS = 1 << 22
 #: Symbols, by their six bits; END is shown after a text.
 SYMBOLS, END = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "."
 _SYMBOL = np.frombuffer(SYMBOLS.encode(), dtype=np.uint8)
@@ -50,6 +54,7 @@ def _waits() -> list[bytes]:
 
 
 _WAIT = _waits()
+_WAITS = np.frombuffer(b"".join(_WAIT), dtype=np.uint8)
 #: Sampled steps of the first doublings, more than any text that fits in a row needs.
 _STEP = np.concatenate([
     np.arange(SAMPLES), *[
@@ -79,13 +84,43 @@ def walk(codes: np.ndarray, start: int = 0) -> list[int]:
     return out
 
 
-def fingerprint(codes: np.ndarray, steps: list[int]) -> str:
+def walks(texts: list[np.ndarray], starts: list[int] | None = None) -> list[np.ndarray]:
+    """``walk`` of each of some texts. All go on by a character at a time, the longest first in the row, until ``FEW`` are left;
+    these end one after the other."""
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    lengths = np.array([len(texts[k]) for k in order], dtype=np.int64)
+    together = int(lengths[FEW]) if len(order) > FEW else 0
+    step = np.array([starts[k] if starts else 0 for k in order], dtype=np.int64)
+    came = [np.empty(len(texts[k]) + 1, dtype=np.int64) for k in order]
+    for first in range(0, together, STRETCH):
+        inside = np.searchsorted(-lengths, -np.arange(first, min(first + STRETCH, together)))  # texts with a character there
+        kinds = np.zeros((len(inside), inside[0]), dtype=np.int32)
+        for lane in range(inside[0]):
+            own = texts[order[lane]][first : first + len(inside)]
+            kinds[: len(own), lane] = (_mixed(own) >> np.uint64(56)).astype(np.int32) * PERIOD
+        at = np.zeros(kinds.shape, dtype=np.int64)
+        for j, n in enumerate(inside.tolist()):
+            now = step[:n]
+            at[j, :n] = now
+            now += _WAITS[kinds[j, :n] + (now & (PERIOD - 1))]
+        for lane in range(inside[0]):
+            part = came[lane][first : first + len(inside)]
+            part[:] = at[: len(part), lane]
+    out = [step] * len(texts)
+    for lane, k in enumerate(order):
+        done = min(together, len(texts[k]))
+        came[lane][done:] = walk(texts[k][done:], int(step[lane]))
+        out[k] = came[lane]
+    return out
+
+
+def fingerprint(codes: np.ndarray, steps: list[int] | np.ndarray) -> str:
     """The symbols shown at the sampled steps of a walk (see ``walk``), up to the end of the doubling in which it ends."""
     if not len(codes):
         return ""
-    doublings = max(0, (steps[-1] - 1) // SAMPLES).bit_length()
+    doublings = max(0, (int(steps[-1]) - 1) // SAMPLES).bit_length()
     sampled = _STEP[: SAMPLES * (1 + doublings)]
-    at = np.searchsorted(np.array(steps), sampled, side="right") - 1
+    at = np.searchsorted(np.asarray(steps), sampled, side="right") - 1
     inside = at < len(codes)
     symbol = _SYMBOL[((_mixed(codes[at[inside]]) >> np.uint64(48)) & np.uint64(63)).astype(np.int64)]
     out = np.full(len(sampled), ord(END), dtype=np.uint8)
@@ -165,7 +200,6 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with the row after it."""
     unpack = zstandard.ZstdDecompressor()
     before: tuple | None = None
-    component: int | None = None
     out: list[tuple] = []
 
     def told() -> pa.RecordBatch:
@@ -175,32 +209,49 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return made
 
-    names = ("part", "guest", "doc_id", "is_text", "component", "packed")
-    for batch in batches:
-        for part, guest, doc_id, is_text, said, packed in zip(*(batch.column(n) for n in names)):
-            if not is_text.as_py():
-                component = said.as_py()
-                continue
-            part, guest = part.as_py(), guest.as_py()
-            codes = code_points(unpack.decompress(packed.as_buffer()))
-            steps = walk(codes)
-            print_ = fingerprint(codes, steps)
+    def texts() -> Iterator[list[tuple]]:
+        """Some rows at a time: part, guest, doc_id, component and text."""
+        component: int | None = None
+        names, some = ("part", "guest", "doc_id", "is_text", "component", "packed"), []
+        size = 0
+        for batch in batches:
+            for part, guest, doc_id, is_text, said, packed in zip(*(batch.column(n) for n in names)):
+                if not is_text.as_py():
+                    component = said.as_py()
+                    continue
+                codes = code_points(unpack.decompress(packed.as_buffer()))
+                some.append((part.as_py(), guest.as_py(), doc_id.as_py(), component, codes))
+                size += len(codes)
+                if len(some) == LANES or size > CHARACTERS:
+                    yield some
+                    some, size = [], 0
+        yield some
+
+    for some in texts():
+        steps = walks([row[-1] for row in some])
+        pairs = []
+        for (part, guest, doc_id, component, codes), own_steps in zip(some, steps):
+            now = part, doc_id, component, codes, own_steps, fingerprint(codes, own_steps)
             if before is not None:
-                of, own_id, own, own_steps, own_print, top = before
-                if of != part:
+                if before[0] != part:
                     raise RuntimeError("a part has no row after its last: the table gave other rows when read again")
-                stays = len(own) - len(own) // 2
-                edited = _spliced(own, codes)
-                edited_steps = own_steps[:stays] + walk(edited[stays:], own_steps[stays])
-                edited_print = fingerprint(edited, edited_steps)
-                digest = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest()
-                out.append((
-                    own_id, len(own), digest, own_print, edited_print, likeness(own_print, edited_print),
-                    likeness(own_print, print_), top, top is None or top == own_id
-                ))
-                if len(out) >= 1000:
-                    yield told()
-            before = None if guest else (part, doc_id.as_py(), codes, steps, print_, component)
+                pairs.append((before, now, _spliced(before[3], codes)))
+            before = None if guest else now
+        stays = [len(own[3]) - len(own[3]) // 2 for own, _, _ in pairs]
+        # the edited text is walked from where it differs
+        rest = walks(
+            [edited[n:] for n, (_, _, edited) in zip(stays, pairs)], [int(own[4][n]) for n, (own, _, _) in zip(stays, pairs)]
+        )
+        for n, (own, after, edited), more in zip(stays, pairs, rest):
+            _, own_id, top, codes, own_steps, own_print = own
+            edited_print = fingerprint(edited, np.concatenate([own_steps[:n], more]))
+            digest = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest()
+            out.append((
+                own_id, len(codes), digest, own_print, edited_print, likeness(own_print, edited_print),
+                likeness(own_print, after[5]), top, top is None or top == own_id
+            ))
+        if len(out) >= 1000:
+            yield told()
     if before is not None:
         raise RuntimeError("a part has no row after its last: the table gave other rows when read again")
     if out:
@@ -246,7 +297,7 @@ def compare_edits(
         "doc_id", "text_hash", "row", F.lit(False).alias("said"), F.lit(None).cast("long").alias("component"), "text"
     )
     if threshold is not None:
-        told = told.unionByName(_labelled(rows, threshold).select(
+        told = told.unionByName(materialize(_labelled(rows, threshold), "labelled").select(
             "doc_id", "text_hash", "row", F.lit(True).alias("said"), "component",
             F.lit(None).cast("binary").alias("text")
         ))
@@ -261,42 +312,59 @@ def compare_edits(
 # ------------------------------------------------------------------ near texts
 
 
-def _bands() -> list[list[np.ndarray]]:
-    """For each number of doublings: the samples of each band, drawn in proportion to the steps that they stand for."""
+def _bands() -> list[np.ndarray]:
+    """For each number of doublings: a list of samples for each band, drawn in proportion to the steps that they stand for."""
     draw = np.random.default_rng(0xBA4D)
     out = []
     for doublings in range(31):
         weight = _weights(SAMPLES * (1 + doublings))
-        out.append([draw.choice(len(weight), STEPS, p=weight / weight.sum()) for _ in range(BANDS)])
+        out.append(draw.choice(len(weight), (BANDS, DRAWS), p=weight / weight.sum()))
     return out
 
 
 _BANDS = _bands()
-
-
-def band_keys(print_: str, threshold: float = 0.8) -> list[int]:
-    """The buckets of a fingerprint: its bands among texts of as many doublings; and of one more, if a text of so many can be
-    as like as ``threshold``, for then its own steps are that share of the other's at least."""
-    if not print_:
-        return []
-    level = len(print_) // SAMPLES - 1
-    shown = np.frombuffer(print_.encode(), dtype=np.uint8) != ord(END)
-    long = _weights(len(print_))[shown].sum() >= (threshold - 0.05) * SAMPLES * 2**level
-    out = []
-    for doublings in (level, level + 1) if long else (level,):
-        padded = print_.ljust(SAMPLES * (1 + doublings), END)
-        for band, samples in enumerate(_BANDS[doublings]):
-            at = f"{doublings}:{band}:" + "".join(padded[k] for k in samples)
-            out.append(int.from_bytes(hashlib.blake2b(at.encode(), digest_size=8).digest(), "little", signed=True))
-    return out
+#: A number for each band of each number of doublings.
+_SALT = np.random.default_rng(0x5A17).integers(0, 1 << 64, (len(_BANDS), BANDS), dtype=np.uint64)
+
+
+def band_keys(prints: list[str], threshold: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``prints``, bucket) of some fingerprints: a fingerprint's bands among texts of as many doublings; and of one
+    more, if a text of so many can be as like as ``threshold``, for then its own steps are that share of the other's at least.
+
+    A band shows the first ``STEPS`` samples of its list that are inside the text. Where the first of those inside either of
+    two texts all agree, they are the first of both, so texts of a likeness s share a band with a probability of s**STEPS, and
+    what is shown is never the mere end of a text. Eight symbols of a byte, mixed with the band and the last sample's place,
+    are a bucket's 64 bits."""
+    by_level: dict[int, list[int]] = {}
+    for k, p in enumerate(prints):
+        if p:
+            by_level.setdefault(len(p) // SAMPLES - 1, []).append(k)
+    places, keys = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
+    for level, some in by_level.items():
+        of, shown = np.array(some), np.frombuffer("".join(prints[k] for k in some).encode(), dtype=np.uint8)
+        shown = shown.reshape(len(some), -1)
+        long = (shown != ord(END)) @ _weights(shown.shape[1]) >= (threshold - 0.05) * SAMPLES * 2**level
+        for doublings, which in ((level, np.full(len(some), True)), (level + 1, long)):
+            padded = np.pad(
+                shown[which], ((0, 0), (0, SAMPLES * (doublings - level))), constant_values=ord(END)
+            )
+            drawn = padded[:, _BANDS[doublings]]
+            first = np.argsort(drawn == ord(END), axis=2, kind="stable")[..., :STEPS]
+            words = np.ascontiguousarray(np.take_along_axis(drawn, first, axis=2)).view(np.uint64)[..., 0]
+            keys.append(_mixed(_mixed(words) ^ _SALT[doublings] ^ first[..., -1].astype(np.uint64)).ravel())
+            places.append(np.repeat(of[which], BANDS))
+    return np.concatenate(places), np.concatenate(keys).view(np.int64)
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = []
-        for text in batch.column(3):
-            codes = code_points(text.as_py() or b"")
-            prints.append(fingerprint(codes, walk(codes)))
+        prints, some, size = [], [], 0
+        for k, text in enumerate(batch.column(3), 1):
+            some.append(code_points(text.as_py() or b""))
+            size += len(some[-1])
+            if len(some) == LANES or size > CHARACTERS or k == len(batch):
+                prints += map(fingerprint, some, walks(some))
+                some, size = [], 0
         yield pa.record_batch(
             [*batch.columns[:3], pa.array(prints, pa.string())], names=["doc_id", "text_hash", "row", "fingerprint"]
         )
@@ -304,56 +372,55 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [band_keys(p.as_py(), threshold) for p in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
+        for whole in batches:
+            for first in range(0, len(whole), 1000):
+                batch = whole.slice(first, 1000)
+                place, keys = band_keys(batch.column(1).to_pylist(), threshold)
+                yield pa.record_batch([pa.array(keys), batch.column(0).take(pa.array(place))], names=["key", "rep"])
 
     return run
 
 
-def linked_prints(table: pa.Table, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints (rep, fingerprint) of a table, all compared with all."""
-    ids, prints = np.asarray(table["rep"]), table["fingerprint"].to_pylist()
-    if not prints:
-        return []
-    n = max(map(len, prints))
-    shown = np.array([np.frombuffer(p.ljust(n, END).encode(), dtype=np.uint8) for p in prints])
-    inside, weight = shown != ord(END), _weights(n)
-    same = np.zeros((len(prints), len(prints)))
-    for r in range(len(prints)):
-        same[r] = ((shown == shown[r]) & inside) @ weight
-    size = inside @ weight
-    both = (inside * weight) @ inside.T.astype(float)
-    return spanning_edges(same >= threshold * (size[:, None] + size - both), ids)
+def _alike(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            keep = pa.array([likeness(x, y) >= threshold for x, y in pairs], pa.bool_())
+            yield pa.record_batch([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
 
 
 def _labelled(rows: DataFrame, threshold: float) -> DataFrame:
-    """``rows`` (doc_id, text_hash, row, text) as (doc_id, text_hash, row, component); see ``near_texts``. Classes of
-    equal fingerprints are joined by two hashes of 64 bits."""
-    prints = materialize(
-        rows.mapInArrow(_printed, "doc_id long, text_hash long, row long, fingerprint string"), "prints"
-    )
-    digest = [F.xxhash64("fingerprint").alias("h1"), F.xxhash64(F.lit(1), "fingerprint").alias("h2")]
+    """``rows`` (doc_id, text_hash, row, text) as (doc_id, text_hash, row, component); see ``near_texts``. A class of equal
+    fingerprints goes by their hash of 64 bits; n classes share one with a probability of n^2 / 2^65, and then count as equal.
+
+    Fingerprints are written once, buckets are shuffled once, and only fingerprints with a mate in a bucket are sent."""
+    prints = rows.mapInArrow(_printed, "doc_id long, text_hash long, row long, fingerprint string")
+    prints = materialize(prints.withColumn("rep", F.xxhash64("fingerprint")), "prints", compression="zstd")
     named = prints.filter("doc_id is not null and fingerprint <> ''")
-    classes = named.groupBy("fingerprint").agg(F.min("doc_id").alias("doc"))
-    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    placed = classes.select("rep", "fingerprint").mapInArrow(_keyed(threshold), "rep long, keys array<bigint>").select(
-        "rep", F.explode("keys").alias("key")
-    )
-    several = placed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    members = materialize(placed.join(several, "key").select("key", "rep").distinct(), "members")
-    found = link_groups(
-        members, lambda wanted: wanted.join(classes.select("rep", "fingerprint"), "rep"),
-        lambda table: linked_prints(table, threshold)
-    )
-    of = classes.select("rep", "doc", *digest).join(found, F.col("rep") == F.col("node"), "left").withColumn(
-        "group", F.coalesce("component", "rep")
-    )
+    placed = named.select("rep", "fingerprint").mapInArrow(_keyed(threshold), "key long, rep long").repartition("key")
+    several = placed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    members = placed.join(several.filter("low <> high").select("key"), "key").distinct()
+    members = materialize(members.withColumn("n", F.lit(1)), "members")
+    sent = named.select("rep", "fingerprint").join(members.select("rep").distinct(), "rep")
+    sent = materialize(sent.groupBy("rep").agg(F.first("fingerprint").alias("fingerprint")), "sent", compression="zstd")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        x, y = (sent.select(F.col("rep").alias(c), F.col("fingerprint").alias(f"p{c}")) for c in "ab")
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb")
+        return both.mapInArrow(_alike(threshold), "a long, b long")
+
+    found = link_members(members, confirm)
+    discard(members, sent)
+    of = named.groupBy("rep").agg(F.min("doc_id").alias("doc"))
+    of = of.withColumn("group", F.col("rep")) if found is None else of.join(
+        found, F.col("rep") == F.col("node"), "left"
+    ).withColumn("group", F.coalesce("component", "rep"))
     least = of.groupBy("group").agg(F.min("doc").alias("least"))
-    of = of.join(least, "group").select("h1", "h2", "least")
-    out = prints.select("doc_id", "text_hash", "row", *digest).join(of, ["h1", "h2"], "left")
+    of = of.join(least, "group").select("rep", "least")
     top = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "text_hash", "row", top.alias("component"))
+    return prints.join(of, "rep", "left").select("doc_id", "text_hash", "row", top.alias("component"))
 
 
 def near_texts(
@@ -364,7 +431,8 @@ def near_texts(
     Two texts are linked when they share a band and their fingerprints are at least ``threshold`` alike. Null and empty
     texts link with nothing, and neither do rows with a null id: their component_id is null and they are kept. Equal texts
     have equal fingerprints and are one from the start; rows that repeat an id are judged by their own texts each. Other
-    columns are not returned. No pair of texts is ever a row: buckets are compared in blocks (``linking``).
+    columns are not returned. Buckets are not expanded into pairs: their fingerprints meet a few leaders a round
+    (``linking.link_members``), and the rest in full once that is little.
     """
     return _labelled(_rows(docs, doc_id, text), threshold).select(
         "doc_id", F.col("component").alias("component_id"),

@@ -182,6 +182,43 @@ def test_near_texts_against_all_pairs(spark):
     assert ef.near_texts(df.limit(0)).count() == 0
 
 
+def test_walks_at_once_are_walks():
+    texts = [ef.code_points((t or "").encode()) for t in TEXTS * 4 + [prose(k) for k in range(200)]]
+    starts = [rng.randrange(100_000) for _ in texts]
+    assert [w.tolist() for w in ef.walks(texts)] == [ef.walk(t) for t in texts]
+    assert [w.tolist() for w in ef.walks(texts, starts)] == [ef.walk(t, s) for t, s in zip(texts, starts)]
+    assert ef.walks([]) == []
+
+
+def test_bands_show_samples_inside_their_texts():
+    text = prose(150)
+    prints = [walked(t) for t in ("", text, text[:-40] + "zz" + text[-39:], prose(150), text + text[: len(text) // 4], "a", "b")]
+    at, keys = ef.band_keys(prints)
+    have = [set(keys[at == k].tolist()) for k in range(len(prints))]
+    assert not have[0] and have[1] & have[4] and len(have[1] & have[3]) < ef.BANDS // 3  # of 14 characters
+    level = len(prints[1]) // ef.SAMPLES - 1
+    assert len(prints[2]) == len(prints[1])
+
+    def first(print_, samples):
+        return [(k, print_[k]) for k in samples if print_[k] != ef.END][: ef.STEPS]
+
+    equal = sum(first(prints[1], samples) == first(prints[2], samples) for samples in ef._BANDS[level])
+    assert 0 < equal < ef.BANDS and equal <= len(have[1] & have[2])
+
+
+def test_query_tells_near_texts(spark, tmp_path):
+    """The registered query runs the bands and links of near texts, for every document."""
+    from emberframe.llm.queries import QUERIES
+
+    base = [prose(150) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(10 + k, t[:-30] + "!" + t[-29:]) for k, t in enumerate(base[:4])]
+    rows += [(20, base[5]), (21, ""), (22, None), (23, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in QUERIES["op11_edit_fingerprints"](spark, str(tmp_path)).collect()}
+    of = {10 + k: k for k in range(4)} | {20: 5}
+    assert got == {k: (of.get(k, k), k not in of) for k, _ in rows}
+
+
 # ------------------------------------------------------------------ vectors
 
 
