@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.linking import link_members
+from emberframe.llm.linking import link_buckets
 from emberframe.llm.shared import discard, materialize, shuffle_partitions
 
 #: Sampled steps of a doubling; bands, steps that a band shows, and steps drawn for it.
@@ -391,6 +391,26 @@ def _alike(threshold: float):
     return run
 
 
+def _pairs_alike(threshold: float):
+    """Of a table's fingerprints: what says which pairs of places are as like as ``threshold``, by ``likeness``."""
+
+    def of(table: pa.Table):
+        prints = table.column("fingerprint").to_pylist()
+        n = max(map(len, prints))
+        shown = np.frombuffer("".join(p.ljust(n, END) for p in prints).encode(), dtype=np.uint8).reshape(len(prints), n)
+        inside = np.packbits(shown != ord(END), axis=1).view(np.uint64)  # a doubling's samples are 64 bits
+        weight = _weights(n)[::SAMPLES]
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            same = np.packbits(shown[i] == shown[j], axis=1).view(np.uint64) & inside[i]
+            agree, counted = (np.bitwise_count(x) @ weight for x in (same, inside[i] | inside[j]))
+            return agree / counted >= threshold
+
+        return alike
+
+    return of
+
+
 def _labelled(rows: DataFrame, threshold: float) -> DataFrame:
     """``rows`` (doc_id, text_hash, row, text) as (doc_id, text_hash, row, component); see ``near_texts``. A class of equal
     fingerprints goes by their hash of 64 bits; n classes share one with a probability of n^2 / 2^65, and then count as equal.
@@ -402,7 +422,7 @@ def _labelled(rows: DataFrame, threshold: float) -> DataFrame:
     placed = named.select("rep", "fingerprint").mapInArrow(_keyed(threshold), "key long, rep long").repartition("key")
     several = placed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     members = placed.join(several.filter("low <> high").select("key"), "key").distinct()
-    members = materialize(members.withColumn("n", F.lit(1)), "members")
+    members = materialize(members, "members")
     sent = named.select("rep", "fingerprint").join(members.select("rep").distinct(), "rep")
     sent = materialize(sent.groupBy("rep").agg(F.first("fingerprint").alias("fingerprint")), "sent", compression="zstd")
 
@@ -411,7 +431,10 @@ def _labelled(rows: DataFrame, threshold: float) -> DataFrame:
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "pa", "pb")
         return both.mapInArrow(_alike(threshold), "a long, b long")
 
-    found = link_members(members, confirm)
+    def send(cells: DataFrame) -> DataFrame:
+        return cells.join(sent, "rep").select(*cells.columns, "fingerprint")
+
+    found = link_buckets(members, confirm, send, _pairs_alike(threshold))
     discard(members, sent)
     of = named.groupBy("rep").agg(F.min("doc_id").alias("doc"))
     of = of.withColumn("group", F.col("rep")) if found is None else of.join(
@@ -431,8 +454,8 @@ def near_texts(
     Two texts are linked when they share a band and their fingerprints are at least ``threshold`` alike. Null and empty
     texts link with nothing, and neither do rows with a null id: their component_id is null and they are kept. Equal texts
     have equal fingerprints and are one from the start; rows that repeat an id are judged by their own texts each. Other
-    columns are not returned. Buckets are not expanded into pairs: their fingerprints meet a few leaders a round
-    (``linking.link_members``), and the rest in full once that is little.
+    columns are not returned. Buckets are not expanded into pairs: fingerprints meet their buckets' leaders, and what that
+    leaves apart meets the rest of the bucket where its fingerprints are sent (``linking.link_buckets``).
     """
     return _labelled(_rows(docs, doc_id, text), threshold).select(
         "doc_id", F.col("component").alias("component_id"),

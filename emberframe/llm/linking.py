@@ -7,7 +7,7 @@ that is little; until then, the number of leaders grows eightfold a round.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,118 @@ def link_members(
         leaders *= 8
 
 
+#: Pairs of items that a task compares at once.
+PAIRS = 1 << 14
+
+
+def link_buckets(
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame], DataFrame],
+    compare: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]], block: int = 1024
+) -> DataFrame | None:
+    """(node, component) after all links among the members (key, rep) of common buckets; None without a link.
+
+    ``confirm`` gets distinct pairs (a, b), a > b, and returns those that are links. ``send`` gets rows with a rep and adds
+    what ``compare`` needs of the item. ``compare`` gets some items as a table and returns what says of two arrays of their
+    places which pairs are links. Two steps:
+
+    1. Every item meets the least item of each of its buckets: a pair for a membership at most.
+    2. Of a bucket whose items are in several components then, the items outside its largest one meet all of its items, where
+       the items are sent, in cells of about ``block`` by ``block``. No pair is a row, and a task tells only links that join
+       what it has not seen joined. What is sent grows with a bucket's size times the blocks that those outside make.
+    """
+    lead = members.groupBy("key").agg(F.min("rep").alias("lead"))
+    pairs = members.join(lead, "key").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    links = materialize(confirm(pairs.distinct()), "links")
+    found = materialize(components(links), "components")
+    state = members.join(found, members["rep"] == found["node"], "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("c")
+    )
+    state = materialize(state, "state")
+    per = state.groupBy("key", "c").agg(F.count("*").alias("k"))
+    per = per.groupBy("key").agg(
+        F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("parts")
+    )
+    mixed = per.filter("parts > 1").select(
+        "key", F.col("main.c").alias("main"), F.ceil(F.col("all") / block).alias("blocks"),
+        F.ceil((F.col("all") - F.col("main.k")) / block).alias("rests")
+    )
+    placed = state.join(mixed, "key").select(
+        "key", "rep", "c", (F.col("c") != F.col("main")).alias("outside"), "blocks", "rests",
+        F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own"),
+        F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rests")).alias("low")
+    )
+    zero = F.lit(0).cast("long")
+    column = F.transform(F.sequence(zero, F.col("rests") - 1), lambda x: F.struct(x.alias("low"), F.col("own").alias("high")))
+    line = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda x: F.struct(F.col("low").alias("low"), x.alias("high")))
+    cells = placed.select(
+        "key", "rep", "c", "outside", F.explode(
+            F.when(F.col("outside"), F.array_union(column, line)).otherwise(column)
+        ).alias("cell")
+    ).select("key", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"), "rep", "c", "outside")
+    sent = send(cells).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    more = materialize(sent.mapInArrow(_compared(compare), "a long, b long"), "links")
+    discard(state)
+    if more.limit(1).count():
+        return materialize(components(links.unionByName(more)), "components")
+    return found if found.limit(1).count() else None
+
+
+def _compared(compare: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]):
+    """Sorted rows (key, low, high, rep, c, outside, what else ``compare`` needs) as links (a, b) of different components."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        cell = np.stack([table.column(k).to_numpy() for k in ("key", "low", "high")])
+        first = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0)))
+        size = np.diff(np.append(first, len(table)))
+        rep, c = (table.column(k).to_numpy() for k in ("rep", "c"))
+        top: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (up := top.setdefault(v, v)) != v:
+                top[v] = top[up]
+                v = top[v]
+            return v
+
+        alike, out = compare(table), []
+        outside = np.flatnonzero(table.column("outside").to_numpy())
+        of = np.searchsorted(first, outside, side="right") - 1
+        ahead = np.concatenate([[0], np.cumsum(size[of])])  # each item outside meets all of its cell
+        start = 0
+        while start < len(outside):
+            stop = max(start + 1, int(np.searchsorted(ahead, ahead[start] + PAIRS, side="right")) - 1)
+            n = size[of[start:stop]]
+            i = np.repeat(outside[start:stop], n)
+            j = np.arange(ahead[stop] - ahead[start]) - np.repeat(ahead[start:stop] - ahead[start] - first[of[start:stop]], n)
+            apart = c[i] != c[j]
+            i, j = i[apart], j[apart]
+            yes = alike(i, j)
+            for x, y in zip(i[yes].tolist(), j[yes].tolist()):
+                p, q = find(int(c[x])), find(int(c[y]))
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    out.append((int(rep[x]), int(rep[y])))
+            start = stop
+        return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            cell = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            last = len(batch) - int((cell == cell[:, -1:]).all(0).sum())  # where the batch's last cell begins
+            if waiting and (last or any(waiting[0].column(k)[0] != batch.column(k)[0] for k in range(3))):
+                yield links(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            elif last:
+                yield links(pa.Table.from_batches([batch.slice(0, last)]))
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield links(pa.Table.from_batches(waiting))
+
+    return run
+
+
 def spanning_edges(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     """(id, least id) for each item of every component of a symmetric matrix of links, the least itself left out."""
     out: list[tuple[int, int]] = []

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from emberframe.llm import centroids, edit_fingerprints as ef, embeddings, whitening
+from emberframe.llm import centroids, edit_fingerprints as ef, embeddings, linking, whitening
 from pyspark.sql import functions as F
 
 rng = random.Random(11)
@@ -389,3 +389,37 @@ def test_near_vectors_of_several_widths(spark):
                 if i != j and len(u) == len(v) and v and any(v) and any(u):
                     want += np.dot(u, v) / math.sqrt(np.dot(u, u) * np.dot(v, v)) >= 0.95
             assert got[i] == want, (i, got[i], want)
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_large_buckets_are_no_rows_of_pairs(spark, block):
+    """A group whose members are linked only with a few others: confirmed pairs follow the memberships, links are all found."""
+    n, rng = 150, np.random.default_rng(5)
+    member = sorted({(int(k), int(r)) for k in range(4) for r in rng.choice(n, 120, replace=False)} | {(9, n), (9, n + 1)})
+    value = {r: int(v) for r, v in enumerate(rng.integers(0, 2000, n + 2))}
+    df = spark.createDataFrame(member, "key long, rep long")
+    values = spark.createDataFrame(sorted(value.items()), "rep long, value long")
+    confirmed = []
+
+    def confirm(pairs):
+        confirmed.append(pairs.count())
+        a, b = (values.select(F.col("rep").alias(c), F.col("value").alias(f"v{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").filter("abs(va - vb) <= 9").select("a", "b")
+
+    def compare(table):
+        v = table.column("value").to_numpy()
+        return lambda i, j: np.abs(v[i] - v[j]) <= 9
+
+    found = linking.link_buckets(df, confirm, lambda cells: cells.join(values, "rep"), compare, block)
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert sum(confirmed) < len(member)
+    label = list(range(n + 2))
+    for key in {k for k, _ in member}:
+        of = [r for k, r in member if k == key]
+        for a in of:
+            for b in of:
+                if abs(value[a] - value[b]) <= 9 and label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label = [low if x == high else x for x in label]
+    assert {r: got.get(r, r) for r in range(n + 2)} == dict(enumerate(label))
+    assert 20 < len(set(label)) < n
