@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,21 @@ def test_media_copies(spark):
     assert media.near_images(empty(spark, "image_id long, image binary")).count() == 0
 
 
+def test_media_keys_come_in_parts():
+    """Every table key of an image is in one part, once, so no part of the tables has to hold all keys."""
+    r = np.random.default_rng(4)
+    bits = [r.integers(0, 256, (n, 16), dtype=np.uint8) for n in (40, 0, 70)]
+    bits[2][:20], bits[2][30:50] = bits[0][:20], bits[2][50:70]
+    batch = pa.record_batch([pa.array([7, 8, 9]), pa.array([x.tobytes() for x in bits])], names=["id", "bits"])
+    got = [list(zip(*(c.to_pylist() for c in b.columns))) for part in range(media.PARTS) for b in media._keyed(part)([batch])]
+    want = {(int(w) | t << 32, k) for k, x in zip((7, 8, 9), bits) for row in x.view(np.uint32) for t, w in enumerate(row)}
+    rows = [x for some in got for x in some]
+    assert sorted(rows) == sorted(want)
+    assert max(map(len, got)) < len(want) / 4 and all(got)
+    where = [{key for key, _ in some} for some in got]
+    assert all(not where[a] & where[b] for a in range(len(where)) for b in range(a))
+
+
 def test_media_small_crops_with_the_defaults(spark):
     """A crop of a third has few of the strongest corners; all of them find it. Different images stay apart."""
     r = np.random.default_rng(11)
