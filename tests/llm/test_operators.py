@@ -317,6 +317,65 @@ def test_media_keys_come_in_parts():
     assert all(not where[a] & where[b] for a in range(len(where)) for b in range(a))
 
 
+def test_media_cells_link_what_all_pairs_link(monkeypatch):
+    """Two blocks, each linked within itself and then with the other, join what all pairs with two keys in common join, also
+    where few common keys are listed at once and a large group has all its keys in common."""
+    r = np.random.default_rng(8)
+    made = []
+    for _ in range(12):
+        place, bits = r.uniform(0, 60, (14, 2)), r.integers(0, 256, (14, 16), dtype=np.uint8)
+        for _ in range(r.integers(1, 5)):
+            some = r.permutation(14)[: r.integers(3, 13)]
+            made.append((place[some] + r.uniform(0, 9), bits[some]))
+    made += [(place + k, bits) for k in range(20)]  # near copies
+    made += [(r.uniform(0, 60, (14, 2)), bits) for _ in range(6)]  # with the same descriptors elsewhere
+    made = [made[k] for k in r.permutation(len(made))]
+    places = [p.astype(np.float32) for p, _ in made]
+    names, n, half = [f"{k * 37 % 101:03d}" for k in range(len(made))], len(made), len(made) // 2
+    keys = [{(t, int(w)) for row in bits.view(np.uint32) for t, w in enumerate(row)} for _, bits in made]
+
+    def least(pairs):
+        top = list(range(n))
+        for a, b in list(pairs) * n:
+            top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    linked = []
+    for a in range(n):
+        for b in range(n):
+            if names[a] > names[b] and len(keys[a] & keys[b]) >= 2:
+                if media.consensus(places[a], made[a][1], places[b], made[b][1]) >= 6:
+                    linked.append((a, b))
+    want = least(linked)
+    assert 20 <= len(set(want)) <= n - 20
+    points, bits = (pa.array([x.tobytes() for x in some], pa.binary()) for some in (places, [b for _, b in made]))
+    for listed in (1 << 22, 60):
+        monkeypatch.setattr(media, "LISTED", listed)
+        label = np.arange(n)
+        for s in (slice(0, half), slice(half, n)):
+            own = np.arange(s.stop - s.start)
+            for p, q in media._join(names[s], own, points[s], bits[s], len(own), 2, 6):
+                own[own == p] = q
+            label[s] = own + s.start
+        within = [(k, int(v)) for k, v in enumerate(label)]
+        assert least(within + media._join(names, label, points, bits, half, 2, 6)) == want
+
+
+def test_media_in_several_blocks(spark, monkeypatch):
+    """Images link alike in one block and in many, and equal ones of different blocks are one."""
+    r = np.random.default_rng(12)
+    originals = [image(r) for _ in range(6)]
+    rows = [(k, media.encode(x)) for k, x in enumerate(originals)] + [
+        (20 + k, media.encode(x[4:90, 6:110])) for k, x in enumerate(originals)
+    ] + [(40 + k, media.encode(x)) for k, x in enumerate(originals)] + [(60, media.encode(np.full((64, 64), 7)))] * 3
+    frame = spark.createDataFrame(rows, "image_id long, image binary").repartition(5).cache()
+    whole = sorted(media.near_images(frame).collect())
+    monkeypatch.setattr(media, "IMAGES", 4)
+    assert sorted(media.near_images(frame).collect()) == whole
+    got = {x["image_id"]: x["component_id"] for x in whole}
+    assert all(got[k] == got[20 + k] == got[40 + k] == k for k in range(6)) and got[60] == 60
+
+
 def test_media_small_crops_with_the_defaults(spark):
     """A crop of a third has few of the strongest corners; all of them find it. Different images stay apart."""
     r = np.random.default_rng(11)
